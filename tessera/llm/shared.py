@@ -46,3 +46,18 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 def text_bytes(column: str = "text"):
     """The whole text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def worker_state(name: str, make):
+    """An object that a Python worker keeps between its tasks, such as a loaded tokenizer.
+
+    Functions reach the workers by value, so that a module's own globals start
+    anew in each task; a small module in ``sys.modules`` outlives them.
+    """
+    import sys
+    import types
+
+    held = sys.modules.setdefault("tessera_worker_state", types.ModuleType("tessera_worker_state"))
+    if not hasattr(held, name):
+        setattr(held, name, make())
+    return getattr(held, name)
