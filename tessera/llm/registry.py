@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .media import op10_media
 from .mixing import op5_mixing
+from .simhash import op3_simhash
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
     "op8_token_files": op8_token_files,
     "op10_media": op10_media,
