@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .decontamination import op4_decontamination
 from .media import op10_media
 from .mixing import op5_mixing
 from .simhash import op3_simhash
 from .token_files import op8_token_files
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op8_token_files": op8_token_files,
     "op10_media": op10_media,
 }

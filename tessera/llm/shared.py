@@ -61,3 +61,37 @@ def worker_state(name: str, make):
     if not hasattr(held, name):
         setattr(held, name, make())
     return getattr(held, name)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever extra columns it brings."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_columns_from(df: DataFrame, column: str, make, fields: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
+    """``df`` with new columns that a function makes from one text column, batch by batch.
+
+    ``make()`` is called once in each task and gives a function from a list of
+    texts (null as '') to a list of Arrow arrays. Returns the frame and the names
+    of the new columns, which differ from ``fields`` where those clash.
+    """
+    import pyarrow as pa
+
+    names = fresh(df, *[f for f, _ in fields])
+    at = df.columns.index(column)
+    kinds = ", ".join(f"`{c}` {t.dataType.simpleString()}" for c, t in zip(df.columns, df.schema, strict=True))
+    schema = ", ".join([kinds, *(f"`{n}` {t}" for n, (_, t) in zip(names, fields, strict=True))])
+
+    def run(batches):
+        function = make()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *function(texts)], [*batch.schema.names, *names])
+
+    return df.mapInArrow(run, schema), names
