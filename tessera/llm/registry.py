@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op4_decontamination
+from .hmm import op2_hmm
 from .media import op10_media
 from .mixing import op5_mixing
 from .simhash import op3_simhash
@@ -10,6 +11,7 @@ from .token_files import op8_token_files
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op2_hmm": op2_hmm,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
