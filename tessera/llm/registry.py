@@ -6,6 +6,7 @@ from .decontamination import op4_decontamination
 from .hmm import op2_hmm
 from .media import op10_media
 from .mixing import op5_mixing
+from .repeats import op9_repeats
 from .simhash import op3_simhash
 from .token_files import op8_token_files
 from .toxicity import op6_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_repeats": op9_repeats,
     "op10_media": op10_media,
 }
 
