@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op4_decontamination
 from .hmm import op2_hmm
+from .layout import op7_layout
 from .media import op10_media
 from .mixing import op5_mixing
 from .repeats import op9_repeats
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_layout": op7_layout,
     "op8_token_files": op8_token_files,
     "op9_repeats": op9_repeats,
     "op10_media": op10_media,
