@@ -35,7 +35,7 @@ from .shared import table, worker_state, written
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
 #: Words whose ids a worker keeps, at most; others are encoded when they come up.
-MEMO = 600_000
+MEMO = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -46,12 +46,12 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     head = MAGIC + np.array([n, blocks], "<u4").tobytes()
     if not n:
         return head + bytes(4)
-    grid = np.pad(ids.astype(np.int64), (0, blocks * BLOCK - n), mode="edge").reshape(blocks, BLOCK)
+    grid = np.pad(ids.astype(np.uint32), (0, blocks * BLOCK - n), mode="edge").reshape(blocks, BLOCK)
     low = grid.min(1)
     diff = grid - low[:, None]
-    bits = lambda v: np.ceil(np.log2(v + 1)).astype(np.int64)  # noqa: E731  exact below 2**48
+    bits = lambda v: np.ceil(np.log2(v + 1.0)).astype(np.int64)  # noqa: E731  exact below 2**48
     width = bits(np.sort(diff, 1)[:, int(np.ceil(percentile * BLOCK)) - 1])
-    over = diff >= (1 << width)[:, None]
+    over = diff > ((1 << width) - 1).astype(np.uint32)[:, None]
     n_over = over.sum(1)
     start = np.cumsum(np.append(0, 6 + width * (BLOCK // 8) + 5 * n_over))
     out = np.zeros(start[-1], np.uint8)
@@ -60,8 +60,9 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     out[at[:, 0] + 4], out[at[:, 0] + 5] = width, n_over
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        flags = (diff[own][:, :, None] >> np.arange(w)) & 1
-        out[at[own] + 6 + np.arange(w * BLOCK // 8)] = np.packbits(flags.astype(np.uint8).reshape(len(own), -1), axis=1)
+        kind = ">u2" if w <= 16 else ">u4"
+        flags = np.unpackbits(diff[own].astype(kind).view(np.uint8).reshape(len(own), BLOCK, -1), axis=2)[:, :, -w:]
+        out[at[own] + 6 + np.arange(w * BLOCK // 8)] = np.packbits(flags.reshape(len(own), -1), axis=1)
     if n_over.any():
         b, pos = np.nonzero(over)
         nth = np.arange(len(b)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
@@ -87,8 +88,10 @@ def ids_between(shard: bytes, first: int = 0, last: int | None = None) -> np.nda
     grid = np.zeros((b1 - b0, BLOCK), np.int64)
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        flags = np.unpackbits(data[at[own] + 6 + np.arange(w * BLOCK // 8)], axis=1).reshape(len(own), BLOCK, w)
-        grid[own] = flags @ (1 << np.arange(w))
+        kind, full = (">u2", 16) if w <= 16 else (">u4", 32)
+        flags = np.zeros((len(own), BLOCK, full), np.uint8)
+        flags[:, :, -w:] = np.unpackbits(data[at[own] + 6 + np.arange(w * BLOCK // 8)], axis=1).reshape(len(own), BLOCK, w)
+        grid[own] = np.packbits(flags, axis=2).view(kind)[:, :, 0]
     if n_over.any():
         b = np.repeat(np.arange(b1 - b0), n_over)
         nth = np.arange(len(b)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
@@ -119,40 +122,32 @@ class WordEncoder:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [t.split(" ") for t in texts]
-        memo, local = self.memo, {}
-        new = [w for w in set().union(*(p[1:] for p in pieces)) if w not in memo]
-        odd = {w for w in new if not w or w != w.strip()}
-        new = [w for w in new if w not in odd]
-        packed = [array(self.code, ids).tobytes() for ids in self.encode([f" {w}" for w in new])]
-        if len(memo) + len(new) <= MEMO:
-            memo.update(zip(new, packed, strict=True))
-            known = memo
-        else:
-            local.update(zip(new, packed, strict=True))
-            known = _Both(local, memo)
+        words = [w for p in pieces for w in p[1:]]
+        found = list(map(self.memo.get, words))
+        odd: set[str] = set()
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            new = list(dict.fromkeys(words[i] for i in at))
+            odd = {w for w in new if not w or w != w.strip()}
+            packed = {w: array(self.code, ids).tobytes() for w, ids in zip(new, self.encode([f" {w}" for w in new]), strict=True)}
+            for i in at:
+                found[i] = packed[words[i]]
+            if len(self.memo) < MEMO:
+                self.memo.update((w, x) for w, x in packed.items() if w not in odd)
         firsts = self.encode([p[0] for p in pieces])
-        out = []
+        out, begin = [], 0
         for text, p, first in zip(texts, pieces, firsts, strict=True):
-            if odd and (not odd.isdisjoint(p[1:]) or p[0] != p[0].strip()) or len(p) > 1 and p[0] != p[0].rstrip():
+            end = begin + len(p) - 1
+            if odd and not odd.isdisjoint(p[1:]) or len(p) > 1 and p[0] != p[0].rstrip():
                 ids = [i for part in self.encode([x for x in self.cut.split(text) if x]) for i in part]
                 out.append(np.array(ids, np.uint32))
             else:
-                rest = b"".join(map(known.__getitem__, p[1:]))
-                out.append(np.concatenate([np.array(first, np.uint32), np.frombuffer(rest, self.code).astype(np.uint32)]))
+                rest = array(self.code, first).tobytes() + b"".join(found[begin:end])
+                out.append(np.frombuffer(rest, self.code).astype(np.uint32))
+            begin = end
         return out
 
 
-class _Both(dict):
-    """The first of two dicts, then the second."""
-
-    def __init__(self, a: dict, b: dict):
-        super().__init__(a)
-        self.b = b
-
-    def __missing__(self, key):
-        return self.b[key]
-
-
 def _groups(texts: list[str], limit: int = 1 << 20):
     """Slices of ``texts`` of about ``limit`` characters."""
     begin = size = 0
