@@ -276,7 +276,8 @@ def _joined(part: list[tuple[int, int, bytes | None]], n: int) -> bytes | None:
 
 def resolved(spans: DataFrame, length: int, hot: int, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """key, span and flags of distinct spans with their bytes and counts; flags are null where all windows occur again."""
-    seeds = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"))
+    # written first: a join of two plain tables can split a hot seed, one with an aggregate below it can't
+    seeds = written(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans")), "repeat-seeds")
     spans = spans.join(seeds, "key")
     alone = spans.where("spans = 1 and c >= 2").select("key", "span", F.lit(None).cast("binary").alias("flags"))
     if not cuts:  # one window each: equal windows are one span
@@ -305,10 +306,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with ``keep_text`` also the bytes that stay."""
     docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     rows = written(anchored(docs, length, seed), "repeat-anchors")
-    again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    # written first: a join of two plain tables can split a hot seed, one with an aggregate below it can't
+    again = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "repeat-keys")
     rows = written(rows.join(again, "key", "left_semi"), "repeat-rows")
-    spans = rows.groupBy("key", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "n", "left")).alias("at"))
-    seeds = spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans"))
+    spans = written(rows.groupBy("key", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "n", "left")).alias("at")), "repeat-distinct")
+    seeds = written(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans")), "repeat-seeds")
     spans = written(spans.join(seeds, "key").select("key", "span", "c", "spans", "at.*"), "repeat-spans")
 
     # bytes of the spans that share a seed with others, from one of the texts that hold each
