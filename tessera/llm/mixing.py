@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, table, written
+from .shared import WORD, fresh, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP, BLOCK, FAN_IN = 3.0, 2000, 500
@@ -160,16 +160,15 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows that share a doc_id are told apart by their number under that id, so
     that repeated rows are drawn one by one.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
-    taken = sample_mix(sizes).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    words, row, copy = fresh(docs, "words", "row", "copy")
+    taken = sample_mix(written(document_sizes(docs), "mix-sizes")).where("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), F.col("copies").alias("of_copies"))
     # rows alike in id, source and size are interchangeable: their counts of copies are dealt in order
-    order = Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("copies"))
-    taken = taken.withColumn("_nr", F.row_number().over(order))
-    own = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    rows = docs.withColumn("_size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
-    rows = rows.withColumn("_nr", F.row_number().over(own)).withColumnRenamed("_size", "_words").withColumnRenamed("_nr", "_row")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_nr"))
-    return rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = taken.withColumn("of_row", F.row_number().over(Window.partitionBy("of_id", "of_source", "of_size").orderBy(F.desc("of_copies"))))
+    rows = docs.withColumn(words, F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy("text")))
+    same = rows["doc_id"].eqNullSafe(taken["of_id"]) & rows["source"].eqNullSafe(taken["of_source"]) & (rows[words] == taken["of_size"]) & (rows[row] == taken["of_row"])
+    copies = rows.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), taken["of_copies"].cast("int"))))
+    return copies.select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

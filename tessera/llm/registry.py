@@ -7,12 +7,15 @@ from .hmm import op2_hmm
 from .layout import op7_layout
 from .media import op10_media
 from .mixing import op5_mixing
+from .quotes import ORACLE_SQL as QUOTES_SQL
+from .quotes import op1_quotes
 from .repeats import op9_repeats
 from .simhash import op3_simhash
 from .token_files import op8_token_files
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_quotes": op1_quotes,
     "op2_hmm": op2_hmm,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
@@ -24,4 +27,4 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quotes": QUOTES_SQL}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, text_bytes, written
+from .shared import table, text_bytes, with_columns_from, written
 
 SEED, TAU, SEGMENTS, SEGMENT_BITS = 42, 3, 4, 16
 #: Fingerprints under one key that one task compares at once.
@@ -191,6 +191,148 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = TAU) -> DataFr
     return own.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+WIDE_WORDS, WIDE_SHINGLE, SIMILARITY = 8, 5, 0.8
+_ROUNDS = np.array([(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(WIDE_WORDS)], np.uint64)
+
+
+def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
+    """512 bits over the set of a text's word shingles; each shingle's XXH64 is mixed anew for each 64 of them."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WIDE_WORDS)
+    line, n = b" ".join(words), len(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    k = min(shingle, n)
+    starts = np.append(0, ends[: n - k]).tolist()
+    h = np.array(list({xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)}), np.uint64)
+    count = np.zeros(64 * WIDE_WORDS, np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), 1 << 14):
+            x = h[at : at + (1 << 14), None] + _ROUNDS
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            count += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * count > len(h)).tobytes()
+
+
+def wide_tau(similarity: float) -> int:
+    """Differing bits expected of two sets of shingles with this Jaccard similarity and like sizes."""
+    return int(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_within(a: np.ndarray, b: np.ndarray, tau: int, chain: int = 8) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` (16-bit segments) are within ``tau`` bits.
+
+    First some ``chain`` consecutive segments around the ring must have all
+    cumulative differences within their proportional budgets; only pairs with
+    such a chain get the full check.
+    """
+    diff = np.bitwise_count(a ^ b).astype(np.int32)
+    m = diff.shape[1]
+    ring = np.concatenate([diff, diff[:, : chain - 1]], axis=1)
+    total = np.zeros_like(diff)
+    viable = np.ones(diff.shape, bool)
+    for length in range(1, chain + 1):
+        total += ring[:, length - 1 : length - 1 + m]
+        viable &= total * m <= length * tau
+    near = viable.any(1)
+    near[near] = diff[near].sum(1) <= tau
+    return near
+
+
+def wide_links(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """Links between the ids of distinct 512-bit fingerprints (id, fp) that share a 16-bit segment and are within the bits of ``similarity``."""
+    tau, segments = wide_tau(similarity), 4 * WIDE_WORDS
+    part = F.substring("fp", F.col("v") * 2 + 1, F.lit(2))
+    keyed = distinct.select("id", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("v"))
+    keyed = keyed.select("id", "fp", (F.col("v").cast("long") * 65536 + F.conv(F.hex(part), 16, 10).cast("long")).alias("key"))
+    # there are 32 x 65536 keys at most; those with more fingerprints than a task compares at once are cut into chunks
+    hot = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select(F.col("key").alias("hot"), F.ceil(F.col("n") / chunk).cast("long").alias("chunks")), "hot-segments")
+    dealt = keyed.join(hot, F.col("key") == F.col("hot"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    dealt = dealt.select("id", "fp", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "id", "fp")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = np.stack([np.asarray(batch.column(i)) for i in range(4)])
+            fps = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, segments)
+            if held is not None:
+                rows, fps = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], fps])
+            new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
+            at = new[-1] if len(new) else 0
+            held = rows[:, at:], fps[at:]
+            if at:
+                yield from emit(rows[:, :at], fps[:at])
+        if held is not None and held[0].shape[1]:
+            yield from emit(*held)
+
+    def emit(rows, fps):
+        ids, left, right = rows[3], [], []
+        cut = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(0)))
+        size = np.diff(np.append(cut, len(ids)))
+        group = np.repeat(np.arange(len(cut)), size)
+        small = np.repeat(size, size) <= 64
+        for step in range(1, int(size[size <= 64].max(initial=1))):
+            a = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+            for at in range(0, len(a), 1 << 16):
+                b = a[at : at + (1 << 16)]
+                b = b[wide_within(fps[b], fps[b + step], tau)]
+                left.append(ids[b])
+                right.append(ids[b + step])
+        for at, n in zip(cut[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            rest, front = np.arange(at, at + n), []
+            while len(rest) or front:
+                if not front:
+                    front, rest = [rest[0]], rest[1:]
+                v = front.pop()
+                near = wide_within(fps[rest], fps[v][None], tau) if len(rest) else np.zeros(0, bool)
+                if near.any():
+                    left.append(np.full(int(near.sum()), ids[v]))
+                    right.append(ids[rest[near]])
+                    front.extend(rest[near].tolist())
+                    rest = rest[~near]
+        if left and sum(map(len, left)):
+            pairs = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)]), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one row of each group of near copies, that with the smallest doc_id.
+
+    Near copies have a similarity of 0.8 or more over sets of five-word shingles,
+    as estimated by 512-bit fingerprints.
+    """
+
+    def make():
+        from pyspark import TaskContext
+
+        at = [TaskContext.get().partitionId() << 40]
+
+        def run(texts):
+            begin, at[0] = at[0], at[0] + len(texts)
+            return [pa.array(np.arange(begin, at[0])), pa.array([wide_fingerprint(t.encode()) for t in texts], pa.binary())]
+
+        return run
+
+    rows, (uid, fp) = with_columns_from(docs, "text", make, [("uid", "long"), ("fp", "binary")])
+    rows = written(rows, "dedup-rows")
+    own = rows.select(F.col(uid).alias("uid"), F.col(fp).alias("fp"), F.col("doc_id").cast("long").alias("doc_id"))
+    # a fingerprint goes by the smallest of its rows' ids; order: doc_id (nulls last), then row
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
+    distinct = written(own.groupBy("fp").agg(F.min(order).alias("first"), F.min("uid").alias("id")), "dedup-distinct")
+    roots = written(components(wide_links(distinct.select("id", "fp"))), "dedup-roots")
+    grouped = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
+    keep = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("kept_uid"))
+    return rows.join(keep, rows[uid] == keep["kept_uid"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every whole text of ``documents`` (3-word shingles, 3 bits)."""
     return near_duplicates(table(spark, sf_dir, "documents"))
