@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_bytes, written
+from .shared import small_batches, table, text_bytes, written
 
 STATES, ROUNDS, OWN, ENDINGS = 6, 6, 16_384, 16_384
 END = b""
@@ -61,7 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for text in batch.column(0).to_pylist():
                 counts.update(tokens(text))
                 if len(counts) > _FLUSH:
@@ -123,12 +123,13 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for text in batch.column(2).to_pylist():
+        for batch in small_batches(batches, 2):
+            texts = batch.column(2).to_pylist()
+            classes, n, logs, rare_words, rare_times, ends = [], [], [], [], [], [0]
+            for text in texts:
                 words = tokens(text)
                 rare: Counter = Counter()
-                cls, logs = [], 0.0
+                cls, log = [], 0.0
                 for w in words:
                     known = own.get(w)
                     if known is None:
@@ -136,13 +137,16 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                         cls.append(ending_class(w))
                     else:
                         cls.append(known[0])
-                        logs += known[1]
-                for c, x in zip(cols, (uid, np.array(cls, "<u2").tobytes(), len(words) - sum(rare.values()), logs, list(rare.items())), strict=True):
-                    c.append(x)
-                uid += 1
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
-            rows = [[{"w": w, "n": n} for w, n in r] for r in cols[4]]
-            arrays = [pa.array(c, k) for c, k in zip([*cols[:4], rows], kinds, strict=True)]
+                        log += known[1]
+                classes.append(np.array(cls, "<u2").tobytes())
+                n.append(len(words) - sum(rare.values()))
+                logs.append(log)
+                rare_words += rare.keys()
+                rare_times += rare.values()
+                ends.append(len(rare_words))
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], ["w", "n"])
+            arrays = [pa.array(np.arange(uid, uid + len(texts))), pa.array(classes, pa.binary()), pa.array(n, pa.int64()), pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+            uid += len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "uid", "cls", "own_n", "own_log", "rare"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_bytes().alias("t"))
@@ -234,7 +238,7 @@ def baum_welch_round(texts: DataFrame, model: Hmm, class_counts: np.ndarray) ->
 
     def run(batches):
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
-        for batch in batches:
+        for batch in small_batches(batches, 0, 8 << 20):
             for _, lengths, grid in _padded(batch.column(0).to_pylist()):
                 a, b, c, d = expected_counts(model, grid, lengths)
                 start, move, emit, total = start + a, move + b, emit + c, total + d
@@ -270,7 +274,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     share, floor = vocab.log_share, math.log10(vocab.n + 0.5 * (vocab.v + 1))
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 3, 8 << 20):
             texts = batch.column(3).to_pylist()
             hmm, by_class, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for part, lengths, grid in _padded(texts):

@@ -74,6 +74,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(batches, column: int, limit: int = 4 << 20):
+    """Slices of Arrow batches with about ``limit`` bytes in one text or binary column, so that Python objects stay few."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + limit, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def with_columns_from(df: DataFrame, column: str, make, fields: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
     """``df`` with new columns that a function makes from one text column, batch by batch.
 
@@ -90,7 +104,7 @@ def with_columns_from(df: DataFrame, column: str, make, fields: list[tuple[str,
 
     def run(batches):
         function = make()
-        for batch in batches:
+        for batch in small_batches(batches, at):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(texts)], [*batch.schema.names, *names])
 
