@@ -15,7 +15,8 @@ rows) is at or above the median of toxic rows, otherwise 1.
 
 Defined results: null and empty texts have no features and get the grade of the
 intercepts; labels that are null or have no document are not used; several
-labels of a document count as the largest; without labels of both kinds every
+labels of a document count as the largest, several documents under a labelled
+id as one; without labels of both kinds every
 document has severity 0 and none is rejected; repeated rows get equal grades.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, with_columns_from
+from .shared import small_batches, table, with_columns_from, written
 
 SAMPLE_ROWS, FEATURES, HASH_BITS, GRADES = 12_000, 8192, 22, 3
 RIDGE, STEPS, REJECT_AT = 2e-4, 400, 0.5
@@ -80,28 +81,12 @@ class Model:
         return 1 / (1 + np.exp(np.clip(theta - score, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, grades: int = GRADES) -> Model:
-    """Fit on hashed features ``rows`` with their ``counts``; features are chosen first."""
-    if not len(grade) or grade.min() == grade.max():
-        return Model({}, [])
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = np.log1p(np.concatenate(counts).astype(float))
-    toxic = grade > 0
-    ids, index = np.unique(flat, return_inverse=True)
-    a = np.bincount(index, toxic[row], len(ids))
-    b = np.bincount(index, ~toxic[row], len(ids))
-    rate_a, rate_b = (a + 0.5) / (toxic.sum() + 1), (b + 0.5) / ((~toxic).sum() + 1)
-    z = (np.log(rate_a) - np.log(rate_b)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    keep = np.flatnonzero(a + b >= 3)
-    keep = keep[np.argsort(-np.abs(z[keep]), kind="stable")[:FEATURES]]
-    place = np.full(len(ids), -1)
-    place[keep] = np.arange(len(keep))
-    col = place[index]
-    row, col, value = row[col >= 0], col[col >= 0], value[col >= 0]
+def fit(columns: list[int], row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES) -> Model:
+    """Fit on a sparse matrix: entries (row, col, value), whose columns are the hashed features ``columns``."""
     n, k = len(grade), grades - 1
     share = np.clip([(grade >= j).mean() for j in range(1, grades)], 1e-4, 1 - 1e-4)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(k))
-    w = np.zeros(len(keep))
+    w = np.zeros(len(columns))
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
     # Adam on the mean log-likelihood with a ridge; all of it deterministic
     moment, second = np.zeros(len(w) + k), np.zeros(len(w) + k)
@@ -121,14 +106,18 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, gra
         move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w, first, gaps = w - move[: len(w)], first - move[len(w)], gaps - move[len(w) + 1 :]
     theta = first + np.append(0, np.cumsum(np.exp(gaps)))
-    return Model({int(i): float(x) for i, x in zip(ids[keep], w, strict=True)}, theta.tolist())
+    return Model({int(i): float(x) for i, x in zip(columns, w, strict=True)}, theta.tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows of ``docs``."""
+    """Fit on at most ``sample_rows`` labelled rows of ``docs``.
+
+    Features are counted by Spark; the driver gets the chosen features and, of
+    each sampled row, only these.
+    """
 
     def featurise(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids, times, n = [], [], []
             for text in batch.column(1).to_pylist():
                 words = Counter(_WORD.findall((text or "").lower()))
@@ -144,27 +133,36 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     labelled = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("is_toxic"))
     sample = labelled.orderBy(F.xxhash64("labelled"), "labelled").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the sample's size is bounded by its parameter
-    rows = texts.join(F.broadcast(sample), texts["doc_id"] == sample["labelled"]).select("doc_id", "text", "is_toxic")
-    rows = rows.mapInArrow(featurise, "doc_id long, ids array<int>, times array<int>, n long, toxic int").toPandas()
-    # several documents may share a labelled id
-    rows = rows.assign(_c=[zlib.crc32(np.asarray(x).tobytes()) for x in rows["ids"]]).sort_values(["doc_id", "_c"], kind="stable").head(sample_rows)
-    ids = [np.asarray(x, np.int64) for x in rows["ids"]]
-    times = [np.asarray(x, np.int64) for x in rows["times"]]
-    return fit(ids, times, graded(ids, times, rows["n"].to_numpy(), rows["toxic"].to_numpy() > 0))
-
-
-def graded(ids: list[np.ndarray], times: list[np.ndarray], n: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grade of each labelled row: 0, or 1 and 2 by the share of marked words."""
-    grade = toxic.astype(np.int64)
-    if not toxic.any() or toxic.all():
-        return grade
-    flat, row = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(r) for r in ids])
-    names, index = np.unique(flat, return_inverse=True)
-    a, b = np.bincount(index, toxic[row], len(names)), np.bincount(index, ~toxic[row], len(names))
-    marked = (a >= 5) & ((a + 0.5) / (toxic.sum() + 1) >= 20 * (b + 0.5) / ((~toxic).sum() + 1))
-    share = np.bincount(row, np.concatenate(times) * marked[index], len(ids)) / np.maximum(n, 1)
-    return grade + (toxic & (share >= np.median(share[toxic])))
+    # the sample's size is bounded by its parameter; rows that share a labelled doc_id count once
+    rows = texts.join(F.broadcast(sample), texts["doc_id"] == sample["labelled"]).select("doc_id", "text", F.least("is_toxic", F.lit(1)).alias("toxic")).dropDuplicates(["doc_id"])
+    rows = written(rows.mapInArrow(featurise, "doc_id long, ids array<int>, times array<int>, n long, toxic int"), "toxic-sample")
+    sick, well = rows.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    if not sick or not well:
+        return Model()
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    z = F.abs((F.log(a / F.lit(sick + 1)) - F.log(b / F.lit(well + 1))) / F.sqrt(1 / a + 1 / b))
+    counts = rows.select(F.explode("ids").alias("f"), "toxic").groupBy("f").agg(F.count_if(F.col("toxic") > 0).alias("a"), F.count_if(F.col("toxic") <= 0).alias("b"))
+    chosen = counts.where("a + b >= 3").orderBy(z.desc(), "f").limit(FEATURES).collect()
+    columns = [r["f"] for r in chosen]
+    place = {f: i for i, f in enumerate(columns)}
+
+    def pick(batches):
+        for batch in batches:
+            ids, times = [], []
+            for own, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                kept = [(place[f], c) for f, c in zip(own, n, strict=True) if f in place]
+                ids.append([k[0] for k in kept])
+                times.append([k[1] for k in kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())), batch.column(3), batch.column(4)], ["doc_id", "ids", "times", "n", "toxic"])
+
+    got = rows.mapInArrow(pick, rows.schema).toPandas().sort_values("doc_id", kind="stable")
+    row = np.repeat(np.arange(len(got)), [len(x) for x in got["ids"]])
+    col, times = np.concatenate(got["ids"].tolist()).astype(np.int64), np.concatenate(got["times"].tolist()).astype(float)
+    toxic = got["toxic"].to_numpy() > 0
+    marked = np.array([r["a"] >= 5 and (r["a"] + 0.5) / (sick + 1) >= 20 * (r["b"] + 0.5) / (well + 1) for r in chosen], bool)
+    share = np.bincount(row, times * marked[col], len(got)) / np.maximum(got["n"].to_numpy(), 1)
+    grade = toxic.astype(np.int64) + (toxic & (share >= np.median(share[toxic])))
+    return fit(columns, row, col, np.log1p(times), grade)
 
 
 def severity(docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
