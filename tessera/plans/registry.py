@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import search  # noqa: F401  (registers its queries)
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
