@@ -42,9 +42,9 @@ def within_budget(rows: DataFrame, key: str, order: str, text: str, budget: int)
     return marked.where((F.col("total") <= budget) | (F.col("nth") == 1))
 
 
-def islands(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def islands(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Runs of equal neighbouring values: key, run, value, size."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(key).orderBy(*order)
     new = (~F.col(value).eqNullSafe(F.lag(value).over(w))) | (F.row_number().over(w) == 1)
     marked = rows.withColumn("run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return marked.groupBy(key, "run", value).agg(F.count(F.lit(1)).alias("size"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search  # noqa: F401  (registers its queries)
+from . import corpus, search, versions  # noqa: F401  (these register their queries)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
