@@ -5,7 +5,7 @@ the word by its share of the training counts, smoothed as in the base model:
 
     P(word | class) = (count + 0.5) / (count of class + 0.5 (words of class + 1))
 
-The ``OWN`` most frequent words are classes of their own; every other word is in
+The most frequent words, ``OWN`` at most, are classes of their own; every other word is in
 a class by its ending, so that unseen words still tell of a state. The model's
 size is thus fixed, while counts are kept for every word of the corpus.
 
@@ -41,7 +41,7 @@ from .shared import small_batches, table, text_bytes, written
 STATES, ROUNDS, OWN, ENDINGS = 6, 6, 16_384, 16_384
 END = b""
 SCALE = 1 << 20
-_FLUSH, _CELLS = 300_000, 1 << 18
+_FLUSH, _CELLS = 300_000, 1 << 19
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -92,9 +92,18 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Classes from the table of counts; only the ``OWN`` most frequent words and sums by class reach the driver."""
+    """Classes from the table of counts; only the most frequent words and sums by class reach the driver."""
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(OWN).collect()
+    # the count from which words are frequent enough: bins of counts, a thousand at most, whatever the corpus
+    size = F.floor(F.log2("c") * 16).cast("int")
+    bins = {r["size"]: r["words"] for r in counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    least, taken = max(bins, default=0) + 1, 0
+    for b in sorted(bins, reverse=True):
+        taken += bins[b]
+        if taken > OWN:
+            break
+        least = b
+    top = sorted(counts.where(size >= least).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     own = {bytes(r["word"]): (i, math.log10(r["c"] + 0.5)) for i, r in enumerate(top)}
     names = set(own)
 
@@ -185,7 +194,7 @@ def _padded(batches):
     at = 0
     while at < len(order):
         longest = len(texts[order[at]])
-        part = order[at : at + max(1, min(1024, _CELLS // longest))]
+        part = order[at : at + max(1, min(4096, _CELLS // longest))]
         lengths = np.array([len(texts[i]) for i in part])
         grid = np.zeros((longest, len(part)), np.int64)
         for j, i in enumerate(part):
@@ -238,7 +247,7 @@ def baum_welch_round(texts: DataFrame, model: Hmm, class_counts: np.ndarray) ->
 
     def run(batches):
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
-        for batch in small_batches(batches, 0, 8 << 20):
+        for batch in small_batches(batches, 0, 32 << 20):
             for _, lengths, grid in _padded(batch.column(0).to_pylist()):
                 a, b, c, d = expected_counts(model, grid, lengths)
                 start, move, emit, total = start + a, move + b, emit + c, total + d
@@ -274,7 +283,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     share, floor = vocab.log_share, math.log10(vocab.n + 0.5 * (vocab.v + 1))
 
     def run(batches):
-        for batch in small_batches(batches, 3, 8 << 20):
+        for batch in small_batches(batches, 3, 32 << 20):
             texts = batch.column(3).to_pylist()
             hmm, by_class, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for part, lengths, grid in _padded(texts):
