@@ -157,18 +157,22 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, with the columns of ``docs``.
 
-    Rows that share a doc_id are told apart by their number under that id, so
-    that repeated rows are drawn one by one.
+    Rows that share id, source and size are drawn one by one and told apart by
+    their order.
     """
-    words, row, copy = fresh(docs, "words", "row", "copy")
-    taken = sample_mix(written(document_sizes(docs), "mix-sizes")).where("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), F.col("copies").alias("of_copies"))
-    # rows alike in id, source and size are interchangeable: their counts of copies are dealt in order
-    taken = taken.withColumn("of_row", F.row_number().over(Window.partitionBy("of_id", "of_source", "of_size").orderBy(F.desc("of_copies"))))
-    rows = docs.withColumn(words, F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
-    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", "source", words).orderBy("text")))
-    same = rows["doc_id"].eqNullSafe(taken["of_id"]) & rows["source"].eqNullSafe(taken["of_source"]) & (rows[words] == taken["of_size"]) & (rows[row] == taken["of_row"])
-    copies = rows.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), taken["of_copies"].cast("int"))))
-    return copies.select(*[rows[f"`{c}`"] for c in docs.columns])
+    key, row, copy = fresh(docs, "key", "row", "copy")
+    same = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "size")
+    taken = sample_mix(written(document_sizes(docs), "mix-sizes")).groupBy(same.alias("taken_key"))
+    # rows alike in id, source and size are interchangeable: how many of them are taken once, twice and so on
+    times = range(1, int(CAP) + 1)
+    taken = taken.agg(*[F.count_if(F.col("copies") >= n).alias(f"taken_{n}") for n in times]).where("taken_1 > 0")
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), words))
+    # the window and the join deal the texts by one key, so that they move once
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy("text")))
+    copies = sum((F.when(F.col(row) <= F.col(f"taken_{n}"), 1).otherwise(0) for n in times), F.lit(0))
+    rows = rows.join(taken, F.col(key) == F.col("taken_key")).withColumn(copy, copies).where(F.col(copy) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
