@@ -66,7 +66,7 @@ class Model:
                     ids = memo.get(word)
                     if ids is None:
                         ids = tuple(f for f in features_of(word) if f in weights)
-                        if len(memo) < 500_000:
+                        if len(memo) < 200_000:
                             memo[word] = ids
                     for f in ids:
                         times[f] += n
