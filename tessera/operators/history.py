@@ -122,3 +122,19 @@ def due(catalogue: DataFrame, status: DataFrame, overrides: DataFrame, now: Colu
     every = F.coalesce("every_minutes", "default_minutes")
     passed = (F.unix_timestamp(now) - F.unix_timestamp(F.col("last_run").cast("timestamp"))) / 60
     return rows.where(F.coalesce("enabled", F.lit(True)) & (F.col("last_run").isNull() | (passed >= every))).select("company", "entity", every.alias("every_minutes"))
+
+
+def load(current_history: DataFrame, incoming: DataFrame, references: list[str], order: str, now: Column, full_load: bool) -> tuple[DataFrame | None, str]:
+    """A whole load: keys prefixed, last row of an id kept, size checked, merged.
+
+    Returns the next history and 'ok', or None and the reason if the load is
+    blocked; the caller writes the history in one go, so a failure changes nothing.
+    """
+    keys = namespaced(F.col("company"), "id", *references)
+    rows = last_wins(incoming.where("id is not null"), "id", order).drop(order)
+    rows = rows.select(*[keys[c].alias(c) if c in keys else F.col(c) for c in rows.columns])
+    if full_load:
+        before, now_rows = current(current_history).count(), rows.count()
+        if collapsed(before, now_rows):
+            return None, f"collapsed by {int((1 - now_rows / before) * 100)} %"
+    return merge(current_history, rows, now, full_load), "ok"

@@ -136,3 +136,21 @@ def guarded_select(table: DataFrame, sources: DataFrame, who: acl.Principal, col
     if predicate is not None:
         rows = rows.where(predicate)
     return rows.select("id", *columns).orderBy("id").limit(limit)
+
+
+def article_figures(articles: DataFrame, figures: DataFrame) -> DataFrame:
+    """The first figure on an article's page that names one of its codes: an equality join on page and code."""
+    a = articles.select(F.col("id").alias("article"), "page", F.explode(text.codes(F.col("content"))).alias("code"))
+    f = figures.select(F.col("id").alias("figure"), F.col("page").alias("f_page"), F.explode(text.codes(F.col("description"))).alias("f_code"))
+    return a.join(f, F.col("page").eqNullSafe(F.col("f_page")) & (F.col("code") == F.col("f_code"))).groupBy("article").agg(F.min("figure").alias("figure"))
+
+
+def valid_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Cited (document, page) pairs that a reader may open; others can't be told from ones that don't exist."""
+    return citations.join(pages.select("document", "page").distinct(), ["document", "page"], "left_semi")
+
+
+def nearest_preceding(rows: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
+    """Each row with the last non-null ``value`` at or before it."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("preceding", F.last(value, ignorenulls=True).over(w))

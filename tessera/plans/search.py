@@ -308,3 +308,76 @@ def query_expansion(spark, d):
     p = text.any_word(["clown", "two words", "stupid"])
     q = text.expanded_query("find clown", ["clown"], ["red", "red"])
     return chunks(spark, d).where(F.col("content").rlike(p)).agg(F.lit(q).alias("q"), F.lit(p).alias("p"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT a.p_partkey AS article, min(f.p_partkey) AS figure FROM part a JOIN part f ON f.p_partkey % 10 = 1 AND (f.p_partkey // 100) % 20 = (a.p_partkey // 100) % 20 AND f.p_size % 7 = a.p_size % 7 WHERE a.p_partkey % 10 = 0 GROUP BY 1""")
+def article_figures(spark, d):
+    """Figures of the same page that name an article's code."""
+    p = read(spark, d, "part")
+    page = (F.floor(F.col("p_partkey") / 100) % 20).cast("int")
+    code = F.concat(F.lit("AB"), (F.col("p_size") % 7).cast("string"))
+    articles = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), page.alias("page"), F.concat(F.lit("item "), code, F.lit(", oak")).alias("content"))
+    shown = p.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("id"), page.alias("page"), F.concat(F.lit("photo of "), code).alias("description"))
+    return retrieval.article_figures(articles, shown)
+
+
+@query("SELECT o_orderkey FROM orders WHERE ('doc' || (o_orderkey % 120), o_orderkey % 10) IN (SELECT (document, page) FROM chunks WHERE source_id IN (SELECT id FROM allowed) AND page IS NOT NULL)", SOURCES, ALLOWED, CHUNKS)
+def valid_citations(spark, d):
+    """Citations of pages that the reader may open."""
+    mark = F.format_string("as said [doc%d, %d].", F.col("o_orderkey") % 120, F.col("o_orderkey") % 10)
+    cited = read(spark, d, "orders").select("o_orderkey", mark.alias("t")).select("o_orderkey", F.regexp_extract("t", r"\[(doc\d+), (\d+)\]", 1).alias("document"), F.regexp_extract("t", r"\[(doc\d+), (\d+)\]", 2).cast("int").alias("page"))
+    return retrieval.valid_citations(cited, acl.secured(chunks(spark, d), sources(spark, d), WHO)).select("o_orderkey")
+
+
+@query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS preceding FROM events")
+def nearest_preceding(spark, d):
+    """The last mention before each row."""
+    rows = retrieval.nearest_preceding(read(spark, d, "events"), "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "view", F.col("event_id")))
+    return rows.select("user_id", "event_id", "preceding")
+
+
+@query("SELECT way, count(*) AS n, count(*) FILTER (WHERE c.lang = 'en') AS hits FROM (SELECT 'vector' AS way, id FROM vec WHERE rank <= 8 UNION ALL SELECT 'text', id FROM lex WHERE rank <= 8 UNION ALL SELECT 'fused', id FROM fused) JOIN chunks c USING (id) GROUP BY way", CHUNKS, VECTORS, TERM_SQL, DF_SQL, WEIGHT_SQL, _nearest_sql("vec", "vectors", 30), _lexical_sql("lex", "chunks", 30), FUSED.format(n=8))
+def ablation(spark, d):
+    """Hits of each branch alone and of both."""
+    c = chunks(spark, d)
+    frequencies, total = _frequencies(spark, d)
+    vec = vectors.nearest(with_vectors(spark, d), query_vector(spark, d), 30)
+    lex = retrieval.lexical_branch(c, frequencies, total, TERMS, 30, DIVISOR)
+    both = retrieval.fused([vec, lex]).orderBy(F.desc("points"), "id").limit(8)
+    ways = [("vector", vec.where("rank <= 8")), ("text", lex.where("rank <= 8")), ("fused", both)]
+    rows = None
+    for name, way in ways:
+        part = way.select(F.lit(name).alias("way"), "id")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.join(c.select("id", "lang"), "id").groupBy("way").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("hits"))
+
+
+@query("SELECT CAST(len(embedding) AS INTEGER) AS dimensions, count(*) AS n FROM embeddings GROUP BY 1")
+def index_canary(spark, d):
+    """One dimension in the whole index, else writes are blocked."""
+    return read(spark, d, "embeddings").groupBy(F.size("embedding").alias("dimensions")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, string_agg(turn, ',' ORDER BY turn) AS turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
+def trace_rows(spark, d):
+    """A row for each conversation with its turns in order."""
+    turns = F.array_join(F.transform(F.array_sort(F.collect_list("turn")), lambda x: x.cast("string")), ",")
+    return read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("SELECT e.event_id, f.event_type AS feedback FROM events e JOIN events f ON f.event_id = e.event_id + 1 AND f.event_type = 'click' WHERE e.event_type = 'view'")
+def trace_feedback(spark, d):
+    """Traces with the feedback on their message."""
+    e = read(spark, d, "events")
+    f = e.where("event_type = 'click'").select((F.col("event_id") - 1).alias("event_id"), F.col("event_type").alias("feedback"))
+    return e.where("event_type = 'view'").select("event_id").join(f, "event_id")
+
+
+@query("SELECT id FROM chunks WHERE lang IN ('de', 'fr') AND page = 4", CHUNKS)
+def optional_filters(spark, d):
+    """Filters that are given apply; those that are null don't exist."""
+    rows = chunks(spark, d)
+    for column, values in {"lang": ["de", "fr"], "page": [4], "document": None}.items():
+        if values is not None:
+            rows = rows.where(F.col(column).isin(values))
+    return rows.select("id")

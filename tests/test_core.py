@@ -215,3 +215,15 @@ def test_text_helpers(spark):
     assert one(F.col("t").rlike(text.whole_word("BELLA,"))) and not one(F.col("t").rlike(text.whole_word("bell")))
     assert text.expanded_query("red chair", ["chair", "oak"], ["oak", "wood"]) == "red chair oak wood"
     assert one(F.lit("abc").rlike(text.any_word(["two words"]))) is False
+
+
+def test_whole_load(spark):
+    schema = "id string, company string, parent string, name string, seq long"
+    rows = [(str(i), "c", "7", "n", 0) for i in range(10)] + [("1", "c", None, "later", 1), (None, "c", None, "no id", 2)]
+    empty = spark.createDataFrame([], "id string, company string, parent string, name string, row_hash string, valid_from timestamp_ntz, valid_to timestamp_ntz, deleted boolean")
+    h, outcome = history.load(empty, spark.createDataFrame(rows, schema), ["parent"], "seq", at(1), True)
+    got = {r["id"]: (r["parent"], r["name"]) for r in h.collect()}
+    assert outcome == "ok" and len(got) == 10 and got["c:1"] == (None, "later") and got["c:2"] == ("c:7", "n")
+    h = spark.createDataFrame(h.collect(), empty.schema)
+    assert history.load(h, spark.createDataFrame(rows[:1], schema), ["parent"], "seq", at(2), True) == (None, "collapsed by 90 %")
+    assert history.load(h, spark.createDataFrame(rows[:1], schema), ["parent"], "seq", at(2), False)[1] == "ok"
