@@ -35,7 +35,7 @@ from .shared import table, worker_state, written
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
 #: Words whose ids a worker keeps, at most; others are encoded when they come up.
-MEMO = 400_000
+MEMO = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -104,8 +104,9 @@ class WordEncoder:
     """Ids of whole texts from a byte-level BPE tokenizer, which merges within words only.
 
     A space before a non-space character begins a new word for such a tokenizer,
-    so a text's ids are those of its pieces, cut there. The ids of frequent
-    pieces are kept; a text with spaces elsewhere is cut by a pattern instead.
+    and a single line end between two of them is a word, so a text's ids are those
+    of its pieces, cut there. The ids of frequent pieces are kept; a text with
+    spaces elsewhere is cut by a pattern instead.
     """
 
     def __init__(self, path: str):
@@ -121,15 +122,17 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.split(" ") for t in texts]
+        # a piece after a line end keeps it, in place of a space
+        pieces = [(t.replace(" \n", "  \n") if "\n\n" in t else t.replace("\n", " \n")).split(" ") for t in texts]
         words = [w for p in pieces for w in p[1:]]
         found = list(map(self.memo.get, words))
         odd: set[str] = set()
         if None in found:
             at = [i for i, x in enumerate(found) if x is None]
             new = list(dict.fromkeys(words[i] for i in at))
-            odd = {w for w in new if not w or w != w.strip()}
-            packed = {w: array(self.code, ids).tobytes() for w, ids in zip(new, self.encode([f" {w}" for w in new]), strict=True)}
+            bare = [w[1:] if w[:1] == "\n" else w for w in new]
+            odd = {w for w, b in zip(new, bare, strict=True) if not b or b != b.strip()}
+            packed = {w: array(self.code, ids).tobytes() for w, ids in zip(new, self.encode([w if w[:1] == "\n" else f" {w}" for w in new]), strict=True)}
             for i in at:
                 found[i] = packed[words[i]]
             if len(self.memo) < MEMO:
