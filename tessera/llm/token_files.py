@@ -35,7 +35,7 @@ from .shared import table, worker_state, written
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
 #: Words whose ids a worker keeps, at most; others are encoded when they come up.
-MEMO = 1_000_000
+MEMO = 600_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
