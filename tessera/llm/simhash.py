@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, text_bytes, with_columns_from, written
+from .shared import small_batches, table, text_bytes, with_columns_from, written
 
 SEED, TAU, SEGMENTS, SEGMENT_BITS = 42, 3, 4, 16
 #: Fingerprints under one key that one task compares at once.
@@ -195,18 +195,27 @@ WIDE_WORDS, WIDE_SHINGLE, SIMILARITY = 8, 5, 0.8
 _ROUNDS = np.array([(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(WIDE_WORDS)], np.uint64)
 
 
-def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
-    """512 bits over the set of a text's word shingles; each shingle's XXH64 is mixed anew for each 64 of them."""
+def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The XXH64 values of a text's word shingles, each once, in order; a text of fewer words is one shingle."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return bytes(8 * WIDE_WORDS)
+        return np.zeros(0, np.uint64)
     line, n = b" ".join(words), len(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     k = min(shingle, n)
     starts = np.append(0, ends[: n - k]).tolist()
-    h = np.array(list({xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)}), np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
+    """512 bits over the set of a text's word shingles; each shingle's XXH64 is mixed anew for each 64 of them."""
+    return wide_bits(shingle_set(text, shingle))
+
+
+def wide_bits(h: np.ndarray) -> bytes:
+    """512 bits over a set of shingles."""
     count = np.zeros(64 * WIDE_WORDS, np.int64)
     with np.errstate(over="ignore"):
         for at in range(0, len(h), 1 << 14):
@@ -303,11 +312,115 @@ def wide_links(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int =
     return dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``SIMILARITY`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * 100 >= round(100 * SIMILARITY) * (len(a) + len(b) - both)
+
+
+def prefix_of(h: np.ndarray) -> np.ndarray:
+    """The smallest values of a set, so many that two sets at ``SIMILARITY`` have one of them in common.
+
+    Such sets share at least that part of either; a set without its prefix has
+    one value less than that.
+    """
+    return h[: len(h) + 1 + (-round(100 * SIMILARITY) * len(h)) // 100] if len(h) else h
+
+
+def loose_tau(n: np.ndarray) -> np.ndarray:
+    """Bits far above those of any pair at ``SIMILARITY``: six deviations and more; sets of few shingles spread wider."""
+    return np.where(n < 256, 170, 128)
+
+
+def prefix_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pairs of ids (id, fp, n, keys, root) that share a key of their prefixes, are not of one root yet and may be at ``SIMILARITY``."""
+    keyed = distinct.select("id", "root", F.explode("keys").alias("key"))
+    own = Window.partitionBy("key")
+    keyed = keyed.select("id", "key", F.count(F.lit(1)).over(own).alias("m"), F.min("root").over(own).alias("r0"), F.max("root").over(own).alias("r1"))
+    # a key with one text, or with texts that are joined already, has nothing to add
+    keyed = keyed.where("m > 1 and r0 <> r1").select("id", "key", F.ceil(F.col("m") / chunk).cast("long").alias("chunks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    dealt = keyed.select("id", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("id", "key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "mine")
+    dealt = dealt.join(distinct.select("id", "fp", "n", "root"), "id").select("key", "c1", "c2", "id", "root", "n", "mine", "fp")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = np.stack([np.asarray(batch.column(i)) for i in range(7)])
+            fps = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+            if held is not None:
+                rows, fps = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], fps])
+            new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
+            at = new[-1] if len(new) else 0
+            held = rows[:, at:], fps[at:]
+            if at:
+                yield from emit(rows[:, :at], fps[:at])
+        if held is not None and held[0].shape[1]:
+            yield from emit(*held)
+
+    def emit(rows, fps):
+        _, c1, c2, ids, root, n, mine = rows
+        group = np.cumsum(np.append(0, (rows[:3, 1:] != rows[:3, :-1]).any(0)))
+        longest, found, first = int(np.bincount(group).max()), [], np.arange(len(group))
+        for step in range(1, longest):
+            # runs shorter than the step fall out
+            first = first[first + step < len(group)]
+            first = first[group[first] == group[first + step]]
+            a, b = first, first + step
+            # pairs of one chunk are compared where that chunk stands alone
+            ok = (root[a] != root[b]) & ((c1[a] == c2[a]) | (mine[a] != mine[b]))
+            ok &= 100 * np.minimum(n[a], n[b]) >= round(100 * SIMILARITY) * np.maximum(n[a], n[b])
+            a, b = a[ok], b[ok]
+            near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= loose_tau(np.minimum(n[a], n[b]))
+            found.append(np.stack([np.minimum(ids[a[near]], ids[b[near]]), np.maximum(ids[a[near]], ids[b[near]])]))
+        if found and (pairs := np.unique(np.concatenate(found, axis=1), axis=1)).shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts (id, text) are at ``SIMILARITY``, by their whole sets of shingles."""
+    pairs = written(pairs, "dedup-pairs")
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            for part in small_batches([batch], 1):
+                h = [shingle_set(t).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.binary())], ["id", "h"])
+
+    def check(batches):
+        for batch in batches:
+            for part in small_batches([batch], 2):
+                both = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                ok = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
+
+    whole = texts.join(needed, "id", "left_semi").select("id", text_bytes().alias("t")).mapInArrow(sets, "id long, h binary")
+    whole = written(whole, "dedup-sets")
+    left, right = (whole.select(F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "dedup-links")
+
+
+def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join all distinct texts (id, fp, n, keys) at ``SIMILARITY``; some links inside a joined group may be left out.
+
+    Fingerprints that share a segment come first, so that large groups are joined
+    by few links; prefixes of the sets then find each pair that is left between
+    two groups. Every link is verified.
+    """
+    first = verified(wide_links(distinct.select("id", "fp")), texts)
+    roots = written(components(first), "dedup-roots")
+    rooted = distinct.join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "n", "keys", F.coalesce("root", "id").alias("root"))
+    return first.unionByName(verified(prefix_links(written(rooted, "dedup-rooted")), texts))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of near copies, that with the smallest doc_id.
 
-    Near copies have a similarity of 0.8 or more over sets of five-word shingles,
-    as estimated by 512-bit fingerprints.
+    Near copies have a similarity of 0.8 or more over sets of five-word shingles.
     """
 
     def make():
@@ -316,18 +429,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         at = [TaskContext.get().partitionId() << 40]
 
         def run(texts):
+            import xxhash
+
             begin, at[0] = at[0], at[0] + len(texts)
-            return [pa.array(np.arange(begin, at[0])), pa.array([wide_fingerprint(t.encode()) for t in texts], pa.binary())]
+            sets = [shingle_set(t.encode()) for t in texts]
+            keys = pa.array([prefix_of(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            return [pa.array(np.arange(begin, at[0])), pa.array([wide_bits(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), same, keys]
 
         return run
 
-    rows, (uid, fp) = with_columns_from(docs, "text", make, [("uid", "long"), ("fp", "binary")])
-    rows = written(rows, "dedup-rows")
-    own = rows.select(F.col(uid).alias("uid"), F.col(fp).alias("fp"), F.col("doc_id").cast("long").alias("doc_id"))
-    # a fingerprint goes by the smallest of its rows' ids; order: doc_id (nulls last), then row
+    rows, names = with_columns_from(docs, "text", make, [("uid", "long"), ("fp", "binary"), ("n", "long"), ("same", "binary"), ("keys", "array<long>")])
+    rows, uid = written(rows, "dedup-rows"), names[0]
+    own = rows.select(*[F.col(c).alias(x) for c, x in zip(names, ("uid", "fp", "n", "same", "keys"), strict=True)], F.col("doc_id").cast("long").alias("doc_id"))
+    # equal sets go by the smallest of their rows' ids; order: doc_id (nulls last), then row
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
-    distinct = written(own.groupBy("fp").agg(F.min(order).alias("first"), F.min("uid").alias("id")), "dedup-distinct")
-    roots = written(components(wide_links(distinct.select("id", "fp"))), "dedup-roots")
+    sets = own.groupBy("same").agg(F.min(order).alias("first"), F.min("uid").alias("id"))
+    distinct = written(sets.select("id", "first").join(own.select(F.col("uid").alias("id"), "fp", "n", "keys"), "id"), "dedup-distinct")
+    links = similar_links(distinct.select("id", "fp", "n", "keys"), rows.select(F.col(uid).alias("id"), "text"))
+    roots = written(components(links), "dedup-roots")
     grouped = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
     keep = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("kept_uid"))
     return rows.join(keep, rows[uid] == keep["kept_uid"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -75,3 +75,27 @@ def test_texts_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert sh.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_near_copies_against_brute_force_at_the_threshold(spark, tmp_path):
+    """Pairs at 0.75 to 0.87 true similarity: those at 0.8 go, those below stay."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for n in (12, 60, 300, 1500):
+        for share in np.linspace(0.76, 0.86, 16):
+            a = word(n)
+            cut = round(n * 2 * share / (1 + share))
+            texts += [" ".join(a), " ".join(a[:cut] + word(n - cut))]
+    family = word(400)  # a large group, each copy with an end of its own
+    texts += [" ".join(family + word(int(rng.integers(20, 60)))) for _ in range(100)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    root = list(range(len(texts)))
+    for i, j in sorted(linked):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 20 < len({r for r in root[:128]}) - 64 < 50
+    df = spark.createDataFrame([(i, t, "en", None, 0, "z") for i, t in enumerate(texts)], DOCS).repartition(4)
+    kept = [r["doc_id"] for r in sh.drop_near_duplicates(spark, df, str(tmp_path)).collect()]
+    assert sorted(kept) == sorted(set(root))
