@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, spots: np.ndarray, min_match: int =
         matches, longest = [], 0
         for h, i in zip(hash_doc.at(here, search).tolist(), here.tolist(), strict=True):
             for j in found.get(h, ()):
+                if i and j and not in_doc[i - 1] and not in_item[j - 1] and doc[i - 1] == item[j - 1]:
+                    continue  # part of the run that begins a word before
                 n = 0
                 while not in_doc[i + n] and not in_item[j + n] and doc[i + n] == item[j + n]:
                     n += 1
@@ -84,10 +87,19 @@ def tiles(doc: np.ndarray, item: np.ndarray, spots: np.ndarray, min_match: int =
         if longest > 2 * search:
             search = longest
             continue
-        for n, j, i in sorted(matches):
-            if not in_doc[i : i - n].any() and not in_item[j : j - n].any():
+        heapify(matches)
+        while matches:
+            n, j, i = heappop(matches)
+            taken = in_doc[i : i - n] | in_item[j : j - n]
+            if not taken.any():
                 in_doc[i : i - n] = in_item[j : j - n] = True
                 out.append((i, j, -n))
+                continue
+            # what is free of a run that others have cut into is a run again
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8))).tolist()
+            for a, b in zip(edge[::2], edge[1::2], strict=True):
+                if b - a >= search:
+                    heappush(matches, (a - b, j + a, i + a))
         if search == min_match:
             return out
         search = max(min_match, search // 2) if search > 2 * min_match else min_match

@@ -163,3 +163,37 @@ def test_pipeline(spark, tmp_path):
     assert mixed.columns == columns
     out = pipeline.run(spark, str(tmp_path))
     assert out.count() == mixed.count() and out.agg(F.max(F.col("start") + F.col("n_tokens")) == F.sum("n_tokens")).first()[0]
+
+
+def longest_first(doc, item, m=4):
+    """Words covered when the longest common run of free words is marked, again and again."""
+    free_doc, free_item, covered = [True] * len(doc), [True] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and free_doc[i + n] and free_item[j + n] and doc[i + n] == item[j + n]:
+                    n += 1
+                best = min(best, (-n, j, i))
+        n, j, i = best
+        if -n < m:
+            return covered
+        covered -= n
+        free_doc[i : i - n] = free_item[j : j - n] = [False] * -n
+
+
+def test_passages_that_share_a_boundary_word():
+    item = [f"w{i}" for i in range(16)]
+    bench = dc.Benchmark([(1, " ".join(item))])
+    assert bench.match(" ".join([*item[:6], "x", *item[5:12]])) == [(1, 12 / 16)]
+    assert bench.match(" ".join([*item[9:], "x", *item[:10]])) == [(1, 1.0)]
+    rng = random.Random(5)
+    for _ in range(150):
+        item = rng.choices("abcdefgh", k=rng.randrange(4, 30)) if rng.random() < 0.5 else [f"w{i}" for i in range(rng.randrange(8, 40))]
+        doc = []
+        for _ in range(4):
+            at = rng.randrange(len(item))
+            doc += item[at : at + rng.randrange(3, 12)] + ["x"] * rng.randrange(2)
+        got = dict(dc.Benchmark([(1, " ".join(item))]).match(" ".join(doc)))
+        assert got.get(1, 0) == longest_first(doc, item) / len(item)
