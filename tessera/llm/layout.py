@@ -5,7 +5,7 @@ tags that HTML implies: a block ends an open paragraph, an item ends the item
 before it, a row ends cells and rows, and void elements have no content. A
 visibility pass leaves out what a browser doesn't show: scripts, styles, heads,
 templates, elements hidden by attribute, by their style or by a simple rule of a
-style sheet, closed details and dialogs. The rest is laid out in lines: blocks
+style sheet (the cascade decides), closed details and dialogs. The rest is laid out in lines: blocks
 apart, lists with marks and indents, preformatted text as it is, and tables with
 cells aligned in columns, spans included.
 
@@ -28,10 +28,13 @@ from .shared import table, with_columns_from
 # The elements of HTML by how they are parsed and shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template noscript title meta link base object iframe audio video canvas svg math datalist noembed noframes area param source track".split())
+UNSEEN = set("head script style template noscript title meta link base object iframe audio video canvas desc defs metadata symbol clippath mask pattern marker annotation annotation-xml datalist noembed noframes area param source track".split())
 APART = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure form fieldset hr details menu dir".split())
 BLOCK = APART | set("html body div section article aside header footer nav main address li dt dd tr td th thead tbody tfoot caption figcaption summary legend option optgroup center dialog search hgroup".split())
 ENDS_P = (BLOCK - set("html body tr td th thead tbody tfoot caption option optgroup legend".split())) | {"xmp"}
+BLOCK.add("text")  # of a drawing: each stands at its own place
+#: Inputs that show no value, or dots instead.
+WORDLESS = set("hidden password checkbox radio file image color range".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -50,16 +53,18 @@ SCOPES = {"table", "td", "th", "caption", "html", "body", "template", "button",
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-z][\w-]*)?(?:([.#])([\w-]+))?\Z")
+_PARTS = re.compile(r"([.#]?)((?:[\w-]|[^\x00-\x7f])+|\*)")
+_PSEUDO = re.compile(r"::?[\w-]+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?|\[[^\]]*\]")
+#: A page at rest is in none of these states, and what they make is no element.
+_MOMENTARY = re.compile(r"::|:(?:hover|focus|active|target|checked|visited|before|after|first-l|popover-open|fullscreen|-)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
     def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], False
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
@@ -103,13 +108,16 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if tag in CLOSES:
             close(*CLOSES[tag])
         node = Node(tag, attrs)
+        node.foreign = tag in ("svg", "math") or stack[-1].foreign and tag != "foreignobject"
         stack[-1].children.append(node)
+        if node.foreign and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             content = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
             if tag == "style":
-                sheets.append(content)
+                sheets.append(f"@media {attrs['media']}{{{content}}}" if attrs.get("media") else content)
             elif tag in ("textarea", "xmp"):
                 node.children.append(html.unescape(content) if tag == "textarea" else content)
         elif tag not in VOID:
@@ -117,38 +125,112 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
-def hiding_rules(sheets: list[str]) -> list[tuple[str, str, str, str]]:
-    """(tag, '.' or '#', name, 'none' or 'hidden') of the simple selectors that hide."""
-    out = []
-    for sheet in sheets:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            how = _hides(body)
-            for selector in selectors.split(",") if how else ():
-                if (m := _SIMPLE.match(selector.strip().lower())) and selector.strip():
-                    out.append((m[1] or "", m[2] or "", m[3] or "", how))
+def _blocks(sheet: str):
+    """(what stands before it, body) of each block of a sheet; statements that end with ';' are left out."""
+    before, at, depth = 0, 0, 0
+    for m in re.finditer(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", sheet):
+        if m[0] == ";" and not depth:
+            before = m.end()
+        elif m[0] == "{":
+            depth += 1
+            if depth == 1:
+                at = m.end()
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if not depth:
+                yield sheet[before : at - 1].strip(), sheet[at : m.start()]
+                before = m.end()
+        elif m[0] == "}":
+            before = m.end()
+    if depth:
+        yield sheet[before : at - 1].strip(), sheet[at:]
+
+
+def _own(body: str) -> str:
+    """The declarations of a rule, without rules nested in it."""
+    while "{" in body:
+        short = re.sub(r"[^{};]*\{[^{}]*\}", "", body)
+        if short == body:
+            return body[: body.index("{")]
+        body = short
+    return body
+
+
+def hiding_rules(sheets: list[str]) -> list[tuple]:
+    """(weight, tag, classes, ids, property, value) of the selectors that hide or show, by falling weight.
+
+    Where it isn't sure that a rule holds (under a condition, or with a selector
+    that looks at more than the element), it may show an element but not hide it.
+    """
+    out: list[tuple] = []
+    todo = [(_blocks(re.sub(r"/\*.*?\*/|<!--|-->", "", sheet, flags=re.S).lower()), True) for sheet in reversed(sheets)]
+    while todo:
+        blocks, sure = todo[-1]
+        head, body = next(blocks, (None, ""))
+        if head is None:
+            todo.pop()
+        elif head.startswith("@"):
+            kind, rest = re.match(r"(@[\w-]*)(.*)", head, re.S).groups()
+            media = [x.strip() for x in rest.split(",")]
+            if kind == "@media" and all(re.match(r"(only\s+)?(print|speech)\b|not\s+(all|screen)\s*$", x) for x in media):
+                continue
+            if kind in ("@media", "@supports", "@container", "@scope", "@layer", "@document", "@starting-style"):
+                holds = kind == "@layer" or kind == "@media" and any(re.fullmatch(r"(only\s+)?(all|screen)|not\s+print", x) for x in media)
+                todo.append((_blocks(body), sure and holds))
+        else:
+            found = _declared(_own(body))
+            for selector in re.split(r",(?![^(\[]*[)\]])", head) if found else ():
+                selector = selector.strip()
+                if not selector or _MOMENTARY.search(selector):
+                    continue
+                plain = _PSEUDO.sub("", selector)
+                last = re.split(r"[\s>+~]+", plain)[-1]
+                simple = selector == last
+                parts = _PARTS.findall(last)
+                if "".join(a + b for a, b in parts) != last or not simple and not parts:
+                    continue
+                every = _PARTS.findall(plain)
+                weight = (sum(a == "#" for a, _ in every), sum(a == "." for a, _ in every) + len(_PSEUDO.findall(selector)), sum(not a and b != "*" for a, b in every))
+                tag = next((b for a, b in parts if not a and b != "*"), "")
+                classes, ids = [b for a, b in parts if a == "."], [b for a, b in parts if a == "#"]
+                for name, (value, important) in found.items():
+                    if value in ("shown", "visible") or sure and simple:
+                        out.append(((important, *weight, len(out)), tag, classes, ids, name, value))
+    return sorted(out, key=lambda r: r[0], reverse=True)
+
+
+def _declared(style: str) -> dict[str, tuple[str, bool]]:
+    """What declarations say of 'display' ('none' or 'shown') and 'visibility' ('hidden' or 'visible'), and whether it is important."""
+    out: dict[str, tuple[str, bool]] = {}
+    for part in style.lower().split(";"):
+        name, _, value = part.partition(":")
+        name, (value, _, mark) = name.strip(), value.strip().partition("!")
+        value = value.strip()
+        if name not in ("display", "visibility") or not value or value in ("inherit", "unset", "revert", "revert-layer") or out.get(name, ("", False))[1] and not mark:
+            continue
+        how = ("none" if value == "none" else "shown") if name == "display" else "hidden" if value in ("hidden", "collapse") else "visible"
+        out[name] = how, bool(mark)
     return out
 
 
-def _hides(style: str) -> str:
-    style = style.lower().replace(" ", "")
-    if "display:none" in style:
-        return "none"
-    return "hidden" if "visibility:hidden" in style or "visibility:collapse" in style else "visible" if "visibility:visible" in style else ""
-
-
 def state(node: Node, rules: list) -> str:
     """'none' (not shown at all), 'hidden' (own text not shown), 'visible' or '' (as its parent)."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return "none"
-    how = _hides(a.get("style", "")) if "style" in a else ""
-    if not how and rules:
-        classes = a.get("class", "").lower().split()
-        for tag, kind, name, rule in rules:
-            if tag and tag != node.tag or kind == "." and name not in classes or kind == "#" and name != a.get("id", "").lower():
-                continue
-            how = rule
-    return how
+    own = _declared(a["style"]) if "style" in a else {}
+    if rules:
+        classes, name = a.get("class", "").lower().split(), a.get("id", "").lower()
+        best: dict[str, tuple[str, bool]] = {}
+        for weight, tag, needs, ids, what, value in rules:
+            if what not in best and (not tag or tag == node.tag) and all(c in classes for c in needs) and all(i == name for i in ids):
+                best[what] = value, weight[0]
+        for what, (value, important) in best.items():
+            if what not in own or important and not own[what][1]:
+                own[what] = value, important
+    if own.get("display", ("none" if "hidden" in a else "", False))[0] == "none":
+        return "none"
+    return own.get("visibility", ("", False))[0]
 
 
 class Lines:
@@ -304,7 +386,7 @@ def render_lines(nodes: list, rules: list, depth: int = 0, shown: bool = True) -
             out.add(grid_of(node, rules, depth, shown), 2)
             continue
         if tag == "input":
-            if shown and node.attrs.get("type", "").lower() in ("submit", "button", "reset", "text", ""):
+            if shown and node.attrs.get("type", "").lower() not in WORDLESS:
                 out.text(node.attrs.get("value", ""), False)
             continue
         if tag == "select":

@@ -48,3 +48,25 @@ def test_rows(spark, tmp_path):
     got = sorted(((r["page_id"], r["n_chars"], r["n_lines"], r["text"]) for r in op7_layout(spark, str(tmp_path)).collect()), key=str)
     assert got == [(1, 4, 3, "a\n\nb"), (1, 4, 3, "a\n\nb"), (2, 0, 0, ""), (None, 0, 0, "")]
     assert rendered(df.limit(0))[0].collect() == []
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    {
+        "<style>.x{display:none}</style><p class=x style='display:block'>yes</p>": "yes",
+        "<style>.tab{display:none} .tab.active{display:block}</style><p class='tab active'>yes<p class=tab>no": "yes",
+        "<style>.tab.active{display:flex} .tab{display:none}</style><p class='tab active'>yes<p class=tab>no": "yes",
+        "<style>.x{display:none} .x{display:grid}</style><p class=x>yes": "yes",
+        "<style>.x{display:none!important}</style><p class=x style='display:block'>no": "",
+        "<style>@media print{.nav{display:none}} .y{display:none}</style><p class=nav>yes<p class=y>no": "yes",
+        "<style>@media (max-width:600px){.nav{display:none} a{color:red}}</style><p class=nav>yes": "yes",
+        "<style media=print>.nav{display:none}</style><p class=nav>yes": "yes",
+        "<style>@charset 'a'; @media screen{.nav{display:none}}</style><p class=nav>no": "",
+        "<style>.m{display:none} .m:hover{display:block} .open .m{display:block}</style><p class=m>may be": "may be",
+        "<style>.m{display:none} li:hover .m{display:block}</style><p class=m>no": "",
+        "<svg><defs><text>no</text></defs><path d='M0'/><title>no</title><text>Sales</text><text>2019</text></svg>a<math><mi>x</mi><mo>+</mo><mn>1</mn></math>": "Sales\n2019\nax+1",
+        "<input type=email value=a@b><input type=tel value=' 12'><input type=password value=no><input type=checkbox value=no>": "a@b 12",
+    }.items(),
+)
+def test_shown_unless_surely_hidden(page, text):
+    assert visible_text(page) == text
