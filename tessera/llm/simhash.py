@@ -123,11 +123,17 @@ def fingerprint_links(distinct: DataFrame, tau: int = TAU, chunk: int = CHUNK) -
     if tau > 3:
         raise ValueError("the keys hold for 3 differing bits at most")
     key = F.expr(f"(v << 32) | ((shiftrightunsigned(fp, cast({SEGMENT_BITS} * (v div 16) as int)) & 65535) << 16) | (shiftrightunsigned(fp, cast({SEGMENT_BITS} * ((v div 16 + 1) % {SEGMENTS}) as int)) & 65535 & ~(1L << cast(v % 16 as int)))")
-    keyed = distinct.select("fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(16 * SEGMENTS - 1).cast("long"))).alias("v")).select("fp", key.alias("key"))
-    own = Window.partitionBy("key")
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(own)).where("n > 1").withColumn("nr", F.row_number().over(own.orderBy("fp")) - 1)
-    chunks, mine = F.ceil(F.col("n") / chunk).cast("long"), F.floor(F.col("nr") / chunk).cast("long")
-    shared = shared.select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
+    keyed = distinct.select("fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(16 * SEGMENTS - 1).cast("long"))).alias("v")).select("fp", "v", key.alias("key"))
+    # tables of keys are written first: a join of two plain tables can split a hot key, one with an aggregate below it can't
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    keyed = keyed.join(shared, "key")
+    # what is left of a hot key are two segments with 3 differences at most: one of their four quarters is equal
+    quarter = F.expr(f"shiftrightunsigned(fp, cast({SEGMENT_BITS} * ((v div 16 + 2 + q div 2) % {SEGMENTS}) + 8 * (q % 2) as int)) & 255")
+    hot = keyed.where(F.col("n") > chunk).select("fp", "v", "key", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"))
+    hot = written(hot.select("fp", F.xxhash64("key", "q", quarter).alias("key")), "hot-keys")
+    cut = written(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks")), "hot-chunks")
+    keyed = keyed.where(F.col("n") <= chunk).select("key", "fp", F.lit(1).cast("long").alias("chunks")).unionByName(hot.join(cut, "key").select("key", "fp", "chunks"))
+    shared = keyed.select("key", "fp", F.pmod(F.xxhash64("fp"), F.col("chunks")).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     shared = shared.select("key", "fp", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"))
 
     def run(batches):
@@ -191,8 +197,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = TAU) -> DataFr
     return own.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-WIDE_WORDS, WIDE_SHINGLE, SIMILARITY = 8, 5, 0.8
+WIDE_WORDS, WIDE_SHINGLE, SIMILARITY = 4, 5, 0.8
+#: Keys of a text: each joins so many minima of its shingles' hash values. Two texts at ``SIMILARITY`` share a key with probability 0.995.
+KEYS, MINIMA = 18, 6
 _ROUNDS = np.array([(0x9E3779B97F4A7C15 * (i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(WIDE_WORDS)], np.uint64)
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 32, (KEYS * MINIMA, 1), dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -209,13 +218,8 @@ def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64))
 
 
-def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
-    """512 bits over the set of a text's word shingles; each shingle's XXH64 is mixed anew for each 64 of them."""
-    return wide_bits(shingle_set(text, shingle))
-
-
 def wide_bits(h: np.ndarray) -> bytes:
-    """512 bits over a set of shingles."""
+    """256 bits over a set of shingles; each shingle's value is mixed anew for each 64 of them."""
     count = np.zeros(64 * WIDE_WORDS, np.int64)
     with np.errstate(over="ignore"):
         for at in range(0, len(h), 1 << 14):
@@ -227,12 +231,28 @@ def wide_bits(h: np.ndarray) -> bytes:
     return np.packbits(2 * count > len(h)).tobytes()
 
 
-def wide_tau(similarity: float) -> int:
-    """Differing bits expected of two sets of shingles with this Jaccard similarity and like sizes."""
-    return int(64 * WIDE_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """``KEYS`` keys of a set of shingles: hash values of ``MINIMA`` minima each, a function of its own for every minimum."""
+    import xxhash
+
+    if not len(h):
+        return np.zeros(0, np.int64)
+    folded = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    least = np.full(len(_ODD), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 4096):
+        x = folded[None, at : at + 4096] * _ODD
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        least = np.minimum(least, x.min(1))
+    return np.array([xxhash.xxh64_intdigest(least[i * MINIMA : (i + 1) * MINIMA].tobytes(), i) for i in range(KEYS)], np.uint64).view(np.int64)
+
+
+def loose_tau(n: np.ndarray) -> np.ndarray:
+    """Bits of 256 far above those of any pair at ``SIMILARITY``: 39 are expected, 5.7 is the deviation; small sets spread wider."""
+    return np.where(n < 256, 64 * WIDE_WORDS, 64)
 
 
-def wide_within(a: np.ndarray, b: np.ndarray, tau: int, chain: int = 8) -> np.ndarray:
+def wide_within(a: np.ndarray, b: np.ndarray, tau: np.ndarray, chain: int = 8) -> np.ndarray:
     """Which rows of ``a`` and ``b`` (16-bit segments) are within ``tau`` bits.
 
     First some ``chain`` consecutive segments around the ring must have all
@@ -246,70 +266,18 @@ def wide_within(a: np.ndarray, b: np.ndarray, tau: int, chain: int = 8) -> np.nd
     viable = np.ones(diff.shape, bool)
     for length in range(1, chain + 1):
         total += ring[:, length - 1 : length - 1 + m]
-        viable &= total * m <= length * tau
+        viable &= total * m <= length * tau[:, None]
     near = viable.any(1)
-    near[near] = diff[near].sum(1) <= tau
+    near[near] = diff[near].sum(1) <= tau[near]
     return near
 
 
-def wide_links(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """Links between the ids of distinct 512-bit fingerprints (id, fp) that share a 16-bit segment and are within the bits of ``similarity``."""
-    tau, segments = wide_tau(similarity), 4 * WIDE_WORDS
-    part = F.substring("fp", F.col("v") * 2 + 1, F.lit(2))
-    keyed = distinct.select("id", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("v"))
-    keyed = keyed.select("id", "fp", (F.col("v").cast("long") * 65536 + F.conv(F.hex(part), 16, 10).cast("long")).alias("key"))
-    # there are 32 x 65536 keys at most; those with more fingerprints than a task compares at once are cut into chunks
-    hot = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select(F.col("key").alias("hot"), F.ceil(F.col("n") / chunk).cast("long").alias("chunks")), "hot-segments")
-    dealt = keyed.join(hot, F.col("key") == F.col("hot"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    dealt = dealt.select("id", "fp", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "id", "fp")
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            rows = np.stack([np.asarray(batch.column(i)) for i in range(4)])
-            fps = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, segments)
-            if held is not None:
-                rows, fps = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], fps])
-            new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
-            at = new[-1] if len(new) else 0
-            held = rows[:, at:], fps[at:]
-            if at:
-                yield from emit(rows[:, :at], fps[:at])
-        if held is not None and held[0].shape[1]:
-            yield from emit(*held)
-
-    def emit(rows, fps):
-        ids, left, right = rows[3], [], []
-        cut = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(0)))
-        size = np.diff(np.append(cut, len(ids)))
-        group = np.repeat(np.arange(len(cut)), size)
-        small = np.repeat(size, size) <= 64
-        for step in range(1, int(size[size <= 64].max(initial=1))):
-            a = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
-            for at in range(0, len(a), 1 << 16):
-                b = a[at : at + (1 << 16)]
-                b = b[wide_within(fps[b], fps[b + step], tau)]
-                left.append(ids[b])
-                right.append(ids[b + step])
-        for at, n in zip(cut[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-            rest, front = np.arange(at, at + n), []
-            while len(rest) or front:
-                if not front:
-                    front, rest = [rest[0]], rest[1:]
-                v = front.pop()
-                near = wide_within(fps[rest], fps[v][None], tau) if len(rest) else np.zeros(0, bool)
-                if near.any():
-                    left.append(np.full(int(near.sum()), ids[v]))
-                    right.append(ids[rest[near]])
-                    front.extend(rest[near].tolist())
-                    rest = rest[~near]
-        if left and sum(map(len, left)):
-            pairs = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)]), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def may_be_alike(na: np.ndarray, nb: np.ndarray, fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+    """Which pairs of sets, by their sizes and fingerprints, may be at ``SIMILARITY``."""
+    least, most = np.minimum(na, nb), np.maximum(na, nb)
+    ok = 100 * least >= round(100 * SIMILARITY) * most
+    ok[ok] = wide_within(fa[ok], fb[ok], loose_tau(least[ok]))
+    return ok
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -318,29 +286,36 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * 100 >= round(100 * SIMILARITY) * (len(a) + len(b) - both)
 
 
-def prefix_of(h: np.ndarray) -> np.ndarray:
-    """The smallest values of a set, so many that two sets at ``SIMILARITY`` have one of them in common.
+def _segments(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, 4 * WIDE_WORDS)
 
-    Such sets share at least that part of either; a set without its prefix has
-    one value less than that.
-    """
-    return h[: len(h) + 1 + (-round(100 * SIMILARITY) * len(h)) // 100] if len(h) else h
 
+def star_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs of each id (id, fp, n, keys) with the first and the last id that share one of its keys: few pairs, which join most of a large group."""
+    keyed = distinct.select("id", "n", "fp", F.explode("keys").alias("key"))
+    one = F.struct("id", "n", "fp")
+    ends = keyed.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first.id <> last.id")
+    ends = written(ends.select("key", F.explode(F.array("first", "last")).alias("end")), "dedup-ends")
+    pairs = keyed.join(ends, "key").where("id <> end.id")
 
-def loose_tau(n: np.ndarray) -> np.ndarray:
-    """Bits far above those of any pair at ``SIMILARITY``: six deviations and more; sets of few shingles spread wider."""
-    return np.where(n < 256, 170, 128)
+    def run(batches):
+        for batch in batches:
+            a, n, b, m = (np.asarray(batch.column(i)) for i in (0, 1, 3, 4))
+            ok = may_be_alike(n, m, _segments(batch.column(2)), _segments(batch.column(5))) if len(a) else np.zeros(0, bool)
+            found = np.unique(np.sort(np.stack([a[ok], b[ok]]), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    return pairs.select("id", "n", "fp", F.col("end.id").alias("b"), F.col("end.n").alias("m"), F.col("end.fp").alias("g")).mapInArrow(run, "a long, b long").distinct()
 
 
-def prefix_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Pairs of ids (id, fp, n, keys, root) that share a key of their prefixes, are not of one root yet and may be at ``SIMILARITY``."""
+def other_pairs(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """All pairs of ids (id, fp, n, keys, root) that share a key, are not of one root yet and may be at ``SIMILARITY``."""
     keyed = distinct.select("id", "root", F.explode("keys").alias("key"))
-    own = Window.partitionBy("key")
-    keyed = keyed.select("id", "key", F.count(F.lit(1)).over(own).alias("m"), F.min("root").over(own).alias("r0"), F.max("root").over(own).alias("r1"))
-    # a key with one text, or with texts that are joined already, has nothing to add
-    keyed = keyed.where("m > 1 and r0 <> r1").select("id", "key", F.ceil(F.col("m") / chunk).cast("long").alias("chunks"))
+    # keys with one text, or with texts that are joined already, have nothing to add
+    open_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    open_keys = written(open_keys.select("key", F.ceil(F.col("m") / chunk).cast("long").alias("chunks")), "dedup-keys")
     mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    dealt = keyed.select("id", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    dealt = keyed.join(open_keys, "key").select("id", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select("id", "key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "mine")
     dealt = dealt.join(distinct.select("id", "fp", "n", "root"), "id").select("key", "c1", "c2", "id", "root", "n", "mine", "fp")
 
@@ -348,7 +323,7 @@ def prefix_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
         held = None
         for batch in batches:
             rows = np.stack([np.asarray(batch.column(i)) for i in range(7)])
-            fps = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+            fps = _segments(batch.column(7))
             if held is not None:
                 rows, fps = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], fps])
             new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
@@ -370,9 +345,8 @@ def prefix_links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
             a, b = first, first + step
             # pairs of one chunk are compared where that chunk stands alone
             ok = (root[a] != root[b]) & ((c1[a] == c2[a]) | (mine[a] != mine[b]))
-            ok &= 100 * np.minimum(n[a], n[b]) >= round(100 * SIMILARITY) * np.maximum(n[a], n[b])
             a, b = a[ok], b[ok]
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= loose_tau(np.minimum(n[a], n[b]))
+            near = may_be_alike(n[a], n[b], fps[a], fps[b])
             found.append(np.stack([np.minimum(ids[a[near]], ids[b[near]]), np.maximum(ids[a[near]], ids[b[near]])]))
         if found and (pairs := np.unique(np.concatenate(found, axis=1), axis=1)).shape[1]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -405,22 +379,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join all distinct texts (id, fp, n, keys) at ``SIMILARITY``; some links inside a joined group may be left out.
+    """Links that join the distinct texts (id, fp, n, keys) at ``SIMILARITY`` that share a key; links inside a joined group may be left out.
 
-    Fingerprints that share a segment come first, so that large groups are joined
-    by few links; prefixes of the sets then find each pair that is left between
-    two groups. Every link is verified.
+    Each text first meets two others of each key, so that large groups are joined
+    by few links; then come all pairs of a key that are not joined yet. Every
+    link is verified.
     """
-    first = verified(wide_links(distinct.select("id", "fp")), texts)
+    first = verified(star_pairs(distinct), texts)
     roots = written(components(first), "dedup-roots")
     rooted = distinct.join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "n", "keys", F.coalesce("root", "id").alias("root"))
-    return first.unionByName(verified(prefix_links(written(rooted, "dedup-rooted")), texts))
+    return first.unionByName(verified(other_pairs(written(rooted, "dedup-rooted")), texts))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of near copies, that with the smallest doc_id.
 
-    Near copies have a similarity of 0.8 or more over sets of five-word shingles.
+    Near copies have a similarity of 0.8 or more over sets of five-word shingles;
+    texts without words are copies of each other.
     """
 
     def make():
@@ -433,7 +408,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
             begin, at[0] = at[0], at[0] + len(texts)
             sets = [shingle_set(t.encode()) for t in texts]
-            keys = pa.array([prefix_of(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            keys = pa.array([keys_of(h) for h in sets], pa.list_(pa.int64()))
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
             return [pa.array(np.arange(begin, at[0])), pa.array([wide_bits(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), same, keys]
 
