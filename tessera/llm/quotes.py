@@ -35,21 +35,24 @@ OUTSIDE = r"[^\p{L}\p{N}]+"
 EDGES = r"^[ \t\n]+|[ \t\n]+$"
 
 
-def segments(text: Column) -> Column:
-    """Runs of lines of one quote level: array of (level, text without the marks), in order."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n", -1)
+def with_passages(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``parts`` instead of ``text``: neighbouring lines of one quote level (level, text without the marks), in order.
+
+    Each step's array is a column of its own before the next step looks into it
+    by position, so that the time is linear in the number of lines.
+    """
+    others = [c for c in rows.columns if c != "text"]
     marks = lambda x: F.regexp_extract(x, PREFIX, 0)
-    parsed = F.transform(lines, lambda x: F.struct(F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"), F.regexp_replace(x, PREFIX, "").alias("text")))
+    line = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n", -1)
+    lines = rows.select(*others, F.transform(line, lambda x: F.struct(F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"), F.regexp_replace(x, PREFIX, "").alias("text"))).alias("every"))
     # an attribution line announces the deeper lines after it
-    return F.filter(parsed, lambda x, i: ~(F.coalesce(F.get(parsed, i + 1)["level"] > x["level"], F.lit(False)) & x["text"].rlike(ATTRIBUTION)))
-
-
-def passages(lines: str) -> Column:
-    """Neighbouring ``lines`` (a column of parsed lines) of one level joined."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(F.col(lines), i)["level"] != F.get(F.col(lines), i - 1)["level"]))
-    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(lines))
-    run = lambda s, k: F.struct(F.get(F.col(lines), s)["level"].alias("level"), F.array_join(F.transform(F.slice(F.col(lines), s + 1, end(k) - s), lambda x: x["text"]), "\n").alias("text"))
-    return F.when(F.size(lines) > 0, F.transform(starts, run)).otherwise(F.array())
+    ahead = lambda x, i: F.coalesce(F.get("every", i + 1)["level"] > x["level"], F.lit(False))
+    lines = lines.select(*others, F.filter("every", lambda x, i: ~(ahead(x, i) & x["text"].rlike(ATTRIBUTION))).alias("line"))
+    begins = lambda i: (i == 0) | (F.get("line", i)["level"] != F.get("line", i - 1)["level"])
+    lines = lines.select(*others, "line", F.when(F.size("line") > 0, F.filter(F.sequence(F.lit(0), F.size("line") - 1), begins)).otherwise(F.array().cast("array<int>")).alias("begin"))
+    end = lambda k: F.coalesce(F.get("begin", k + 1), F.size("line"))
+    part = lambda s, k: F.struct(F.get("line", s)["level"].alias("level"), F.array_join(F.transform(F.slice("line", s + 1, end(k) - s), lambda x: x["text"]), "\n").alias("text"))
+    return lines.select(*others, F.transform("begin", part).alias("parts"))
 
 
 def normal(text: Column) -> Column:
@@ -65,8 +68,7 @@ def units(text: Column) -> Column:
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own (text without quotes) and quotes (array of level and text) of each row."""
-    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", segments(F.col("text")).alias("lines"))
-    rows = rows.select("conv_id", "turn", "role", passages("lines").alias("parts"))
+    rows = with_passages(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"))
     own = F.array_join(F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
     own = F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), EDGES, "")
     return rows.select("conv_id", "turn", "role", own.alias("own"), F.filter("parts", lambda p: (p["level"] > 0) & (normal(p["text"]) != "")).alias("quotes"))

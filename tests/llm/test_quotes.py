@@ -1,6 +1,7 @@
 """Quotation linking: known cases, and DuckDB on the same rows."""
 
 import random
+import time
 
 import duckdb
 
@@ -39,6 +40,15 @@ def test_odd_rows(spark):
     assert reply_ordered(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_many_lines_of_alternating_levels(spark):
+    """Time is linear in the lines: a message of 20,000 lines takes seconds."""
+    lines = [("> " if i % 2 else "") + f"line {i}" for i in range(20_000)]
+    began = time.time()
+    got = rows_of(spark, [(1, 0, "a", "line 7"), (1, 1, "b", "\n".join(lines))])
+    assert time.time() - began < 30
+    assert got[(1, 1)]["n_quotes"] == 10_000 and got[(1, 1)]["n_linked"] == 1 and got[(1, 1)]["text"] == "\n".join(lines[::2])
+
+
 def test_long_chain_of_replies(spark):
     rows = [(7, i, "a", f"> message number {i - 1}\nmessage number {i}" if i else "message number 0") for i in range(70)]
     got = rows_of(spark, rows)
