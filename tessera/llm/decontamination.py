@@ -3,7 +3,7 @@
 Seeds: runs of ``MIN_MATCH`` words that a document shares with a benchmark item.
 For each document and item with a shared seed, greedy tiling marks the longest
 common run of unmarked words, again and again; runs are found by Karp-Rabin
-hashes at a search length that falls from long to ``MIN_MATCH``. A document is
+hashes at search lengths that fall from long to ``MIN_MATCH``. A document is
 contaminated if the tiles cover ``THRESHOLD`` of an item's words or more: the
 passages may stand in any order.
 
@@ -21,14 +21,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, with_columns_from, written
+from .shared import fresh, table, with_columns_from, written
 
 MIN_MATCH, THRESHOLD, BLOCK_BYTES = 4, 0.5, 32 << 20
 _WORD = re.compile(r"\w+")
@@ -52,57 +52,61 @@ class Hashes:
             return (self.sums[where + length] - self.sums[where]) * self.inverse[where]
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, spots: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+def tiles(doc: np.ndarray, item: np.ndarray, spots: np.ndarray, min_match: int = MIN_MATCH, hashes: Hashes | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiling of ``item`` by runs of ``doc``: (start in doc, start in item, length).
 
-    ``spots`` are the positions in ``doc`` where a run of ``min_match`` words may begin.
+    ``spots`` are the positions in ``doc``, in order, where a run of ``min_match``
+    words may begin. Of runs of equal length the first in the item goes first,
+    and of its places in the document the first. The longest length that is left
+    is found by bisection over Karp-Rabin hashes; all tiles of that length are
+    placed before the search goes on below it, so that the cost doesn't grow with
+    the number of pairs of places.
     """
-    in_doc, in_item = np.zeros(len(doc) + 1, bool), np.zeros(len(item) + 1, bool)
-    in_doc[-1] = in_item[-1] = True  # the ends stop a run
-    hash_doc, hash_item = Hashes(doc), Hashes(item)
+    if not len(spots) or len(item) < min_match:
+        return []
+    in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    hash_doc, hash_item = hashes or Hashes(doc), Hashes(item)
+
+    def common(length: int):
+        """Free places of equal hashes: in the document and in the item, with hashes of either."""
+        # tiles are longer than what is searched for: a run that meets one has an end in it
+        i, j = spots[spots + length <= len(doc)], np.arange(len(item) - length + 1)
+        i, j = i[~(in_doc[i] | in_doc[i + length - 1])], j[~(in_item[j] | in_item[j + length - 1])]
+        hi, hj = hash_doc.at(i, length), hash_item.at(j, length)
+        known = np.unique(hj)
+        if not len(known):
+            return i[:0], j[:0], hi[:0], hj[:0]
+        hit = known[np.minimum(np.searchsorted(known, hi), len(known) - 1)] == hi
+        return i[hit], j, hi[hit], hj
+
+    jumps = np.flatnonzero(np.append(True, spots[1:] != spots[:-1] + 1))
+    most = min(len(item), int(np.diff(np.append(jumps, len(spots))).max()) + min_match - 1)
     out: list[tuple[int, int, int]] = []
-    search = max(min_match, len(item) // 2)
-    while True:
-        # runs of at least the search length, each as long as it gets
-        blocked = np.append(0, np.cumsum(in_item[:-1]))
-        starts = np.arange(len(item) - search + 1)
-        starts = starts[blocked[starts + search] == blocked[starts]]
-        found = defaultdict(list)
-        for h, j in zip(hash_item.at(starts, search).tolist(), starts.tolist(), strict=True):
-            found[h].append(j)
-        here = spots[spots + search <= len(doc)]
-        marked = np.append(0, np.cumsum(in_doc[:-1]))
-        here = here[marked[here + search] == marked[here]]
-        matches, longest = [], 0
-        for h, i in zip(hash_doc.at(here, search).tolist(), here.tolist(), strict=True):
-            for j in found.get(h, ()):
-                if i and j and not in_doc[i - 1] and not in_item[j - 1] and doc[i - 1] == item[j - 1]:
-                    continue  # part of the run that begins a word before
-                n = 0
-                while not in_doc[i + n] and not in_item[j + n] and doc[i + n] == item[j + n]:
-                    n += 1
-                if n >= search:
-                    matches.append((-n, j, i))
-                    longest = max(longest, n)
-        if longest > 2 * search:
-            search = longest
-            continue
-        heapify(matches)
-        while matches:
-            n, j, i = heappop(matches)
-            taken = in_doc[i : i - n] | in_item[j : j - n]
-            if not taken.any():
-                in_doc[i : i - n] = in_item[j : j - n] = True
-                out.append((i, j, -n))
+    while most >= min_match:
+        low, high = min_match - 1, most  # some run has the length low, or low is too short to count
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        if low < min_match:
+            break
+        i, j, hi, hj = common(low)
+        places = defaultdict(list)
+        for h, at in zip(hi.tolist(), i.tolist(), strict=True):
+            places[h].append(at)
+        for rest in places.values():
+            rest.reverse()
+        for h, to in zip(hj.tolist(), j.tolist(), strict=True):
+            if in_item[to] or in_item[to + low - 1]:
                 continue
-            # what is free of a run that others have cut into is a run again
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8))).tolist()
-            for a, b in zip(edge[::2], edge[1::2], strict=True):
-                if b - a >= search:
-                    heappush(matches, (a - b, j + a, i + a))
-        if search == min_match:
-            return out
-        search = max(min_match, search // 2) if search > 2 * min_match else min_match
+            rest = places.get(h, ())
+            while rest and (in_doc[rest[-1]] or in_doc[rest[-1] + low - 1]):
+                rest.pop()
+            if rest and (doc[rest[-1] : rest[-1] + low] == item[to : to + low]).all():
+                at = rest.pop()
+                in_doc[at : at + low] = in_item[to : to + low] = True
+                out.append((at, to, low))
+        most = low - 1
+    return out
 
 
 class Benchmark:
@@ -133,7 +137,8 @@ class Benchmark:
         spots = np.flatnonzero(unknown[m:] == unknown[:-m])
         if not len(spots):
             return []
-        h = Hashes(words).at(spots, m)
+        hashes = Hashes(words)
+        h = hashes.at(spots, m)
         place = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
         hit = self.seeds[place] == h
         spots, h = spots[hit], h[hit]
@@ -144,7 +149,7 @@ class Benchmark:
         out = []
         for k, at in near.items():
             n = len(self.items[k])
-            covered = sum(t[2] for t in tiles(words, self.items[k], np.array(at), m))
+            covered = sum(t[2] for t in tiles(words, self.items[k], np.array(at), m, hashes))
             out.append((self.names[k], covered / n))
         return out
 
@@ -159,34 +164,52 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
 
 
+def _scores(docs: DataFrame, block: list, threshold: float) -> tuple[DataFrame, list[str]]:
+    """``docs`` with best coverage, its item and the number of items at or above ``threshold``, for one block of the benchmark."""
+
+    def make():
+        bench = Benchmark(block)
+
+        def run(texts):
+            best, name, n = np.zeros(len(texts)), [None] * len(texts), np.zeros(len(texts), np.int64)
+            for i, text in enumerate(texts):
+                for item, cover in bench.match(text):
+                    n[i] += cover >= threshold
+                    if cover > best[i] or cover == best[i] > 0 and item < name[i]:
+                        best[i], name[i] = cover, item
+            return [pa.array(best), pa.array(name, pa.int64()), pa.array(n)]
+
+        return run
+
+    return with_columns_from(docs, "text", make, [("coverage", "double"), ("item_id", "long"), ("n_items", "long")])
+
+
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
-    """``docs`` with best coverage, its item and the number of items at or above ``threshold``; and these columns' names."""
-    out, found = docs, []
-    for block in item_blocks(items):
-
-        def make(block=block):
-            bench = Benchmark(block)
-
-            def run(texts):
-                best, name, n = np.zeros(len(texts)), [None] * len(texts), np.zeros(len(texts), np.int64)
-                for i, text in enumerate(texts):
-                    for item, cover in bench.match(text):
-                        n[i] += cover >= threshold
-                        if cover > best[i] or cover == best[i] > 0 and item < name[i]:
-                            best[i], name[i] = cover, item
-                return [pa.array(best), pa.array(name, pa.int64()), pa.array(n)]
-
-            return run
-
-        more, names = with_columns_from(out, "text", make, [("coverage", "double"), ("item_id", "long"), ("n_items", "long")])
-        if found:
-            (c0, i0, n0), (c1, i1, n1) = found, names
-            other = (F.col(c1) > F.col(c0)) | ((F.col(c1) == F.col(c0)) & (F.col(i1) < F.col(i0)))
-            more = more.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(other, F.col(c1)).otherwise(F.col(c0)).alias(c0), F.when(other, F.col(i1)).otherwise(F.col(i0)).alias(i0), (F.col(n0) + F.col(n1)).alias(n0))
-            out = written(more, "decontamination")
-        else:
-            out, found = more, names
-    return out, found
+    """``docs`` with best coverage, its item and the number of items at or above ``threshold``; and these columns' names.
+
+    A benchmark of one block takes one pass. Of a larger one each block reads the
+    texts once and writes scores of rows alone, which are joined to the rows at
+    the end.
+    """
+    blocks = item_blocks(items)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _scores(docs, block, threshold)
+    (uid,) = fresh(docs, "uid")
+    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "decontamination-rows")
+    texts, scores = rows.select(F.col(uid).alias("uid"), "text"), None
+    for part in chain([block, more], blocks):
+        found, (c, i, n) = _scores(texts, part, threshold)
+        found = written(found.where(F.col(c) > 0).select("uid", F.col(c).alias("cover"), F.col(i).alias("item"), F.col(n).alias("n")), "decontamination-scores")
+        scores = found if scores is None else scores.unionByName(found)
+    best = F.max(F.struct("cover", (-F.col("item")).alias("item")))
+    scores = scores.groupBy("uid").agg(best.alias("best"), F.sum("n").alias("n")).select(F.col("uid").alias("scored"), F.col("best.cover").alias("cover"), (-F.col("best.item")).alias("item"), "n")
+    names = fresh(docs, "coverage", "item_id", "n_items")
+    values = (F.coalesce("cover", F.lit(0.0)), F.col("item"), F.coalesce("n", F.lit(0)))
+    # the names of scores may clash with columns of the rows: each side is told by its frame
+    left = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(uid).alias("uid"))
+    out = left.join(scores, left["uid"] == scores["scored"], "left")
+    return out.select("row", *[v.alias(f"value{k}") for k, v in enumerate(values)]).select("row.*", *[F.col(f"value{k}").alias(x) for k, x in enumerate(names)]), names
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
