@@ -11,7 +11,8 @@ size is thus fixed, while counts are kept for every word of the corpus.
 
 Training: Baum-Welch. Each task runs the scaled forward and backward recursions
 over its texts, whole ones, and emits expected counts; Spark adds them up. They
-are added as integers, so that reruns agree. Scoring: the scaled forward
+are added as whole numbers, so that reruns agree. Long texts run as blocks side by
+side that exact operators link (``Blocks``): no text is one long loop. Scoring: the scaled forward
 recursion gives a text's exact likelihood under the model.
 
 Counts of rare words reach the texts by a join on the word: no table that grows
@@ -26,6 +27,7 @@ repeated rows are scored each; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -41,14 +43,21 @@ from .shared import small_batches, table, text_bytes, written
 STATES, ROUNDS, OWN, ENDINGS = 6, 6, 16_384, 16_384
 END = b""
 SCALE = 1 << 20
-_FLUSH, _CELLS = 300_000, 1 << 19
+#: Texts of more tokens than this are cut into blocks that run side by side.
+LONG = 4096
+_FLUSH, _CELLS, _PIECE = 300_000, 1 << 19, 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text with A-Z lowered, and the end token (the empty word)."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+def word_lists(text: bytes):
+    """The words of a text with A-Z lowered, in lists of some MB of text, and the end token (the empty word)."""
+    at = 0
+    while at < len(text):
+        stop = _SPACE.search(text, at + _PIECE)
+        end = stop.start() if stop else len(text)
+        yield text[at:end].lower().split()
+        at = end
+    yield [END]
 
 
 def held_out():
@@ -63,10 +72,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         for batch in small_batches(batches, 0):
             for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > _FLUSH:
-                    yield flush(counts)
-                    counts = Counter()
+                for words in word_lists(text):
+                    counts.update(words)
+                    if len(counts) > _FLUSH:
+                        yield flush(counts)
+                        counts = Counter()
         if counts:
             yield flush(counts)
 
@@ -136,19 +146,22 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             texts = batch.column(2).to_pylist()
             classes, n, logs, rare_words, rare_times, ends = [], [], [], [], [], [0]
             for text in texts:
-                words = tokens(text)
                 rare: Counter = Counter()
-                cls, log = [], 0.0
-                for w in words:
-                    known = own.get(w)
-                    if known is None:
-                        rare[w] += 1
-                        cls.append(ending_class(w))
-                    else:
-                        cls.append(known[0])
-                        log += known[1]
-                classes.append(np.array(cls, "<u2").tobytes())
-                n.append(len(words) - sum(rare.values()))
+                parts, size, log = [], 0, 0.0
+                for words in word_lists(text):
+                    size += len(words)
+                    cls = []
+                    for w in words:
+                        known = own.get(w)
+                        if known is None:
+                            rare[w] += 1
+                            cls.append(ending_class(w))
+                        else:
+                            cls.append(known[0])
+                            log += known[1]
+                    parts.append(np.array(cls, "<u2").tobytes())
+                classes.append(b"".join(parts))
+                n.append(size - sum(rare.values()))
                 logs.append(log)
                 rare_words += rare.keys()
                 rare_times += rare.values()
@@ -170,6 +183,9 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # states x classes
 
+    def __post_init__(self):
+        self.by_class = np.ascontiguousarray(self.emit.T)
+
     @staticmethod
     def initial(class_counts: np.ndarray, states: int = STATES) -> Hmm:
         """Sticky states whose classes differ by fixed random factors."""
@@ -187,9 +203,8 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def _padded(batches):
-    """Groups of texts of like length: classes [time, text], and lengths in falling order."""
-    texts = [np.frombuffer(t, "<u2") for t in batches]
+def _padded(texts: list[np.ndarray]):
+    """Groups of texts of like length: their numbers, lengths in falling order, and classes [time, text]."""
     order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
     at = 0
     while at < len(order):
@@ -203,17 +218,23 @@ def _padded(batches):
         at += len(part)
 
 
-def forward(model: Hmm, grid: np.ndarray, lengths: np.ndarray, keep: bool = False):
-    """Scaled forward recursion: ln likelihood of each text, and if asked the scaled alphas, scales and emissions."""
+def _active(lengths: np.ndarray, steps: int) -> list[int]:
+    return np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right").tolist()
+
+
+def forward(model: Hmm, grid: np.ndarray, lengths: np.ndarray, prior: np.ndarray | None = None, keep: bool = False):
+    """Scaled forward recursion: ln likelihood of each text, and if asked the scaled alphas, scales and emissions.
+
+    ``prior`` are the states' probabilities before each text, if it goes on from an earlier block.
+    """
     steps, width = grid.shape
-    emit = model.emit.T
-    active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
+    emit, active = model.by_class, _active(lengths, steps)
     scales = np.ones((steps, width))
     alphas = np.zeros((steps, width, len(model.start))) if keep else None
-    a = None
+    a = model.start if prior is None else prior
     for t in range(steps):
         m = active[t]
-        a = (model.start if t == 0 else a[:m] @ model.move) * emit[grid[t, :m]]
+        a = (a if t == 0 else a[:m] @ model.move) * emit[grid[t, :m]]
         s = a.sum(1)
         a /= s[:, None]
         scales[t, :m] = s
@@ -222,23 +243,94 @@ def forward(model: Hmm, grid: np.ndarray, lengths: np.ndarray, keep: bool = Fals
     return np.log(scales).sum(0), alphas, scales, active
 
 
-def expected_counts(model: Hmm, grid: np.ndarray, lengths: np.ndarray):
-    """Baum-Welch counts of a group of texts: starts, moves, classes by state, and its ln likelihood."""
-    loglik, alphas, scales, active = forward(model, grid, lengths, keep=True)
+def expected_counts(model: Hmm, grid: np.ndarray, lengths: np.ndarray, prior: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Baum-Welch counts of a group of texts: first states of each, moves, classes by state, its ln likelihood, and what each text's first token weighs.
+
+    ``after`` are scaled betas at the texts' ends, if they go on in later blocks.
+    """
+    loglik, alphas, scales, active = forward(model, grid, lengths, prior, keep=True)
     steps, k = len(grid), len(model.start)
-    emit, back = model.emit.T, model.move.T
+    emit, back = model.by_class, np.ascontiguousarray(model.move.T)
     moves = np.zeros((k, k))
     beta = np.ones((grid.shape[1], k))
+    if after is not None:
+        beta *= after
+        alphas[lengths - 1, np.arange(len(lengths))] *= after
     for t in range(steps - 2, -1, -1):
         m = active[t + 1]
         ahead = emit[grid[t + 1, :m]] * beta[:m] / scales[t + 1, :m, None]
         moves += alphas[t, :m].T @ ahead
         beta[:m] = ahead @ back
         alphas[t, :m] *= beta[:m]
+    first = emit[grid[0]] * beta / scales[0][:, None]
     real = np.arange(steps)[:, None] < lengths
     gamma, cls = alphas[real], grid[real]
     emits = np.stack([np.bincount(cls, gamma[:, i], model.emit.shape[1]) for i in range(k)])
-    return alphas[0].sum(0), moves * model.move, emits, loglik.sum()
+    return alphas[0], moves * model.move, emits, loglik.sum(), first
+
+
+class Blocks:
+    """A long text as blocks that run side by side.
+
+    Each block's operator, the product of its steps, is found first. It carries
+    the states from block to block, forwards and backwards, so that each block
+    can then run by itself from the right start and with the right end: sums are
+    those of the whole text, and no more than a group of blocks is held at once.
+    """
+
+    def __init__(self, model: Hmm, text: np.ndarray, step: int | None = None):
+        self.model, n = model, len(text)
+        self.step = step or max(256, math.isqrt(n))
+        self.count = -(-n // self.step)
+        padded = np.zeros(self.count * self.step, np.uint16)
+        padded[:n] = text
+        self.grid = padded.reshape(self.count, self.step).T
+        self.lengths = np.minimum(self.step, n - self.step * np.arange(self.count))
+        width = max(1, _CELLS // self.step)
+        self.slices = [slice(a, min(a + width, self.count)) for a in range(0, self.count, width)]
+        self.operators = np.concatenate([self._operators(s) for s in self.slices])
+        k = len(model.start)
+        self.prior, self.end = np.empty((self.count, k)), np.empty((self.count, k))
+        p = model.start
+        for b in range(self.count):
+            self.prior[b] = p
+            a = p @ self.operators[b]
+            self.end[b] = a / a.sum()
+            p = self.end[b] @ model.move
+
+    def _operators(self, s: slice) -> np.ndarray:
+        """States at a block's end by states at its start, up to a factor."""
+        model, lengths = self.model, self.lengths[s]
+        k = len(model.start)
+        a = np.broadcast_to(np.eye(k), (len(lengths), k, k)).copy()
+        for t, m in enumerate(_active(lengths, self.step)):
+            part = (a[:m] if t == 0 else (a[:m].reshape(-1, k) @ model.move).reshape(-1, k, k)) * model.by_class[self.grid[t, s][:m]][:, None]
+            a[:m] = part / part.sum((1, 2), keepdims=True)
+        return a
+
+    def loglik(self) -> float:
+        return float(sum(forward(self.model, self.grid[:, s], self.lengths[s], self.prior[s])[0].sum() for s in self.slices))
+
+    def counts(self):
+        """Baum-Welch counts of the text: start, moves, classes by state, and its ln likelihood."""
+        model = self.model
+        after, z = np.empty_like(self.end), np.ones(len(model.start))
+        for b in range(self.count - 1, -1, -1):
+            after[b] = z / (self.end[b] @ z)
+            z = model.move @ (self.operators[b] @ after[b])
+        start, moves, emits, total = None, 0.0, 0.0, 0.0
+        for s in self.slices:
+            first, m, e, loglik, ahead = expected_counts(model, self.grid[:, s], self.lengths[s], self.prior[s], after[s])
+            start = first[0] if start is None else start
+            skip = 1 if s.start == 0 else 0
+            across = self.end[s.start + skip - 1 : s.stop - 1].T @ ahead[skip:]
+            moves, emits, total = moves + m + across * model.move, emits + e, total + loglik
+        return start, moves, emits, total
+
+
+def summed(parts: DataFrame, names: list[str]) -> DataFrame:
+    """Sums by id of the tasks' whole numbers, as decimals: those of a large corpus pass the largest long."""
+    return parts.groupBy("id").agg(*[F.sum(F.col(n).cast("decimal(20,0)")).alias(n) for n in names])
 
 
 def baum_welch_round(texts: DataFrame, model: Hmm, class_counts: np.ndarray) -> tuple[Hmm, float]:
@@ -248,9 +340,14 @@ def baum_welch_round(texts: DataFrame, model: Hmm, class_counts: np.ndarray) ->
     def run(batches):
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
         for batch in small_batches(batches, 0, 32 << 20):
-            for _, lengths, grid in _padded(batch.column(0).to_pylist()):
-                a, b, c, d = expected_counts(model, grid, lengths)
-                start, move, emit, total = start + a, move + b, emit + c, total + d
+            texts = [np.frombuffer(t, "<u2") for t in batch.column(0).to_pylist()]
+            for _, lengths, grid in _padded([t for t in texts if len(t) <= LONG]):
+                a, b, c, d, _ = expected_counts(model, grid, lengths)
+                start, move, emit, total = start + a.sum(0), move + b, emit + c, total + d
+            for text in texts:
+                if len(text) > LONG:
+                    a, b, c, d = Blocks(model, text).counts()
+                    start, move, emit, total = start + a, move + b, emit + c, total + d
         seen = np.flatnonzero(emit.any(0))
         rows = np.concatenate([emit[:, seen].T, start[None], move, np.full((1, k), total)])
         ids = np.concatenate([seen, classes + np.arange(k + 2)])
@@ -258,10 +355,9 @@ def baum_welch_round(texts: DataFrame, model: Hmm, class_counts: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(whole[:, i]) for i in range(k)]], ["id", *[f"s{i}" for i in range(k)]])
 
     names = [f"s{i}" for i in range(k)]
-    sums = texts.mapInArrow(run, ", ".join(["id long", *[f"{n} long" for n in names]])).groupBy("id").agg(*[F.sum(n).alias(n) for n in names])
     got = np.zeros((classes + k + 2, k))
-    for r in sums.collect():  # one row for each class, state and total
-        got[r["id"]] = [r[n] / SCALE for n in names]
+    for r in summed(texts.mapInArrow(run, ", ".join(["id long", *[f"{n} long" for n in names]])), names).collect():  # one row for each class, state and total
+        got[r["id"]] = [float(r[n] / SCALE) for n in names]
     return model.updated(got[classes], got[classes + 1 : classes + 1 + k], got[:classes].T, class_counts), float(got[-1, 0])
 
 
@@ -284,14 +380,16 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
 
     def run(batches):
         for batch in small_batches(batches, 3, 32 << 20):
-            texts = batch.column(3).to_pylist()
+            texts = [np.frombuffer(t, "<u2") for t in batch.column(3).to_pylist()]
             hmm, by_class, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for part, lengths, grid in _padded(texts):
-                hmm[part] = forward(model, grid, lengths)[0] / math.log(10)
-                real = np.arange(len(grid))[:, None] < lengths
-                by_class[part] = (share[grid] * real).sum(0)
-                n[part] = lengths
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), batch.column(5), pa.array(n), pa.array(hmm - by_class)], ["doc_id", "held_out", "uid", "own_n", "own_log", "n_tokens", "model_part"])
+            short = np.array([i for i, t in enumerate(texts) if len(t) <= LONG], np.int64)
+            for part, lengths, grid in _padded([texts[i] for i in short]):
+                hmm[short[part]] = forward(model, grid, lengths)[0]
+            for i, text in enumerate(texts):
+                n[i], by_class[i] = len(text), share[text].sum()
+                if len(text) > LONG:
+                    hmm[i] = Blocks(model, text).loglik()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), batch.column(5), pa.array(n), pa.array(hmm / math.log(10) - by_class)], ["doc_id", "held_out", "uid", "own_n", "own_log", "n_tokens", "model_part"])
 
     scored = rows.select("doc_id", "held_out", "uid", "cls", "own_n", "own_log").mapInArrow(run, "doc_id long, held_out boolean, uid long, own_n long, own_log double, n_tokens long, model_part double")
     rare = rows.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.w").alias("w"), F.col("r.n").alias("n"))

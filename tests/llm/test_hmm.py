@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -44,12 +45,55 @@ def test_forward_and_counts_against_all_paths():
             for a, c in zip(path, s):
                 emit[a, c] += p / z
     got = [np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), 0.0]
-    for part, lengths, grid in hmm._padded([s.tobytes() for s in seqs]):
+    for part, lengths, grid in hmm._padded(seqs):
         for i, x in zip(part, hmm.forward(model, grid, lengths)[0]):
             assert x == pytest.approx(likely[i], rel=1e-12)
-        got = [a + b for a, b in zip(got, hmm.expected_counts(model, grid, lengths))]
+        a, b, c, d, _ = hmm.expected_counts(model, grid, lengths)
+        got = [x + y for x, y in zip(got, (a.sum(0), b, c, d))]
     for a, b in zip(got, (start, move, emit, total)):
         np.testing.assert_allclose(a, b, rtol=1e-9)
+    # the same in blocks, of a token each and more
+    for step in (1, 2, 3):
+        got = [np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), 0.0]
+        for i, s in enumerate(seqs):
+            blocks = hmm.Blocks(model, s, step)
+            assert blocks.loglik() == pytest.approx(likely[i], rel=1e-12)
+            got = [x + y for x, y in zip(got, blocks.counts())]
+        for a, b in zip(got, (start, move, emit, total)):
+            np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_blocks_of_a_long_text_agree_with_one_run(monkeypatch):
+    rng = np.random.default_rng(2)
+    model, text = small_model(rng), rng.integers(0, 5, 5003).astype("<u2")
+    ((_, lengths, grid),) = hmm._padded([text])
+    want = hmm.expected_counts(model, grid, lengths)
+    monkeypatch.setattr(hmm, "_CELLS", 3000)  # several groups of blocks
+    for step in (None, 64):
+        for a, b in zip(hmm.Blocks(model, text, step).counts(), (want[0].sum(0), *want[1:4])):
+            np.testing.assert_allclose(a, b, rtol=1e-8)
+
+
+def test_a_million_words_in_seconds():
+    rng = np.random.default_rng(2)
+    model, text = hmm.Hmm.initial(rng.integers(1, 1000, 32768)), rng.integers(0, 32768, 1_000_000).astype("<u2")
+    began = time.time()
+    start, move, emit, loglik = hmm.Blocks(model, text).counts()
+    assert time.time() - began < 10
+    assert start.sum() == pytest.approx(1) and move.sum() == pytest.approx(len(text) - 1) and emit.sum() == pytest.approx(len(text))
+    assert hmm.Blocks(model, text, 5000).loglik() == pytest.approx(loglik)
+
+
+def test_sums_beyond_a_long(spark):
+    df = spark.createDataFrame([(1, 2**62 + 1, -(2**62)), (1, 2**62, -(2**62)), (1, 2**62, -(2**62)), (2, 5, 6)], "id long, s0 long, s1 long")
+    got = {r["id"]: (int(r["s0"]), int(r["s1"])) for r in hmm.summed(df, ["s0", "s1"]).collect()}
+    assert got == {1: (3 * 2**62 + 1, -3 * 2**62), 2: (5, 6)}
+
+
+def test_words_are_those_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(hmm, "_PIECE", 7)
+    text = "Some wörds\x0bOF\x1c all   kinds\n and averyveryverylongone ".encode()
+    assert [w for part in hmm.word_lists(text) for w in part] == [*text.lower().split(), b""]
 
 
 def texts():
