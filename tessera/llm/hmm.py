@@ -44,7 +44,7 @@ STATES, ROUNDS, OWN, ENDINGS = 6, 6, 16_384, 16_384
 END = b""
 SCALE = 1 << 20
 #: Texts of more tokens than this are cut into blocks that run side by side.
-LONG = 4096
+LONG = 1 << 15
 _FLUSH, _CELLS, _PIECE = 300_000, 1 << 19, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -183,9 +183,6 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # states x classes
 
-    def __post_init__(self):
-        self.by_class = np.ascontiguousarray(self.emit.T)
-
     @staticmethod
     def initial(class_counts: np.ndarray, states: int = STATES) -> Hmm:
         """Sticky states whose classes differ by fixed random factors."""
@@ -223,24 +220,24 @@ def _active(lengths: np.ndarray, steps: int) -> list[int]:
 
 
 def forward(model: Hmm, grid: np.ndarray, lengths: np.ndarray, prior: np.ndarray | None = None, keep: bool = False):
-    """Scaled forward recursion: ln likelihood of each text, and if asked the scaled alphas, scales and emissions.
+    """Scaled forward recursion: ln likelihood of each text, and if asked the scaled alphas, emissions [time, state, text] and scales.
 
     ``prior`` are the states' probabilities before each text, if it goes on from an earlier block.
     """
     steps, width = grid.shape
-    emit, active = model.by_class, _active(lengths, steps)
+    back, k = np.ascontiguousarray(model.move.T), len(model.start)
     scales = np.ones((steps, width))
-    alphas = np.zeros((steps, width, len(model.start))) if keep else None
-    a = model.start if prior is None else prior
-    for t in range(steps):
-        m = active[t]
-        a = (a if t == 0 else a[:m] @ model.move) * emit[grid[t, :m]]
-        s = a.sum(1)
-        a /= s[:, None]
+    alphas, emits = (np.zeros((steps, k, width)) if keep else None for _ in range(2))
+    a = model.start[:, None] if prior is None else prior.T
+    for t, m in enumerate(_active(lengths, steps)):
+        e = model.emit.take(grid[t, :m], axis=1)
+        a = (a if t == 0 else back @ a[:, :m]) * e
+        s = a.sum(0)
+        a /= s
         scales[t, :m] = s
         if keep:
-            alphas[t, :m] = a
-    return np.log(scales).sum(0), alphas, scales, active
+            alphas[t, :, :m], emits[t, :, :m] = a, e
+    return np.log(scales).sum(0), alphas, emits, scales
 
 
 def expected_counts(model: Hmm, grid: np.ndarray, lengths: np.ndarray, prior: np.ndarray | None = None, after: np.ndarray | None = None):
@@ -248,25 +245,27 @@ def expected_counts(model: Hmm, grid: np.ndarray, lengths: np.ndarray, prior: np
 
     ``after`` are scaled betas at the texts' ends, if they go on in later blocks.
     """
-    loglik, alphas, scales, active = forward(model, grid, lengths, prior, keep=True)
-    steps, k = len(grid), len(model.start)
-    emit, back = model.by_class, np.ascontiguousarray(model.move.T)
-    moves = np.zeros((k, k))
-    beta = np.ones((grid.shape[1], k))
+    loglik, alphas, emits, scales = forward(model, grid, lengths, prior, keep=True)
+    steps, width = grid.shape
+    k = len(model.start)
+    moves, beta = np.zeros((k, k)), np.ones((k, width))
     if after is not None:
-        beta *= after
-        alphas[lengths - 1, np.arange(len(lengths))] *= after
+        beta *= after.T
+        alphas[lengths - 1, :, np.arange(width)] *= after
+    active = _active(lengths, steps)
     for t in range(steps - 2, -1, -1):
         m = active[t + 1]
-        ahead = emit[grid[t + 1, :m]] * beta[:m] / scales[t + 1, :m, None]
-        moves += alphas[t, :m].T @ ahead
-        beta[:m] = ahead @ back
-        alphas[t, :m] *= beta[:m]
-    first = emit[grid[0]] * beta / scales[0][:, None]
+        ahead = emits[t + 1, :, :m] * beta[:, :m]
+        ahead /= scales[t + 1, :m]
+        now = alphas[t, :, :m]
+        moves += now @ ahead.T
+        beta[:, :m] = model.move @ ahead
+        now *= beta[:, :m]
+    first = emits[0] * beta / scales[0]
     real = np.arange(steps)[:, None] < lengths
-    gamma, cls = alphas[real], grid[real]
-    emits = np.stack([np.bincount(cls, gamma[:, i], model.emit.shape[1]) for i in range(k)])
-    return alphas[0], moves * model.move, emits, loglik.sum(), first
+    cls = grid[real]
+    counts = np.stack([np.bincount(cls, alphas[:, i][real], model.emit.shape[1]) for i in range(k)])
+    return alphas[0].T, moves * model.move, counts, loglik.sum(), first.T
 
 
 class Blocks:
@@ -304,7 +303,7 @@ class Blocks:
         k = len(model.start)
         a = np.broadcast_to(np.eye(k), (len(lengths), k, k)).copy()
         for t, m in enumerate(_active(lengths, self.step)):
-            part = (a[:m] if t == 0 else (a[:m].reshape(-1, k) @ model.move).reshape(-1, k, k)) * model.by_class[self.grid[t, s][:m]][:, None]
+            part = (a[:m] if t == 0 else (a[:m].reshape(-1, k) @ model.move).reshape(-1, k, k)) * model.emit.take(self.grid[t, s][:m], axis=1).T[:, None]
             a[:m] = part / part.sum((1, 2), keepdims=True)
         return a
 
