@@ -15,11 +15,15 @@ stand:
    left of them. It is merge-scanned against itself and each level: a window d
    bytes left of its anchor occurs twice if two neighbours agree on LENGTH - d
    bytes to the right and d to the left. Levels of equal rank merge, so that
-   there are logarithmically many.
+   there are logarithmically many. The levels are rows of a table, and a later
+   load of documents meets them (``add_load``, ``RepeatIndex``).
 3. Hot seeds, with more than ``HOT`` different spans, are cut into spans of fewer
    windows, whose keys are longer strings, and dealt again; in the last round a
    span is one window, and equal windows are just counted.
 
+Rows are told by numbers of their own, equal spans by two hashes of 64 bits each
+(of the seed and of the whole span); all other matches are found by comparing bytes.
+
 Defined results: null text is empty; texts shorter than ``LENGTH`` lose nothing;
 repeated rows count as occurrences of each other; a null doc_id is a document
 like any other; an empty table gives an empty result.
@@ -28,6 +32,7 @@ like any other; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_bytes, written
+from .shared import small_batches, table, text_bytes, written
 
 LENGTH, SEED = 400, 128
 HOT, SHARD_SPANS, BATCH_SPANS = 2000, 16_000, 2000
@@ -92,47 +97,52 @@ def spans_of(texts: list[bytes], length: int = LENGTH, seed: int = SEED):
 ROWS = "row long, key long, span long, lo int, n int, left int"
 
 
-def anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """The spans of all texts (row: hash of doc_id and text)."""
+def packed_texts(docs: DataFrame, base: int = 0) -> DataFrame:
+    """row (a number from ``base`` on), doc_id and z: whole texts, packed for their ways through shuffles."""
 
     def run(batches):
-        for batch in batches:
-            pieces, rows, base = [], [], []
+        import zstandard
+        from pyspark import TaskContext
 
-            def out():
-                owner, lo, n, left, key, span = spans_of(pieces, length, seed)
-                cols = [np.array(rows, np.int64)[owner], key.view(np.int64), span.view(np.int64), (lo + np.array(base, np.int64)[owner]).astype(np.int32), n.astype(np.int32), left.astype(np.int32)]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "key", "span", "lo", "n", "left"])
+        pack, row = zstandard.ZstdCompressor(level=1).compress, base + (TaskContext.get().partitionId() << 33)
+        for batch in small_batches(batches, 1):
+            z = pa.array([pack(t) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(z))), batch.column(0), z], ["row", "doc_id", "z"])
+            row += len(z)
 
-            held = 0
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at in range(0, max(1, len(text) - length + 1), _PIECE):  # pieces of very long texts share length - 1 bytes
-                    piece = text[at : at + _PIECE + length - 1]
-                    if len(piece) >= length:
-                        pieces.append(piece)
-                        rows.append(row)
-                        base.append(at)
-                        held += len(piece)
-                    if held > 1 << 20:
-                        yield out()
-                        pieces, rows, base, held = [], [], [], 0
-            if pieces:
-                yield out()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(run, "row long, doc_id long, z binary")
 
-    return docs.select("row", text_bytes().alias("t")).where(F.octet_length("t") >= length).mapInArrow(run, ROWS)
 
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """row, doc_id and z: texts packed for the way through a shuffle."""
+def anchored(texts: DataFrame, length: int, seed: int) -> DataFrame:
+    """The spans of all packed texts."""
 
     def run(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
+        pieces, rows, base, held = [], [], [], 0
+
+        def out():
+            owner, lo, n, left, key, span = spans_of(pieces, length, seed)
+            cols = [np.array(rows, np.int64)[owner], key.view(np.int64), span.view(np.int64), (lo + np.array(base, np.int64)[owner]).astype(np.int32), n.astype(np.int32), left.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "key", "span", "lo", "n", "left"])
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t) for t in batch.column(2).to_pylist()], pa.binary())], ["row", "doc_id", "z"])
+            for row, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = unpack(z.as_py())
+                for at in range(0, len(text) - length + 1, _PIECE):  # pieces of very long texts share length - 1 bytes
+                    piece = text[at : at + _PIECE + length - 1]
+                    pieces.append(piece)
+                    rows.append(row)
+                    base.append(at)
+                    held += len(piece)
+                    if held > 1 << 20:
+                        yield out()
+                        pieces, rows, base, held = [], [], [], 0
+        if pieces:
+            yield out()
 
-    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(run, "row long, doc_id long, z binary")
+    return texts.select("row", "z").mapInArrow(run, ROWS)
 
 
 class Level:
@@ -207,42 +217,81 @@ class IndexFamily:
 
 
 SPANS = "key long, span long, n int, left int, c long, bytes binary"
+#: A span in the table of levels: its level's rank and shard, its places in the two suffix arrays, and a bit for each window that occurs again.
+LEVELS = f"{SPANS}, rank int, shard int, by_right int, by_left int, flags binary"
 
 
-def scanned(spans: DataFrame, total: int, length: int) -> DataFrame:
-    """key, span and flags (a bit for each window that occurs again) of spans that share seeds."""
+def scanned(spans: DataFrame, total: int, length: int, levels: DataFrame | None = None) -> DataFrame:
+    """The table of ``levels`` after ``spans``, a new batch of ``total`` spans that share seeds, has been scanned against it and added."""
+
+    def restored(rows: list) -> Level:
+        places = lambda i: sorted(range(len(rows)), key=lambda j: rows[j][i])
+        return Level([r[5][r[3] :] for r in rows], [r[5][: r[3]][::-1] for r in rows], np.array([r[2] for r in rows]), np.array([r[4] for r in rows]), np.array([r[-1] for r in rows]), places(8), places(9))
 
     def run(batches):
-        family, keys, sizes = IndexFamily(length), [], []
+        from itertools import groupby
+
+        from pyspark import TaskContext
+
+        family, kept, old = IndexFamily(length), [], []
 
         def flush(held):
-            ids = np.arange(len(sizes), len(sizes) + len(held))
-            family.add(Level([b[l:] for _, _, _, l, _, b in held], [b[:l][::-1] for _, _, _, l, _, b in held], np.array([r[2] for r in held]), np.array([r[4] for r in held]), ids))
-            keys.extend((r[0], r[1]) for r in held)
-            sizes.extend(r[2] for r in held)
+            family.add(Level([b[l:] for _, _, _, l, _, b in held], [b[:l][::-1] for _, _, _, l, _, b in held], np.array([r[2] for r in held]), np.array([r[4] for r in held]), np.arange(len(kept), len(kept) + len(held))))
+            kept.extend((*r, None) for r in held)
 
-        held, seen = [], set()
+        held, seen, opened = [], set(), False
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[6] is not None:  # rows of old levels come first, those of one level together
+                    old.append((*row[:10], len(kept)))
+                    kept.append((*row[:6], row[10]))
+                    continue
+                if not opened:
+                    opened = True
+                    for rank, part in groupby(old, key=lambda r: r[6:8]):
+                        family.levels.append((rank[0], restored(list(part))))
                 if row[:2] not in seen:
                     seen.add(row[:2])
-                    held.append(row)
+                    held.append(row[:6])
                 if len(held) >= BATCH_SPANS:
                     flush(held)
                     held = []
         if held:
             flush(held)
-        if not sizes:
+        if not kept:
             return
+        if not opened:
+            family.levels = [(rank[0], restored(list(part))) for rank, part in groupby(old, key=lambda r: r[6:8])]
+        sizes = np.array([r[2] for r in kept])
         start = np.cumsum(np.append(0, sizes))
         flags = np.zeros(start[-1], bool)
+        for i, r in enumerate(kept):
+            if r[6] is not None:
+                flags[start[i] : start[i + 1]] = np.unpackbits(np.frombuffer(r[6], np.uint8), count=r[2])
         for ids, offset in family.found:
             flags[start[ids] + offset] = True
-        bits = [np.packbits(flags[a:b]).tobytes() if flags[a:b].any() else None for a, b in zip(start[:-1], start[1:], strict=True)]
-        keep = [i for i, b in enumerate(bits) if b]
-        yield pa.RecordBatch.from_arrays([pa.array([keys[i][0] for i in keep], pa.int64()), pa.array([keys[i][1] for i in keep], pa.int64()), pa.array([bits[i] for i in keep], pa.binary())], ["key", "span", "flags"])
-
-    return spans.repartition(max(1, -(-total // SHARD_SPANS)), "key").mapInArrow(run, "key long, span long, flags binary")
+        shard = TaskContext.get().partitionId()
+        for rank, level in family.levels:
+            count = len(level.ids)
+            right, left = np.empty(count, np.int32), np.empty(count, np.int32)
+            right[level.by_right] = left[level.by_left] = np.arange(count, dtype=np.int32)
+            for at in range(0, count, 8192):
+                ids = level.ids[at : at + 8192].tolist()
+                cols = list(zip(*(kept[i][:6] for i in ids), strict=True))
+                bits = [np.packbits(flags[start[i] : start[i + 1]]).tobytes() if flags[start[i] : start[i + 1]].any() else None for i in ids]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                fixed = [pa.array(np.full(len(ids), x, np.int32)) for x in (rank, shard)]
+                arrays = [*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *fixed, pa.array(right[at : at + 8192]), pa.array(left[at : at + 8192]), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in LEVELS.split(", ")])
+
+    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in LEVELS.split(", ")[6:]]
+    every = spans.select("key", "span", "n", "left", "c", "bytes", *none)
+    if levels is not None:
+        every = every.unionByName(levels)
+    dealt = every.repartition(max(1, -(-total // SHARD_SPANS)), "key")
+    if levels is not None:
+        dealt = dealt.sortWithinPartitions(F.col("rank").desc_nulls_last(), "shard")
+    return dealt.mapInArrow(run, LEVELS)
 
 
 def cut(spans: DataFrame, windows: int, length: int) -> DataFrame:
@@ -274,22 +323,28 @@ def _joined(part: list[tuple[int, int, bytes | None]], n: int) -> bytes | None:
     return np.packbits(flags).tobytes()
 
 
-def resolved(spans: DataFrame, length: int, hot: int, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """key, span and flags of distinct spans with their bytes and counts; flags are null where all windows occur again."""
+def resolved(spans: DataFrame, length: int, hot: int, cuts: tuple[int, ...] = CUTS, levels: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """key, span and flags of distinct spans with their bytes and counts, null flags where all windows occur again; and the new table of levels.
+
+    With ``levels`` the spans are those that these don't hold yet.
+    """
     # written first: a join of two plain tables can split a hot seed, one with an aggregate below it can't
-    seeds = written(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans")), "repeat-seeds")
-    spans = spans.join(seeds, "key")
-    alone = spans.where("spans = 1 and c >= 2").select("key", "span", F.lit(None).cast("binary").alias("flags"))
+    if "spans" not in spans.columns:
+        seeds = written(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans")), "repeat-seeds")
+        spans = spans.join(seeds, "key")
+    out = spans.where("c >= 2").select("key", "span", F.lit(None).cast("binary").alias("flags"))
     if not cuts:  # one window each: equal windows are one span
-        return alone
+        return out, None
     several = spans.where((F.col("spans") > 1) & (F.col("spans") <= hot)).select("key", "span", "n", "left", "c", "bytes")
     many = spans.where(F.col("spans") > hot).select("key", "span", "n", "left", "c", "bytes")
     total, more = spans.agg(F.count_if((F.col("spans") > 1) & (F.col("spans") <= hot)), F.count_if(F.col("spans") > hot)).first()
-    out = alone.unionByName(scanned(several, total, length))
+    total += levels.count() if levels is not None else 0
+    after = written(scanned(several, total, length, levels), "repeat-levels")
+    out = out.unionByName(after.where("flags is not null").select("key", "span", "flags"))
     if more:
         parts = written(cut(many, cuts[0], length), "repeat-cuts")
         own = parts.groupBy("key", "span").agg(F.first("n").alias("n"), F.first("left").alias("left"), F.sum("c").alias("c"), F.first("bytes").alias("bytes"))
-        found = resolved(written(own, "repeat-cut-spans"), length, hot, cuts[1:])
+        found, _ = resolved(written(own, "repeat-cut-spans"), length, hot, cuts[1:])
 
         def join(batches):
             for batch in batches:
@@ -299,13 +354,41 @@ def resolved(spans: DataFrame, length: int, hot: int, cuts: tuple[int, ...] = CU
         back = parts.select("key", "span", "from_key", "from_span", "offset", "n").join(found, ["key", "span"])
         back = back.groupBy(F.col("from_key").alias("key"), F.col("from_span").alias("span")).agg(F.collect_set(F.struct("offset", "n", "flags")).alias("parts"))
         out = out.unionByName(back.mapInArrow(join, "key long, span long, flags binary"))
-    return out
+    return out, after
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with ``keep_text`` also the bytes that stay."""
-    docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    rows = written(anchored(docs, length, seed), "repeat-anchors")
+@dataclass
+class RepeatIndex:
+    """What a later load meets: packed texts, their spans, and the levels of suffix arrays, as tables."""
+
+    texts: DataFrame
+    anchors: DataFrame
+    levels: DataFrame
+
+    def save(self, path: str) -> None:
+        """Write the tables under ``path``, for ``RepeatIndex.load`` in a later job."""
+        for name in ("texts", "anchors", "levels"):
+            getattr(self, name).write.option("compression", "zstd").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> RepeatIndex:
+        return RepeatIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("texts", "anchors", "levels")))
+
+
+def add_load(docs: DataFrame, index: RepeatIndex | None = None, length: int = LENGTH, seed: int = SEED, hot: int = HOT, keep_text: bool = False) -> tuple[DataFrame, RepeatIndex]:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row, with ``keep_text`` also the bytes that stay; and the index with this load.
+
+    Strings are judged over this load and all those in ``index``. Earlier loads'
+    results stay as they were given.
+    """
+    base = 0 if index is None else 1 + (index.texts.agg(F.max("row")).first()[0] or 0)
+    texts = written(packed_texts(docs, base), "repeat-texts")
+    anchors = written(anchored(texts, length, seed), "repeat-anchors")
+    every_text, rows = texts, anchors
+    if index is not None:
+        every_text = index.texts.unionByName(texts)
+        met = written(anchors.select("key").distinct(), "repeat-met")
+        rows = anchors.unionByName(index.anchors.join(met, "key", "left_semi"))
     # written first: a join of two plain tables can split a hot seed, one with an aggregate below it can't
     again = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "repeat-keys")
     rows = written(rows.join(again, "key", "left_semi"), "repeat-rows")
@@ -314,7 +397,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot
     spans = written(spans.join(seeds, "key").select("key", "span", "c", "spans", "at.*"), "repeat-spans")
 
     # bytes of the spans that share a seed with others, from one of the texts that hold each
-    wanted = spans.where("spans > 1").groupBy("row").agg(F.collect_list(F.struct("key", "span", "lo", "n", "left", "c")).alias("wanted"))
+    wanted = spans.where("spans > 1")
+    if index is not None:  # those of hot seeds are dealt anew
+        known = index.levels.select(F.col("key").alias("k"), F.col("span").alias("s"))
+        wanted = wanted.where(F.col("spans") > hot).unionByName(wanted.where(F.col("spans") <= hot).join(known, (F.col("key") == F.col("k")) & (F.col("span") == F.col("s")), "left_anti"))
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "span", "lo", "n", "left", "c", "spans")).alias("wanted"))
 
     def slices(batches):
         import zstandard
@@ -324,17 +411,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot
             out = []
             for z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = unpack(z)
-                out += [(w["key"], w["span"], w["n"], w["left"], w["c"], text[w["lo"] : w["lo"] + w["n"] - 1 + length]) for w in wanted]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "span", "n", "left", "c", "bytes"])
-
-    texts = packed_texts(docs)
-    sliced = texts.join(wanted, "row").select("z", "wanted").mapInArrow(slices, SPANS)
-    # rows alike in doc_id and text have one hash and give their spans once each
-    sliced = written(sliced.groupBy("key", "span").agg(*[F.first(c).alias(c) for c in ("n", "left", "c", "bytes")]), "repeat-bytes")
-    flags = resolved(sliced, length, hot).unionByName(spans.where("spans = 1").select("key", "span", F.lit(None).cast("binary").alias("flags")))
-    marks = rows.join(flags, ["key", "span"]).groupBy("row").agg(F.collect_set(F.struct("lo", "n", "flags")).alias("marks"))
+                out += [(w["key"], w["span"], w["n"], w["left"], w["c"], text[w["lo"] : w["lo"] + w["n"] - 1 + length], w["spans"]) for w in wanted]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "span", "n", "left", "c", "bytes", "spans"])
+
+    sliced = every_text.join(wanted, "row").select("z", "wanted").mapInArrow(slices, f"{SPANS}, spans long")
+    found, levels = resolved(written(sliced, "repeat-bytes"), length, hot, levels=None if index is None else index.levels)
+    # equal spans occur twice by themselves, whatever else they share
+    flags = found.where("flags is not null").unionByName(spans.where("c >= 2").select("key", "span", F.lit(None).cast("binary").alias("flags")))
+    marks = rows.where(F.col("row") >= base).join(flags, ["key", "span"]).groupBy("row").agg(F.collect_set(F.struct("lo", "n", "flags")).alias("marks"))
 
     def remove(batches):
         import zstandard
@@ -362,7 +448,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done = texts.join(marks, "row", "left").select("doc_id", "z", "marks").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return done if keep_text else done.drop("kept")
+    grown = RepeatIndex(every_text, anchors if index is None else index.anchors.unionByName(anchors), levels)
+    return done if keep_text else done.drop("kept"), grown
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT, keep_text: bool = False) -> DataFrame:
+    """``add_load`` of all documents at once."""
+    return add_load(docs, None, length, seed, hot, keep_text)[0]
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,27 @@ def test_against_brute_force(spark, hot, alphabet):
     assert {i: w for i, w in enumerate(want) if got[i] != w} == {}
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_later_loads_meet_the_kept_levels(spark, hot, tmp_path, monkeypatch):
+    """Each load's rows are judged over all loads so far; the index goes through files in between."""
+    monkeypatch.setattr(repeats, "SHARD_SPANS", 40)
+    monkeypatch.setattr(repeats, "BATCH_SPANS", 16)
+    texts = corpus(np.random.default_rng(5))
+    order = np.random.default_rng(6).permutation(len(texts)).tolist()
+    loads, index = [order[:50], order[50:90], [], order[90:]], None
+    for k, load in enumerate(loads):
+        df = spark.createDataFrame([(i, texts[i], "z") for i in load], DOCS).repartition(2)
+        done, index = repeats.add_load(df, index, length=40, seed=13, hot=hot)
+        so_far = [i for part in loads[: k + 1] for i in part]
+        want = dict(zip(so_far, brute([texts[i] for i in so_far], 40), strict=True))
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in done.collect()}
+        assert got == {i: want[i] for i in load}
+        index.save(str(tmp_path / f"index-{k}"))
+        index = repeats.RepeatIndex.load(spark, str(tmp_path / f"index-{k}"))
+    ranks = index.levels.groupBy("shard", "rank").count().collect()
+    assert max(r["rank"] for r in ranks) > 0 or hot == 3
+
+
 def test_batches_meet_in_the_index_family(monkeypatch):
     rng = np.random.default_rng(2)
     base = bytes(rng.integers(97, 100, 300, dtype=np.uint8))
