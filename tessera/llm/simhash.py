@@ -248,8 +248,8 @@ def keys_of(h: np.ndarray) -> np.ndarray:
 
 
 def loose_tau(n: np.ndarray) -> np.ndarray:
-    """Bits of 256 far above those of any pair at ``SIMILARITY``: 39 are expected, 5.7 is the deviation; small sets spread wider."""
-    return np.where(n < 256, 64 * WIDE_WORDS, 64)
+    """Bits of 256 above those of nearly any pair at ``SIMILARITY``: 39 are expected there, 5.7 is the deviation; very small sets all pass."""
+    return np.where(n < 24, 64 * WIDE_WORDS, 60)
 
 
 def wide_within(a: np.ndarray, b: np.ndarray, tau: np.ndarray, chain: int = 8) -> np.ndarray:
@@ -290,22 +290,89 @@ def _segments(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, 4 * WIDE_WORDS)
 
 
+#: Candidates of a text that are verified: of the ends of its keys, and of the nearest in other groups.
+ENDS, NEAREST = 3, 4
+_PAIRS = "a long, b long, d long"
+
+
+def _few(pairs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nearest candidates b of each a, as pairs a < b."""
+    near = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, most).alias("near"))
+    near = near.select("a", F.explode("near.b").alias("b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def star_pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs of each id (id, fp, n, keys) with the first and the last id that share one of its keys: few pairs, which join most of a large group."""
-    keyed = distinct.select("id", "n", "fp", F.explode("keys").alias("key"))
-    one = F.struct("id", "n", "fp")
-    ends = keyed.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first.id <> last.id")
+    """Pairs of each id (id, fp, n, keys) with the nearest of the first and the last id under each of its keys: few pairs, which join most of a large group."""
+    keyed = distinct.select("id", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     ends = written(ends.select("key", F.explode(F.array("first", "last")).alias("end")), "dedup-ends")
-    pairs = keyed.join(ends, "key").where("id <> end.id")
+    pairs = keyed.join(ends, "key").where("id <> end").select("id", "end").distinct()
+    left, right = (distinct.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")) for x in ("id", "end"))
 
     def run(batches):
         for batch in batches:
-            a, n, b, m = (np.asarray(batch.column(i)) for i in (0, 1, 3, 4))
-            ok = may_be_alike(n, m, _segments(batch.column(2)), _segments(batch.column(5))) if len(a) else np.zeros(0, bool)
-            found = np.unique(np.sort(np.stack([a[ok], b[ok]]), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            if batch.num_rows:
+                fa, fb = _segments(batch.column(4)), _segments(batch.column(5))
+                ok = may_be_alike(np.asarray(batch.column(2)), np.asarray(batch.column(3)), fa, fb)
+                d = np.bitwise_count(fa ^ fb).sum(1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[ok]), pa.array(np.asarray(batch.column(1))[ok]), pa.array(d[ok])], ["a", "b", "d"])
 
-    return pairs.select("id", "n", "fp", F.col("end.id").alias("b"), F.col("end.n").alias("m"), F.col("end.fp").alias("g")).mapInArrow(run, "a long, b long").distinct()
+    met = pairs.join(left, "id").join(right, "end").select("id", "end", "n_id", "n_end", "fp_id", "fp_end")
+    return _few(met.mapInArrow(run, _PAIRS), ENDS)
+
+
+def nearest_pairs(distinct: DataFrame, tried: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pairs of each id (id, fp, n, keys, root) with the nearest under its keys that are of another root.
+
+    Ids of the root that is most frequent under a key wait for the others. Keys
+    with more ids than ``chunk`` are cut, so that the work is linear in the rows.
+    """
+    keyed = distinct.select("id", "root", F.explode("keys").alias("key"))
+    open_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    open_keys = written(open_keys.select("key", F.ceil(F.col("m") / chunk).cast("long").alias("chunks")), "dedup-keys")
+    dealt = keyed.join(open_keys, "key").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("part"), "id", "root")
+    dealt = dealt.join(distinct.select("id", "fp", "n"), "id").select("key", "part", "id", "root", "n", "fp")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows, fps = np.stack([np.asarray(batch.column(i)) for i in range(5)]), _segments(batch.column(5))
+            if held is not None:
+                rows, fps = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], fps])
+            new = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(0)) + 1
+            at = new[-1] if len(new) else 0
+            held = rows[:, at:], fps[at:]
+            if at:
+                yield from emit(rows[:, :at], fps[:at])
+        if held is not None and held[0].shape[1]:
+            yield from emit(*held)
+
+    def emit(rows, fps):
+        cut = np.flatnonzero(np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(0))).tolist()
+        found = []
+        for begin, end in zip(cut, [*cut[1:], rows.shape[1]], strict=True):
+            ids, root, n = rows[2:, begin:end]
+            roots, count = np.unique(root, return_counts=True)
+            if len(roots) < 2:
+                continue
+            bits = fps[begin:end].view(np.uint64)
+            for i in np.flatnonzero(root != roots[np.argmax(count)]).tolist():
+                others = np.flatnonzero(root != root[i])
+                least, most = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+                d = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+                near = np.flatnonzero((100 * least >= round(100 * SIMILARITY) * most) & (d <= loose_tau(least)))
+                # some may have been tried before
+                near = near[np.argsort(d[near], kind="stable")[: NEAREST + 2 * ENDS]]
+                found.append(np.stack([np.full(len(near), ids[i]), ids[others[near]], d[near]]))
+        if found:
+            found = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "d"])
+
+    met = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(run, _PAIRS)
+    known = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    met = met.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    return _few(met, NEAREST)
 
 
 def other_pairs(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -356,7 +423,6 @@ def other_pairs(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts (id, text) are at ``SIMILARITY``, by their whole sets of shingles."""
-    pairs = written(pairs, "dedup-pairs")
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def sets(batches):
@@ -378,24 +444,35 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "dedup-links")
 
 
-def similar_links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+def similar_links(distinct: DataFrame, texts: DataFrame, exhaustive: bool = False) -> DataFrame:
     """Links that join the distinct texts (id, fp, n, keys) at ``SIMILARITY`` that share a key; links inside a joined group may be left out.
 
-    Each text first meets two others of each key, so that large groups are joined
-    by few links; then come all pairs of a key that are not joined yet. Every
-    link is verified.
+    Each text first meets others of its keys' ends, so that large groups are
+    joined by few links, then the nearest ones of other groups. Every link is
+    verified. Two groups stay apart if all their links are between texts that
+    each have ``NEAREST`` nearer candidates which fail; ``exhaustive`` verifies
+    all pairs that are left, whose number grows with the square of a group of
+    texts just below ``SIMILARITY``.
     """
-    first = verified(star_pairs(distinct), texts)
-    roots = written(components(first), "dedup-roots")
-    rooted = distinct.join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "n", "keys", F.coalesce("root", "id").alias("root"))
-    return first.unionByName(verified(other_pairs(written(rooted, "dedup-rooted")), texts))
+
+    def rooted(links):
+        roots = written(components(links), "dedup-roots")
+        return written(distinct.join(roots, F.col("id") == F.col("node"), "left").select("id", "fp", "n", "keys", F.coalesce("root", "id").alias("root")), "dedup-rooted")
+
+    tried = written(star_pairs(distinct), "dedup-pairs")
+    links = verified(tried, texts)
+    links = links.unionByName(verified(written(nearest_pairs(rooted(links), tried), "dedup-pairs"), texts))
+    if exhaustive:
+        links = links.unionByName(verified(written(other_pairs(rooted(links)), "dedup-pairs"), texts))
+    return links
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, exhaustive: bool = False) -> DataFrame:
     """Pipeline stage: one row of each group of near copies, that with the smallest doc_id.
 
     Near copies have a similarity of 0.8 or more over sets of five-word shingles;
-    texts without words are copies of each other.
+    texts without words are copies of each other. Null doc_ids come last in a
+    group; repeated rows are copies; an empty table stays empty.
     """
 
     def make():
@@ -421,7 +498,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
     sets = own.groupBy("same").agg(F.min(order).alias("first"), F.min("uid").alias("id"))
     distinct = written(sets.select("id", "first").join(own.select(F.col("uid").alias("id"), "fp", "n", "keys"), "id"), "dedup-distinct")
-    links = similar_links(distinct.select("id", "fp", "n", "keys"), rows.select(F.col(uid).alias("id"), "text"))
+    links = similar_links(distinct.select("id", "fp", "n", "keys"), rows.select(F.col(uid).alias("id"), "text"), exhaustive)
     roots = written(components(links), "dedup-roots")
     grouped = distinct.select("id", "first").join(roots, F.col("id") == F.col("node"), "left")
     keep = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("kept_uid"))

@@ -77,7 +77,8 @@ def test_empty_table(spark):
     assert sh.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def test_near_copies_against_brute_force_at_the_threshold(spark, tmp_path):
+@pytest.mark.parametrize("exhaustive", [False, True])
+def test_near_copies_against_brute_force_at_the_threshold(spark, tmp_path, exhaustive):
     """Pairs at 0.75 to 0.87 true similarity: those at 0.8 go, those below stay."""
     rng = np.random.default_rng(11)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
@@ -97,5 +98,5 @@ def test_near_copies_against_brute_force_at_the_threshold(spark, tmp_path):
         root = [min(a, b) if r in (a, b) else r for r in root]
     assert 20 < len({r for r in root[:128]}) - 64 < 50
     df = spark.createDataFrame([(i, t, "en", None, 0, "z") for i, t in enumerate(texts)], DOCS).repartition(4)
-    kept = [r["doc_id"] for r in sh.drop_near_duplicates(spark, df, str(tmp_path)).collect()]
+    kept = [r["doc_id"] for r in sh.drop_near_duplicates(spark, df, str(tmp_path), exhaustive).collect()]
     assert sorted(kept) == sorted(set(root))
