@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMPANY_PREFIX = "company-"
@@ -54,10 +55,26 @@ def secured(rows: DataFrame, sources: DataFrame, who: Principal, key: str = "sou
     return rows.join(allowed_sources(sources, who).select(F.col("id").alias(key)), key, "left_semi")
 
 
-def secure_views(tables: dict[str, DataFrame], sources: DataFrame, who: Principal) -> None:
-    """Temporary views of ``tables`` that hold what the reader may see; SQL on them can't see more."""
-    for name, rows in tables.items():
-        secured(rows, sources, who).createOrReplaceTempView(name)
+def secure_session(spark: SparkSession, tables: dict[str, Callable[[SparkSession], DataFrame]], sources: Callable[[SparkSession], DataFrame], who: Principal) -> SparkSession:
+    """A session of the reader's own, with temporary views of ``tables`` that hold what they may see.
+
+    Each table is made by a function of the session it is read in. Another
+    reader's session has views of its own under the same names.
+    """
+    own = spark.newSession()
+    for name, make in tables.items():
+        secured(make(own), sources(own), who).createOrReplaceTempView(name)
+    return own
+
+
+def of_companies(listed: Column, mine: list[str]) -> Column:
+    """Rows whose text list of companies names one of the reader's."""
+    return overlaps(F.split(listed, ","), literals(mine))
+
+
+def administered(company: Column, area: Column, mine: list[str], areas: list[str]) -> Column:
+    """Rows of an administrator: without company or of one of theirs, in their areas."""
+    return (company.isNull() | company.isin(mine)) & area.isin(areas)
 
 
 def explained(users: DataFrame, sources: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ longest document and are dealt by document.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LEAST, MOST, TITLE, VARIANT_CHARS, VARIANT_WORDS = 300, 1800, 200, 80, 6
-_CODE = re.compile(r"^[A-Z0-9][A-Z0-9./-]*\d[A-Z0-9./-]*\b")
+LEAST, MOST, TITLE, CONTEXT, VARIANT_CHARS, VARIANT_WORDS = 300, 1800, 200, 15, 80, 6
+# Fixed value: how the code of a variant row begins.
+_CODE = re.compile(r"^[A-Z]{2,5}[-\s]?\d{3,}\b")
 PIECES = "document string, ord int, page int, piece string"
 
 
@@ -33,61 +35,74 @@ def cut_long(text: str) -> list[str]:
 
 
 def merged(fragments: list[tuple[str, int | None]]) -> list[tuple[str, int | None]]:
-    """Fragments of a page joined while short; variant rows stay apart under the page's title."""
+    """Fragments of a page joined while short; variant rows stay apart, each behind the page's title.
+
+    White space inside a fragment is squeezed. The title is the page's first
+    fragment of ``CONTEXT`` characters or more that is no variant row.
+    """
     out: list[tuple[str, int | None]] = []
-    title, page, closed = "", object(), True
-    for text, at in fragments:
-        text = text.strip()
-        if not text:
-            continue
-        if at != page:
-            page, title, closed = at, "" if is_variant(text) else " ".join(text.split())[:TITLE], True
-        if is_variant(text):
-            out.append((f"{title}\n{text}" if title else text, at))
-            closed = True
-            continue
-        for part in cut_long(text):
-            if not closed and len(out[-1][0]) < LEAST and len(out[-1][0]) + 1 + len(part) <= MOST:
-                out[-1] = (f"{out[-1][0]}\n{part}", at)
-            else:
-                out.append((part, at))
-                closed = False
+    for page, run in groupby(fragments, key=lambda f: f[1]):
+        texts = [t for t in (" ".join((f[0] or "").split()) for f in run) if t]
+        title = next((t[:TITLE] for t in texts if len(t) >= CONTEXT and not is_variant(t)), "")
+        prose: list[str] = []
+        for text in [*texts, None]:
+            whole = "\n".join(prose)
+            if prose and (text is None or is_variant(text) or len(whole) >= LEAST or len(whole) + len(text) > MOST):
+                out += [(t, page) for t in cut_long(whole)]
+                prose = []
+            if text is not None and is_variant(text):
+                out.append((f"{title} | {text}" if title else text, page))
+            elif text is not None:
+                prose.append(text)
     return out
 
 
 def table_pieces(rows: list[str], title: str) -> list[str]:
-    """A small table whole; a large one row by row, each under title and header."""
-    whole = "\n".join(([title] if title else []) + rows)
+    """A small table whole; a large one row by row, each behind title and header."""
+    whole = "\n".join(rows)
     if len(whole) <= MOST:
-        return [whole]
-    head, body = rows[0], [r for r in rows[1:] if not re.fullmatch(r"[\s|:-]+", r)]
-    return ["\n".join(([title] if title else []) + [head, r]) for r in body]
+        return [f"{title}\n{whole}" if title else whole]
+    before = [x for x in (title, rows[0]) if x]
+    return [" | ".join([*before, r]) for r in rows[1:] if not re.fullmatch(r"[\s|:-]+", r)]
 
 
 def markdown_pieces(markdown: str) -> list[str]:
-    """Pieces of a page: bullets one by one and prose by block under the last heading; tables by ``table_pieces``."""
+    """Pieces of a page: bullets one by one and prose by block under the last heading; tables by ``table_pieces``.
+
+    Lines right after a heading belong to it while it has at most ``TITLE``
+    characters; a longer line is prose. A heading with nothing under it is a
+    piece of its own. All text but fences and rules is in some piece.
+    """
     out: list[str] = []
-    title, block, table, heading_open = "", [], [], False
+    title, block, table, heading_open, used = "", [], [], False, True
 
     def flush():
-        nonlocal block, table
+        nonlocal used
         if block:
             text = "\n".join(block)
             out.extend(cut_long(f"{title}\n{text}" if title else text))
         if table:
             out.extend(table_pieces(table, title))
-        block, table = [], []
+        used = used or bool(block or table)
+        block.clear()
+        table.clear()
+
+    def close():
+        flush()
+        if title and not used:
+            out.extend(cut_long(title))
 
     for line in (markdown or "").split("\n"):
         s = line.strip()
-        if s.startswith("```") or re.fullmatch(r"[-*_]{3,}", s):
+        if s.startswith("```") or re.fullmatch(r"-{3,}|\*{3,}|_{3,}", s):
             continue
         if not s:
             flush()
             heading_open = False
         elif s.startswith("#"):
-            flush()
+            close()
             title, heading_open = s.lstrip("# ").strip(), True
+            used = not title
         elif s.startswith("|"):
             if block:
                 flush()
@@ -95,20 +110,37 @@ def markdown_pieces(markdown: str) -> list[str]:
             heading_open = False
         elif m := re.match(r"[-*•]\s+(.*)", s):
             flush()
-            out.append(f"{title} | {m[1]}" if title else m[1])
-            heading_open = False
-        elif heading_open:
-            title = f"{title} {s}"[:TITLE]
+            out.extend(cut_long(f"{title} | {m[1]}" if title else m[1]))
+            heading_open, used = False, True
+        elif heading_open and len(title) + 1 + len(s) <= TITLE:
+            title = f"{title} {s}".strip()
+            used = False
         else:
             if table:
                 flush()
             block.append(s)
-    flush()
+            heading_open = False
+    close()
     return out
 
 
+def merge_texts(rows: DataFrame) -> DataFrame:
+    """``merged`` over the paragraphs of whole texts (document, page, content), one row a page: no shuffle, as a text is where it is."""
+
+    def fold(batches):
+        for b in batches:
+            out = []
+            for document, page, content in zip(b["document"], b["page"], b["content"], strict=True):
+                at = None if pd.isna(page) else int(page)
+                pieces = merged([(x, at) for x in (content or "").split("\n")])
+                out += [(document, i, at, t) for i, (t, _) in enumerate(pieces)]
+            yield pd.DataFrame(out, columns=["document", "ord", "page", "piece"]).astype({"ord": "int32", "page": "Int32"})
+
+    return rows.select("document", "page", "content").mapInPandas(fold, PIECES)
+
+
 def merge_fragments(rows: DataFrame) -> DataFrame:
-    """``merged`` over each document of rows (document, ord, page, piece)."""
+    """``merged`` over each document of stored fragments (document, ord, page, piece)."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord")

@@ -32,8 +32,8 @@ def namespaced(company: Column, *ids: str) -> dict[str, Column]:
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: the last in order."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    """One row for each key: the last in order; of equals the one whose values hash highest, so that reruns agree."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*rows.columns))))
     return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
@@ -79,15 +79,20 @@ def merge(history: DataFrame, incoming: DataFrame, now: Column, full_load: bool)
 
 
 def broken_intervals(history: DataFrame) -> DataFrame:
-    """Versions that overlap the one before, end before they begin, or leave an id with two open ones."""
-    own = Window.partitionBy("id").orderBy("valid_from", F.col("valid_to").asc_nulls_last())
-    before = F.lag(F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp_ntz"))).over(own)
+    """Versions that overlap any before them, end before they begin, or leave an id with two open ones."""
+    own = Window.partitionBy("id").orderBy("valid_from", F.col("valid_to").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp_ntz"))).over(own)
     return history.where("true").withColumn("_before", before).where((F.col("_before") > F.col("valid_from")) | (F.col("valid_to") <= F.col("valid_from"))).drop("_before")
 
 
+def is_collapsed(previous, rows):
+    """A full load that shrank to less than half of what was there (two rows or more), for numbers and columns alike."""
+    return (previous >= 2) & (rows < 0.5 * previous)
+
+
 def collapsed(previous: int, rows: int) -> bool:
-    """A full load that shrank to less than half of what was there (two rows or more) is not to be merged."""
-    return previous >= 2 and rows < 0.5 * previous
+    """Whether a full load is not to be merged."""
+    return bool(is_collapsed(previous, rows))
 
 
 def as_of_join(facts: DataFrame, versions: DataFrame, key: str, moment: str, how: str = "left") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import squeezed
+
 # Formats by how they are read, and why some are not.
 LAYOUT = ("pdf", "docx", "pptx", "html", "htm", "md", "png", "jpg", "jpeg", "tif", "tiff", "bmp")
 PLAIN, SHEETS = ("txt",), ("xlsx", "xlsm", "csv")
@@ -12,6 +14,7 @@ UNREADABLE = ("xls", "ods", "doc", "ppt")
 EXTERNAL_ERRORS = "(?i)timeout|connection|unavailable|refused|reset"
 RETRY_HOURS = 6
 VERDICTS = ("information", "decoration", "table")
+MARKS = "(?i)logo|brand|qr code|barcode|##"
 
 
 def readable_files(files: DataFrame) -> DataFrame:
@@ -141,3 +144,63 @@ def manifest_backlog(chunks: DataFrame, figures: DataFrame) -> DataFrame:
     c = chunks.groupBy("document").agg(F.count_if(F.col("embedding").isNull()).alias("chunks_without_vector"))
     f = figures.groupBy("document").agg(F.count_if(F.col("embedding").isNull()).alias("figures_without_vector"), F.count_if(F.coalesce("description", F.lit("")) == "").alias("figures_without_text"))
     return c.join(f, "document", "full").na.fill(0)
+
+
+def worklist(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of which ``done`` has no row with the same key, null as a value: what a next round has to do."""
+    right = done.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(right, same, "left_anti")
+
+
+def figure_pieces(figures: DataFrame, titles: DataFrame) -> DataFrame:
+    """Descriptions of figures as pieces behind their page's title; decoration and empty ones are left out."""
+    t = titles.select(F.col("document").alias("_d"), F.col("page").alias("_p"), "title")
+    rows = figures.join(t, (F.col("document") == F.col("_d")) & F.col("page").eqNullSafe(F.col("_p")), "left")
+    shown = squeezed(without_verdict(F.col("description")))
+    rows = rows.where((F.coalesce(shown, F.lit("")) != "") & ~F.coalesce(verdict_of(F.col("description")) == "decoration", F.lit(False)))
+    title = F.when(F.col("title") != "", F.col("title"))
+    return rows.select("id", "document", "page", F.concat_ws(" | ", title, F.concat(F.lit("Image: "), shown)).alias("piece"))
+
+
+def heading_sample(pieces: DataFrame, most: int = 120, width: int = 120, looked_at: int = 360) -> DataFrame:
+    """First line of each of a document's first pieces (document, ord, piece), tables left out, each once, in order."""
+    first = F.get(F.filter(F.transform(F.split("piece", "\n"), F.trim), lambda x: (x != "") & ~x.startswith("|")), 0)
+    rows = pieces.withColumn("_nth", F.row_number().over(Window.partitionBy("document").orderBy("ord"))).where(F.col("_nth") <= looked_at)
+    lines = rows.select("document", "ord", F.substring(first, 1, width).alias("line")).where("line is not null").groupBy("document", "line").agg(F.min("ord").alias("ord"))
+    return lines.withColumn("nth", F.row_number().over(Window.partitionBy("document").orderBy("ord"))).where(F.col("nth") <= most).select("document", "nth", "line")
+
+
+def page_texts(pieces: DataFrame, most: int = 2500) -> DataFrame:
+    """Text of each page (document, page, ord, piece), its pieces in order, of at most ``most`` characters.
+
+    Only pieces that begin within ``most`` characters are gathered.
+    """
+    own = Window.partitionBy("document", "page").orderBy("ord")
+    before = F.coalesce(F.sum(F.length("piece") + 1).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = pieces.withColumn("_before", before).where(F.col("_before") < most)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"])
+    return rows.groupBy("document", "page").agg(F.substring(F.array_join(parts, "\n"), 1, most).alias("text"))
+
+
+def stride_sample(rows: DataFrame, key: str, order: str, most: int = 12) -> DataFrame:
+    """At most ``most`` rows of each key, evenly spaced in order."""
+    own = Window.partitionBy(key)
+    marked = rows.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_i", F.row_number().over(own.orderBy(order)) - 1)
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
+    return marked.where((F.col("_i") % step == 0) & (F.col("_i") / step < most)).drop("_n", "_i")
+
+
+def is_mark(description: Column) -> Column:
+    """Marks and labels rather than pictures, or a description broken off."""
+    return description.rlike(MARKS)
+
+
+def one_dimension(index: DataFrame, column: str = "embedding") -> int:
+    """The dimension of all vectors of an index; ValueError, so that nothing is written, where there are several."""
+    sizes = [r["n"] for r in index.select(F.size(column).alias("n")).where("n >= 0").distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of several dimensions: {sorted(sizes)}")
+    return sizes[0] if sizes else 0

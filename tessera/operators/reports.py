@@ -35,11 +35,13 @@ def tainted(turns: DataFrame, internal: Column) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
-    """Rows of each key until their texts exceed the budget, one at least."""
+    """Rows of each key until their texts exceed the budget, one at least; ``resume`` is where to go on after the last of them, null at the end."""
     w = Window.partitionBy(key).orderBy(order)
     total = F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = rows.withColumn("total", total).withColumn("nth", F.row_number().over(w))
-    return marked.where((F.col("total") <= budget) | (F.col("nth") == 1))
+    marked = rows.withColumn("total", total).withColumn("nth", F.row_number().over(w)).withColumn("_next", F.lead(order).over(w))
+    kept = marked.where((F.col("total") <= budget) | (F.col("nth") == 1))
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("nth"))) == 1
+    return kept.withColumn("resume", F.when(last, F.col("_next"))).drop("_next")
 
 
 def islands(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -68,3 +70,12 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str, fields: list[s
     both = after.join(b, F.col(key) == F.col("_key"))
     names = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields]))
     return both.select(key, F.array_join(names, ",").alias("fields")).where("fields <> ''")
+
+
+def totals(relations: dict[str, DataFrame]) -> DataFrame:
+    """Row counts of several relations in one row: counts are unioned and pivoted by one aggregate."""
+    rows = None
+    for name, relation in relations.items():
+        part = relation.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in relations])

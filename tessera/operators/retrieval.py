@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,64 @@ def lexical_branch(chunks: DataFrame, frequencies: DataFrame, total: int, query:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
+def lexical_batch(chunks: DataFrame, frequencies: DataFrame, total: int, questions: DataFrame, k: int, divisor: int = DIVISOR) -> DataFrame:
+    """The k best chunks (id, score, rank) of each of many questions (question, text) by summed rarity of shared rare words.
+
+    One equality join on the word: a rare word is in total // divisor chunks at
+    most, and only words of some question are kept before the join.
+    """
+    weights = frequencies.where(F.col("n_chunks") <= total // divisor).select("word", F.log(F.lit(float(total)) / F.col("n_chunks")).alias("weight"))
+    asked = questions.select("question", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word")).join(weights, "word")
+    held = chunks.select("id", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word"))
+    held = held.join(asked.select("word").distinct(), "word", "left_semi")
+    scored = asked.join(held, "word").groupBy("question", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def stored_frequencies(chunks: DataFrame, path: str, changed: bool) -> DataFrame:
+    """Word frequencies kept as a table: counted again only if a round changed something or none are there."""
+    spark = chunks.sparkSession
+    if not changed:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    text.document_frequency(chunks).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def rounds_united(rounds: list[DataFrame], order: DataFrame, limit: int) -> DataFrame:
+    """Rows that several rounds of a search found, each id once (the first round's), in an outside scorer's order for the first question."""
+    rows = None
+    for i, found in enumerate(rounds):
+        part = found.withColumn("round", F.lit(i))
+        rows = part if rows is None else rows.unionByName(part)
+    whole = F.struct(*rows.columns)
+    once = rows.groupBy("id").agg(F.min_by(whole, F.struct("round", -F.col("points"))).alias("r")).select("r.*")
+    return reranked(once, order, limit)
+
+
+def or_neighbours(rows: DataFrame, pool: DataFrame, query: list[float], k: int) -> DataFrame:
+    """``rows`` as judged ones; where there are none, the k nearest of ``pool``, marked as not judged."""
+    if not rows.isEmpty():
+        return rows.withColumn("judged", F.lit(True))
+    return vectors.nearest(pool, query, k).withColumn("judged", F.lit(False))
+
+
+def filtered(rows: DataFrame, wanted: dict[str, list | None]) -> DataFrame:
+    """Filters that are given apply; those that are None don't exist."""
+    for column, values in wanted.items():
+        if values is not None:
+            rows = rows.where(F.col(column).isin(values))
+    return rows
+
+
+def with_feedback(traces: DataFrame, feedback: DataFrame, key: str) -> DataFrame:
+    """Traces that have a feedback on their message, with it."""
+    return traces.join(feedback, key)
+
+
 def fused(branches: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """id and points: the sum of 1 / (k + rank) over the branches that hold an id."""
     ranks = branches[0].select("id", "rank")
@@ -78,19 +137,34 @@ def figure_search(figures: DataFrame, query: list[float], terms: list[tuple[str,
     return rows.orderBy(F.desc("rarity"), F.col("embedding").isNull(), F.col("distance").asc_nulls_last(), F.col("page").asc_nulls_last(), "id").limit(limit)
 
 
-def figure_words(figures: DataFrame, terms: list[str], limit: int) -> DataFrame:
-    """Figures by how many of the words their description holds."""
+def secured_figure_search(figures: DataFrame, sources: DataFrame, who: acl.Principal, query: list[float], terms: list[tuple[str, float]], pages: list[int] | None, limit: int) -> DataFrame:
+    """``figure_search`` over what a reader may see."""
+    return figure_search(acl.secured(figures, sources, who), query, terms, pages, limit)
+
+
+def figure_words(figures: DataFrame, terms: list[str], limit: int, documents: list[str] | None = None, pattern: str | None = None) -> DataFrame:
+    """Figures by how many of the words their description holds.
+
+    ``documents`` always holds; where no figure with a word matches ``pattern``,
+    the search runs again without it.
+    """
     hits = sum((F.col("description").rlike(text.whole_word(t)).cast("int") for t in terms), F.lit(0))
+    if documents is not None:
+        figures = figures.where(F.col("document").isin(documents))
+    if pattern is not None:
+        matching = figures.where(F.col("description").rlike(pattern))
+        figures = figures if matching.where(hits > 0).isEmpty() else matching
     return figures.withColumn("n_terms", hits).where("n_terms > 0").orderBy(F.desc("n_terms"), F.col("page").asc_nulls_last(), "id").limit(limit)
 
 
 def discriminating(rows: DataFrame, quota: float, cap: int) -> DataFrame:
     """Rows of the largest rarity if it tells rows apart, else those within ``quota`` of the best distance."""
-    whole = Window.partitionBy(F.lit(1))
-    marked = rows.withColumn("_best", F.max("rarity").over(whole)).withColumn("_least", F.min("rarity").over(whole)).withColumn("_near", F.min("distance").over(whole))
-    tells = (F.col("_best") > 0) & (F.col("_best") > F.col("_least"))
-    kept = F.when(tells, F.col("rarity") == F.col("_best")).otherwise(F.col("distance") <= F.col("_near") * (1 + quota))
-    return marked.where(kept).drop("_best", "_least", "_near").orderBy(F.col("distance").asc_nulls_last(), "id").limit(cap)
+    best, least, near = rows.agg(F.max("rarity"), F.min("rarity"), F.min("distance")).first()
+    if best is not None and best > 0 and best > least:
+        kept = F.col("rarity") == best
+    else:
+        kept = F.col("distance") <= F.lit(near) * (1 + quota)
+    return rows.where(kept).orderBy(F.col("distance").asc_nulls_last(), "id").limit(cap)
 
 
 def reranked(rows: DataFrame, order: DataFrame, limit: int) -> DataFrame:
@@ -127,22 +201,32 @@ def guarded_select(table: DataFrame, sources: DataFrame, who: acl.Principal, col
     """Rows for an untrusted author: one table, allow-listed columns, access filtered first, capped.
 
     The predicate meets only rows that passed the access filter, whatever its
-    operators; a column that isn't allowed raises ValueError.
+    operators, and only allowed columns and the id: selecting or filtering by
+    another column, source_id always among them, raises ValueError.
     """
-    refused = [c for c in columns if c not in allowed]
-    if refused or "source_id" in columns:
-        raise ValueError(f"columns not allowed: {', '.join(refused) or 'source_id'}")
-    rows = acl.secured(table, sources, who)
+    open_ = [c for c in table.columns if c in allowed and c != "source_id"]
+    if refused := [c for c in columns if c not in open_]:
+        raise ValueError(f"columns not allowed: {', '.join(refused)}")
+    # behind an alias no name or column of the whole table can be found
+    rows = acl.secured(table, sources, who).select("id", *[c for c in open_ if c != "id"]).alias("visible")
     if predicate is not None:
-        rows = rows.where(predicate)
+        try:
+            rows = rows.where(predicate)
+            rows.schema  # noqa: B018 (names are looked up now)
+        except AnalysisException as e:
+            raise ValueError(f"predicate not allowed: {e}") from None
     return rows.select("id", *columns).orderBy("id").limit(limit)
 
 
 def article_figures(articles: DataFrame, figures: DataFrame) -> DataFrame:
-    """The first figure on an article's page that names one of its codes: an equality join on page and code."""
-    a = articles.select(F.col("id").alias("article"), "page", F.explode(text.codes(F.col("content"))).alias("code"))
-    f = figures.select(F.col("id").alias("figure"), F.col("page").alias("f_page"), F.explode(text.codes(F.col("description"))).alias("f_code"))
-    return a.join(f, F.col("page").eqNullSafe(F.col("f_page")) & (F.col("code") == F.col("f_code"))).groupBy("article").agg(F.min("figure").alias("figure"))
+    """The first figure on an article's page that names one of its codes: an equality join on source, document, page and code."""
+    place = ("source_id", "document", "page")
+    a = articles.select(F.col("id").alias("article"), *place, F.explode(text.codes(F.col("content"))).alias("code"))
+    f = figures.select(F.col("id").alias("figure"), *[F.col(c).alias(f"f_{c}") for c in place], F.explode(text.codes(F.col("description"))).alias("f_code"))
+    same = F.col("code") == F.col("f_code")
+    for c in place:
+        same &= F.col(c).eqNullSafe(F.col(f"f_{c}"))
+    return a.join(f, same).groupBy("article").agg(F.min("figure").alias("figure"))
 
 
 def valid_citations(citations: DataFrame, pages: DataFrame) -> DataFrame:

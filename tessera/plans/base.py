@@ -24,7 +24,7 @@ SOURCES = """sources AS (SELECT id, CASE n % 4 WHEN 0 THEN ['all'] WHEN 1 THEN [
 ALLOWED = """allowed AS (SELECT id FROM sources WHERE list_has_any(acl_groups, ['all', 'sales', 'company-acme']) AND list_has_any(companies, ['acme']) AND state = 'active')"""
 CHUNKS = """chunks AS (SELECT doc_id AS id, source AS source_id, 'doc' || CAST(doc_id // 10 AS VARCHAR) AS document,
  CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 10 AS INTEGER) END AS page, coalesce(text, '') AS content, lang FROM documents)"""
-FIGURES = """figures AS (SELECT e.vec_id AS id, c.source_id, c.document, c.page, substr(c.content, 1, 200) AS description, CAST(e.embedding AS DOUBLE[]) AS embedding, e.label
+FIGURES = """figures AS (SELECT e.vec_id AS id, c.source_id, c.document, c.page, c.content AS description, CAST(e.embedding AS DOUBLE[]) AS embedding, e.label
  FROM embeddings e JOIN chunks c ON c.id = e.vec_id)"""
 VECTORS = """vectors AS (SELECT c.*, CAST(e.embedding AS DOUBLE[]) AS embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.id)"""
 QUERY_VECTOR = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
@@ -79,7 +79,7 @@ def with_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def figures(spark: SparkSession, folder: str) -> DataFrame:
     e = read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return chunks(spark, folder).join(e, "id").select("id", "source_id", "document", "page", F.substring("content", 1, 200).alias("description"), "embedding", "label")
+    return chunks(spark, folder).join(e, "id").select("id", "source_id", "document", "page", F.col("content").alias("description"), "embedding", "label")
 
 
 def query_vector(spark: SparkSession, folder: str) -> list[float]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import acl, text, vectors
-from tessera.operators import retrieval
+from tessera.operators import ingest, retrieval
 
 from .base import ALLOWED, CHUNKS, FIGURES, GROUPS, QUERY_VECTOR, SOURCES, TERMS, VECTORS, WHO, WORDS, chunks, figures, query, query_vector, read, sources, with_vectors
 
@@ -143,12 +143,12 @@ def acl_editable_sources(spark, d):
     return acl.editable(sources(spark, d), ["acme"]).select("id", "editable")
 
 
-@query("SELECT conv_id, list_aggregate(list_sort(list_distinct(list_transform(list_filter([role, 'company-' || role, 'company-acme'], lambda x: starts_with(x, 'company-')), lambda x: substr(x, 9)))), 'string_agg', ',') AS companies FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, list_aggregate(list_sort(list_distinct(list_transform(list_filter([role, 'company-' || role, 'company-acme'], lambda x: starts_with(x, 'company-')), lambda x: substr(x, 9)))), 'string_agg', ',') AS companies FROM conversations")
 def acl_companies_of_groups(spark, d):
     """Companies named by groups, each once."""
-    rows = read(spark, d, "conversations").where("turn = 0")
+    rows = read(spark, d, "conversations")
     groups = F.array(F.col("role"), F.concat(F.lit("company-"), F.col("role")), F.lit("company-acme"))
-    return rows.select("conv_id", F.array_join(acl.companies_column(groups), ",").alias("companies"))
+    return rows.select("conv_id", "turn", F.array_join(acl.companies_column(groups), ",").alias("companies"))
 
 
 @query("SELECT * FROM (VALUES ('ann', 'sources', 'M'), ('ann', 'audit', 'L'), ('bob', 'sources', 'L'), ('cy', 'audit', 'M'), ('cy', 'system', 'M')) t(user_name, area, level)")
@@ -169,8 +169,8 @@ def guarded_select(spark, d):
 @query("SELECT count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM chunks WHERE source_id IN (SELECT id FROM allowed)", SOURCES, ALLOWED, CHUNKS)
 def secure_view_sql(spark, d):
     """Plain SQL on access-filtered views."""
-    acl.secure_views({"visible_chunks": chunks(spark, d)}, sources(spark, d), WHO)
-    return spark.sql("SELECT count(*) AS n, sum(length(content)) AS n_chars FROM visible_chunks")
+    own = acl.secure_session(spark, {"visible_chunks": lambda s: chunks(s, d)}, lambda s: sources(s, d), WHO)
+    return own.sql("SELECT count(*) AS n, sum(length(content)) AS n_chars FROM visible_chunks")
 
 
 @query("SELECT id, length(content) AS n_chars FROM chunks WHERE contains(lower(content), 'worthless') ORDER BY length(content), document, page NULLS LAST, id LIMIT 25", CHUNKS)
@@ -222,7 +222,7 @@ def figure_words(spark, d):
 @query("SELECT count(*) AS n FROM figures WHERE NOT regexp_matches(description, '(?i)logo|brand|qr code|barcode|##')", CHUNKS, FIGURES)
 def figure_stop_filter(spark, d):
     """Figures that aren't marks or labels."""
-    return figures(spark, d).where(~F.col("description").rlike("(?i)logo|brand|qr code|barcode|##")).agg(F.count(F.lit(1)).alias("n"))
+    return figures(spark, d).where(~ingest.is_mark(F.col("description"))).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT id, distance FROM vec", CHUNKS, VECTORS, _nearest_sql("vec", "vectors", 8))
@@ -297,8 +297,8 @@ def merged_rows(spark, d):
 
 @query("SELECT document, count(*) AS n, min(rank) AS best FROM vec JOIN chunks USING (id) GROUP BY document", CHUNKS, VECTORS, _nearest_sql("vec", "vectors", 1000000000))
 def rank_diagnosis(spark, d):
-    """Absolute ranks by distance of each document's rows: counts of nearer rows, by a sort over all."""
-    rows = vectors.nearest(with_vectors(spark, d), query_vector(spark, d), 2147483632)
+    """Absolute ranks by distance of each document's rows."""
+    rows = vectors.ranked(with_vectors(spark, d), query_vector(spark, d))
     return rows.groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("rank").cast("long")).alias("best"))
 
 
@@ -310,14 +310,13 @@ def query_expansion(spark, d):
     return chunks(spark, d).where(F.col("content").rlike(p)).agg(F.lit(q).alias("q"), F.lit(p).alias("p"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT a.p_partkey AS article, min(f.p_partkey) AS figure FROM part a JOIN part f ON f.p_partkey % 10 = 1 AND (f.p_partkey // 100) % 20 = (a.p_partkey // 100) % 20 AND f.p_size % 7 = a.p_size % 7 WHERE a.p_partkey % 10 = 0 GROUP BY 1""")
+@query("""SELECT a.p_partkey AS article, min(f.s_suppkey) AS figure FROM part a JOIN supplier f ON f.s_suppkey % 3 = a.p_size % 3 AND f.s_nationkey = a.p_partkey % 25 AND f.s_suppkey % 20 = (a.p_partkey // 100) % 20 AND f.s_suppkey % 7 = a.p_size % 7 GROUP BY 1""")
 def article_figures(spark, d):
-    """Figures of the same page that name an article's code."""
-    p = read(spark, d, "part")
-    page = (F.floor(F.col("p_partkey") / 100) % 20).cast("int")
-    code = F.concat(F.lit("AB"), (F.col("p_size") % 7).cast("string"))
-    articles = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), page.alias("page"), F.concat(F.lit("item "), code, F.lit(", oak")).alias("content"))
-    shown = p.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("id"), page.alias("page"), F.concat(F.lit("photo of "), code).alias("description"))
+    """Figures of the same source, document and page that name an article's code."""
+    text_of = lambda n: F.concat(F.lit("AB"), (F.col(n) % 7).cast("string"))
+    source = lambda n: F.concat(F.lit("src"), (F.col(n) % 3).cast("string")).alias("source_id")
+    articles = read(spark, d, "part").select(F.col("p_partkey").alias("id"), source("p_size"), (F.col("p_partkey") % 25).cast("string").alias("document"), (F.floor(F.col("p_partkey") / 100) % 20).cast("int").alias("page"), F.concat(F.lit("item "), text_of("p_size"), F.lit(", oak")).alias("content"))
+    shown = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), source("s_suppkey"), F.col("s_nationkey").cast("string").alias("document"), (F.col("s_suppkey") % 20).cast("int").alias("page"), F.concat(F.lit("photo of "), text_of("s_suppkey")).alias("description"))
     return retrieval.article_figures(articles, shown)
 
 
@@ -355,6 +354,7 @@ def ablation(spark, d):
 @query("SELECT CAST(len(embedding) AS INTEGER) AS dimensions, count(*) AS n FROM embeddings GROUP BY 1")
 def index_canary(spark, d):
     """One dimension in the whole index, else writes are blocked."""
+    ingest.one_dimension(read(spark, d, "embeddings"))
     return read(spark, d, "embeddings").groupBy(F.size("embedding").alias("dimensions")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -370,14 +370,58 @@ def trace_feedback(spark, d):
     """Traces with the feedback on their message."""
     e = read(spark, d, "events")
     f = e.where("event_type = 'click'").select((F.col("event_id") - 1).alias("event_id"), F.col("event_type").alias("feedback"))
-    return e.where("event_type = 'view'").select("event_id").join(f, "event_id")
+    return retrieval.with_feedback(e.where("event_type = 'view'").select("event_id"), f, "event_id")
 
 
 @query("SELECT id FROM chunks WHERE lang IN ('de', 'fr') AND page = 4", CHUNKS)
 def optional_filters(spark, d):
     """Filters that are given apply; those that are null don't exist."""
-    rows = chunks(spark, d)
-    for column, values in {"lang": ["de", "fr"], "page": [4], "document": None}.items():
-        if values is not None:
-            rows = rows.where(F.col(column).isin(values))
-    return rows.select("id")
+    return retrieval.filtered(chunks(spark, d), {"lang": ["de", "fr"], "page": [4], "document": None}).select("id")
+
+
+@query("SELECT count(*) AS n FROM chunks WHERE source_id IN (SELECT id FROM allowed)", SOURCES, ALLOWED, CHUNKS)
+def guard_refusals(spark, d):
+    """An author's predicate on a column that isn't allowed is refused, whatever it would find; two readers keep views of their own."""
+    c, s = chunks(spark, d), sources(spark, d)
+    for hidden in (F.col("source_id") == "src0", c["source_id"] == "src0", F.col("lang") == "en", F.expr("length(source_id) > 0")):
+        try:
+            retrieval.guarded_select(c, s, WHO, ["document"], {"document", "page", "content"}, hidden)
+        except ValueError:
+            continue
+        raise AssertionError("a hidden column was filtered")
+    own = acl.secure_session(spark, {"mine": lambda x: chunks(x, d)}, lambda x: sources(x, d), WHO)
+    acl.secure_session(spark, {"mine": lambda x: chunks(x, d)}, lambda x: sources(x, d), acl.Principal.of(["tech", "company-borea"]))
+    return own.sql("SELECT count(*) AS n FROM mine")
+
+
+@query("SELECT id, rarity, distance FROM scored WHERE id IN (SELECT id FROM figures WHERE source_id IN (SELECT id FROM allowed)) ORDER BY rarity DESC, distance NULLS LAST, page NULLS LAST, id LIMIT 20", SOURCES, ALLOWED, CHUNKS, FIGURES, FIGURE_SQL)
+def figure_search_secured(spark, d):
+    """Figures with a vector that a reader may see, by rarity, then distance."""
+    return retrieval.secured_figure_search(figures(spark, d), sources(spark, d), WHO, query_vector(spark, d), [("the", 1.0), ("clown", 4.0)], None, 20).select("id", "rarity", "distance")
+
+
+@query(r"SELECT id, n_terms FROM (SELECT id, page, document, CAST(regexp_matches(description, '(?i)\bthe\b') AS INTEGER) + CAST(regexp_matches(description, '(?i)\bwith\b') AS INTEGER) AS n_terms FROM figures WHERE page < 5) WHERE n_terms > 0 ORDER BY n_terms DESC, page NULLS LAST, id LIMIT 30", CHUNKS, "figures AS (SELECT e.vec_id AS id, c.document, c.page, c.content AS description FROM embeddings e JOIN chunks c ON c.id = e.vec_id WHERE c.document IN ('doc1', 'doc2', 'doc3', 'doc4', 'doc5'))".replace("description FROM", "description FROM"))
+def figure_words_constrained(spark, d):
+    """Words of figures in named documents; a constraint that nothing meets is given up."""
+    f = figures(spark, d).where("page < 5")
+    return retrieval.figure_words(f, ["the", "with."], 30, documents=["doc1", "doc2", "doc3", "doc4", "doc5"], pattern="no figure holds this").select("id", "n_terms")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY pos NULLS LAST, points DESC, id) AS place FROM (SELECT id, CASE WHEN id % 3 = 0 THEN id % 7 END AS pos, max(points) AS points FROM (SELECT id, -rank AS points FROM vec UNION ALL SELECT id, -rank FROM lex) GROUP BY id)", CHUNKS, VECTORS, TERM_SQL, DF_SQL, WEIGHT_SQL, _nearest_sql("vec", "vectors", 20), _lexical_sql("lex", "chunks", 20).replace("count(*)", "count(*)"))
+def search_rounds(spark, d):
+    """Rows of two rounds united by id, then in an outside order."""
+    c = chunks(spark, d)
+    frequencies, total = _frequencies(spark, d)
+    best = lambda rows: rows.select("id", (-F.col("rank")).alias("points"))
+    one = best(vectors.nearest(with_vectors(spark, d), query_vector(spark, d), 20))
+    two = best(retrieval.lexical_branch(c, frequencies, total, TERMS, 20, DIVISOR))
+    order = c.where("id % 3 = 0").select("id", (F.col("id") % 7).alias("position"))
+    rows = retrieval.rounds_united([one, two], order, 100)
+    return rows.select("id", F.row_number().over(Window.orderBy(F.col("position").asc_nulls_last(), F.desc("points"), "id")).cast("long").alias("place"))
+
+
+@query("SELECT id, false AS judged FROM vec", CHUNKS, VECTORS, _nearest_sql("vec", "vectors", 8))
+def neighbours_of_nothing(spark, d):
+    """A filter that finds nothing gives the nearest rows, marked as not judged."""
+    c = with_vectors(spark, d)
+    return retrieval.or_neighbours(c.where("content = 'no such text'"), c, query_vector(spark, d), 8).select("id", "judged")

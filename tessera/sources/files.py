@@ -27,11 +27,18 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    """Semicolons and a header, structures as JSON."""
+    """Semicolons, a header that begins with a byte-order mark, so that spreadsheets read UTF-8, and structures as JSON."""
     flat = rows.select(*[F.to_json(c).alias(c) if rows.schema[c].dataType.typeName() in ("struct", "array", "map") else F.col(c) for c in rows.columns])
+    flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0])
     flat.write.mode("errorifexists").option("sep", ";").option("header", "true").csv(path)
 
 
+def chunks_under_headings(rows: DataFrame) -> DataFrame:
+    """Chunks of a layout reader (headings array, text, pages array) as pieces: the headings' path, then the text, on the first page."""
+    path = F.array_join(F.filter("headings", lambda h: F.trim(h) != ""), " > ")
+    return rows.withColumn("piece", F.concat_ws("\n", F.when(path != "", path), F.col("text"))).withColumn("page", F.get("pages", 0)).drop("headings", "text", "pages")
+
+
 def write_snapshot(rows: DataFrame, path: str, day: str = "day") -> None:
     """Replace the days that ``rows`` holds, and leave the others."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)

@@ -1,6 +1,7 @@
 """Rules of access, history, ingestion, pieces and anomalies on fixed cases and random rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,8 +17,26 @@ CHUNKS = "id long, source_id string, document string, page int, content string,
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    s = spark.createDataFrame([("manuals", ["all"], ["luna"], "active"), ("prices", ["sales", "board"], ["luna"], "active"), ("held", ["all"], ["luna"], "suspended"), ("other", ["all"], ["sole"], "active"), ("odd", ["all", None], ["luna"], "active")], SOURCES)
-    c = spark.createDataFrame([(1, "manuals", "m", 12, "Warranty of series X: 100% two_years", [1.0, 0.0]), (2, "prices", "p", 3, "Discount of series X", [0.9, 0.1]), (3, "held", "h", 1, "Warranty of series X", [1.0, 0.0]), (4, "other", "o", 1, "Warranty of series X", [1.0, 0.0]), (5, "odd", "m", None, "series Y", None)], CHUNKS)
+    s = spark.createDataFrame(
+        [
+            ("tides", ["crew"], ["north"], "active"),  # read by all crew
+            ("ledger", ["clerks", "captains"], ["north"], "active"),  # by two groups
+            ("drafts", ["crew"], ["north"], "waiting"),  # not released
+            ("abroad", ["crew"], ["south"], "active"),  # of another fleet
+            ("notes", ["crew", None], ["north"], "active"),  # a null among its groups
+        ],
+        SOURCES,
+    )
+    c = spark.createDataFrame(
+        [
+            (1, "tides", "almanac", 40, "High water at pier 9 is 75% of spring_tide", [0.0, 1.0]),
+            (2, "ledger", "tolls", 2, "Toll for ships at the pier", [0.1, 0.9]),
+            (3, "drafts", "plan", 7, "A longer pier for the ferry", [0.0, 1.0]),
+            (4, "abroad", "harbour", 7, "High water at the stone pier", [0.0, 1.0]),
+            (5, "notes", "almanac", None, "No ferry; the pier is closed", None),
+        ],
+        CHUNKS,
+    )
     return s, c
 
 
@@ -27,21 +46,21 @@ def ids(df):
 
 def test_access_decides_inside_the_query(spark, tables):
     s, c = tables
-    seller = acl.Principal.of(["sales", "company-luna"])
-    everyone = acl.Principal.of(["all", "company-luna"])
-    assert ids(acl.secured(c, s, seller)) == [2] and ids(acl.secured(c, s, everyone)) == [1, 5]
-    assert ids(acl.secured(c, s, acl.Principal.of(["all"]))) == [] and ids(acl.secured(c, s, acl.Principal((), ("luna",)))) == []
+    clerk = acl.Principal.of(["clerks", "company-north"])
+    sailor = acl.Principal.of(["crew", "company-north"])
+    assert ids(acl.secured(c, s, clerk)) == [2] and ids(acl.secured(c, s, sailor)) == [1, 5]
+    assert ids(acl.secured(c, s, acl.Principal.of(["crew"]))) == [] and ids(acl.secured(c, s, acl.Principal((), ("north",)))) == []
     df = text.document_frequency(c)
-    rows, degraded = retrieval.hybrid_search(c, s, df, c.count(), everyone, "series x", [1.0, 0.0], divisor=1)
+    rows, degraded = retrieval.hybrid_search(c, s, df, c.count(), sailor, "which pier", [0.0, 1.0], divisor=1)
     assert not degraded and set(ids(rows)) <= {1, 5}
-    rows, degraded = retrieval.hybrid_search(c, s, df, c.count(), everyone, "series x", None, divisor=1)
+    rows, degraded = retrieval.hybrid_search(c, s, df, c.count(), sailor, "which pier", None, divisor=1)
     assert degraded and ids(rows) == [1, 5]
 
 
 def test_more_groups_never_show_less(tables):
     s, c = tables
     groups, seen = [], set()
-    for g in ("company-luna", "all", "sales", "company-sole"):
+    for g in ("company-north", "crew", "clerks", "company-south"):
         groups.append(g)
         now = set(ids(acl.secured(c, s, acl.Principal.of(groups))))
         assert seen <= now
@@ -50,27 +69,35 @@ def test_more_groups_never_show_less(tables):
 
 def test_guard(spark, tables):
     s, c = tables
-    who = acl.Principal.of(["all", "company-luna"])
+    who = acl.Principal.of(["crew", "company-north"])
     allowed = {"document", "page", "content"}
-    rows = retrieval.guarded_select(c, s, who, ["document"], allowed, (F.col("page") == 12) | F.lit(True))
+    rows = retrieval.guarded_select(c, s, who, ["document"], allowed, (F.col("page") == 40) | F.lit(True))
     assert ids(rows) == [1, 5]
     for columns in (["embedding"], ["source_id"]):
         with pytest.raises(ValueError):
             retrieval.guarded_select(c, s, who, columns, allowed | {"source_id"} - {"embedding"})
-    acl.secure_views({"v_chunks": c}, s, who)
-    assert spark.sql("select a.id from v_chunks a, v_chunks b where a.id = 4 or b.id = 3 or true").distinct().count() == 2
+    for hidden in (F.col("source_id") == "tides", c["source_id"] == "tides", F.size("embedding") > 0, F.expr("source_id like 't%'")):
+        with pytest.raises(ValueError):
+            retrieval.guarded_select(c, s, who, ["document"], allowed, hidden)
+    rows_of = lambda x: spark.createDataFrame(c.collect(), CHUNKS) if x is spark else x.createDataFrame(c.collect(), CHUNKS)
+    sources_of = lambda x: x.createDataFrame(s.collect(), SOURCES)
+    sailor = acl.secure_session(spark, {"visible": rows_of}, sources_of, who)
+    clerk = acl.secure_session(spark, {"visible": rows_of}, sources_of, acl.Principal.of(["clerks", "company-north"]))
+    sql = "select a.id from visible a, visible b where a.id = 4 or b.id = 3 or true"
+    assert ids(sailor.sql(sql).distinct()) == [1, 5] and ids(clerk.sql(sql).distinct()) == [2]
+    assert not spark.catalog.tableExists("visible")
 
 
 def test_literal_search_has_no_wildcards(tables):
     _, c = tables
-    assert ids(retrieval.exact_search(c, "100%", 9)) == [1] and ids(retrieval.exact_search(c, "two_years", 9)) == [1] and ids(retrieval.exact_search(c, "two%years", 9)) == []
+    assert ids(retrieval.exact_search(c, "75%", 9)) == [1] and ids(retrieval.exact_search(c, "spring_tide", 9)) == [1] and ids(retrieval.exact_search(c, "spring%tide", 9)) == []
 
 
 def test_constraint_is_soft_and_documents_hard(tables):
     s, c = tables
-    who, df = acl.Principal.of(["all", "company-luna"]), text.document_frequency(c)
-    find = lambda **k: ids(retrieval.hybrid_search(c, s, df, c.count(), who, "series", None, divisor=1, **k)[0])
-    assert find(pattern="(?i)warranty") == [1] and find(pattern="nothing like it") == [1, 5] and find(documents=["zzz"]) == []
+    who, df = acl.Principal.of(["crew", "company-north"]), text.document_frequency(c)
+    find = lambda **k: ids(retrieval.hybrid_search(c, s, df, c.count(), who, "pier", None, divisor=1, **k)[0])
+    assert find(pattern="(?i)high water") == [1] and find(pattern="nothing like it") == [1, 5] and find(documents=["zzz"]) == []
 
 
 def test_vectors(spark):
@@ -122,6 +149,10 @@ def test_hash_and_checks(spark):
     assert history.nonconforming({"a", "iban"}, {"a"}, {"iban"}) == ["iban"]
     bad = spark.createDataFrame([("1", "c", "n", "h", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3), False), ("1", "c", "n", "h", dt.datetime(2024, 1, 2), None, False)], HISTORY)
     assert history.broken_intervals(bad).count() == 1
+    inside = spark.createDataFrame([("1", "c", "n", "h", dt.datetime(2024, 1, a), dt.datetime(2024, 1, b), False) for a, b in ((1, 9), (2, 3), (4, 5), (9, 10))], HISTORY)
+    assert history.broken_intervals(inside).count() == 2
+    ties = spark.createDataFrame([("1", 1, v) for v in "abcdef"], "id string, at int, v string")
+    assert len({history.last_wins(ties.repartition(n), "id", "at").first()["v"] for n in (1, 2, 5)}) == 1
 
 
 def test_differences(spark):
@@ -151,21 +182,75 @@ def test_files_in_and_out(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
     files.export_csv(day.withColumn("s", F.struct("n")).coalesce(1), str(tmp_path / "csv"))
     assert spark.read.option("sep", ";").option("header", "true").csv(str(tmp_path / "csv")).columns == ["day", "n", "s"]
+    (part,) = (tmp_path / "csv").glob("part-*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfday;n;s")
+    read = spark.createDataFrame([(["A", " ", "b"], "text", [4, 5]), ([], "alone", [])], "headings array<string>, text string, pages array<int>")
+    assert [tuple(r) for r in files.chunks_under_headings(read).collect()] == [("A > b\ntext", 4), ("alone", None)]
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 3)), (3, None)], "id long, modified_at timestamp")
     assert ids(connectors.extracted(rows, "c", "2024-01-02 00:00:00")) == [2, 3]
 
 
 def test_pieces():
-    assert chunking.merged([("Title", 1), ("line one", 1), ("line two", 2), ("  ", 2)]) == [("Title\nline one", 1), ("line two", 2)]
-    got = chunking.merged([("Shelf system", 7), ("Sturdy oak shelves", 7), ("AB100 oak", 7), ("AB200 pine", 7), ("noise", 7)])
-    assert [t for t, _ in got] == ["Shelf system\nSturdy oak shelves", "Shelf system\nAB100 oak", "Shelf system\nAB200 pine", "noise"]
+    assert chunking.merged([("Harbour rules", 1), ("line  one", 1), ("line two", 2), ("  ", 2), (None, 2)]) == [("Harbour rules\nline one", 1), ("line two", 2)]
+    got = chunking.merged([("Rope, sold by metre", 7), ("Sturdy hemp rope", 7), ("RP100 hemp", 7), ("RP200 flax", 7), ("noise", 7)])
+    assert [t for t, _ in got] == ["Rope, sold by metre\nSturdy hemp rope", "Rope, sold by metre | RP100 hemp", "Rope, sold by metre | RP200 flax", "noise"]
+    got = chunking.merged([("RP100 hemp", 3), ("t" * 250, 3)])
+    assert got[0][0] == "t" * 200 + " | RP100 hemp" and got[1][0] == "t" * 250
+    assert chunking.merged([("ISO 9001 asks for a yearly look at the rules", 1)]) == [("ISO 9001 asks for a yearly look at the rules", 1)]
     assert all(len(t) <= chunking.MOST for t, _ in chunking.merged([("w" * 5000, 1), ("x " * 3000, 2)]))
-    md = "# Chairs\nfor gardens\n\n- red\n- blue\n- green\n---\n| a | b |\n|---|---|\n| 1 | 2 |\n\nSome prose\nmore"
-    assert chunking.markdown_pieces(md) == ["Chairs for gardens | red", "Chairs for gardens | blue", "Chairs for gardens | green", "Chairs for gardens\n| a | b |\n|---|---|\n| 1 | 2 |", "Chairs for gardens\nSome prose\nmore"]
+    md = "# Buoys\nfor rivers\n\n- red\n- blue\n- green\n---\n| a | b |\n|---|---|\n| 1 | 2 |\n\nSome prose\nmore"
+    assert chunking.markdown_pieces(md) == ["Buoys for rivers | red", "Buoys for rivers | blue", "Buoys for rivers | green", "Buoys for rivers\n| a | b |\n|---|---|\n| 1 | 2 |", "Buoys for rivers\nSome prose\nmore"]
     big = "# T\n| h |\n|---|\n" + "\n".join(f"| row {i} {'x' * 40} |" for i in range(60))
     pieces = chunking.markdown_pieces(big)
-    assert len(pieces) == 60 and all(p.startswith("T\n| h |\n| row") for p in pieces)
+    assert len(pieces) == 60 and all(p.startswith("T | | h | | | row") for p in pieces)
     assert chunking.markdown_pieces("```\n---\n```") == [] and chunking.markdown_pieces(None) == []
+    words = " ".join(f"w{i}" for i in range(400))
+    assert sum(p.count("w") for p in chunking.markdown_pieces(f"# head\n{words}")) >= 400 and chunking.markdown_pieces("# only\n## heads") == ["only", "heads"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pages_lose_no_word(seed):
+    """Every word of a page but fences and rules is in a piece, and all but those of titles and headers in one only."""
+    rng = random.Random(seed)
+    kinds = ["# {}", "{}", "- {}", "| {} | {} |", "", "---", "{} {} {}", "{} " * 150, "## {} {}"]
+    n, lines = 0, []
+    for _ in range(rng.randrange(1, 40)):
+        line = rng.choice(kinds)
+        k = line.count("{}")
+        lines.append(line.format(*[f"w{n + i}q" for i in range(k)]))
+        n += k
+    pieces = chunking.markdown_pieces("\n".join(lines))
+    assert all(any(f"w{i}q" in p for p in pieces) for i in range(n)) and all(len(p) <= chunking.MOST + 300 for p in pieces)
+    merged = chunking.merged([(x, i % 2) for i, x in enumerate(lines)])
+    assert all(any(f"w{i}q" in p for p, _ in merged) for i in range(n)) and all(len(p) <= chunking.MOST for p, _ in merged)
+
+
+def test_texts_are_folded_where_they_are(spark):
+    rows = [("a", 1, "Rope by the metre, plain\nRP100 hemp\n\nmore"), ("b", None, None), ("c", 2, "x " * 4000)]
+    out = chunking.merge_texts(spark.createDataFrame(rows, "document string, page int, content string"))
+    got = {d: [p for k, p in sorted((r["ord"], r["piece"]) for r in out.collect() if r["document"] == d)] for d in "abc"}
+    assert got["a"] == ["Rope by the metre, plain", "Rope by the metre, plain | RP100 hemp", "more"] and got["b"] == []
+    assert "Exchange" not in out._jdf.queryExecution().toString() and sum(p.count("x") for p in got["c"]) == 4000
+
+
+def test_ranks_of_all_rows(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.random(), float(rng.randrange(3))] if i % 9 else None) for i in range(700)] + [(900 + i, [1.0, 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = {r["id"]: r["rank"] for r in vectors.ranked(df, [1.0, 0.5], ranges=16).collect()}
+    want = {r["id"]: r["rank"] for r in vectors.nearest(df, [1.0, 0.5], 1000).collect()}
+    assert got == want and vectors.ranked(df.limit(0), [1.0, 0.5]).collect() == []
+
+
+def test_stored_frequencies(spark, tables, tmp_path):
+    _, c = tables
+    path = str(tmp_path / "words")
+    assert retrieval.stored_frequencies(c, path, False).where("word = 'pier'").first()["n_chunks"] == 5
+    more = c.unionByName(c.withColumn("id", F.col("id") + 10))
+    assert retrieval.stored_frequencies(more, path, False).where("word = 'pier'").first()["n_chunks"] == 5
+    assert retrieval.stored_frequencies(more, path, True).where("word = 'pier'").first()["n_chunks"] == 10
+    with pytest.raises(ValueError):
+        ingest.one_dimension(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<double>"))
 
 
 SIGNALS = "fingerprint string, at timestamp, kind string, until timestamp, seq long"
