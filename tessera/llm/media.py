@@ -1,8 +1,8 @@
 """Media columns: read ISO base media containers without decoding payloads.
 
 ``parse_container`` walks the nested boxes of one container, decodes the sample
-tables of each track and gives codec, duration and the byte ranges of key
-frames. ``media_columns`` applies it to a binary column. ``pack_samples`` writes
+tables of each track (and the runs of movie fragments) and gives codec, duration
+and the byte ranges of key frames. ``media_columns`` applies it to a binary column. ``pack_samples`` writes
 a payload losslessly as fixed-size 8-bit samples of one track.
 
 Defined results: a null or empty blob, or one that is no container, has
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_bytes, written
+from .shared import fresh, table, text_bytes, written
 
 #: Fixed values of the format: boxes that hold boxes, and the bytes before them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"udta": 0}
@@ -73,7 +73,9 @@ def _track(blob: bytes, at: int, end: int) -> dict | None:
     handler = _one(blob, (b"mdia", b"hdlr"), at, end)
     boxes = {kind: b for kind, b, _ in walk(blob, *stbl)}
     number = lambda kind, skip=4: struct.unpack_from(">I", blob, boxes[kind] + skip)[0] if kind in boxes else 0
+    ident = _one(blob, (b"tkhd",), at, end)
     out = {
+        "id": struct.unpack_from(">I", blob, ident[0] + (20 if blob[ident[0]] == 1 else 12))[0] if ident else 0,
         "codec": blob[boxes[b"stsd"] + 12 : boxes[b"stsd"] + 16].decode("latin-1") if number(b"stsd") else "",
         "handler": blob[handler[0] + 8 : handler[0] + 12].decode("latin-1") if handler else "",
         "timescale": scale,
@@ -112,6 +114,53 @@ def _track(blob: bytes, at: int, end: int) -> dict | None:
     return out | {"offsets": offsets, "sizes": sizes[:n], "key": key, "media_time": int((times[:, 0] * times[:, 1]).sum())}
 
 
+def _add_fragments(blob: bytes, moov: tuple[int, int], tracks: list[dict]) -> None:
+    """Append the samples of movie fragments to their tracks."""
+    word = lambda at: struct.unpack_from(">I", blob, at)[0]
+    usual = {word(b + 4): (word(b + 12), word(b + 16), word(b + 20)) for b, _ in find(blob, (b"mvex", b"trex"), *moov)}
+    by_id = {t["id"]: t for t in tracks}
+    for kind, begin, end in walk(blob):
+        if kind != b"moof":
+            continue
+        moof = begin - 8 if word(begin - 8) != 1 or blob[begin - 12 : begin - 8] != b"moof" else begin - 16
+        for b, e in find(blob, (b"traf",), begin, end):
+            head = _one(blob, (b"tfhd",), b, e)
+            track = by_id.get(word(head[0] + 4)) if head else None
+            if track is None:
+                continue
+            # optional fields follow in this order, each if its flag is set
+            flags, at, base = word(head[0]) & 0xFFFFFF, head[0] + 8, moof
+            span, size, mark = usual.get(track["id"], (0, 0, 0))
+            if flags & 1:
+                base, at = struct.unpack_from(">Q", blob, at)[0], at + 8
+            at += 4 if flags & 2 else 0
+            if flags & 8:
+                span, at = word(at), at + 4
+            if flags & 16:
+                size, at = word(at), at + 4
+            if flags & 32:
+                mark = word(at)
+            place = base
+            for t, _ in find(blob, (b"trun",), b, e):
+                flags, n, at = word(t) & 0xFFFFFF, word(t + 4), t + 8
+                if flags & 1:
+                    place, at = base + struct.unpack_from(">i", blob, at)[0], at + 4
+                first = None
+                if flags & 4:
+                    first, at = word(at), at + 4
+                given = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+                rows = _ints(blob, at, n * len(given), ">u4").reshape(n, len(given))
+                own = lambda f, default: rows[:, given.index(f)] if f in given else np.full(n, default, np.int64)
+                spans, sizes, marks = own(0x100, span), own(0x200, size), own(0x400, mark)
+                if first is not None and n:
+                    marks = np.append(first, marks[1:])
+                offsets = place + np.cumsum(sizes) - sizes
+                place += int(sizes.sum())
+                track["key"] = np.append(track["key"], len(track["offsets"]) + np.flatnonzero((marks & 0x10000) == 0))
+                track["offsets"], track["sizes"] = np.append(track["offsets"], offsets), np.append(track["sizes"], sizes)
+                track["media_time"] += int(spans.sum())
+
+
 def parse_container(blob: bytes) -> tuple[list[dict], str]:
     """The tracks of a container, and what is wrong with it ('' if nothing)."""
     if not blob:
@@ -121,6 +170,7 @@ def parse_container(blob: bytes) -> tuple[list[dict], str]:
         return [], "no moov box"
     try:
         tracks = [t for at in find(blob, (b"trak",), *moov) if (t := _track(blob, *at))]
+        _add_fragments(blob, moov, tracks)
     except (struct.error, ValueError, IndexError, KeyError) as e:
         return [], f"broken sample table: {type(e).__name__}"
     return tracks, "" if tracks else "no track"
@@ -177,37 +227,38 @@ def pack_samples(payload: bytes) -> bytes:
     return ftyp + moov(head) + _box(b"mdat", payload)
 
 
-FIELDS = "n_tracks int, codec string, duration_s double, n_samples long, n_keyframes long, keyframes array<struct<start: long, length: long>>, problem string"
-_KEYS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+TRACK = "codec string, handler string, duration_s double, n_samples long, n_keyframes long, keyframes array<struct<start: long, length: long>>"
+FIELDS = f"n_tracks int, tracks array<struct<{TRACK}>>, problem string"
 
 
 def media_columns(df: DataFrame, blob: str = "media") -> DataFrame:
-    """Add a struct column ``container`` (fields of ``FIELDS``) for the first track of each blob; all other columns stay as they are."""
+    """Add a struct column ``container`` (fields of ``FIELDS``, a struct for each track); all other columns stay as they are.
+
+    Where ``df`` has a column of that name, the new one is ``_container``.
+    """
+    ranges = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    track = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", ranges)])
+    kind = pa.struct([("n_tracks", pa.int32()), ("tracks", pa.list_(track)), ("problem", pa.string())])
+
+    def described(t: dict) -> dict:
+        # files in fragments say how long they are by their samples alone
+        duration = t["duration"] or t["media_time"]
+        keys = [{"start": int(t["offsets"][k]), "length": int(t["sizes"][k])} for k in t["key"]]
+        return {"codec": t["codec"], "handler": t["handler"], "duration_s": duration / t["timescale"] if t["timescale"] else None, "n_samples": len(t["offsets"]), "n_keyframes": len(keys), "keyframes": keys}
 
     def read(batches):
         for batch in batches:
             rows = []
             for raw in batch.column(0).to_pylist():
                 tracks, problem = parse_container(raw or b"")
-                t = tracks[0] if tracks else None
-                rows.append(
-                    {
-                        "n_tracks": len(tracks),
-                        "codec": t["codec"] if t else None,
-                        "duration_s": t["duration"] / t["timescale"] if t and t["timescale"] else None,
-                        "n_samples": len(t["offsets"]) if t else 0,
-                        "n_keyframes": len(t["key"]) if t else 0,
-                        "keyframes": [{"start": int(t["offsets"][k]), "length": int(t["sizes"][k])} for k in t["key"]] if t else [],
-                        "problem": problem,
-                    }
-                )
-            kind = pa.struct([("n_tracks", pa.int32()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", _KEYS), ("problem", pa.string())])
+                rows.append({"n_tracks": len(tracks), "tracks": [described(t) for t in tracks], "problem": problem})
             yield pa.RecordBatch.from_arrays([pa.array(rows, kind), batch.column(1)], ["container", "kept"])
 
+    (name,) = fresh(df, "container")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     kept = df.select(F.col(f"`{blob}`").cast("binary").alias("media"), row.alias("kept"))
     out = kept.mapInArrow(read, f"container struct<{FIELDS}>, kept {kept.schema['kept'].dataType.simpleString()}")
-    return out.select("kept.*", "container")
+    return out.select("kept.*", F.col("container").alias(name))
 
 
 def store_documents(docs: DataFrame) -> DataFrame:

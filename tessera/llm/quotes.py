@@ -130,6 +130,20 @@ def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+def quoting_conversations(conversations: DataFrame) -> DataFrame:
+    """The conversations as a mailing list would have them: each turn quotes the one before, and below it the one before that."""
+    said = conversations.groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("said"))
+    before = lambda n: said.select("conv_id", (F.col("turn") + n).alias("turn"), F.regexp_replace("said", r"\r\n?", "\n").alias(f"said{n}"))
+    rows = conversations.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
+    quoted = lambda n: F.concat(F.lit(f"A{n} wrote:\n"), F.lit("> " * n), F.regexp_replace(f"said{n}", "\n", "\n" + "> " * n), F.lit("\n"))
+    return rows.select("conv_id", "turn", "role", F.concat_ws("", quoted(2), quoted(1), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, threads and unquoted texts of conversations that quote by a fixed rule."""
+    return reply_ordered(quoting_conversations(table(spark, sf_dir, "conversations")))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE
 m AS (SELECT row_number() OVER () AS r, CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role,
@@ -174,3 +188,10 @@ SELECT own.conv_id, own.turn, own.role, link.sc AS parent_conv, link.st AS paren
 FROM own LEFT JOIN link ON link.conv_id = own.conv_id AND link.turn = own.turn
 LEFT JOIN root ON root.conv_id = own.conv_id AND root.turn = own.turn LEFT JOIN nq ON nq.r = own.r
 """
+
+QUOTING_SQL = ORACLE_SQL.replace("FROM conversations)", "FROM quoting)").replace("WITH RECURSIVE", r"""WITH RECURSIVE
+said AS (SELECT conv_id, turn, regexp_replace(min(coalesce(text, '')), '\r\n?', chr(10), 'g') AS said FROM conversations GROUP BY conv_id, turn),
+quoting AS (SELECT c.conv_id, c.turn, c.role,
+  coalesce('A2 wrote:' || chr(10) || '> > ' || replace(s2.said, chr(10), chr(10) || '> > ') || chr(10), '') ||
+  coalesce('A1 wrote:' || chr(10) || '> ' || replace(s1.said, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(c.text, '') AS text
+  FROM conversations c LEFT JOIN said s1 ON s1.conv_id = c.conv_id AND s1.turn = c.turn - 1 LEFT JOIN said s2 ON s2.conv_id = c.conv_id AND s2.turn = c.turn - 2),""", 1)

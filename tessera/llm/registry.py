@@ -8,7 +8,7 @@ from .layout import op7_layout
 from .media import op10_media
 from .mixing import op5_mixing
 from .quotes import ORACLE_SQL as QUOTES_SQL
-from .quotes import op1_quotes
+from .quotes import QUOTING_SQL, op1_quotes, quoted_replies
 from .repeats import op9_repeats
 from .simhash import op3_simhash
 from .token_files import op8_token_files
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_repeats": op9_repeats,
     "op10_media": op10_media,
+    "quoted_replies": quoted_replies,
 }
 
-ORACLES: dict[str, str] = {"op1_quotes": QUOTES_SQL}
+ORACLES: dict[str, str] = {"op1_quotes": QUOTES_SQL, "quoted_replies": QUOTING_SQL}

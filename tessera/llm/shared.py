@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests on one machine, a temporary
-    folder is made and set for this session.
+    Where the session names none and runs on one machine, as in tests, a
+    temporary folder is made and set for this session; on a cluster it has to
+    name one.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.shared.dir", found)
         spark.sparkContext.setCheckpointDir(found)

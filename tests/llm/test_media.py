@@ -60,9 +60,9 @@ def test_media_columns(spark):
     good = hand_made()[0]
     rows = [(1, good, "x"), (1, good, "x"), (2, None, None), (3, b"", ""), (4, b"not a container at all", ""), (5, good[:-40], ""), (None, good, None)]
     out = media.media_columns(spark.createDataFrame(rows, "id long, media binary, codec string")).collect()
-    by = sorted(((str(r["id"]), r["container"]["n_tracks"], r["container"]["n_keyframes"], r["container"]["problem"]) for r in out))
+    by = sorted(((str(r["id"]), r["container"]["n_tracks"], (r["container"]["tracks"] or [{"n_keyframes": 0}])[0]["n_keyframes"], r["container"]["problem"]) for r in out))
     assert by == [("1", 1, 2, ""), ("1", 1, 2, ""), ("2", 0, 0, "empty"), ("3", 0, 0, "empty"), ("4", 0, 0, "no moov box"), ("5", 0, 0, "no moov box"), ("None", 1, 2, "")]
-    assert out[0]["container"]["keyframes"][0]["length"] == 2 and out[0]["codec"] == "x"
+    assert out[0]["container"]["tracks"][0]["keyframes"][0]["length"] == 2 and out[0]["codec"] == "x"
 
 
 def test_documents(spark):
@@ -77,3 +77,32 @@ def test_documents(spark):
         blob = media.pack_samples(padded)
         assert (r["media_bytes"], r["media_sha256"]) == (len(blob), hashlib.sha256(blob).hexdigest())
     assert media.read_features(media.store_documents(df.limit(0))).collect() == []
+
+
+def test_all_tracks_and_fragments(spark):
+    """Two tracks, each with samples in the tables or in fragments, against positions laid down by hand."""
+    pack, box = struct.pack, media._box
+
+    def trak(number, handler, codec, stbl):
+        mdhd = box(b"mdhd", pack(">IIIIIHH", 0, 0, 0, 100, 0, 0, 0))
+        hdlr = box(b"hdlr", bytes(8), handler, bytes(13))
+        stsd = box(b"stsd", pack(">II", 0, 1), box(codec, bytes(8)))
+        return box(b"trak", box(b"tkhd", pack(">IIIIII", 7, 0, 0, number, 0, 0), bytes(60)), box(b"mdia", mdhd, hdlr, box(b"minf", box(b"stbl", stsd, *stbl))))
+
+    mvex = box(b"mvex", *(box(b"trex", pack(">IIIIII", 0, n, 1, 25, 5, 0x10000)) for n in (1, 2)))
+    start = box(b"ftyp", b"iso5", bytes(4)) + box(b"moov", trak(1, b"soun", b"mp4a", []), trak(2, b"vide", b"avc1", []), mvex)
+
+    def moof(at):
+        sound = box(b"traf", box(b"tfhd", pack(">III", 0x20020, 1, 0)), box(b"trun", pack(">IIi", 1, 3, at)))
+        picture = box(b"traf", box(b"tfhd", pack(">II", 0x20000, 2)), box(b"trun", pack(">IIiI", 0x205, 3, at + 15, 0), pack(">III", 7, 8, 9)))
+        return box(b"moof", box(b"mfhd", bytes(8)), sound, picture)
+
+    head = len(moof(0)) + 8
+    blob = start + moof(head) + box(b"mdat", bytes(39))
+    data = len(start) + head
+    row = media.media_columns(spark.createDataFrame([(blob, 1)], "media binary, container int")).first()
+    assert row["container"] == 1 and row["_container"]["problem"] == ""
+    sound, picture = row["_container"]["tracks"]
+    assert (sound["codec"], sound["handler"], sound["n_samples"], sound["duration_s"]) == ("mp4a", "soun", 3, 0.75)
+    assert [(k["start"] - data, k["length"]) for k in sound["keyframes"]] == [(0, 5), (5, 5), (10, 5)]
+    assert (picture["codec"], picture["n_samples"]) == ("avc1", 3) and [(k["start"] - data, k["length"]) for k in picture["keyframes"]] == [(15, 7)]
