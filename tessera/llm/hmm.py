@@ -183,6 +183,10 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # states x classes
 
+    def laid_out(self) -> Hmm:
+        """The same with arrays of its own, row by row: one that has travelled to a task may lie otherwise, and reading columns of it is slow."""
+        return Hmm(*(np.array(x, order="C") for x in (self.start, self.move, self.emit)))
+
     @staticmethod
     def initial(class_counts: np.ndarray, states: int = STATES) -> Hmm:
         """Sticky states whose classes differ by fixed random factors."""
@@ -338,14 +342,15 @@ def baum_welch_round(texts: DataFrame, model: Hmm, class_counts: np.ndarray) ->
 
     def run(batches):
         start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes)), 0.0
+        own = model.laid_out()
         for batch in small_batches(batches, 0, 32 << 20):
             texts = [np.frombuffer(t, "<u2") for t in batch.column(0).to_pylist()]
             for _, lengths, grid in _padded([t for t in texts if len(t) <= LONG]):
-                a, b, c, d, _ = expected_counts(model, grid, lengths)
+                a, b, c, d, _ = expected_counts(own, grid, lengths)
                 start, move, emit, total = start + a.sum(0), move + b, emit + c, total + d
             for text in texts:
                 if len(text) > LONG:
-                    a, b, c, d = Blocks(model, text).counts()
+                    a, b, c, d = Blocks(own, text).counts()
                     start, move, emit, total = start + a, move + b, emit + c, total + d
         seen = np.flatnonzero(emit.any(0))
         rows = np.concatenate([emit[:, seen].T, start[None], move, np.full((1, k), total)])
@@ -378,16 +383,17 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     share, floor = vocab.log_share, math.log10(vocab.n + 0.5 * (vocab.v + 1))
 
     def run(batches):
+        own = model.laid_out()
         for batch in small_batches(batches, 3, 32 << 20):
             texts = [np.frombuffer(t, "<u2") for t in batch.column(3).to_pylist()]
             hmm, by_class, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             short = np.array([i for i, t in enumerate(texts) if len(t) <= LONG], np.int64)
             for part, lengths, grid in _padded([texts[i] for i in short]):
-                hmm[short[part]] = forward(model, grid, lengths)[0]
+                hmm[short[part]] = forward(own, grid, lengths)[0]
             for i, text in enumerate(texts):
                 n[i], by_class[i] = len(text), share[text].sum()
                 if len(text) > LONG:
-                    hmm[i] = Blocks(model, text).loglik()
+                    hmm[i] = Blocks(own, text).loglik()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), batch.column(5), pa.array(n), pa.array(hmm / math.log(10) - by_class)], ["doc_id", "held_out", "uid", "own_n", "own_log", "n_tokens", "model_part"])
 
     scored = rows.select("doc_id", "held_out", "uid", "cls", "own_n", "own_log").mapInArrow(run, "doc_id long, held_out boolean, uid long, own_n long, own_log double, n_tokens long, model_part double")
