@@ -203,9 +203,11 @@ def encode_tables(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # rows of one id, or of none, are split by a hash of their text
-    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
-    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").mapInArrow(encode, SHARDS)
+    # rows of one id, or of none, are split by the input's partitions
+    rows = rows.withColumn("dealt", F.spark_partition_id())
+    order = (F.col("doc_id").asc_nulls_first(), F.col("dealt").asc())
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    return dealt.select("doc_id", "text").mapInArrow(encode, SHARDS)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
