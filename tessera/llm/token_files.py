@@ -19,13 +19,14 @@ table gives no shards.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ from .shared import table, worker_state, written
 
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
-#: Words whose ids a worker keeps, at most; others are encoded when they come up.
-MEMO = 600_000
+#: A worker keeps the ids of new words until it has so many (about 50 MB); others are encoded when they come up.
+MEMO = 1_500_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -105,8 +106,9 @@ class WordEncoder:
 
     A space before a non-space character begins a new word for such a tokenizer,
     and a single line end between two of them is a word, so a text's ids are those
-    of its pieces, cut there. The ids of frequent pieces are kept; a text with
-    spaces elsewhere is cut by a pattern instead.
+    of its pieces, cut there. Arrow cuts a group of texts and numbers its distinct
+    pieces, so that each is looked up once; the ids of known pieces are kept in flat
+    arrays. A text with spaces elsewhere is cut by a pattern instead.
     """
 
     def __init__(self, path: str):
@@ -114,44 +116,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.memo: dict[str, bytes] = {}
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.words, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(0, np.int64)
         self.cut = re.compile(r"(?= \S)")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # in slices, as the library's result objects are large
+        return [e.ids for i in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+
+    def table_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each of the distinct ``words``: its row; and of all rows: the flat ids, their numbers, and the odd ones."""
+        row = pc.index_in(words, value_set=self.words)
+        missing = np.flatnonzero(row.is_null().to_numpy(zero_copy_only=False))
+        row = pc.fill_null(row, 0).to_numpy().astype(np.int64)
+        kept = len(self.words)
+        row[missing] = kept + np.arange(len(missing))
+        new = words.take(pa.array(missing)).to_pylist()
+        found = self.encode([w if w[:1] == "\n" else f" {w}" for w in new])
+        bare = [w[1:] if w[:1] == "\n" else w for w in new]
+        odd = np.array([not b or b != b.strip() for b in bare], bool)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), self.kind, int(lengths.sum()))
+        ids, n = np.concatenate([self.ids, flat]), np.concatenate([self.lengths, lengths])
+        if kept < MEMO and not odd.any():
+            self.words, self.ids, self.lengths = pa.concat_arrays([self.words, words.take(pa.array(missing))]), ids, n
+        elif kept < MEMO:
+            plain = np.flatnonzero(~odd)
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(missing[plain]))])
+            self.ids, self.lengths = np.concatenate([self.ids, flat[np.repeat(~odd, lengths)]]), np.concatenate([self.lengths, lengths[plain]])
+        return row, ids, n, np.concatenate([np.zeros(kept, bool), odd])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         # a piece after a line end keeps it, in place of a space
-        pieces = [(t.replace(" \n", "  \n") if "\n\n" in t else t.replace("\n", " \n")).split(" ") for t in texts]
-        words = [w for p in pieces for w in p[1:]]
-        found = list(map(self.memo.get, words))
-        odd: set[str] = set()
-        if None in found:
-            at = [i for i, x in enumerate(found) if x is None]
-            new = list(dict.fromkeys(words[i] for i in at))
-            bare = [w[1:] if w[:1] == "\n" else w for w in new]
-            odd = {w for w, b in zip(new, bare, strict=True) if not b or b != b.strip()}
-            packed = {w: array(self.code, ids).tobytes() for w, ids in zip(new, self.encode([w if w[:1] == "\n" else f" {w}" for w in new]), strict=True)}
-            for i in at:
-                found[i] = packed[words[i]]
-            if len(self.memo) < MEMO:
-                self.memo.update((w, x) for w, x in packed.items() if w not in odd)
-        firsts = self.encode([p[0] for p in pieces])
-        out, begin = [], 0
-        for text, p, first in zip(texts, pieces, firsts, strict=True):
-            end = begin + len(p) - 1
-            if odd and not odd.isdisjoint(p[1:]) or len(p) > 1 and p[0] != p[0].rstrip():
-                ids = [i for part in self.encode([x for x in self.cut.split(text) if x]) for i in part]
-                out.append(np.array(ids, np.uint32))
+        marked = pa.array([t.replace(" \n", "  \n") if "\n\n" in t else t.replace("\n", " \n") for t in texts], pa.large_string())
+        lists = pc.split_pattern(marked, " ")
+        pieces, counts = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+        at_first = np.cumsum(counts) - counts
+        rest = np.ones(len(pieces), bool)
+        rest[at_first] = False
+        firsts = pieces.take(pa.array(at_first)).to_pylist()
+        coded = pieces.filter(pa.array(rest)).dictionary_encode()
+        row, ids, n, odd = self.table_of(coded.dictionary)
+        row = row[coded.indices.to_numpy()]
+        size = n[row]
+        ends = np.cumsum(size)
+        flat = ids[np.repeat((np.cumsum(n) - n)[row] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        word_end = np.cumsum(counts - 1)
+        bound = np.append(0, ends)[np.append(0, word_end)]
+        unusual = set(np.searchsorted(word_end, np.flatnonzero(odd[row]), side="right").tolist())
+        unusual |= {i for i, p in enumerate(firsts) if counts[i] > 1 and p != p.rstrip()}
+        out = []
+        for i, first in enumerate(self.encode(firsts)):
+            if i in unusual:
+                own = [x for part in self.encode([x for x in self.cut.split(texts[i]) if x]) for x in part]
+                out.append(np.array(own, np.uint32))
             else:
-                rest = array(self.code, first).tobytes() + b"".join(found[begin:end])
-                out.append(np.frombuffer(rest, self.code).astype(np.uint32))
-            begin = end
+                out.append(np.concatenate([np.array(first, np.uint32), flat[bound[i] : bound[i + 1]]]))
         return out
 
 
-def _groups(texts: list[str], limit: int = 1 << 20):
+def _groups(texts: list[str], limit: int = 4 << 20):
     """Slices of ``texts`` of about ``limit`` characters."""
     begin = size = 0
     for i, t in enumerate(texts):

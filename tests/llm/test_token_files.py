@@ -33,7 +33,7 @@ def test_blocks(n, kind):
 
 def test_ids_are_the_tokenizers_own(tokenizer):
     rng = random.Random(1)
-    alphabet = [*"ab'sélt  \n\t\r1 2.,!\xa0 \x1c\x85ß中🙂", "<|endoftext|>", " <|endoftext|>", "'ll", "  ", "\n\n", " \n", "\nthe", " word"]
+    alphabet = [*"ab'sélt  \n\t\r1 2.,!\xa0 \x1c\x85ß中🙂", "<|endoftext|>", " <|endoftext|>", "'ll", "  ", "\n\n", " \n", "\nthe", " word", "Straße", "ǅé,", " ĳǀȳ.", "ªº"]
     encoder = tf.WordEncoder(public_tokenizers.path(tf.TOKENIZER))
     for _ in range(20):
         texts = ["".join(rng.choices(alphabet, k=rng.randrange(25))) for _ in range(200)]
