@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import acl, text, vectors
+from tessera.operators.postings import Postings
 
 RRF_K, CANDIDATES, WIDE_CANDIDATES, DIVISOR = 60, 30, 150, 1000
 
@@ -21,33 +22,23 @@ def lexical_branch(chunks: DataFrame, frequencies: DataFrame, total: int, query:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def lexical_batch(chunks: DataFrame, frequencies: DataFrame, total: int, questions: DataFrame, k: int, divisor: int = DIVISOR) -> DataFrame:
+def lexical_batch(chunks: DataFrame | None, frequencies: DataFrame, total: int, questions: DataFrame, k: int, divisor: int = DIVISOR, held: DataFrame | None = None) -> DataFrame:
     """The k best chunks (id, score, rank) of each of many questions (question, text) by summed rarity of shared rare words.
 
     One equality join on the word: a rare word is in total // divisor chunks at
-    most, and only words of some question are kept before the join.
+    most, and only words of some question are kept before the join. ``held`` are
+    stored postings (word, id), else the chunks' words are read.
     """
     weights = frequencies.where(F.col("n_chunks") <= total // divisor).select("word", F.log(F.lit(float(total)) / F.col("n_chunks")).alias("weight"))
     asked = questions.select("question", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word")).join(weights, "word")
-    held = chunks.select("id", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word"))
+    if held is None:
+        held = chunks.select("id", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word"))
     held = held.join(asked.select("word").distinct(), "word", "left_semi")
     scored = asked.join(held, "word").groupBy("question", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def stored_frequencies(chunks: DataFrame, path: str, changed: bool) -> DataFrame:
-    """Word frequencies kept as a table: counted again only if a round changed something or none are there."""
-    spark = chunks.sparkSession
-    if not changed:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    text.document_frequency(chunks).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def rounds_united(rounds: list[DataFrame], order: DataFrame, limit: int) -> DataFrame:
     """Rows that several rounds of a search found, each id once (the first round's), in an outside scorer's order for the first question."""
     rows = None
@@ -94,19 +85,32 @@ def hybrid_search(chunks: DataFrame, sources: DataFrame, frequencies: DataFrame,
     pattern a chunk must match. Wide columns are joined to the fused ids at the
     end. If nothing matches the pattern, the search runs again without it.
     """
+    pool = _pool(chunks, sources, who, pattern, documents)
+    return _combined(pool, lexical_branch(pool, frequencies, total, query, candidates, divisor), vector, limit, candidates)
+
+
+def _pool(chunks: DataFrame, sources: DataFrame, who: acl.Principal, pattern: str | None, documents: list[str] | None) -> DataFrame:
     pool = acl.secured(chunks, sources, who)
     if documents is not None:
         pool = pool.where(F.col("document").isin(documents))
     if pattern is not None:
         matching = pool.where(F.col("content").rlike(pattern))
         pool = pool if matching.isEmpty() else matching
-    branches = [lexical_branch(pool, frequencies, total, query, candidates, divisor)]
-    if vector is not None:
-        branches.insert(0, vectors.nearest(pool, vector, candidates))
+    return pool
+
+
+def _combined(pool: DataFrame, lexical: DataFrame, vector: list[float] | None, limit: int, candidates: int) -> tuple[DataFrame, bool]:
+    branches = [lexical] if vector is None else [vectors.nearest(pool, vector, candidates), lexical]
     best = fused(branches).orderBy(F.desc("points"), "id").limit(limit)
     return best.join(pool, "id"), vector is None
 
 
+def indexed_search(chunks: DataFrame, sources: DataFrame, index: Postings, who: acl.Principal, query: str, vector: list[float] | None, limit: int = 8, pattern: str | None = None, documents: list[str] | None = None, candidates: int = CANDIDATES, divisor: int = DIVISOR) -> tuple[DataFrame, bool]:
+    """``hybrid_search`` that reads the query's words from stored postings; texts are read for a pattern and for the answer only."""
+    pool = _pool(chunks, sources, who, pattern, documents)
+    return _combined(pool, index.best(query, candidates, divisor, pool), vector, limit, candidates)
+
+
 def exact_search(chunks: DataFrame, term: str, limit: int) -> DataFrame:
     """Chunks that contain the term literally, shortest first."""
     return chunks.where(text.contains(F.col("content"), term)).orderBy(F.length("content"), F.col("document"), F.col("page").asc_nulls_last(), "id").limit(limit)

@@ -49,6 +49,28 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[str], None]) -> str:
+    """The folder of something that queries of a session share, such as an index: ``build`` makes it once."""
+    import uuid
+
+    from tessera.sources.generations import work_dir
+
+    key = f"tessera.stored.{name}.{folder}"
+    path = spark.conf.get(key, None)
+    if path is None:
+        path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        build(path)
+        spark.conf.set(key, path)
+    return path
+
+
+def postings(spark: SparkSession, folder: str):
+    """Stored words of all passages."""
+    from tessera.operators.postings import Postings
+
+    return Postings(spark, stored(spark, folder, "postings", lambda path: Postings(spark, path).update(None, chunks(spark, folder))))
+
+
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     """Registry of sources with groups, companies, state and residency."""
     n = F.coalesce(F.expr("try_cast(substring(id, 4) as int)"), F.lit(0))

@@ -11,7 +11,7 @@ from tessera.functions import acl, text, vectors
 from tessera.operators import anomalies, chunking, evaluation, ingest, reports, retrieval
 from tessera.sources import files
 
-from .base import ALLOWED, CHUNKS, FIGURES, SOURCES, VECTORS, WHO, WORDS, chunks, figures, query, query_vector, read, sources, with_vectors
+from .base import ALLOWED, CHUNKS, FIGURES, SOURCES, VECTORS, WHO, WORDS, chunks, figures, postings, query, query_vector, read, sources, with_vectors
 from .search import _nearest_sql
 
 
@@ -346,7 +346,8 @@ def _ranked(spark, d, divisor=20, n_words=None):
     c = chunks(spark, d)
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
     asked = q if n_words is None else q.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, n_words), " "))
-    rows = retrieval.lexical_batch(c, text.document_frequency(c), c.count(), asked, 30, divisor)
+    index = postings(spark, d)
+    rows = retrieval.lexical_batch(None, index.frequencies(), index.total(), asked, 30, divisor, index.all_postings())
     rows = rows.join(c.select("id", "document", "page", "content"), "id").join(q, "question")
     return rows.withColumn("good", F.contains(F.lower("content"), F.lower(F.substring("text", 1, 40)))).drop("content", "text")
 

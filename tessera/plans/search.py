@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import acl, text, vectors
 from tessera.operators import ingest, retrieval
 
-from .base import ALLOWED, CHUNKS, FIGURES, GROUPS, QUERY_VECTOR, SOURCES, TERMS, VECTORS, WHO, WORDS, chunks, figures, query, query_vector, read, sources, with_vectors
+from .base import ALLOWED, CHUNKS, FIGURES, GROUPS, QUERY_VECTOR, SOURCES, TERMS, VECTORS, WHO, WORDS, chunks, figures, postings, query, query_vector, read, sources, with_vectors
 
 DIVISOR = 20
 TERM_SQL = "terms AS (SELECT unnest(['trash', 'pathetic', 'worthless', 'the']) AS word)"
@@ -32,34 +32,26 @@ def _nearest_sql(name: str, pool: str, k: int) -> str:
 FUSED = "fused AS (SELECT id, round(sum(1 / (60.0 + rank)), 6) AS points FROM (SELECT id, rank FROM vec UNION ALL SELECT id, rank FROM lex) GROUP BY id ORDER BY points DESC, id LIMIT {n})"
 
 
-def _frequencies(spark, d):
-    c = chunks(spark, d)
-    return text.document_frequency(c), c.count()
-
-
 @query(f"SELECT f.id, v.document, v.page, f.points FROM fused f JOIN visible v ON v.id = f.id", SOURCES, ALLOWED, CHUNKS, VECTORS, VISIBLE, VISIBLE_V, TERM_SQL, DF_SQL, WEIGHT_SQL, _nearest_sql("vec", "visible_v", 30), _lexical_sql("lex", "visible", 30), FUSED.format(n=8))
 def retrieval_hybrid(spark, d):
     """Vector and rare-word branches fused by rank, access filtered below both."""
-    frequencies, total = _frequencies(spark, d)
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    rows, _ = retrieval.hybrid_search(chunks(spark, d).join(e, "id", "left"), sources(spark, d), frequencies, total, WHO, TERMS, query_vector(spark, d), divisor=DIVISOR)
+    rows, _ = retrieval.indexed_search(chunks(spark, d).join(e, "id", "left"), sources(spark, d), postings(spark, d), WHO, TERMS, query_vector(spark, d), divisor=DIVISOR)
     return rows.select("id", "document", "page", "points")
 
 
 @query("SELECT f.id, f.points FROM fused f", SOURCES, ALLOWED, CHUNKS, "visible AS (SELECT * FROM chunks WHERE source_id IN (SELECT id FROM allowed) AND regexp_matches(content, '(?i)clown'))", "vectors AS (SELECT v.*, CAST(e.embedding AS DOUBLE[]) AS embedding FROM visible v JOIN embeddings e ON e.vec_id = v.id)", TERM_SQL, DF_SQL, WEIGHT_SQL, _nearest_sql("vec", "vectors", 30), _lexical_sql("lex", "visible", 30), FUSED.format(n=8))
 def retrieval_must_match(spark, d):
     """Both branches restricted to chunks that match a pattern."""
-    frequencies, total = _frequencies(spark, d)
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    rows, _ = retrieval.hybrid_search(chunks(spark, d).join(e, "id", "left"), sources(spark, d), frequencies, total, WHO, TERMS, query_vector(spark, d), pattern="(?i)clown", divisor=DIVISOR)
+    rows, _ = retrieval.indexed_search(chunks(spark, d).join(e, "id", "left"), sources(spark, d), postings(spark, d), WHO, TERMS, query_vector(spark, d), pattern="(?i)clown", divisor=DIVISOR)
     return rows.select("id", "points")
 
 
 @query("SELECT id, round(sum(1 / (60.0 + rank)), 6) AS points FROM lex GROUP BY id ORDER BY points DESC, id LIMIT 8", SOURCES, ALLOWED, CHUNKS, "visible AS (SELECT * FROM chunks WHERE source_id IN (SELECT id FROM allowed) AND document IN ('doc0', 'doc1', 'doc2', 'doc3'))", TERM_SQL, DF_SQL, WEIGHT_SQL, _lexical_sql("lex", "visible", 30))
 def retrieval_text_only_in_documents(spark, d):
     """No query vector: the word branch alone, inside named documents."""
-    frequencies, total = _frequencies(spark, d)
-    rows, degraded = retrieval.hybrid_search(chunks(spark, d), sources(spark, d), frequencies, total, WHO, TERMS, None, documents=["doc0", "doc1", "doc2", "doc3"], divisor=DIVISOR)
+    rows, degraded = retrieval.indexed_search(chunks(spark, d), sources(spark, d), postings(spark, d), WHO, TERMS, None, documents=["doc0", "doc1", "doc2", "doc3"], divisor=DIVISOR)
     assert degraded
     return rows.select("id", "points")
 
@@ -73,21 +65,19 @@ def vector_topk(spark, d):
 @query("SELECT id, score, rank FROM lex", CHUNKS, TERM_SQL, DF_SQL, WEIGHT_SQL, _lexical_sql("lex", "chunks", 30))
 def lexical_rare(spark, d):
     """Chunks with a rare query word, by summed rarity."""
-    frequencies, total = _frequencies(spark, d)
-    return retrieval.lexical_branch(chunks(spark, d), frequencies, total, TERMS, 30, DIVISOR).select("id", "score", F.col("rank").cast("long").alias("rank"))
+    return postings(spark, d).best(TERMS, 30, DIVISOR, chunks(spark, d)).select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT id, score, rank FROM lex", CHUNKS, "terms AS (SELECT unnest(['the', 'and']) AS word)", DF_SQL, WEIGHT_SQL, _lexical_sql("lex", "chunks", 20, "true"))
 def lexical_fallback(spark, d):
     """No rare word: all words select."""
-    frequencies, total = _frequencies(spark, d)
-    return retrieval.lexical_branch(chunks(spark, d), frequencies, total, "the and", 20, DIVISOR, fallback=True).select("id", "score", F.col("rank").cast("long").alias("rank"))
+    return postings(spark, d).best("the and", 20, DIVISOR, chunks(spark, d), fallback=True).select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT word, CAST(n AS BIGINT) AS n_chunks FROM df", CHUNKS, DF_SQL)
 def document_frequency(spark, d):
     """In how many chunks each word occurs."""
-    return text.document_frequency(chunks(spark, d))
+    return postings(spark, d).frequencies()
 
 
 @query("SELECT id, array_to_string(acl_groups, ',') AS groups, array_to_string(companies, ',') AS companies FROM sources WHERE id IN (SELECT id FROM allowed)", SOURCES, ALLOWED)
@@ -339,9 +329,8 @@ def nearest_preceding(spark, d):
 def ablation(spark, d):
     """Hits of each branch alone and of both."""
     c = chunks(spark, d)
-    frequencies, total = _frequencies(spark, d)
     vec = vectors.nearest(with_vectors(spark, d), query_vector(spark, d), 30)
-    lex = retrieval.lexical_branch(c, frequencies, total, TERMS, 30, DIVISOR)
+    lex = postings(spark, d).best(TERMS, 30, DIVISOR, c)
     both = retrieval.fused([vec, lex]).orderBy(F.desc("points"), "id").limit(8)
     ways = [("vector", vec.where("rank <= 8")), ("text", lex.where("rank <= 8")), ("fused", both)]
     rows = None
@@ -411,10 +400,9 @@ def figure_words_constrained(spark, d):
 def search_rounds(spark, d):
     """Rows of two rounds united by id, then in an outside order."""
     c = chunks(spark, d)
-    frequencies, total = _frequencies(spark, d)
     best = lambda rows: rows.select("id", (-F.col("rank")).alias("points"))
     one = best(vectors.nearest(with_vectors(spark, d), query_vector(spark, d), 20))
-    two = best(retrieval.lexical_branch(c, frequencies, total, TERMS, 20, DIVISOR))
+    two = best(postings(spark, d).best(TERMS, 20, DIVISOR, c))
     order = c.where("id % 3 = 0").select("id", (F.col("id") % 7).alias("position"))
     rows = retrieval.rounds_united([one, two], order, 100)
     return rows.select("id", F.row_number().over(Window.orderBy(F.col("position").asc_nulls_last(), F.desc("points"), "id")).cast("long").alias("place"))

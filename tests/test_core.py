@@ -242,13 +242,7 @@ def test_ranks_of_all_rows(spark):
     assert got == want and vectors.ranked(df.limit(0), [1.0, 0.5]).collect() == []
 
 
-def test_stored_frequencies(spark, tables, tmp_path):
-    _, c = tables
-    path = str(tmp_path / "words")
-    assert retrieval.stored_frequencies(c, path, False).where("word = 'pier'").first()["n_chunks"] == 5
-    more = c.unionByName(c.withColumn("id", F.col("id") + 10))
-    assert retrieval.stored_frequencies(more, path, False).where("word = 'pier'").first()["n_chunks"] == 5
-    assert retrieval.stored_frequencies(more, path, True).where("word = 'pier'").first()["n_chunks"] == 10
+def test_one_dimension(spark):
     with pytest.raises(ValueError):
         ingest.one_dimension(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<double>"))
 
