@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import business, history
 from tessera.sources import connectors
+from tessera.sources.generations import work_dir
 
 from .base import PRICES, prices, query, read
 
@@ -138,6 +141,45 @@ def schedule_due(spark, d):
     return history.due(catalogue, status, overrides, now)
 
 
+T2 = "1997-01-01 00:00:00"
+COLUMNS = "segment string, nation int"
+LOADS = f"""l1 AS (SELECT 'acme:' || c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_acctbal > -500),
+l2 AS (SELECT 'acme:' || c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'GOLD' ELSE c_mktsegment END AS segment, c_nationkey AS nation FROM customer WHERE c_nationkey <> 3),
+l3 AS (SELECT 'acme:' || c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_acctbal > 7000 AND c_nationkey < 20),
+h1 AS (SELECT *, TIMESTAMP '{T0}' AS valid_from, NULL::TIMESTAMP AS valid_to, false AS deleted FROM l1),
+h2 AS (SELECT h.id, h.segment, h.nation, valid_from, CASE WHEN l.id IS NULL OR l.segment <> h.segment OR l.nation <> h.nation THEN TIMESTAMP '{T1}' END AS valid_to, deleted FROM h1 h LEFT JOIN l2 l USING (id)
+ UNION ALL SELECT l.*, TIMESTAMP '{T1}', NULL, false FROM l2 l LEFT JOIN h1 h USING (id) WHERE h.id IS NULL OR l.segment <> h.segment OR l.nation <> h.nation
+ UNION ALL SELECT h.id, h.segment, h.nation, TIMESTAMP '{T1}', NULL, true FROM h1 h LEFT JOIN l2 l USING (id) WHERE l.id IS NULL),
+h3 AS (SELECT h.id, h.segment, h.nation, valid_from, CASE WHEN valid_to IS NOT NULL THEN valid_to WHEN l.id IS NOT NULL AND (deleted OR l.segment <> h.segment OR l.nation <> h.nation) THEN TIMESTAMP '{T2}' END AS valid_to, deleted FROM h2 h LEFT JOIN l3 l USING (id)
+ UNION ALL SELECT l.*, TIMESTAMP '{T2}', NULL, false FROM l3 l LEFT JOIN (SELECT * FROM h2 WHERE valid_to IS NULL) h USING (id) WHERE h.id IS NULL OR deleted OR l.segment <> h.segment OR l.nation <> h.nation)"""
+
+
+def _stored(spark, d) -> history.StoredHistory:
+    """A first load, a full one that changes, adds and drops customers, and an incremental one that brings some back."""
+    kept = history.StoredHistory(spark, f"{work_dir(spark)}/history-{uuid.uuid4().hex}", COLUMNS, 8)
+    c = read(spark, d, "customer").withColumnsRenamed({"c_custkey": "id", "c_mktsegment": "segment", "c_nationkey": "nation"}).withColumn("nation", F.col("nation").cast("int")).withColumn("company", F.lit("acme")).withColumn("seq", F.lit(1))
+    rows = lambda x: x.select("id", "company", "segment", "nation", "seq")
+    gold = F.when(F.col("c_acctbal") > 5000, "GOLD").otherwise(F.col("segment"))
+    loads = [(rows(c.where("c_acctbal > -500")), T0, True), (rows(c.where("nation <> 3").withColumn("segment", gold)), T1, True), (rows(c.where("c_acctbal > 7000 and nation < 20")), T2, False)]
+    for incoming, moment, full in loads:
+        assert kept.load(incoming, [], "seq", F.lit(moment).cast("timestamp_ntz"), full) == "ok"
+    return kept
+
+
+@query("SELECT * FROM h3", LOADS)
+def stored_history(spark, d):
+    """All versions of a stored history after three loads."""
+    return _stored(spark, d).versions().select("id", "segment", F.col("nation").cast("long").alias("nation"), "valid_from", "valid_to", "deleted")
+
+
+@query(f"SELECT c.id, c.segment, a.segment AS was FROM (SELECT * FROM h3 WHERE valid_to IS NULL AND NOT deleted) c LEFT JOIN (SELECT * FROM h3 WHERE valid_from <= TIMESTAMP '1995-06-01' AND (valid_to IS NULL OR TIMESTAMP '1995-06-01' < valid_to) AND NOT deleted) a USING (id)", LOADS)
+def stored_history_current(spark, d):
+    """Current rows of a stored history, read from open versions only, beside what was valid in 1995."""
+    kept = _stored(spark, d)
+    was = kept.as_of(F.lit("1995-06-01").cast("timestamp_ntz")).select("id", F.col("segment").alias("was"))
+    return kept.current().select("id", "segment").join(was, "id", "left")
+
+
 @query("SELECT l.l_orderkey, l.l_linenumber, p.o_orderkey AS version FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey LEFT JOIN prices p ON p.o_custkey = o.o_custkey AND p.valid_from <= l.l_shipdate AND (p.valid_to IS NULL OR l.l_shipdate < p.valid_to)", PRICES)
 def as_of_join(spark, d):
     """Each line with the version of its customer at the ship date."""
@@ -152,14 +194,15 @@ def monthly_price(spark, d):
     return business.monthly(read(spark, d, "lineitem"), "l_shipdate", price=F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4), n=F.count(F.lit(1)))
 
 
-@query("SELECT strftime(l.l_shipdate, '%Y-%m') AS month, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(coalesce(CASE WHEN l_tax > 0.04 THEN l_tax * l_extendedprice END, p.o_totalprice * 0.001)), 2) AS cost FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey LEFT JOIN prices p ON p.o_custkey = o.o_custkey AND p.valid_from <= l.l_shipdate AND (p.valid_to IS NULL OR l.l_shipdate < p.valid_to) GROUP BY 1", PRICES)
+@query("SELECT strftime(l.l_shipdate, '%Y-%m') AS month, CAST(round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(24, 8))), 2) AS DOUBLE) AS revenue, CAST(round(sum(CAST(coalesce(CASE WHEN l_tax > 0.04 THEN l_tax * l_extendedprice END, p.o_totalprice * 0.001) AS DECIMAL(24, 8))), 2) AS DOUBLE) AS cost FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey LEFT JOIN prices p ON p.o_custkey = o.o_custkey AND p.valid_from <= l.l_shipdate AND (p.valid_to IS NULL OR l.l_shipdate < p.valid_to) GROUP BY 1", PRICES)
 def monthly_margin(spark, d):
-    """Revenue and cost; a line without a cost takes that of its customer's version."""
+    """Revenue and cost; a line without a cost takes that of its customer's version. Sums are exact: no order of rows decides a tie."""
     lines = read(spark, d, "lineitem").join(read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     versions = prices(spark, d).select("o_custkey", F.col("o_totalprice").alias("base"), "valid_from", "valid_to")
     rows = history.as_of_join(lines, versions, "o_custkey", "l_shipdate")
     own = F.when(F.col("l_tax") > 0.04, F.col("l_tax") * F.col("l_extendedprice"))
-    return business.monthly(rows, "l_shipdate", revenue=F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2), cost=F.round(F.sum(F.coalesce(own, F.col("base") * 0.001)), 2))
+    exact = lambda c: F.round(F.sum(c.cast("decimal(24,8)")), 2).cast("double")
+    return business.monthly(rows, "l_shipdate", revenue=exact(F.col("l_extendedprice") * (1 - F.col("l_discount"))), cost=exact(F.coalesce(own, F.col("base") * 0.001)))
 
 
 @query("SELECT p.o_orderstatus AS agent, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN prices p ON p.o_custkey = o.o_custkey AND p.valid_from <= l.l_shipdate AND (p.valid_to IS NULL OR l.l_shipdate < p.valid_to) GROUP BY 1", PRICES)
