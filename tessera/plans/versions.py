@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Window
@@ -109,6 +110,28 @@ def incremental_extract(spark, d):
     return connectors.high_water(rows).join(rows.groupBy("company").agg(F.count(F.lit(1)).alias("n")), "company")
 
 
+def _orders_connector(d, until=None):
+    kinds = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz"
+    return connectors.ParquetConnector("order_system", {"orders": (kinds, f"{d}/orders.parquet")}, "o_orderdate", until)
+
+
+@query("SELECT 'acme' AS company, o_orderstatus AS status, count(*) AS n, max(o_orderdate) AS mark FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-06-01' GROUP BY 2")
+def connector_pull(spark, d):
+    """Orders through a connector that is a Spark format: the filter on the time of change is its own."""
+    rows = connectors.pulled(spark, _orders_connector(d), "orders", "acme")
+    rows = rows.where((F.col("o_orderdate") > F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") <= F.lit("1997-06-01").cast("timestamp_ntz")))
+    return rows.groupBy("company", F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("mark"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def connector_stream(spark, d):
+    """All orders as a stream of changes, stopped half way and begun again: each row once."""
+    folder = f"{work_dir(spark)}/orders-{uuid.uuid4().hex}"
+    for until in (dt.datetime(1995, 6, 1), None):
+        connectors.changes_into(spark, _orders_connector(d, until), "orders", f"{folder}/rows", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/rows").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
 @query("SELECT coalesce(n.k, o.k) AS entity, coalesce(n.cursor, o.cursor) AS cursor, coalesce(n.outcome, o.outcome) AS outcome FROM (SELECT r_name AS k, 'c' || r_regionkey AS cursor, 'ok' AS outcome FROM region WHERE r_regionkey < 4) o FULL JOIN (SELECT r_name AS k, NULL AS cursor, 'error' AS outcome FROM region WHERE r_regionkey > 1) n ON n.k = o.k")
 def status_upsert(spark, d):
     """A status keeps its old cursor where an update has none."""
