@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import acl, text, vectors
 from tessera.operators import anomalies, chunking, evaluation, ingest, reports, retrieval
 from tessera.sources import files
+from tessera.sources.generations import work_dir
+from tessera.streaming import anomalies as stream
 
 from .base import ALLOWED, CHUNKS, FIGURES, SOURCES, VECTORS, WHO, WORDS, chunks, figures, postings, query, query_vector, read, sources, with_vectors
 from .search import _nearest_sql
@@ -279,13 +282,70 @@ def stale_anomalies(spark, d):
     return anomalies.stale(keys, read(spark, d, "events").where("value > 95 and event_type not like 'e%'").select(F.col("event_type").alias("fingerprint")).distinct())
 
 
-@query("""SELECT user_id AS fingerprint, CASE WHEN arg_max(event_type = 'error', (ts, event_id)) THEN 'open' ELSE 'resolved' END AS state, count(*) FILTER (WHERE event_type = 'error') AS occurrences FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, event_id, event_type, min(CASE WHEN event_type = 'error' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS first FROM events) WHERE first IS NOT NULL AND (ts, event_id) >= first GROUP BY 1""")
+STATES_SQL = """SELECT user_id AS fingerprint, CASE WHEN arg_max(event_type = 'error', (ts, event_id)) THEN 'open' ELSE 'resolved' END AS state, count(*) FILTER (WHERE event_type = 'error') AS occurrences FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, event_id, event_type, min(CASE WHEN event_type = 'error' THEN (ts, event_id) END) OVER (PARTITION BY user_id) AS first FROM events) WHERE first IS NOT NULL AND (ts, event_id) >= first GROUP BY 1"""
+
+
+@query(STATES_SQL)
 def anomaly_states(spark, d):
     """Anomalies folded from health polls: down signals, up closes."""
     rows = anomalies.folded(anomalies.health_signals(read(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error"))
     return rows.select("fingerprint", "state", "occurrences")
 
 
+@query(STATES_SQL)
+def anomaly_stream(spark, d):
+    """The same states from a stream that gets its signals late and out of order, is stopped and begun again, and writes its table as it goes."""
+    folder = f"{work_dir(spark)}/signals-{uuid.uuid4().hex}"
+    polls = anomalies.health_signals(read(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error").withColumn("at", F.col("at").cast("timestamp"))
+    end = polls.agg((F.max("at") + F.make_interval(days=F.lit(30))).alias("at")).select(F.lit("").alias("fingerprint"), "at", F.lit("tick").alias("kind"), F.lit(None).cast("timestamp").alias("until"), F.lit(0).cast("long").alias("seq"))
+    # signals arrive up to two days late
+    arrived = polls.withColumn("part", F.floor((F.dayofmonth("at") + F.col("seq") % 3) / 8))
+    table = stream.StateTable(spark, f"{folder}/states", 4)
+    for part in range(5):
+        arrived.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if part == 4:
+            end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if part in (2, 4):
+            source = spark.readStream.schema(arrived.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            table.follow(stream.folded_stream(source, "3 days"), f"{folder}/checkpoint").awaitTermination()
+    return table.read().select("fingerprint", "state", "occurrences")
+
+
+ACTED = """anomalies AS (SELECT CAST(user_id AS VARCHAR) AS fingerprint, CASE user_id % 3 WHEN 1 THEN 'acme' WHEN 2 THEN 'borea' END AS company FROM (SELECT DISTINCT user_id FROM events)),
+actions AS (SELECT event_id AS seq, ts AS moment, CAST(user_id + event_id % 2 AS VARCHAR) AS fingerprint, 'user' || (event_id % 5) AS actor,
+ CASE event_type WHEN 'click' THEN 'take' WHEN 'view' THEN 'comment' WHEN 'purchase' THEN 'resolve' WHEN 'signup' THEN 'ignore' ELSE CASE WHEN value < 5 THEN 'delete' ELSE 'assign' END END AS action,
+ CASE WHEN value < 20 THEN ' ' ELSE props END AS text, CASE WHEN value > 40 THEN ' ann ' END AS target, CASE event_id % 5 WHEN 0 THEN '1d' WHEN 1 THEN '7d' WHEN 2 THEN '30d' WHEN 3 THEN 'always' END AS until FROM events),
+judged AS (SELECT a.*, CASE WHEN s.fingerprint IS NULL THEN 'refused: no such anomaly' WHEN action = 'take' THEN 'taken' WHEN action = 'assign' THEN CASE WHEN target IS NOT NULL THEN 'assigned' ELSE 'refused: to whom?' END
+ WHEN action = 'comment' THEN CASE WHEN trim(text) <> '' THEN 'commented' ELSE 'refused: empty comment' END WHEN action = 'resolve' THEN 'resolved'
+ WHEN action = 'ignore' THEN CASE WHEN trim(text) = '' THEN 'refused: a reason is needed' WHEN until IS NULL THEN 'refused: until when?' ELSE 'ignored' END ELSE 'refused: unknown action' END AS outcome
+ FROM actions a LEFT JOIN (SELECT fingerprint FROM anomalies WHERE company IS NULL OR company = 'acme') s USING (fingerprint))"""
+
+
+def _judged(spark, d):
+    e, k = read(spark, d, "events"), F.col("user_id")
+    states = e.select("user_id").distinct().select(k.cast("string").alias("fingerprint"), F.when(k % 3 == 1, "acme").when(k % 3 == 2, "borea").alias("company"), F.lit("open").alias("state"), F.lit(None).cast("string").alias("assigned_to"), F.lit(None).cast("timestamp_ntz").alias("ignored_until"), F.lit(True).alias("auto"))
+    kind, n = F.col("event_type"), F.col("event_id")
+    action = F.when(kind == "click", "take").when(kind == "view", "comment").when(kind == "purchase", "resolve").when(kind == "signup", "ignore").when(F.col("value") < 5, "delete").otherwise("assign")
+    until = F.when(n % 5 == 0, "1d").when(n % 5 == 1, "7d").when(n % 5 == 2, "30d").when(n % 5 == 3, "always").otherwise("soon")
+    actions = e.select(n.alias("seq"), F.col("ts").alias("at"), (k + n % 2).cast("string").alias("fingerprint"), F.concat(F.lit("user"), (n % 5).cast("string")).alias("actor"), action.alias("action"), F.when(F.col("value") < 20, " ").otherwise(F.col("props")).alias("text"), F.when(F.col("value") > 40, " ann ").alias("target"), until.alias("until"))
+    return states, anomalies.judged(states, actions, ["acme"])
+
+
+@query("SELECT seq, outcome FROM judged", ACTED)
+def action_outcomes(spark, d):
+    """Manual actions on anomalies: what each did, or why it is refused."""
+    return _judged(spark, d)[1].select("seq", "outcome")
+
+
+@query("""SELECT s.fingerprint, coalesce(arg_max(CASE WHEN outcome IN ('taken', 'assigned') THEN 'taken' ELSE outcome END, seq) FILTER (outcome IN ('taken', 'assigned', 'resolved', 'ignored')), 'open') AS state,
+ arg_max(CASE WHEN outcome = 'taken' THEN actor ELSE 'ann' END, seq) FILTER (outcome IN ('taken', 'assigned')) AS assigned_to,
+ CASE WHEN arg_max(outcome, seq) FILTER (outcome IN ('resolved', 'ignored')) = 'ignored' THEN max(CASE until WHEN '1d' THEN moment + INTERVAL 1 DAY WHEN '7d' THEN moment + INTERVAL 7 DAY WHEN '30d' THEN moment + INTERVAL 30 DAY END) FILTER (seq = last) END AS ignored_until,
+ NOT coalesce(bool_or(outcome = 'resolved'), false) AS auto FROM anomalies s LEFT JOIN (SELECT *, max(seq) FILTER (outcome IN ('resolved', 'ignored')) OVER (PARTITION BY fingerprint) AS last FROM judged) a USING (fingerprint) GROUP BY s.fingerprint""", ACTED)
+def anomalies_acted(spark, d):
+    """States of anomalies after all manual actions that were not refused."""
+    return anomalies.acted(*_judged(spark, d)).select("fingerprint", "state", "assigned_to", "ignored_until", "auto")
+
+
 @query("SELECT DISTINCT lower(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))) AS q FROM conversations")
 def query_dedup(spark, d):
     """Queries of all turns, each once after normalisation."""
