@@ -48,6 +48,15 @@ def as_of(history: DataFrame, moment: Column) -> DataFrame:
     return history.where((F.col("valid_from") <= moment) & (F.col("valid_to").isNull() | (moment < F.col("valid_to"))) & ~F.col("deleted"))
 
 
+def current_views(session: SparkSession, histories: dict[str, DataFrame], prefix: str = "current_") -> list[str]:
+    """A view of the current rows of each history, without the columns of versioning; returns their names."""
+    names = []
+    for name, rows in histories.items():
+        current(rows).drop("row_hash", "valid_from", "valid_to", "deleted").createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
+
+
 def merge(history: DataFrame, incoming: DataFrame, now: Column, full_load: bool) -> DataFrame:
     """The next history after a load of ``incoming`` (id, company, business columns; one row an id).
 
@@ -92,6 +101,11 @@ def is_collapsed(previous, rows):
     return (previous >= 2) & (rows < 0.5 * previous)
 
 
+def fall(previous: Column, rows: Column) -> Column:
+    """By how many percent a load shrank, rounded down."""
+    return F.floor((1 - rows / previous) * 100)
+
+
 def collapsed(previous: int, rows: int) -> bool:
     """Whether a full load is not to be merged."""
     return bool(is_collapsed(previous, rows))

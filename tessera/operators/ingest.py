@@ -14,7 +14,8 @@ UNREADABLE = ("xls", "ods", "doc", "ppt")
 EXTERNAL_ERRORS = "(?i)timeout|connection|unavailable|refused|reset"
 RETRY_HOURS = 6
 VERDICTS = ("information", "decoration", "table")
-MARKS = "(?i)logo|brand|qr code|barcode|##"
+# What descriptions of marks, covers and labels hold.
+MARKS = ("logo", "branding", "customization", "digital graphic", "Susteren", "##", "qr code", "barcode")
 
 
 def readable_files(files: DataFrame) -> DataFrame:
@@ -114,6 +115,24 @@ def in_window(moment: Column, start: int, end: int) -> Column:
     return (at >= start) & (at < end) if start <= end else (at >= start) | (at < end)
 
 
+def deferred(size: Column, in_window: Column, gpu: bool = False, most_mb: int = 50) -> Column:
+    """Large files wait for the window, unless they are read on a GPU; a limit of 0 lets none wait."""
+    if gpu or most_mb <= 0:
+        return F.lit(False)
+    return ~in_window & (size > most_mb * 1024 * 1024)
+
+
+def backfilled(chunks: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Chunks with pieces added that aren't among them yet: the same source, document, page and content is there once."""
+    place = ["source_id", "document", "page"]
+    held = chunks.select(*[F.col(c).alias(f"_{c}") for c in place], F.sha2("content", 256).alias("_hash")).distinct()
+    same = F.sha2("content", 256) == F.col("_hash")
+    for c in place:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    new = pieces.select(*place, "content").dropDuplicates([*place, "content"]).join(held, same, "left_anti")
+    return chunks.select(*place, "content").unionByName(new)
+
+
 def caption(description: Column, page: Column, most: int = 60) -> Column:
     """The part before the long dash, cut with an ellipsis; the page where there is none."""
     head = F.trim(F.element_at(F.split(description, " — "), 1))
@@ -195,7 +214,7 @@ def stride_sample(rows: DataFrame, key: str, order: str, most: int = 12) -> Data
 
 def is_mark(description: Column) -> Column:
     """Marks and labels rather than pictures, or a description broken off."""
-    return description.rlike(MARKS)
+    return description.rlike("(?i)" + "|".join(MARKS))
 
 
 def one_dimension(index: DataFrame, column: str = "embedding") -> int:

@@ -79,3 +79,16 @@ def totals(relations: dict[str, DataFrame]) -> DataFrame:
         part = relation.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         rows = part if rows is None else rows.unionByName(part)
     return rows.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in relations])
+
+
+def source_states(sources: DataFrame, documents: DataFrame) -> DataFrame:
+    """Indexed documents, those with an error, and the last update of each source; sources without documents have zeros."""
+    per = documents.groupBy("source_id").agg(F.count_if(F.col("state") == "indexed").alias("n_indexed"), F.count_if(F.col("state") == "error").alias("n_errors"), F.max("updated_at").alias("last_update"))
+    return sources.select(F.col("id").alias("source_id")).join(per, "source_id", "left").na.fill(0, ["n_indexed", "n_errors"])
+
+
+def edge_kinds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """How many edges of each relation lead from one kind of node to another; an unnamed kind is '?', and edges need both nodes."""
+    end = lambda side: nodes.select(F.col("node").alias(side), F.coalesce("kind", F.lit("?")).alias(f"{side}_kind"))
+    both = edges.join(end("src"), "src").join(end("dst"), "dst")
+    return both.groupBy("src_kind", F.coalesce("relation", F.lit("")).alias("relation"), "dst_kind").agg(F.count(F.lit(1)).alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import acl, text, vectors
+from tessera.operators import ingest
 from tessera.operators.postings import Postings
 
 RRF_K, CANDIDATES, WIDE_CANDIDATES, DIVISOR = 60, 30, 150, 1000
@@ -146,6 +150,17 @@ def secured_figure_search(figures: DataFrame, sources: DataFrame, who: acl.Princ
     return figure_search(acl.secured(figures, sources, who), query, terms, pages, limit)
 
 
+def visible(ids: DataFrame, rows: DataFrame, sources: DataFrame, who: acl.Principal, key: str = "id") -> DataFrame:
+    """Those of ``ids`` that the reader may see now, whatever was allowed when they were handed out."""
+    return ids.join(acl.secured(rows, sources, who).select(F.col(key)), key, "left_semi")
+
+
+def secured_figure_words(figures: DataFrame, sources: DataFrame, who: acl.Principal, terms: list[str], limit: int, documents: list[str] | None = None, pattern: str | None = None) -> DataFrame:
+    """``figure_words`` over figures that a reader may see, without marks and labels."""
+    rows = acl.secured(figures, sources, who).where(~ingest.is_mark(F.col("description")))
+    return figure_words(rows, terms, limit, documents, pattern)
+
+
 def figure_words(figures: DataFrame, terms: list[str], limit: int, documents: list[str] | None = None, pattern: str | None = None) -> DataFrame:
     """Figures by how many of the words their description holds.
 
@@ -189,6 +204,68 @@ def two_stage(summaries: DataFrame, query: list[float], n_documents: int, n_page
     return whole.unionByName(vectors.nearest(summaries.where("page is not null"), query, n_pages).withColumn("level", F.lit("page")))
 
 
+def secured_two_stage(summaries: DataFrame, sources: DataFrame, who: acl.Principal, query: list[float], n_documents: int, n_pages: int) -> DataFrame:
+    """``two_stage`` over summaries that a reader may see: access below both top-ks."""
+    return two_stage(acl.secured(summaries, sources, who), query, n_documents, n_pages)
+
+
+# Words of a question that asks for a list, and how many pieces answer it and any other.
+LISTING = r"(?i)\b(quali|quante|elenca|elencare|lista|tutt[ei]|che\s+\w+\s+ci\s+sono|che\s+\w+\s+(avete|ci sono|esistono)|assortimento|gamma|catalogo completo)\b"
+PIECES, PIECES_OF_A_LIST = 60, 120
+
+
+def pieces_wanted(question: Column) -> Column:
+    """How many pieces a question needs: more for one that asks for a list."""
+    return F.when(F.coalesce(question, F.lit("")).rlike(LISTING), PIECES_OF_A_LIST).otherwise(PIECES)
+
+
+# What is said where nothing was found, by the first attribute that a constraint names.
+NOTHING = "Nei documenti a cui ho accesso non ho trovato {}."
+NOTHING_OF = (("colore", "articoli di colore {}"), ("misura", "articoli della misura {}"), ("formato", "articoli della misura {}"), ("prezzo", "articoli con prezzo {}"))
+NOTHING_ELSE, NO_VALUE, NO_CONSTRAINT = "articoli {}", "con quelle caratteristiche", "articoli che corrispondono alla tua richiesta"
+
+
+def nothing_found(constraints: Column) -> Column:
+    """The honest answer of a search that found nothing, for constraints (attribute, value)."""
+    given = F.filter(constraints, lambda c: F.coalesce(c["value"], F.lit("")) != "")
+    values = F.when(F.size(given) > 0, F.array_join(F.transform(given, lambda c: c["value"]), ", ")).otherwise(NO_VALUE)
+    said = lambda form: F.concat(*[F.lit(part) if part != "{}" else values for part in re.split(r"(\{\})", form) if part])
+    out = said(NOTHING_ELSE)
+    named = F.transform(given, lambda c: c["attribute"])
+    for attribute, form in reversed(NOTHING_OF):
+        out = F.when(F.array_contains(named, attribute), said(form)).otherwise(out)
+    begin, end = NOTHING.split("{}")
+    some = F.size(F.coalesce(constraints, F.array())) > 0
+    return F.concat(F.lit(begin), F.when(some, out).otherwise(NO_CONSTRAINT), F.lit(end))
+
+
+class Rounds:
+    """Searches of one turn: each tells whether it was refused, repeats an earlier one, found nothing, or was done.
+
+    A search that found nothing gives its neighbourhood, as rows that nobody has
+    judged; one that was refused has looked at nothing, and so gives none.
+    """
+
+    def __init__(self):
+        self.seen: set[str] = set()
+
+    def run(self, statement: str, make: Callable[[], DataFrame], near: Callable[[], DataFrame]) -> tuple[DataFrame | None, str]:
+        said = " ".join(statement.split()).rstrip(";").lower()
+        if not said:
+            return None, "refused"
+        if said in self.seen:
+            return None, "repeated"
+        try:
+            rows = make()
+            empty = rows.isEmpty()
+        except (ValueError, PySparkException):
+            return None, "refused"
+        self.seen.add(said)
+        if empty:
+            return near().withColumn("judged", F.lit(False)), "empty"
+        return rows.withColumn("judged", F.lit(True)), "done"
+
+
 def cited_pages(context: DataFrame) -> DataFrame:
     """A page once, with the numbers of all its rows in the context."""
     return context.groupBy("document", "page").agg(F.array_sort(F.collect_list("number")).alias("numbers"))

@@ -71,6 +71,13 @@ def postings(spark: SparkSession, folder: str):
     return Postings(spark, stored(spark, folder, "postings", lambda path: Postings(spark, path).update(None, chunks(spark, folder))))
 
 
+def literals(spark: SparkSession, folder: str):
+    """Stored groups of three letters of all passages."""
+    from tessera.operators.postings import Literals
+
+    return Literals(spark, stored(spark, folder, "literals", lambda path: Literals(spark, path).update(None, chunks(spark, folder))))
+
+
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     """Registry of sources with groups, companies, state and residency."""
     n = F.coalesce(F.expr("try_cast(substring(id, 4) as int)"), F.lit(0))

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.operators.postings import Literals, Postings
+from tessera.operators.postings import Postings
 from tessera.operators.vector_index import VectorIndex
 from tessera.sources.generations import work_dir
 
-from .base import ALLOWED, CHUNKS, QUERY_VECTOR, SOURCES, VECTORS, WHO, WORDS, chunks, query, query_vector, read, sources, stored, with_vectors
+from .base import ALLOWED, CHUNKS, QUERY_VECTOR, SOURCES, VECTORS, WHO, WORDS, chunks, literals, query, query_vector, read, sources, stored, with_vectors
 
 
 def _rounds(spark, d) -> Postings:
@@ -51,7 +51,7 @@ LITERALS = ["Worthless", "clown, ", "the ", "no such string", "%", "é"]
 def literal_search(spark, d):
     """Passages that contain a string literally, found by groups of three letters where it has one."""
     c = chunks(spark, d)
-    index = Literals(spark, stored(spark, d, "literals", lambda path: Literals(spark, path).update(None, c)))
+    index = literals(spark, d)
     out = None
     for term in LITERALS:
         part = index.containing(c, term).select(F.lit(term).alias("term"), "id")

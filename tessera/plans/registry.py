@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, indexes, search, texts, versions  # noqa: F401  (these register their queries)
+from . import corpus, indexes, records, search, texts, versions  # noqa: F401  (these register their queries)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -141,12 +141,21 @@ def acl_companies_of_groups(spark, d):
     return rows.select("conv_id", "turn", F.array_join(acl.companies_column(groups), ",").alias("companies"))
 
 
-@query("SELECT * FROM (VALUES ('ann', 'sources', 'M'), ('ann', 'audit', 'L'), ('bob', 'sources', 'L'), ('cy', 'audit', 'M'), ('cy', 'system', 'M')) t(user_name, area, level)")
+PERMISSIONS = """roles AS (SELECT c_custkey AS user_name, c_acctbal > 5000 AS has_all, unnest([c_mktsegment, r_name]) AS role FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+matrix AS (SELECT r_name AS role, 'area' || n_nationkey % 4 AS area, CASE WHEN n_nationkey % 3 = 0 THEN 'M' ELSE 'L' END AS level, n_nationkey % 5 = 0 AS restricted FROM nation JOIN region ON r_regionkey = n_regionkey
+ UNION ALL SELECT c_mktsegment, 'area' || length(c_mktsegment) % 4, CASE WHEN max(c_acctbal) > 9000 THEN 'M' ELSE 'L' END, false FROM customer GROUP BY c_mktsegment)"""
+
+
+@query("SELECT user_name, area, CASE WHEN bool_or(level = 'M') THEN 'M' ELSE 'L' END AS level FROM roles JOIN matrix USING (role) WHERE NOT restricted OR has_all GROUP BY 1, 2", PERMISSIONS)
 def acl_permissions(spark, d):
-    """Areas of a user's roles: writing wins, areas tied to companies need all of them."""
-    roles = spark.createDataFrame([("ann", False, ["editor", "reader"]), ("bob", False, ["reader2"]), ("cy", True, ["auditor"])], "user string, has_all boolean, roles array<string>")
-    matrix = spark.createDataFrame([("editor", "sources", "M", False), ("reader", "sources", "L", False), ("reader", "audit", "L", False), ("reader2", "sources", "L", False), ("reader2", "system", "M", True), ("auditor", "audit", "M", False), ("auditor", "system", "M", True)], "role string, area string, level string, restricted boolean")
-    return acl.permissions(roles, matrix, F.col("has_all")).withColumnRenamed("user", "user_name")
+    """Areas of each user's roles: writing wins, areas tied to companies need all of them."""
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    c = read(spark, d, "customer")
+    roles = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("user"), (F.col("c_acctbal") > 5000).alias("has_all"), F.array("c_mktsegment", "r_name").alias("roles"))
+    k = F.col("n_nationkey")
+    by_region = n.select(F.col("r_name").alias("role"), F.concat(F.lit("area"), (k % 4).cast("string")).alias("area"), F.when(k % 3 == 0, "M").otherwise("L").alias("level"), (k % 5 == 0).alias("restricted"))
+    by_segment = c.groupBy(F.col("c_mktsegment").alias("role")).agg(F.concat(F.lit("area"), (F.length("role") % 4).cast("string")).alias("area"), F.when(F.max("c_acctbal") > 9000, "M").otherwise("L").alias("level"), F.lit(False).alias("restricted"))
+    return acl.permissions(roles, by_region.unionByName(by_segment), F.col("has_all")).withColumnRenamed("user", "user_name")
 
 
 @query("SELECT id, document, page FROM chunks WHERE source_id IN (SELECT id FROM allowed) AND (contains(lower(content), 'clown') OR page = 3) ORDER BY id LIMIT 40", SOURCES, ALLOWED, CHUNKS)
@@ -209,7 +218,7 @@ def figure_words(spark, d):
     return retrieval.figure_words(figures(spark, d), ["the", "with.", "Stupid"], 30).select("id", "n_terms")
 
 
-@query("SELECT count(*) AS n FROM figures WHERE NOT regexp_matches(description, '(?i)logo|brand|qr code|barcode|##')", CHUNKS, FIGURES)
+@query("SELECT count(*) AS n FROM figures WHERE NOT regexp_matches(description, '(?i)logo|branding|customization|digital graphic|Susteren|##|qr code|barcode')", CHUNKS, FIGURES)
 def figure_stop_filter(spark, d):
     """Figures that aren't marks or labels."""
     return figures(spark, d).where(~ingest.is_mark(F.col("description"))).agg(F.count(F.lit(1)).alias("n"))
@@ -413,3 +422,55 @@ def neighbours_of_nothing(spark, d):
     """A filter that finds nothing gives the nearest rows, marked as not judged."""
     c = with_vectors(spark, d)
     return retrieval.or_neighbours(c.where("content = 'no such text'"), c, query_vector(spark, d), 8).select("id", "judged")
+
+
+@query(r"SELECT id, n_terms FROM (SELECT id, page, CAST(regexp_matches(description, '(?i)\bthe\b') AS INTEGER) + CAST(regexp_matches(description, '(?i)\bwith\b') AS INTEGER) AS n_terms FROM figures WHERE source_id IN (SELECT id FROM allowed) AND NOT regexp_matches(description, '(?i)logo|branding|customization|digital graphic|Susteren|##|qr code|barcode') AND regexp_matches(description, '(?i)clown|thing')) WHERE n_terms > 0 ORDER BY n_terms DESC, page NULLS LAST, id LIMIT 30", SOURCES, ALLOWED, CHUNKS, FIGURES)
+def figure_words_secured(spark, d):
+    """Words of figures that a reader may see, under a constraint that some of them meet."""
+    return retrieval.secured_figure_words(figures(spark, d), sources(spark, d), WHO, ["the", "with."], 30, pattern="(?i)clown|thing").select("id", "n_terms")
+
+
+@query("SELECT id, level FROM (SELECT id, 'document' AS level FROM docs_top UNION ALL SELECT id, 'page' AS level FROM pages_top)", SOURCES, ALLOWED, CHUNKS, VECTORS, "whole AS (SELECT * FROM vectors WHERE page IS NULL AND source_id IN (SELECT id FROM allowed))", "paged AS (SELECT * FROM vectors WHERE page IS NOT NULL AND source_id IN (SELECT id FROM allowed))", _nearest_sql("docs_top", "whole", 4), _nearest_sql("pages_top", "paged", 8))
+def two_stage_secured(spark, d):
+    """Nearest document and page summaries that a reader may see."""
+    return retrieval.secured_two_stage(with_vectors(spark, d), sources(spark, d), WHO, query_vector(spark, d), 4, 8).select("id", "level")
+
+
+@query("""SELECT 1 AS round, 'done' AS outcome, id, true AS judged FROM vectors WHERE contains(lower(content), 'clown') UNION ALL SELECT 2, 'repeated', NULL, NULL UNION ALL SELECT 3, 'refused', NULL, NULL
+ UNION ALL SELECT 4, 'empty', id, false FROM vec""", CHUNKS, VECTORS, _nearest_sql("vec", "vectors", 8))
+def search_outcomes(spark, d):
+    """Four searches of a turn: one that finds rows, the same again, one that can't run, and one whose neighbourhood stands in."""
+    c, turn, out = with_vectors(spark, d), retrieval.Rounds(), None
+    near = lambda: vectors.nearest(c, query_vector(spark, d), 8).select("id")
+    found = lambda term: lambda: c.where(text.contains(F.col("content"), term)).select("id")
+    asked = [("content has clown", found("clown")), ("Content  has CLOWN;", found("clown")), ("no_column > 1", lambda: c.where("no_column > 1").select("id")), ("content has nothing", found("no such text"))]
+    for n, (statement, make) in enumerate(asked, 1):
+        rows, outcome = turn.run(statement, make, near)
+        rows = spark.createDataFrame([(None, None)], "id long, judged boolean") if rows is None else rows.select("id", "judged")
+        part = rows.select(F.lit(n).alias("round"), F.lit(outcome).alias("outcome"), "id", "judged")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR regexp_matches(text, '(?i)\\b(quali|quante|elenca|elencare|lista|tutt[ei]|assortimento|gamma|catalogo completo)\\b') OR turn % 5 = 1 THEN 120 ELSE 60 END AS pieces FROM conversations")
+def pieces_by_intent(spark, d):
+    """How many pieces each question needs: lists need more."""
+    asked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Quali colori? "), F.col("text"))).when(F.col("turn") % 5 == 1, F.concat(F.col("text"), F.lit(" che nastri avete"))).otherwise(F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", retrieval.pieces_wanted(asked).alias("pieces"))
+
+
+@query("""SELECT p_partkey, 'Nei documenti a cui ho accesso non ho trovato ' || CASE p_partkey % 5 WHEN 0 THEN 'articoli che corrispondono alla tua richiesta' WHEN 1 THEN 'articoli di colore ' || p_brand || ', ' || p_size
+ WHEN 2 THEN 'articoli della misura ' || p_size WHEN 3 THEN 'articoli con prezzo ' || p_size ELSE 'articoli con quelle caratteristiche' END || '.' AS said FROM part""")
+def honest_empty(spark, d):
+    """What is said where nothing was found, by the constraints of the search."""
+    one = lambda a, v: F.struct(F.lit(a).alias("attribute"), v.cast("string").alias("value"))
+    k, size, brand = F.col("p_partkey"), F.col("p_size"), F.col("p_brand")
+    given = F.when(k % 5 == 1, F.array(one("colore", brand), one("misura", size))).when(k % 5 == 2, F.array(one("colore", F.lit("")), one("formato", size))).when(k % 5 == 3, F.array(one("prezzo", size))).when(k % 5 == 4, F.array(one("peso", F.lit(None))))
+    return read(spark, d, "part").select("p_partkey", retrieval.nothing_found(given).alias("said"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT id FROM figures WHERE source_id IN (SELECT id FROM allowed))", SOURCES, ALLOWED, CHUNKS, FIGURES)
+def visible_figures(spark, d):
+    """Links to figures that a reader may still open."""
+    links = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    return retrieval.visible(links, figures(spark, d), sources(spark, d), WHO).select("o_orderkey")

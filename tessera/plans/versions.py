@@ -88,11 +88,11 @@ def last_wins(spark, d):
     return history.last_wins(read(spark, d, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderpriority AS entity, count(*) AS n_before, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_now, count(*) >= 2 AND count(*) FILTER (WHERE o_orderstatus = 'P') < 0.5 * count(*) AS blocked FROM orders GROUP BY o_orderpriority")
+@query("SELECT o_orderpriority AS entity, count(*) AS n_before, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_now, count(*) >= 2 AND count(*) FILTER (WHERE o_orderstatus = 'P') < 0.5 * count(*) AS blocked, CAST(floor((1 - count(*) FILTER (WHERE o_orderstatus = 'P') / count(*)) * 100) AS BIGINT) AS percent FROM orders GROUP BY o_orderpriority")
 def collapse_check(spark, d):
     """Full loads that shrank to less than half are blocked."""
     rows = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("entity")).agg(F.count(F.lit(1)).alias("n_before"), F.count_if(F.col("o_orderstatus") == "P").alias("n_now"))
-    return rows.withColumn("blocked", history.is_collapsed(F.col("n_before"), F.col("n_now")))
+    return rows.withColumn("blocked", history.is_collapsed(F.col("n_before"), F.col("n_now"))).withColumn("percent", history.fall(F.col("n_before"), F.col("n_now")))
 
 
 @query("SELECT 'acme:' || o_orderkey AS id, 'acme:' || o_custkey AS customer_id FROM orders")
@@ -304,13 +304,6 @@ def last_ok_import(spark, d):
     return read(spark, d, "orders").groupBy(F.col("o_custkey").alias("company")).agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("last_ok"))
 
 
-@query("SELECT c_nationkey AS connection, count(*) AS n, string_agg(c_custkey, ',' ORDER BY c_custkey) FILTER (WHERE c_acctbal > 9000) AS companies FROM customer GROUP BY c_nationkey")
-def connection_companies(spark, d):
-    """Connections with the list of their companies."""
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("c_acctbal") > 9000, F.col("c_custkey")))), lambda x: x.cast("string")), ",")
-    return read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("connection")).agg(F.count(F.lit(1)).alias("n"), F.nullif(listed, F.lit("")).alias("companies"))
-
-
 @query("SELECT strftime(l_shipdate, '%Y-%m') AS day, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS stock FROM lineitem GROUP BY 1, 2")
 def daily_snapshot(spark, d):
     """Stock by period and item, one row a key."""

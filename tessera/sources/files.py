@@ -54,3 +54,9 @@ def replace_documents(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     fresh = incoming.select("source_id", "document").distinct()
     kept = stored.join(fresh, ["source_id", "document"], "left_anti")
     return kept.unionByName(incoming.dropDuplicates(["source_id", "document", "page", "content"]))
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """An export of ``export_csv`` as texts, its byte-order mark taken off the first name."""
+    rows = spark.read.option("sep", ";").option("header", "true").option("quote", '"').option("escape", "\\").csv(path)
+    return rows.withColumnRenamed(rows.columns[0], rows.columns[0].lstrip("﻿"))
