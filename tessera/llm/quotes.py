@@ -78,11 +78,13 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, parent_conv, parent_turn and n_linked (passage units with an original) of messages that quote an earlier one."""
     known = parsed.where("conv_id is not null and turn is not null")
     units_of = known.select("conv_id", "turn", F.explode(units(F.col("own"))).alias("unit")).select("conv_id", "turn", F.sha2("unit", 256).alias("key"))
-    nearby = units_of.groupBy("key", "conv_id").agg(F.min("turn").alias("near_turn"))
-    anywhere = nearby.groupBy("key").agg(F.min(F.struct("conv_id", "near_turn")).alias("far"))
+    # written first: a join of two plain tables can split a passage that everyone quotes, one with an aggregate below it can't
+    nearby = written(units_of.groupBy("key", "conv_id").agg(F.min("turn").alias("near_turn")), "quote-nearby")
+    anywhere = written(nearby.groupBy("key").agg(F.min(F.struct("conv_id", "near_turn")).alias("far")), "quote-anywhere")
     quoted = known.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), F.explode(units(F.col("q.text"))).alias("unit"))
     quoted = quoted.select("conv_id", "turn", "level", F.sha2("unit", 256).alias("key"), F.length("unit").cast("long").alias("weight"))
-    found = quoted.join(nearby, ["key", "conv_id"], "left").join(anywhere, "key", "left")
+    quoted = written(quoted.join(nearby, ["key", "conv_id"], "left"), "quote-units")
+    found = quoted.join(anywhere, "key", "left")
     near = F.col("near_turn") < F.col("turn")
     far = F.col("far").isNotNull() & (F.struct("far.conv_id", "far.near_turn") < F.struct("conv_id", "turn"))
     source = F.when(near, F.struct(F.col("conv_id").alias("c"), F.col("near_turn").alias("t"))).when(far, F.struct(F.col("far.conv_id").alias("c"), F.col("far.near_turn").alias("t")))

@@ -5,6 +5,7 @@ import time
 
 import duckdb
 
+from tessera.llm import quotes
 from tessera.llm.quotes import ORACLE_SQL, op1_quotes, reply_ordered
 
 SCHEMA = "conv_id long, turn long, role string, text string, level string"
@@ -82,3 +83,31 @@ def test_against_duckdb(spark, tmp_path):
     got = [tuple(r) for r in op1_quotes(spark, str(tmp_path)).select(*names).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert sum(r[3] is not None for r in got) > 10
+
+
+def test_a_sentence_that_everyone_quotes_is_split(spark, monkeypatch):
+    """The joins of quoted units take several tasks for one hot sentence; links stay right."""
+    plans = []
+
+    def spy(df, label, *rest, real=quotes.written):
+        if label == "quote-units":
+            frame = df.selectExpr("*")
+            frame.collect()
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, *rest)
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(quotes, "written", spy)
+    rows = [(0, 0, "user", "The tide is high tonight.")] + [(0, i, "user", "> The tide is high tonight.\nSo it is, said number %d." % i) for i in range(1, 8000)] + [(i, 0, "user", f"Own words {i}.") for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = quotes.quote_links(quotes.written(quotes.parsed_messages(df), "messages"))
+        one = got.groupBy("parent_conv", "parent_turn").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r) for r in one] == [(0, 0, 7999)]
+    assert any("skew=true" in p for p in plans)
