@@ -168,16 +168,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each links neighbours to the
     smallest neighbour of a node, until every component is a star. All steps are
-    aggregates and joins; the table of links is written between rounds.
+    aggregates and joins; tables are written between them, so that a join can split
+    a node that all others of a large component are linked to.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "links-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -192,8 +193,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = TAU) -> DataFr
     own = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = written(components(fingerprint_links(distinct.select("fp"), tau)), "roots")
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    grouped = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "grouped")
+    named = written(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "named")
     return own.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -252,23 +253,26 @@ def loose_tau(n: np.ndarray) -> np.ndarray:
     return np.where(n < 24, 64 * WIDE_WORDS, 60)
 
 
-def wide_within(a: np.ndarray, b: np.ndarray, tau: np.ndarray, chain: int = 8) -> np.ndarray:
-    """Which rows of ``a`` and ``b`` (16-bit segments) are within ``tau`` bits.
+def chained(diff: np.ndarray, tau: np.ndarray, chain: int) -> np.ndarray:
+    """Which rows of segment differences have ``chain`` consecutive segments around the ring whose cumulative differences stay within their proportional budgets.
 
-    First some ``chain`` consecutive segments around the ring must have all
-    cumulative differences within their proportional budgets; only pairs with
-    such a chain get the full check.
+    A row within ``tau`` bits in all has such a chain of any length.
     """
-    diff = np.bitwise_count(a ^ b).astype(np.int32)
     m = diff.shape[1]
-    ring = np.concatenate([diff, diff[:, : chain - 1]], axis=1)
-    total = np.zeros_like(diff)
-    viable = np.ones(diff.shape, bool)
-    for length in range(1, chain + 1):
-        total += ring[:, length - 1 : length - 1 + m]
-        viable &= total * m <= length * tau[:, None]
-    near = viable.any(1)
-    near[near] = diff[near].sum(1) <= tau[near]
+    budget = (np.arange(1, chain + 1)[:, None] * tau // m).astype(np.int16)
+    total = diff.astype(np.int16)
+    viable = total <= budget[0][:, None]
+    for length in range(2, chain + 1):
+        total = total + np.roll(diff, 1 - length, axis=1)
+        viable &= total <= budget[length - 1][:, None]
+    return viable.any(1)
+
+
+def wide_within(a: np.ndarray, b: np.ndarray, tau: np.ndarray, chain: int = 8) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` (16-bit segments) are within ``tau`` bits: only pairs with a chain get the full check."""
+    diff = np.bitwise_count(a ^ b)
+    near = chained(diff, tau, chain)
+    near[near] = diff[near].sum(1, dtype=np.int64) <= tau[near]
     return near
 
 
@@ -290,6 +294,8 @@ def _segments(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, 4 * WIDE_WORDS)
 
 
+#: Segments of a chain that decides which candidates get a distance.
+CHAIN = 3
 #: Candidates of a text that are verified: of the ends of its keys, and of the nearest in other groups.
 ENDS, NEAREST = 3, 4
 _PAIRS = "a long, b long, d long"
@@ -356,15 +362,20 @@ def nearest_pairs(distinct: DataFrame, tried: DataFrame, chunk: int = CHUNK) ->
             roots, count = np.unique(root, return_counts=True)
             if len(roots) < 2:
                 continue
-            bits = fps[begin:end].view(np.uint64)
+            segments = fps[begin:end]
             for i in np.flatnonzero(root != roots[np.argmax(count)]).tolist():
                 others = np.flatnonzero(root != root[i])
                 least, most = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-                d = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
-                near = np.flatnonzero((100 * least >= round(100 * SIMILARITY) * most) & (d <= loose_tau(least)))
+                sized = 100 * least >= round(100 * SIMILARITY) * most
+                others, tau = others[sized], loose_tau(least[sized])
+                diff = np.bitwise_count(segments[others] ^ segments[i])
+                # chains prune before any distance is added up
+                near = np.flatnonzero(chained(diff, tau, CHAIN))
+                d = diff[near].sum(1, dtype=np.int64)
+                near, d = near[d <= tau[near]], d[d <= tau[near]]
                 # some may have been tried before
-                near = near[np.argsort(d[near], kind="stable")[: NEAREST + 2 * ENDS]]
-                found.append(np.stack([np.full(len(near), ids[i]), ids[others[near]], d[near]]))
+                first = np.argsort(d, kind="stable")[: NEAREST + 2 * ENDS]
+                found.append(np.stack([np.full(len(first), ids[i]), ids[others[near[first]]], d[first]]))
         if found:
             found = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "d"])

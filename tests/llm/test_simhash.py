@@ -100,3 +100,50 @@ def test_near_copies_against_brute_force_at_the_threshold(spark, tmp_path, exhau
     df = spark.createDataFrame([(i, t, "en", None, 0, "z") for i, t in enumerate(texts)], DOCS).repartition(4)
     kept = [r["doc_id"] for r in sh.drop_near_duplicates(spark, df, str(tmp_path), exhaustive).collect()]
     assert sorted(kept) == sorted(set(root))
+
+
+SKEW = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+def test_a_hub_is_split(spark, monkeypatch):
+    """Joins of a component whose links all lead to one node take several tasks for that node."""
+    plans = []
+
+    def spy(df, label, *rest, real=sh.written):
+        df.write.format("noop").mode("overwrite").save()
+        out = real(df, label, *rest)
+        if label in ("links", "links-large"):
+            frame = df.selectExpr("*")
+            frame.collect()
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    before = {k: spark.conf.get(k) for k in SKEW}
+    monkeypatch.setattr(sh, "written", spy)
+    try:
+        for k, v in SKEW.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 30_000).selectExpr("0L as a", "id as b").unionByName(spark.createDataFrame([(40_000, 40_001)], "a long, b long"))
+        roots = sh.components(star).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(roots) == 30_002 and {r["root"] for r in roots} == {0, 40_000}
+    assert any("skew=true" in p for p in plans)
+
+
+def test_chains_prune_and_lose_nothing():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 16, (4000, 16), dtype=np.uint16)
+    b = a.copy()
+    flips = rng.integers(0, 80, 4000)
+    for i, n in enumerate(flips.tolist()):
+        for bit in rng.choice(256, n, replace=False).tolist():
+            b[i, bit // 16] ^= np.uint16(1 << (bit % 16))
+    diff, tau = np.bitwise_count(a ^ b), np.full(4000, 60)
+    near = diff.sum(1, dtype=int) <= 60
+    for chain in (1, 2, 3, 8, 16):
+        assert sh.chained(diff, tau, chain)[near].all()
+    assert (sh.wide_within(a, b, tau) == near).all()
+    others = np.bitwise_count(a[:-1] ^ a[1:])
+    assert sh.chained(others, tau[:-1], sh.CHAIN).mean() < 0.05
