@@ -37,6 +37,8 @@ from .shared import WORD, fresh, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP, BLOCK, FAN_IN = 3.0, 2000, 500
+#: Sources that one task puts in order.
+NUMBERED = 100_000
 #: Open entries of a source that are set at once, by trying all choices.
 LANDING = 12
 _EPS = 1e-9
@@ -109,6 +111,24 @@ def exchange(pi: np.ndarray, before: np.ndarray, x: np.ndarray, times: int = 3)
     return pi
 
 
+def numbered(per: DataFrame, rows: int = NUMBERED) -> DataFrame:
+    """``per`` (one row for each source) with ``number``: its place by source, nulls last.
+
+    The sources are dealt by ranges of their names, numbered in each range, and
+    moved by the number of those in the ranges before: a task holds ``rows`` or so.
+    """
+    n = max(1, -(-per.count() // rows))
+    order = F.col("source").asc_nulls_last()
+    dealt = written(per.repartitionByRange(n, order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before, base = 0, []
+    for r in dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect():  # a row for each range
+        base.append((r["range"], before))
+        before += r["n"]
+    base = per.sparkSession.createDataFrame(base, "range int, base long")
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return dealt.withColumn("nth", nth).join(base, "range").withColumn("number", F.col("base") + F.col("nth")).drop("range", "nth", "base")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """source, source_size, n_entries and target of each source of ``sizes`` (source, size, m rows each).
 
@@ -117,10 +137,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
     above. Each round is one aggregate of the table of sources.
     """
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n_entries"))
-    # weights repeat along the order of the sources, so that order has to be known: one row for each source
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = written(per.withColumn("weight", weight), "mix-sources")
+    # weights repeat along the order of the sources, so that order has to be known
+    ranked = numbered(written(per, "mix-sources"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    per = written(ranked.withColumn("weight", weight).drop("number"), "mix-weights")
     limit = F.col("source_size") * F.lit(float(cap))
     total = float(per.agg(F.sum("source_size")).first()[0] or 0)
     level, before = 0.0, None

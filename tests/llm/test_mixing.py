@@ -99,3 +99,13 @@ def test_many_rows_alike(spark, monkeypatch):
     got = out.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 3 and r["over"] <= 0 for r in got)
     assert mixing.mix_documents(spark, df, "").count() == out.agg(F.sum("copies")).first()[0]
+
+
+@pytest.mark.parametrize("rows", [100_000, 7])
+def test_sources_are_numbered_in_ranges(spark, rows):
+    names = [f"host{i:03d}" for i in np.random.default_rng(1).permutation(60)] + [None, "Zürich", ""]
+    per = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")
+    got = mixing.numbered(per, rows)
+    by_name = sorted(names, key=lambda n: (n is None, (n or "").encode()))
+    assert {r["source"]: r["number"] for r in got.collect()} == {n: i for i, n in enumerate(by_name)}
+    assert mixing.numbered(per.limit(0), rows).collect() == []
