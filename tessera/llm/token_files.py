@@ -13,13 +13,14 @@ ones don't widen the rest; these are the exceptions. The index of block starts
 gives any run of ids without reading the blocks before it (``ids_between``).
 
 Defined results: null text is empty, and an empty text is its end id alone; null
-doc_ids come first; rows that share a doc_id follow each other by text; an empty
-table gives no shards.
+doc_ids come first; rows that share a doc_id follow each other by two hashes of the
+text, in the same order for any split of the input; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -35,6 +36,8 @@ from .shared import table, worker_state, written
 
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
+#: Bytes of text that one task encodes.
+TASK_BYTES = 16 << 20
 #: A worker keeps the ids of new words until it has so many (about 50 MB); others are encoded when they come up.
 MEMO = 1_500_000
 TOKENIZER = "byte_bpe_50k.json"
@@ -101,8 +104,18 @@ def ids_between(shard: bytes, first: int = 0, last: int | None = None) -> np.nda
     return (grid + low).astype(np.uint32).ravel()[first - b0 * BLOCK : last - b0 * BLOCK]
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file says that its pieces never reach over a space before a word: byte-level BPE with the usual pattern, on the text as it is."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    cutter, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    plain = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+    spaced = any(" " in t["content"] or "\n" in t["content"] or t.get("lstrip") or t.get("rstrip") for t in said.get("added_tokens") or [])
+    return bool(plain and not spaced and said.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout"))
+
+
 class WordEncoder:
-    """Ids of whole texts from a byte-level BPE tokenizer, which merges within words only.
+    """Ids of whole texts from a tokenizer; word by word from a byte-level BPE one, which merges within words only.
 
     A space before a non-space character begins a new word for such a tokenizer,
     and a single line end between two of them is a word, so a text's ids are those
@@ -116,6 +129,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = cuts_at_spaces(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.words, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(0, np.int64)
         self.cut = re.compile(r"(?= \S)")
@@ -147,6 +161,8 @@ class WordEncoder:
         return row, ids, n, np.concatenate([np.zeros(kept, bool), odd])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.array(ids, np.uint32) for ids in self.encode(texts)]
         # a piece after a line end keeps it, in place of a space
         marked = pa.array([t.replace(" \n", "  \n") if "\n\n" in t else t.replace("\n", " \n") for t in texts], pa.large_string())
         lists = pc.split_pattern(marked, " ")
@@ -190,7 +206,7 @@ def _groups(texts: list[str], limit: int = 4 << 20):
 SHARDS = "part int, seq int, part_offset long, n_ids long, doc_ids array<long>, doc_lengths array<long>, shard binary"
 
 
-def encode_tables(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def encode_tables(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, shard_ids: int = SHARD_IDS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Shards of the ids of ``docs`` (doc_id, text) in ascending doc_id order.
 
     The documents are range-partitioned by doc_id, so each task writes one run of
@@ -226,11 +242,12 @@ def encode_tables(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END
             yield shard()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # rows of one id, or of none, are split by the input's partitions
-    rows = rows.withColumn("dealt", F.spark_partition_id())
-    order = (F.col("doc_id").asc_nulls_first(), F.col("dealt").asc())
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // task_bytes))
+    # rows of one id, or of none, are in the order of their texts' hashes; equal rows may be cut anywhere
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.spark_partition_id().alias("dealt"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h1").asc(), F.col("h2").asc(), F.col("dealt").asc())
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "text").mapInArrow(encode, SHARDS)
 
 

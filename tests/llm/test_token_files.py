@@ -61,3 +61,54 @@ def test_shards_split_between_documents(spark):
     assert [r["doc_id"] for r in rows] == list(range(100))
     assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
     assert shards.count() > 10
+
+
+def test_order_does_not_depend_on_the_splits(spark):
+    rows = [(i % 3 if i % 4 else None, f"text {i % 7}", "x") for i in range(200)]
+    got = []
+    for parts, order in ((1, 1), (7, -1)):
+        df = spark.createDataFrame(rows[::order], "doc_id long, text string, other string").repartition(parts)
+        back = tf.read_documents(tf.written(tf.encode_tables(df, task_bytes=300), "test"))
+        got.append(sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in back.collect()))
+    assert got[0] == got[1] and [r[1] for r in got[0]] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+
+
+def test_tasks_follow_the_bytes(spark):
+    df = spark.createDataFrame([(i, "word " * 50) for i in range(400)], "doc_id long, text string")
+    parts = tf.written(tf.encode_tables(df, task_bytes=5000), "test").select("part").distinct().count()
+    assert 15 <= parts <= 20
+
+
+def other_tokenizers(tmp_path):
+    """Byte-level BPE without the splitting pattern, one that puts a space before the text, and one that lower-cases."""
+    import json
+
+    said = json.load(open(public_tokenizers.path(tf.TOKENIZER)))
+    for name, changes in (("whole", {"use_regex": False}), ("prefix", {"add_prefix_space": True}), ("lower", None)):
+        own = json.loads(json.dumps(said))
+        if changes is None:
+            own["normalizer"] = {"type": "Lowercase"}
+        else:
+            own["pre_tokenizer"] |= changes
+        if name == "whole":  # merges over spaces
+            own["model"]["merges"] = [["a", "Ġ"], *own["model"]["merges"]]
+            own["model"]["vocab"]["aĠ"] = len(own["model"]["vocab"])
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(own))
+        yield str(path)
+    yield public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_other_tokenizers_give_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a b a  c", "Hello World\n\nA a", "", " a ", "été a É", "x\ny"]
+    assert tf.cuts_at_spaces(public_tokenizers.path(tf.TOKENIZER))
+    for path in other_tokenizers(tmp_path):
+        own = Tokenizer.from_file(path)
+        want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not tf.cuts_at_spaces(path)
+        assert [x.tolist() for x in tf.WordEncoder(path).batch(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tf.read_documents(tf.written(tf.encode_tables(df, path), "test")).collect()}
+    assert got == {i: len(w) + 1 for i, w in enumerate(want)}
