@@ -32,7 +32,7 @@ like any other; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -323,6 +323,12 @@ def _joined(part: list[tuple[int, int, bytes | None]], n: int) -> bytes | None:
     return np.packbits(flags).tobytes()
 
 
+def newest(levels: DataFrame) -> DataFrame:
+    """Rows of levels as the last load that met their seed left them."""
+    columns = [c.split()[0] for c in LEVELS.split(", ")]
+    return levels.groupBy("key", "span").agg(F.max_by(F.struct(*columns), "load").alias("r")).select("r.*")
+
+
 def resolved(spans: DataFrame, length: int, hot: int, cuts: tuple[int, ...] = CUTS, levels: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """key, span and flags of distinct spans with their bytes and counts, null flags where all windows occur again; and the new table of levels.
 
@@ -336,6 +342,9 @@ def resolved(spans: DataFrame, length: int, hot: int, cuts: tuple[int, ...] = CU
     if not cuts:  # one window each: equal windows are one span
         return out, None
     several = spans.where((F.col("spans") > 1) & (F.col("spans") <= hot)).select("key", "span", "n", "left", "c", "bytes")
+    if levels is not None:  # spans meet under one seed only: levels are read where the batch has that seed
+        met = written(several.select("key").distinct(), "repeat-met-keys")
+        levels = written(newest(levels.join(met, "key", "left_semi")), "repeat-met-levels")
     many = spans.where(F.col("spans") > hot).select("key", "span", "n", "left", "c", "bytes")
     total, more = spans.agg(F.count_if((F.col("spans") > 1) & (F.col("spans") <= hot)), F.count_if(F.col("spans") > hot)).first()
     total += levels.count() if levels is not None else 0
@@ -364,11 +373,14 @@ class RepeatIndex:
     texts: DataFrame
     anchors: DataFrame
     levels: DataFrame
+    #: Of each table what the last load added.
+    added: dict[str, DataFrame] = field(default_factory=dict)
 
-    def save(self, path: str) -> None:
-        """Write the tables under ``path``, for ``RepeatIndex.load`` in a later job."""
+    def save(self, path: str, all_loads: bool = True) -> None:
+        """Write the tables under ``path``, for ``RepeatIndex.load`` in a later job; or add the last load's rows to those that are there."""
         for name in ("texts", "anchors", "levels"):
-            getattr(self, name).write.option("compression", "zstd").parquet(f"{path}/{name}")
+            rows = getattr(self, name) if all_loads else self.added[name]
+            rows.write.mode("errorifexists" if all_loads else "append").option("compression", "zstd").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> RepeatIndex:
@@ -448,7 +460,12 @@ def add_load(docs: DataFrame, index: RepeatIndex | None = None, length: int = LE
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done = texts.join(marks, "row", "left").select("doc_id", "z", "marks").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    grown = RepeatIndex(every_text, anchors if index is None else index.anchors.unionByName(anchors), levels)
+    # what this load wrote: its own spans, and those it met; all others stay where they are
+    load = 0 if index is None else 1 + (index.levels.agg(F.max("load")).first()[0] or 0)
+    added = {"texts": texts, "anchors": anchors, "levels": levels.withColumn("load", F.lit(load))}
+    grown = RepeatIndex(every_text, anchors, added["levels"], added)
+    if index is not None:
+        grown = RepeatIndex(every_text, index.anchors.unionByName(anchors), index.levels.unionByName(added["levels"]), added)
     return done if keep_text else done.drop("kept"), grown
 
 

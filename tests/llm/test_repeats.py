@@ -95,3 +95,31 @@ def test_repeated_rows_and_clashing_columns(spark):
     n = len(text)
     assert rows == [(1, n, n, 1), (1, n, n, 1), (None, 0, 0, 0), (None, 5, 0, 0)]
     assert repeats.without_repeats(df.limit(0)).collect() == []
+
+
+def test_a_later_load_reads_and_writes_what_it_meets(spark, tmp_path, monkeypatch):
+    """Ten loads of equal size: the last writes no more than a few times what the first wrote, and the index grows by appending."""
+    sizes = []
+
+    def spy(df, label, *rest, real=repeats.written):
+        out = real(df, label, *rest)
+        if label in ("repeat-levels", "repeat-met-levels"):
+            sizes[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "written", spy)
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    shared, texts, index, path = word(120), [], None, str(tmp_path / "index")
+    for k in range(10):
+        some = [word(200) for _ in range(12)]
+        some += [word(40) + some[int(rng.integers(0, 12))][50:150] + word(30) for _ in range(6)] + [word(20) + shared + word(20)]
+        rows = [(k * 100 + i, t, "k") for i, t in enumerate(some)]
+        texts += some
+        sizes.append(0)
+        got, index = repeats.add_load(spark.createDataFrame(rows, DOCS), index, length=40, seed=13)
+        want = brute(texts, 40)[-len(some) :]
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()) == sorted(want)
+        index.save(path, all_loads=not k)
+        index = repeats.RepeatIndex.load(spark, path)
+    assert 0 < sizes[9] <= 4 * max(sizes[:2]), sizes
