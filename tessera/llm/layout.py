@@ -11,7 +11,7 @@ cells aligned in columns, spans included.
 
 Defined results: a null or empty page has empty text; broken markup never fails,
 unknown tags are inline, and unclosed ones end with their parent; repeated rows
-give equal texts; of very deep tables the inner ones are laid out as blocks.
+give equal texts; tables may be nested to any depth.
 """
 
 from __future__ import annotations
@@ -292,24 +292,26 @@ def _number(value: str, default: int) -> int:
     return int(m[1]) if m else default
 
 
-def grid_of(node: Node, rules: list, depth: int, seen: bool) -> list[str]:
+def _grid(node: Node, rules: list, seen: bool):
     """A table's lines: a caption, then rows whose cells are padded to their columns' widths."""
     caption, rows, todo = [], [], [(c, seen) for c in reversed(node.children)]
     while todo:
         child, shown = todo.pop()
         if not isinstance(child, Node):
             if child.strip() and shown:  # text beside the cells is shown before the table
-                caption += render_lines([child], rules, depth, shown)
+                caption += (yield _lines([child], rules, shown))
             continue
         how = state(child, rules)
         if how == "none":
             continue
         shown = shown if not how else how == "visible"
         if child.tag == "caption":
-            caption += render_lines(child.children, rules, depth + 1, shown)
+            caption += (yield _lines(child.children, rules, shown))
         elif child.tag == "tr":
             rows.append([(c, shown) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and state(c, rules) != "none"])
-            caption += [x for c in child.children if not isinstance(c, Node) and c.strip() and shown for x in render_lines([c], rules, depth, shown)]
+            for c in child.children:
+                if not isinstance(c, Node) and c.strip() and shown:
+                    caption += yield _lines([c], rules, shown)
         elif child.tag in ("td", "th"):
             if not rows or rows[-1] is None:
                 rows.append([])
@@ -317,7 +319,7 @@ def grid_of(node: Node, rules: list, depth: int, seen: bool) -> list[str]:
         elif child.tag in ("thead", "tbody", "tfoot", "form"):
             todo += [(c, shown) for c in reversed(child.children)]
         elif child.tag not in ("colgroup", "col"):
-            caption += render_lines([child], rules, depth + 1, shown)
+            caption += (yield _lines([child], rules, shown))
     taken, cells, width = set(), [], {}
     for r, row in enumerate(rows):
         c = 0
@@ -326,27 +328,43 @@ def grid_of(node: Node, rules: list, depth: int, seen: bool) -> list[str]:
                 c += 1
             across, down = max(1, min(_number(cell.attrs.get("colspan"), 1), 1000)), max(1, min(_number(cell.attrs.get("rowspan"), 1), len(rows) - r))
             how = state(cell, rules)
-            lines = render_lines(cell.children, rules, depth + 1, shown if not how else how == "visible")
+            lines = (yield _lines(cell.children, rules, shown if not how else how == "visible"))
             cells.append((r, c, across, lines))
             taken.update((r + i, c + j) for i in range(down) for j in range(across))
             if across == 1:
                 width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
             c += across
-    out = []
-    for r in range(len(rows)):
-        own = [x for x in cells if x[0] == r]
+    out, by_row, begins = [], [[] for _ in rows], [0]
+    for cell in cells:
+        by_row[cell[0]].append(cell)
+    for j in range(max(width, default=-1) + 1 + max((c for _, c, _, _ in cells), default=0)):
+        begins.append(begins[-1] + width.get(j, 0) + 2)
+    for own in by_row:
         for k in range(max((len(x[3]) for x in own), default=0)):
             line = ""
             for _, c, _, lines in own:
-                at = sum(width.get(j, 0) + 2 for j in range(c))
+                at = begins[c]
                 line = line.ljust(at) if len(line) <= at or not line else line + "  "
                 line += lines[k] if k < len(lines) else ""
             out.append(line.rstrip())
     return caption + out
 
 
-def render_lines(nodes: list, rules: list, depth: int = 0, shown: bool = True) -> list[str]:
-    """Lines of a run of nodes. Walks with its own stack, so deep pages don't exhaust Python's."""
+def render_lines(nodes: list, rules: list, shown: bool = True) -> list[str]:
+    """Lines of a run of nodes. Cells and tables ask for what is inside them by ``yield``, so that no depth exhausts Python's stack."""
+    open_, lines = [_lines(nodes, rules, shown)], None
+    while open_:
+        try:
+            open_.append(open_[-1].send(lines))
+            lines = None
+        except StopIteration as done:
+            open_.pop()
+            lines = done.value
+    return lines
+
+
+def _lines(nodes: list, rules: list, shown: bool):
+    """Lines of a run of nodes, walked with its own stack."""
     out = Lines()
     marks: list[list] = []  # open lists: [ordered, next number, step]
     outer: list[tuple[Lines, str]] = []  # indented blocks being built: what they go to, and their mark
@@ -382,8 +400,8 @@ def render_lines(nodes: list, rules: list, depth: int = 0, shown: bool = True) -
         if tag == "br":
             out.end_line()
             continue
-        if tag == "table" and depth < 20:
-            out.add(grid_of(node, rules, depth, shown), 2)
+        if tag == "table":
+            out.add((yield _grid(node, rules, shown)), 2)
             continue
         if tag == "input":
             if shown and node.attrs.get("type", "").lower() not in WORDLESS:

@@ -70,3 +70,135 @@ def test_rows(spark, tmp_path):
 )
 def test_shown_unless_surely_hidden(page, text):
     assert visible_text(page) == text
+
+
+def test_tables_nested_to_any_depth_keep_their_columns():
+    inner = "<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>"
+    for depth in (1, 19, 20, 21, 60):
+        page = "<table><tr><td>" * depth + inner + "</td></tr></table>" * depth
+        assert visible_text(page) == "a    bb\nccc  d"
+    assert visible_text("<table><tr><td>" * 3000 + "deep") == "deep"
+
+
+class Reader:
+    """A second reader, of trees instead of tags: blocks as lists of lines, joined with the blank lines between them."""
+
+    APART = {"p", "ul", "ol", "blockquote", "table", "h2"}
+
+    def lines(self, nodes, lists=()):
+        done, line, gap, open_ = [], "", 0, False
+
+        def flush():
+            nonlocal line, open_
+            if open_:
+                done.append(line.rstrip())
+            line, open_ = "", False
+
+        def put(text):
+            nonlocal line, gap, open_
+            if not open_:
+                if gap and done:
+                    done.extend([""] * (gap - 1))
+                gap, open_ = 0, True
+            line += text
+
+        def margin(n):
+            nonlocal gap
+            flush()
+            gap = max(gap, n)
+
+        def whole(inner, n):
+            nonlocal gap
+            margin(n)
+            if inner:
+                if gap and done:
+                    done.extend([""] * (gap - 1))
+                done.extend(inner)
+                gap = n
+
+        def walk(nodes, lists):
+            for k in nodes:
+                if isinstance(k, str):
+                    for word in k.split():
+                        put(word if not open_ or not line else " " + word)
+                    continue
+                tag, children = k
+                if tag == "hidden":
+                    continue
+                if tag == "br":
+                    put("")
+                    flush()
+                elif tag in ("b", "i"):
+                    walk(children, lists)
+                elif tag in ("ul", "ol"):
+                    n = 1 if lists else 2
+                    margin(n)
+                    for number, item in enumerate(children, 1):
+                        mark = f"{number}. " if tag == "ol" else "- "
+                        inner = self.lines(item[1], (*lists, tag)) or [""]
+                        whole([(mark + inner[0]).rstrip(), *[(" " * len(mark) + x).rstrip() for x in inner[1:]]], 1)
+                    margin(n)
+                elif tag == "blockquote":
+                    whole([("  " + x).rstrip() for x in self.lines(children, lists)], 2)
+                elif tag == "table":
+                    cells = [[self.lines(c[1]) for c in row[1]] for row in children]
+                    width = [max((len(x) for row in cells for x in row[j : j + 1] for x in x), default=0) for j in range(max(map(len, cells)))]
+                    grid = []
+                    for row in cells:
+                        for at in range(max((len(x) for x in row), default=0)):
+                            grid.append("  ".join((x[at] if at < len(x) else "").ljust(w) for x, w in zip(row, width)).rstrip())
+                    whole(grid, 2)
+                else:
+                    n = 2 if tag in self.APART else 1
+                    margin(n)
+                    walk(children, lists)
+                    margin(n)
+
+        walk(nodes, lists)
+        flush()
+        return done
+
+
+def html_of(nodes):
+    out = []
+    for k in nodes:
+        if isinstance(k, str):
+            out.append(k)
+        elif k[0] == "br":
+            out.append("<br>")
+        elif k[0] == "hidden":
+            out.append(f"<div hidden>{html_of(k[1])}</div>")
+        else:
+            out.append(f"<{k[0]}>{html_of(k[1])}</{k[0]}>")
+    return "".join(out)
+
+
+def a_tree(rng, depth=0, block=True):
+    out = []
+    for _ in range(rng.randrange(1, 4)):
+        kinds = ["text", "text", "b", "br"] + (["div", "p", "h2", "ul", "ol", "blockquote", "hidden", "table"] if block and depth < 4 else [])
+        kind = rng.choice(kinds)
+        if kind == "text":
+            out.append(" " + " ".join(rng.choice(["one", "two", "three", "x"]) for _ in range(rng.randrange(1, 4))) + " ")
+        elif kind in ("b", "p", "h2"):
+            out.append((kind, [f" w{rng.randrange(9)} "] if kind == "b" else a_tree(rng, depth + 1, False)))
+        elif kind == "br":
+            out.append(("br", []))
+        elif kind in ("ul", "ol"):
+            out.append((kind, [("li", a_tree(rng, depth + 1)) for _ in range(rng.randrange(1, 4))]))
+        elif kind == "table":
+            columns = rng.randrange(1, 4)
+            out.append((kind, [("tr", [("td", a_tree(rng, depth + 2, rng.random() < 0.3)) for _ in range(columns)]) for _ in range(rng.randrange(1, 3))]))
+        else:
+            out.append((kind, a_tree(rng, depth + 1)))
+    return out
+
+
+def test_generated_trees_against_a_second_reader():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(1500):
+        tree = a_tree(rng)
+        page = html_of(tree)
+        assert visible_text(page) == "\n".join(Reader().lines(tree)).strip("\n"), page
