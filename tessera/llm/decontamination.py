@@ -20,6 +20,7 @@ rows get equal results; an empty benchmark leaves all documents clean.
 from __future__ import annotations
 
 import re
+import hashlib
 from collections import defaultdict
 from itertools import chain
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, table, with_columns_from, written
+from .shared import fresh, table, with_columns_from, worker_state, written
 
 MIN_MATCH, THRESHOLD, BLOCK_BYTES = 4, 0.5, 32 << 20
 _WORD = re.compile(r"\w+")
@@ -167,8 +168,14 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
 def _scores(docs: DataFrame, block: list, threshold: float) -> tuple[DataFrame, list[str]]:
     """``docs`` with best coverage, its item and the number of items at or above ``threshold``, for one block of the benchmark."""
 
+    mark = hashlib.sha256(repr(block).encode()).hexdigest()
+
     def make():
-        bench = Benchmark(block)
+        held = worker_state("benchmark", dict)  # one block's index, kept for the worker's next tasks
+        if held.get("mark") != mark:
+            held.clear()
+            held.update(mark=mark, bench=Benchmark(block))
+        bench = held["bench"]
 
         def run(texts):
             best, name, n = np.zeros(len(texts)), [None] * len(texts), np.zeros(len(texts), np.int64)
