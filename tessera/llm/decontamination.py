@@ -19,8 +19,8 @@ rows get equal results; an empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
-import re
 import hashlib
+import re
 from collections import defaultdict
 from itertools import chain
 
