@@ -133,24 +133,53 @@ class WordEncoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.words, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(0, np.int64)
         self.cut = re.compile(r"(?= \S)")
+        # ids of pieces that begin with a space, as byte-level tokenizers write it
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for piece, i in self.tokenizer.get_vocab().items() if piece[:1] == "\u0120"]] = True
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         # in slices, as the library's result objects are large
         return [e.ids for i in range(0, len(texts), 20_000) for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
 
+    def words_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and their numbers, of words without white space at their ends, each after a space.
+
+        They are encoded as one line, whose pieces that begin with a space begin
+        the words: no result object for each word.
+        """
+        flat, lengths = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            ids = np.array(self.encode([f" {' '.join(some)}"])[0], self.kind)
+            begin = np.flatnonzero(self.spaced[ids])
+            if len(begin) == len(some):
+                flat.append(ids)
+                lengths.append(np.diff(np.append(begin, len(ids))))
+            else:  # a word that holds a piece with a space of its own
+                each = self.encode([f" {w}" for w in some])
+                flat += [np.array(x, self.kind) for x in each]
+                lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(flat), np.concatenate(lengths)
+
     def table_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each of the distinct ``words``: its row; and of all rows: the flat ids, their numbers, and the odd ones."""
         row = pc.index_in(words, value_set=self.words)
         missing = np.flatnonzero(row.is_null().to_numpy(zero_copy_only=False))
         row = pc.fill_null(row, 0).to_numpy().astype(np.int64)
         kept = len(self.words)
-        row[missing] = kept + np.arange(len(missing))
         new = words.take(pa.array(missing)).to_pylist()
-        found = self.encode([w if w[:1] == "\n" else f" {w}" for w in new])
         bare = [w[1:] if w[:1] == "\n" else w for w in new]
         odd = np.array([not b or b != b.strip() for b in bare], bool)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), self.kind, int(lengths.sum()))
+        apart = odd | np.array([w[:1] == "\n" for w in new], bool)
+        # plain words come first in the flat table; rows of the others follow
+        plain, other = np.flatnonzero(~apart), np.flatnonzero(apart)
+        flat, lengths = self.words_of([new[i] for i in plain.tolist()])
+        found = self.encode([new[i] if new[i][:1] == "\n" else f" {new[i]}" for i in other.tolist()])
+        more = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(found), self.kind, int(more.sum()))])
+        lengths, order = np.concatenate([lengths, more]), np.concatenate([plain, other])
+        missing, odd = missing[order], odd[order]
+        row[missing] = kept + np.arange(len(missing))
         ids, n = np.concatenate([self.ids, flat]), np.concatenate([self.lengths, lengths])
         if kept < MEMO and not odd.any():
             self.words, self.ids, self.lengths = pa.concat_arrays([self.words, words.take(pa.array(missing))]), ids, n
@@ -191,7 +220,7 @@ class WordEncoder:
         return out
 
 
-def _groups(texts: list[str], limit: int = 4 << 20):
+def _groups(texts: list[str], limit: int = 8 << 20):
     """Slices of ``texts`` of about ``limit`` characters."""
     begin = size = 0
     for i, t in enumerate(texts):
