@@ -136,7 +136,7 @@ def anchored(texts: DataFrame, length: int, seed: int) -> DataFrame:
                     rows.append(row)
                     base.append(at)
                     held += len(piece)
-                    if held > 1 << 20:
+                    if held > 1 << 19:
                         yield out()
                         pieces, rows, base, held = [], [], [], 0
         if pieces:
@@ -294,11 +294,18 @@ def scanned(spans: DataFrame, total: int, length: int, levels: DataFrame | None
     return dealt.mapInArrow(run, LEVELS)
 
 
+def few_rows(batches, rows: int = 256):
+    """Slices of Arrow batches of ``rows`` rows: lists of spans and their bytes are Python objects in a task."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def cut(spans: DataFrame, windows: int, length: int) -> DataFrame:
     """Spans of at most ``windows`` windows, under the hash of what these have in common; with the span they are from."""
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for key, span, n, left, c, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 for d0 in range((left - n + 1) // windows * windows, left + 1, windows):
@@ -356,7 +363,7 @@ def resolved(spans: DataFrame, length: int, hot: int, cuts: tuple[int, ...] = CU
         found, _ = resolved(written(own, "repeat-cut-spans"), length, hot, cuts[1:])
 
         def join(batches):
-            for batch in batches:
+            for batch in few_rows(batches):
                 flags = [_joined([(p["offset"], p["n"], p["flags"]) for p in part], max(p["offset"] + p["n"] for p in part)) for part in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.binary())], ["key", "span", "flags"])
 
@@ -419,7 +426,7 @@ def add_load(docs: DataFrame, index: RepeatIndex | None = None, length: int = LE
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = unpack(z)
@@ -438,7 +445,7 @@ def add_load(docs: DataFrame, index: RepeatIndex | None = None, length: int = LE
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for z, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = unpack(z)
