@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, worker_state, written
+from .shared import small_batches, table, worker_state, written
 
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
-#: Bytes of text that one task encodes.
-TASK_BYTES = 16 << 20
+#: Bytes of text that one task encodes, and those that are encoded at once.
+TASK_BYTES, GROUP_BYTES = 16 << 20, 6 << 20
 #: A worker keeps the ids of new words until it has so many (about 50 MB); others are encoded when they come up.
 MEMO = 1_500_000
 TOKENIZER = "byte_bpe_50k.json"
@@ -205,7 +205,10 @@ class WordEncoder:
         row = row[coded.indices.to_numpy()]
         size = n[row]
         ends = np.cumsum(size)
-        flat = ids[np.repeat((np.cumsum(n) - n)[row] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        # places in the flat table; a group has far fewer than 2**31 ids
+        at = np.repeat(((np.cumsum(n) - n)[row] - ends + size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = ids[at]
         word_end = np.cumsum(counts - 1)
         bound = np.append(0, ends)[np.append(0, word_end)]
         unusual = set(np.searchsorted(word_end, np.flatnonzero(odd[row]), side="right").tolist())
@@ -220,18 +223,6 @@ class WordEncoder:
         return out
 
 
-def _groups(texts: list[str], limit: int = 8 << 20):
-    """Slices of ``texts`` of about ``limit`` characters."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 SHARDS = "part int, seq int, part_offset long, n_ids long, doc_ids array<long>, doc_lengths array<long>, shard binary"
 
 
@@ -256,17 +247,15 @@ def encode_tables(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END
             row = [[part], [seq], [before], [held], [names], [[len(x) for x in ids]], [pack_blocks(np.concatenate(ids))]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for i, j in _groups(texts):
-                for key, own in zip(keys[i:j], words.batch(texts[i:j]), strict=True):
-                    names.append(key)
-                    ids.append(np.append(own, np.uint32(end_id)))
-                    held += len(own) + 1
-                    if held >= shard_ids:
-                        yield shard()
-                        seq, before = seq + 1, before + held
-                        names, ids, held = [], [], 0
+        for batch in small_batches(batches, 1, GROUP_BYTES):
+            for key, own in zip(batch.column(0).to_pylist(), words.batch(batch.column(1).to_pylist()), strict=True):
+                names.append(key)
+                ids.append(np.append(own, np.uint32(end_id)))
+                held += len(own) + 1
+                if held >= shard_ids:
+                    yield shard()
+                    seq, before = seq + 1, before + held
+                    names, ids, held = [], [], 0
         if names:
             yield shard()
 
