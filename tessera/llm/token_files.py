@@ -38,8 +38,8 @@ MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
 #: Bytes of text that one task encodes, and those that are encoded at once.
 TASK_BYTES, GROUP_BYTES = 16 << 20, 6 << 20
-#: A worker keeps the ids of new words until it has so many (about 50 MB); others are encoded when they come up.
-MEMO = 1_500_000
+#: A worker keeps the ids of new words until it has so many (about 30 MB); others are encoded when they come up.
+MEMO = 800_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
