@@ -67,6 +67,19 @@ def worker_state(name: str, make):
     return getattr(held, name)
 
 
+def give_back_memory() -> None:
+    """Return what Arrow's pool and the C library keep for later to the system, at the end of a task whose worker lives on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have, whatever extra columns it brings."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table, worker_state, written
+from .shared import give_back_memory, small_batches, table, worker_state, written
 
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 SHARD_IDS, END_ID = 1 << 18, 0
@@ -258,6 +258,7 @@ def encode_tables(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END
                     names, ids, held = [], [], 0
         if names:
             yield shard()
+        give_back_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
