@@ -2,9 +2,9 @@
 
 Signals (fingerprint, at, kind, until): signal, close, take, resolve, ignore,
 reopen. A signal counts; it reopens what was resolved, or ignored until an
-earlier moment; what is ignored without an end stays so. A close resolves what is open or taken, by itself. The fold reads
-signals in order, one after another, so that only a state is held for each
-fingerprint, never its list of signals.
+earlier moment; what is ignored without an end stays so. A close resolves what is
+open or taken, by itself. The fold reads signals in order, one after another, so
+that only a state is held for each fingerprint, never its list of signals.
 """
 
 from __future__ import annotations
