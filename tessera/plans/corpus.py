@@ -165,9 +165,25 @@ def replaced_documents(spark, d):
     return files.replace_documents(whole, again).groupBy("document").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS document, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit, k) - 1 AS INTEGER) AS ord, 1 AS page, piece
+FROM (SELECT doc_id, unit, k, piece FROM cuts WHERE piece <> '' UNION ALL SELECT doc_id, unit, 0, CASE WHEN title IS NULL THEN txt ELSE title || ' | ' || txt END FROM walked LEFT JOIN titles USING (doc_id) WHERE variant)""",
+    r"""RECURSIVE lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+squeezed AS (SELECT doc_id, n, trim(regexp_replace(line, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS txt FROM lines),
+fragments AS (SELECT doc_id, txt, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, length(txt) AS size,
+ length(txt) <= 80 AND len(string_split(txt, ' ')) <= 6 AND regexp_matches(txt, '^[A-Z]{2,5}[-\s]?\d{3,}\b') AS variant FROM squeezed WHERE txt <> '')""",
+    "titles AS (SELECT doc_id, substr(arg_min(txt, i), 1, 200) AS title FROM fragments WHERE size >= 15 AND NOT variant GROUP BY doc_id)",
+    """walked AS (SELECT doc_id, i, txt, variant, 1 AS unit, CASE WHEN variant THEN 0 ELSE size END AS held FROM fragments WHERE i = 1
+ UNION ALL SELECT f.doc_id, f.i, f.txt, f.variant, w.unit + CASE WHEN w.held = 0 OR f.variant OR w.held >= 300 OR w.held + f.size > 1800 THEN 1 ELSE 0 END,
+ CASE WHEN f.variant THEN 0 WHEN w.held = 0 OR w.held >= 300 OR w.held + f.size > 1800 THEN f.size ELSE w.held + 1 + f.size END FROM walked w JOIN fragments f ON f.doc_id = w.doc_id AND f.i = w.i + 1)""",
+    "units AS (SELECT doc_id, unit, string_agg(txt, chr(10) ORDER BY i) AS whole FROM walked WHERE NOT variant GROUP BY doc_id, unit)",
+    r"""places AS (SELECT 1800 AS most, 300 AS least, '(?s)^(.*)\n' AS last_line)""",
+    """cuts AS (SELECT doc_id, unit, 0 AS k, '' AS piece, whole AS rest FROM units
+ UNION ALL SELECT doc_id, unit, k + 1, trim(substr(rest, 1, place), ' ' || chr(10)), trim(substr(rest, place + 1), ' ' || chr(10))
+ FROM (SELECT c.*, CASE WHEN length(rest) <= most THEN length(rest) WHEN regexp_matches(substr(rest, least + 1, most - least), last_line) THEN least + length(regexp_extract(substr(rest, least + 1, most - least), last_line, 1)) ELSE most END AS place FROM cuts c, places WHERE rest <> ''))""",
+)
 def merged_fragments(spark, d):
-    """Fragments of documents joined and cut (tested against a plain reader of the rules)."""
+    """Fragments of documents joined and cut."""
     return chunking.merge_texts(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document"), F.lit(1).alias("page"), F.col("text").alias("content")))
 
 
