@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import business, history
+from tessera.operators import anomalies, business, history, imports
 from tessera.sources import connectors
 from tessera.sources.generations import work_dir
 
@@ -195,6 +195,42 @@ def stored_history(spark, d):
     return _stored(spark, d).versions().select("id", "segment", F.col("nation").cast("long").alias("nation"), "valid_from", "valid_to", "deleted")
 
 
+@query(
+    """SELECT status, CAST(sum(is_open) AS BIGINT) AS n_open, CAST(sum(1 - is_open) AS BIGINT) AS n_closed, 'blocked' AS outcome, (SELECT 'collapsed by ' || CAST(floor((1 - count(*) FILTER (WHERE o_orderkey % 10 = 1) / count(*)) * 100) AS INTEGER) || ' %' FROM orders) AS reason,
+ (SELECT max(modified) FROM second) AS mark, 'resolved' AS error_state, 'open' AS blocked_state
+FROM (SELECT status, 1 AS is_open FROM second UNION ALL SELECT o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 1 END FROM orders, m WHERE o_orderdate <= mark) GROUP BY status""",
+    "m AS (SELECT max(o_orderdate) AS mark FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')",
+    "second AS (SELECT CASE WHEN o_orderdate <= mark THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderdate <= mark THEN TIMESTAMP '1999-01-01' ELSE o_orderdate END AS modified FROM orders, m WHERE o_orderdate > mark OR o_orderkey % 10 = 0)",
+)
+def import_runs(spark, d):
+    """Four runs of an import: the first part, one that fails in its tasks, what is behind the mark, and a full load that is blocked."""
+    kept = history.StoredHistory(spark, f"{work_dir(spark)}/imports-{uuid.uuid4().hex}", "status string", 8)
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp_ntz").alias("modified"))
+    year = F.lit("1996-01-01").cast("timestamp_ntz")
+
+    def behind(mark):
+        late = F.lit("1999-01-01").cast("timestamp_ntz")
+        changes = o.where((F.col("modified") <= F.lit(mark)) & (F.col("id") % 10 == 0)).withColumns({"status": F.lit("X"), "modified": late})
+        return o.where(F.col("modified") > F.lit(mark)).unionByName(changes)
+
+    steps = [
+        (lambda mark: o.where(F.col("modified") < year), False),
+        (lambda mark: o.withColumn("status", F.when(F.col("id") % 100 == 0, F.raise_error(F.lit("source gone")).cast("string")).otherwise(F.col("status"))), False),
+        (behind, False),
+        (lambda mark: o.where("id % 10 = 1"), True),
+    ]
+    runs, mark, status = [], None, spark.createDataFrame([], imports.STATUS)
+    for i, (extract, full) in enumerate(steps):
+        runs.append(imports.run_import(kept, "acme/orders", "acme", extract, "modified", dt.datetime(2000, 1, 1 + i), full, mark))
+        mark = runs[-1][3] or mark
+        status = imports.status_after(spark, status, runs[-1:])
+    states = anomalies.folded(imports.signals_of(spark, runs)).agg(*[F.max(F.when(F.col("fingerprint") == f"import:acme/orders:{p}", F.col("state"))).alias(f"{p}_state") for p in ("error", "blocked")])
+    counts = kept.versions().groupBy("status").agg(F.count_if(F.col("valid_to").isNull()).alias("n_open"), F.count_if(F.col("valid_to").isNotNull()).alias("n_closed"))
+    # one row of status and one of states
+    ended = status.select("import", "outcome", "reason", "mark").join(states.withColumn("import", F.lit("acme/orders")), "import").drop("import")
+    return counts.join(ended)
+
+
 @query(f"SELECT c.id, c.segment, a.segment AS was FROM (SELECT * FROM h3 WHERE valid_to IS NULL AND NOT deleted) c LEFT JOIN (SELECT * FROM h3 WHERE valid_from <= TIMESTAMP '1995-06-01' AND (valid_to IS NULL OR TIMESTAMP '1995-06-01' < valid_to) AND NOT deleted) a USING (id)", LOADS)
 def stored_history_current(spark, d):
     """Current rows of a stored history, read from open versions only, beside what was valid in 1995."""
