@@ -97,10 +97,13 @@ def _pool(chunks: DataFrame, sources: DataFrame, who: acl.Principal, pattern: st
     pool = acl.secured(chunks, sources, who)
     if documents is not None:
         pool = pool.where(F.col("document").isin(documents))
-    if pattern is not None:
-        matching = pool.where(F.col("content").rlike(pattern))
-        pool = pool if matching.isEmpty() else matching
-    return pool
+    return pool if pattern is None else constrained(pool, pattern)[0]
+
+
+def constrained(pool: DataFrame, pattern: str) -> tuple[DataFrame, bool]:
+    """Chunks that match a pattern, and that some do; where none does, all chunks, and that the constraint was dropped."""
+    matching = pool.where(F.col("content").rlike(pattern))
+    return (pool, False) if matching.isEmpty() else (matching, True)
 
 
 def _combined(pool: DataFrame, lexical: DataFrame, vector: list[float] | None, limit: int, candidates: int) -> tuple[DataFrame, bool]:

@@ -48,6 +48,22 @@ def retrieval_must_match(spark, d):
     return rows.select("id", "points")
 
 
+@query(
+    "SELECT 'clown' AS wanted, true AS kept, id, points FROM fused_m UNION ALL SELECT 'no such passage', EXISTS (SELECT 1 FROM visible WHERE regexp_matches(content, '(?i)no such passage')), id, points FROM fused",
+    SOURCES, ALLOWED, CHUNKS, VECTORS, VISIBLE, VISIBLE_V, TERM_SQL, DF_SQL, WEIGHT_SQL, "met AS (SELECT * FROM visible WHERE regexp_matches(content, '(?i)clown'))", "met_v AS (SELECT * FROM visible_v WHERE regexp_matches(content, '(?i)clown'))",
+    _nearest_sql("vec", "visible_v", 30), _lexical_sql("lex", "visible", 30), _nearest_sql("vec_m", "met_v", 30), _lexical_sql("lex_m", "met", 30), FUSED.format(n=8), FUSED.format(n=8).replace("fused", "fused_m").replace("FROM vec", "FROM vec_m").replace("FROM lex", "FROM lex_m"),
+)
+def retrieval_soft_constraint(spark, d):
+    """A pattern that visible chunks match, and one that none does: the search runs without it and says so."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    pool, found = chunks(spark, d).join(e, "id", "left"), []
+    for wanted in ("clown", "no such passage"):
+        rows, _ = retrieval.indexed_search(pool, sources(spark, d), postings(spark, d), WHO, TERMS, query_vector(spark, d), pattern=f"(?i){wanted}", divisor=DIVISOR)
+        _, kept = retrieval.constrained(acl.secured(pool, sources(spark, d), WHO), f"(?i){wanted}")
+        found.append(rows.select(F.lit(wanted).alias("wanted"), F.lit(kept).alias("kept"), "id", "points"))
+    return found[0].unionByName(found[1])
+
+
 @query("SELECT id, round(sum(1 / (60.0 + rank)), 6) AS points FROM lex GROUP BY id ORDER BY points DESC, id LIMIT 8", SOURCES, ALLOWED, CHUNKS, "visible AS (SELECT * FROM chunks WHERE source_id IN (SELECT id FROM allowed) AND document IN ('doc0', 'doc1', 'doc2', 'doc3'))", TERM_SQL, DF_SQL, WEIGHT_SQL, _lexical_sql("lex", "visible", 30))
 def retrieval_text_only_in_documents(spark, d):
     """No query vector: the word branch alone, inside named documents."""
