@@ -186,7 +186,7 @@ def figure_pieces(figures: DataFrame, titles: DataFrame) -> DataFrame:
 
 def heading_sample(pieces: DataFrame, most: int = 120, width: int = 120, looked_at: int = 360) -> DataFrame:
     """First line of each of a document's first pieces (document, ord, piece), tables left out, each once, in order."""
-    first = F.get(F.filter(F.transform(F.split("piece", "\n"), F.trim), lambda x: (x != "") & ~x.startswith("|")), 0)
+    first = F.get(F.filter(F.transform(F.split("piece", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("|")), 0)
     rows = pieces.withColumn("_nth", F.row_number().over(Window.partitionBy("document").orderBy("ord"))).where(F.col("_nth") <= looked_at)
     lines = rows.select("document", "ord", F.substring(first, 1, width).alias("line")).where("line is not null").groupBy("document", "line").agg(F.min("ord").alias("ord"))
     return lines.withColumn("nth", F.row_number().over(Window.partitionBy("document").orderBy("ord"))).where(F.col("nth") <= most).select("document", "nth", "line")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import stems
-from tessera.operators import bounds, headings
+from tessera.operators import bounds, headings, ingest
 from tessera.operators.postings import Postings
 from tessera.sources.audit import AuditLog, linked
 
@@ -218,3 +218,10 @@ def test_search_by_stems_and_the_default_without(spark, tmp_path):
     plain = Postings(spark, str(tmp_path / "words"), buckets=4)
     plain.update(None, c)
     assert [r["id"] for r in plain.postings(["tazza"]).collect()] == [2] and plain.postings(["della"]).count() == 1
+
+
+def test_first_lines_keep_their_digits(spark):
+    """A line's number in its text is no character to trim."""
+    rows = [("a", 1, "  call 555-8630\nmore"), ("a", 2, " | x\n \n 3 boats 32 "), ("b", 3, "0"), ("b", 4, None)]
+    out = ingest.heading_sample(spark.createDataFrame(rows, "document string, ord long, piece string"))
+    assert sorted(map(tuple, out.collect())) == [("a", 1, "call 555-8630"), ("a", 2, "3 boats 32"), ("b", 1, "0")]
