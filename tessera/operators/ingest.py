@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import squeezed
 
+# All Unicode spaces.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # Formats by how they are read, and why some are not.
 LAYOUT = ("pdf", "docx", "pptx", "html", "htm", "md", "png", "jpg", "jpeg", "tif", "tiff", "bmp")
 PLAIN, SHEETS = ("txt",), ("xlsx", "xlsm", "csv")
@@ -77,7 +79,7 @@ def paragraphs(rows: DataFrame, text: str = "content") -> DataFrame:
 
 def page_title(markdown: Column) -> Column:
     """The first three lines with text, fences left out, in 160 characters."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("```"))
+    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: (x != "") & ~x.startswith("```"))
     return F.substring(F.array_join(F.slice(lines, 1, 3), " "), 1, 160)
 
 

@@ -225,3 +225,10 @@ def test_first_lines_keep_their_digits(spark):
     rows = [("a", 1, "  call 555-8630\nmore"), ("a", 2, " | x\n \n 3 boats 32 "), ("b", 3, "0"), ("b", 4, None)]
     out = ingest.heading_sample(spark.createDataFrame(rows, "document string, ord long, piece string"))
     assert sorted(map(tuple, out.collect())) == [("a", 1, "call 555-8630"), ("a", 2, "3 boats 32"), ("b", 1, "0")]
+
+
+def test_page_titles_keep_their_digits(spark):
+    """Spaces of any kind are trimmed, digits that equal a line's number are not."""
+    rows = [(1, "\u00a0call 555-8630 \n```\n\u2003\n 1 boat 21\n3 oars 43\n5"), (2, "0"), (3, "")]
+    out = spark.createDataFrame(rows, "id long, content string").select("id", ingest.page_title(F.col("content")))
+    assert sorted(map(tuple, out.collect())) == [(1, "call 555-8630 1 boat 21 3 oars 43"), (2, "0"), (3, "")]
