@@ -314,15 +314,15 @@ def anomaly_stream(spark, d):
     folder = f"{work_dir(spark)}/signals-{uuid.uuid4().hex}"
     polls = anomalies.health_signals(read(spark, d, "events"), "user_id", "ts", F.col("event_type") == "error").withColumn("at", F.col("at").cast("timestamp"))
     end = polls.agg((F.max("at") + F.make_interval(days=F.lit(30))).alias("at")).select(F.lit("").alias("fingerprint"), "at", F.lit("tick").alias("kind"), F.lit(None).cast("timestamp").alias("until"), F.lit(0).cast("long").alias("seq"))
-    # signals arrive up to two days late
+    # signals arrive up to two days late; a run takes what has come since the last one as one batch, as its files are in no order
     arrived = polls.withColumn("part", F.floor((F.dayofmonth("at") + F.col("seq") % 3) / 8))
     table = stream.StateTable(spark, f"{folder}/states", 4)
     for part in range(5):
-        arrived.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arrived.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
         if part == 4:
             end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         if part in (2, 4):
-            source = spark.readStream.schema(arrived.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            source = spark.readStream.schema(arrived.drop("part").schema).parquet(f"{folder}/in")
             table.follow(stream.folded_stream(source, "3 days"), f"{folder}/checkpoint").awaitTermination()
     return table.read().select("fingerprint", "state", "occurrences")
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -21,61 +20,60 @@ from tessera.sources.generations import Generations
 #: What a stream says of a fingerprint; ``step`` grows with each change, so that the last word can be told.
 STEPS = f"{STATE}, lapsed boolean, step long"
 _HELD = "state string, occurrences long, first_at long, last_at long, ignored_until long, auto boolean, reopened long, lapsed boolean, step long"
+#: Signals of one key that came in one batch, as columns: one item of the state, whatever their number.
+_WAITING = "at array<long>, seq array<long>, kind array<string>, until array<long>"
 _MOMENTS = ("first_at", "last_at", "ignored_until")
 
 
 def _whole(value) -> int | None:
-    return None if value is None or pd.isna(value) else int(value)
-
-
-def _micros(value) -> int | None:
-    return None if value is None or pd.isna(value) else pd.Timestamp(value).value // 1000
+    return None if value is None else int(value)
 
 
 class Fold(StatefulProcessor):
-    """Holds a fingerprint's state and the signals that the watermark hasn't passed yet."""
+    """Holds a fingerprint's state and the signals that the watermark hasn't passed yet.
+
+    A key has a timer for the first of its waiting signals, not one for each: when
+    it ends, all signals that the watermark has passed are applied at once.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", _HELD)
-        self.waiting = handle.getListState("waiting", "at long, seq long, kind string, until long")
-
-    def _now(self, timers) -> int:
-        return timers.getCurrentWatermarkInMs() * 1000
+        self.waiting = handle.getListState("waiting", _WAITING)
 
     def _load(self) -> tuple[State, bool, int]:
-        if not self.held.exists():
+        found = self.held.get()
+        if found is None:
             return State(), False, 0
-        *values, lapsed, step = self.held.get()
+        *values, lapsed, step = found
         state, occurrences, first, last, until, auto, reopened = values
         return State(state, int(occurrences), _whole(first), _whole(last), _whole(until), bool(auto), int(reopened)), bool(lapsed), int(step)
 
     def _keep(self, state: State, lapsed: bool, step: int) -> None:
         self.held.update((*asdict(state).values(), lapsed, step))
 
+    def _wait(self, rows: list[tuple]) -> tuple:
+        """``rows`` (at, seq, kind, until) as one item of the state, with a timer for the first of them."""
+        self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+        return tuple(list(c) for c in zip(*rows, strict=True))
+
     def _wake_at_the_end(self, state: State) -> None:
         if state.state == "ignored" and state.ignored_until is not None:
             self.handle.registerTimer(state.ignored_until // 1000 + 1)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        r = initialState.iloc[0]
-        state = State(r["state"], int(r["occurrences"]), *[_micros(r[c]) for c in _MOMENTS], bool(r["auto"]), int(r["reopened"]))
+        r = initialState
+        state = State(r["state"], int(r["occurrences"]), *[_whole(r[c]) for c in _MOMENTS], bool(r["auto"]), int(r["reopened"]))
         self._keep(state, bool(r["lapsed"]), int(r["step"]))
         self._wake_at_the_end(state)
 
     def handleInputRows(self, key, rows, timerValues):
-        moments = set()
-        for batch in rows:
-            some = [(_micros(at), int(seq), kind, _micros(until)) for at, seq, kind, until in zip(batch["at"], batch["seq"], batch["kind"], batch["until"], strict=True)]
-            self.waiting.appendList(some)
-            moments |= {r[0] // 1000 + 1 for r in some}
-        for ms in moments:
-            self.handle.registerTimer(ms)
+        self.waiting.appendValue(self._wait([(int(r["moment"]), int(r["seq"]), r["kind"], _whole(r["until"])) for r in rows]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = self._now(timerValues)
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [r for item in self.waiting.get() for r in zip(*item, strict=True)] if self.waiting.exists() else []
         due = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1]))
         state, lapsed, step = self._load()
         before = (state.state, lapsed)
@@ -83,15 +81,18 @@ class Fold(StatefulProcessor):
             state.apply(kind, int(at), _whole(until))
         if due:
             left = [r for r in rows if r[0] > now]
-            self.waiting.put(left) if left else self.waiting.clear()
+            self.waiting.put([self._wait(left)]) if left else self.waiting.clear()
         lapsed = state.state == "ignored" and state.ignored_until is not None and state.ignored_until <= now
         if not state.state or not due and before == (state.state, lapsed):
             return
         if due:
             self._wake_at_the_end(state)
         self._keep(state, lapsed, step + 1)
-        out = {"fingerprint": key[0]} | asdict(state) | {"lapsed": lapsed, "step": step + 1}
-        yield pd.DataFrame([out | {c: None if out[c] is None else pd.Timestamp(out[c], unit="us") for c in _MOMENTS}])
+        yield Row(fingerprint=key[0], **asdict(state), lapsed=lapsed, step=step + 1)
+
+
+def _with_moments(rows: DataFrame, change) -> DataFrame:
+    return rows.select(*[change(c).alias(c) if c in _MOMENTS else F.col(c) for c in rows.columns])
 
 
 def folded_stream(signals: DataFrame, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
@@ -101,8 +102,11 @@ def folded_stream(signals: DataFrame, late: str = "10 minutes", initial: DataFra
     """
     signals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = signals.where("fingerprint is not null and at is not null").withWatermark("at", late)
-    begun = None if initial is None else initial.groupBy("fingerprint")
-    return timed.groupBy("fingerprint").transformWithStateInPandas(Fold(), STEPS, "update", "EventTime", begun)
+    # the fold counts in microseconds
+    timed = timed.select("fingerprint", "at", F.unix_micros("at").alias("moment"), "seq", "kind", F.unix_micros("until").alias("until"))
+    begun = None if initial is None else _with_moments(initial, F.unix_micros).groupBy("fingerprint")
+    steps = STEPS.replace(" timestamp", " long")
+    return _with_moments(timed.groupBy("fingerprint").transformWithState(Fold(), steps, "update", "EventTime", begun), F.timestamp_micros)
 
 
 def begun_with(states: DataFrame, now) -> DataFrame:

@@ -132,3 +132,54 @@ def test_manual_actions(spark):
     assert after == {"a": ("ignored", "cy", None, True), "b": ("resolved", "eve", None, False), "c": ("open", None, None, True), "d": ("ignored", None, T(11 + 7 * 24), True)}
     log = {(r["fingerprint"], r["event"], r["is_change"]) for r in anomalies.log_of(judged).collect()}
     assert ("a", "commented", False) in log and ("a", "assigned", True) in log and len(log) == 6
+
+
+def test_a_key_has_one_timer_for_all_its_waiting_signals():
+    """What a batch costs grows with its keys and rows, not with timers that each read the whole list."""
+    calls = {"timer": [], "get": 0}
+
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Waiting:
+        items = ()
+
+        def exists(self):
+            return bool(self.items)
+
+        def get(self):
+            calls["get"] += 1
+            return iter(self.items)
+
+        def put(self, items):
+            self.items = list(items)
+
+        def appendValue(self, item):
+            self.items = [*self.items, item]
+
+        def clear(self):
+            self.items = ()
+
+    class Handle:
+        def registerTimer(self, ms):
+            calls["timer"].append(ms)
+
+        getValueState = lambda self, *_: Held()
+        getListState = lambda self, *_: Waiting()
+
+    class Timers:
+        getCurrentWatermarkInMs = lambda self: 600
+
+    fold = stream.Fold()
+    fold.init(Handle())
+    rows = [{"moment": i * 1000, "seq": i, "kind": "signal", "until": None} for i in range(1000)]
+    list(fold.handleInputRows(("a",), iter(rows[::-1]), Timers()))
+    assert calls["timer"] == [1]
+    (out,) = fold.handleExpiredTimer(("a",), Timers(), None)
+    assert (out["occurrences"], out["state"]) == (601, "open") and calls == {"timer": [1, 602], "get": 1}
