@@ -19,6 +19,8 @@ from tessera.sources.generations import Generations
 
 #: Vectors for training, for each cell.
 SAMPLE = 256
+#: Queries and vectors of a cell that one task compares.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 4096, 16384
 
 
 def _directed(rows: DataFrame) -> DataFrame:
@@ -95,16 +97,53 @@ class VectorIndex:
     def search_many(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """query, id, distance and rank of the k nearest vectors of each of many queries (query, embedding).
 
-        Queries meet vectors by an equality join on the cell; each task keeps its k
-        best of a query before ranks are shuffled.
+        Queries meet vectors by the cell. Both are dealt in blocks of bounded size; a
+        task compares a block of queries with one of vectors by products of
+        matrices, and only the k best of each query in it are shuffled.
         """
         asked = self._placed(_directed(queries.select("query", F.col("embedding").cast("array<float>").alias("embedding"))), probes)
-        asked = asked.select("query", F.col("embedding").alias("asked"), "part")
-        met = asked.join(self.table.read().select("id", "embedding", "part"), "part")
-        met = met.select("query", "id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("asked")), 6).alias("distance"))
+        held = self.table.read().select("id", "embedding", "part")
+        counts = lambda rows, at_once: F.create_map(*[F.lit(x) for r in rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / at_once).cast("int").alias("n")).collect() for x in (r["part"], r["n"])] or [F.lit(-1), F.lit(1)])  # noqa: E731 (bounded by the number of cells)
+        blocks, chunks = counts(asked, QUERIES_AT_ONCE)[F.col("part")], counts(held, VECTORS_AT_ONCE)[F.col("part")]
+        mine = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        asked = asked.where(chunks.isNotNull()).select("query", F.col("embedding").alias("asked"), "part", mine("query", blocks).alias("block"), every(chunks).alias("chunk"))
+        held = held.where(blocks.isNotNull()).select("id", "embedding", "part", every(blocks).alias("block"), mine("id", chunks).alias("chunk"))
+        kinds = ", ".join(f"{n} {t.dataType.simpleString()}" for n, t in (("query", asked.schema["query"]), ("id", held.schema["id"])))
+        best = lambda a, v: nearest_of(a, v, k)
+        # a number of its own: the work grows with pairs, not with bytes, so that tasks must not be put together by size
+        key, tasks = ("part", "block", "chunk"), max(64, 4 * self.spark.sparkContext.defaultParallelism)
+        groups = [rows.repartition(tasks, *key).groupBy(*key) for rows in (asked, held)]
+        met = groups[0].cogroup(groups[1]).applyInArrow(best, f"{kinds}, distance double")
+        met = met.select("query", "id", F.round("distance", 6).alias("distance"))
         return met.selectExpr("*", "row_number() over (partition by query order by distance, id) as rank").where(F.col("rank") <= k)
 
 
+def nearest_of(asked, held, k: int):
+    """query, id and distance of the ``k`` nearest of a block of vectors for each of a block of queries; of equal distances at six digits the smallest ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    matrix = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    kinds = pa.schema([asked.schema.field("query"), held.schema.field("id"), pa.field("distance", pa.float64())])
+    if not asked.num_rows or not held.num_rows:
+        return kinds.empty_table()
+    held = held.sort_by("id")
+    x, y = matrix(asked.column("asked")), matrix(held.column("embedding"))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    n = min(k, len(y))
+    which, distances = [], []
+    for begin in range(0, len(x), 64):
+        d = 1 - x[begin : begin + 64] @ y.T
+        order = np.floor(d * 1e6 + 0.5).astype(np.int64) * len(y) + np.arange(len(y))
+        near = np.argpartition(order, n - 1, axis=1)[:, :n]
+        which.append(near.ravel())
+        distances.append(np.take_along_axis(d, near, 1).ravel())
+    queries = asked.column("query").take(pa.array(np.repeat(np.arange(len(x)), n)))
+    return pa.Table.from_arrays([queries, held.column("id").take(pa.array(np.concatenate(which))), pa.array(np.concatenate(distances))], schema=kinds)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """Share of the exact answers (query, id) that were found."""
     both = exact.select("query", "id").join(found.select("query", "id"), ["query", "id"], "left_semi").count()

@@ -233,3 +233,20 @@ def test_replaced_vectors(spark, tmp_path):
     assert rows_of(index.table.read().select("id", "source_id")) == rows_of(now.select("id", "source_id"))
     assert rows_of(index.search([1.0] * 16, 15, 8).select("id")) == rows_of(vectors.nearest(now, [1.0] * 16, 15).select("id"))
     assert set(index.table.loads()) & set(before)  # cells without a changed row are still those of the first load
+
+
+def test_blocks_of_queries_and_vectors(spark, tmp_path, monkeypatch):
+    """No task holds a cell's pairs: many small blocks give the ranks of the scan, copies by the smallest ids."""
+    monkeypatch.setattr("tessera.operators.vector_index.QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr("tessera.operators.vector_index.VECTORS_AT_ONCE", 40)
+    data = clustered(spark, n=600, groups=8)
+    data = data.unionByName(data.where("id < 30").select((F.col("id") + 5000).alias("id"), "source_id", "embedding")).unionByName(data.where("id = 7").crossJoin(spark.range(8000, 8025).toDF("k")).select(F.col("k").alias("id"), "source_id", "embedding"))
+    index = VectorIndex(spark, str(tmp_path / "i"))
+    index.train(data, 4, sample=40)
+    index.add(data)
+    asked = data.where("id % 100 = 7").select(F.col("id").alias("query"), "embedding")
+    found = index.search_many(asked, 12, 4)
+    assert "FlatMapCoGroupsInArrow" in plan_of(found)
+    for q in (7, 107, 307):
+        want = vectors.nearest(data, data.where(f"id = {q}").first()["embedding"], 12).select("id", "distance", "rank")
+        assert rows_of(found.where(f"query = {q}").select("id", "distance", "rank")) == rows_of(want), q
