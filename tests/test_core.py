@@ -294,3 +294,10 @@ def test_whole_load(spark):
     h = spark.createDataFrame(h.collect(), empty.schema)
     assert history.load(h, spark.createDataFrame(rows[:1], schema), ["parent"], "seq", at(2), True) == (None, "collapsed by 90 %")
     assert history.load(h, spark.createDataFrame(rows[:1], schema), ["parent"], "seq", at(2), False)[1] == "ok"
+
+
+def test_few_texts_are_cut_at_once(spark):
+    rows = [("d", i, "x " * 1000) for i in range(200)] + [("n", None, None)]
+    out = chunking.merge_texts(spark.createDataFrame(rows, "document string, page int, content string").coalesce(1))
+    assert "MapInArrow" in out._jdf.queryExecution().toString() and chunking.AT_ONCE <= 64
+    assert {r["page"]: r["n"] for r in out.groupBy("page").agg(F.count(F.lit(1)).alias("n")).collect()} == {i: 2 for i in range(200)}
