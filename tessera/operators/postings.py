@@ -1,10 +1,12 @@
 """Which rows hold a word: postings and frequencies, kept by signed changes.
 
-Postings (word, id, n) lie in partitions by a checksum of the word, sorted by word,
+Postings (word, ids, n) lie in partitions by a checksum of the word, sorted by word,
 so that a search opens the partitions of its words and skips the rest of each file.
-A load holds differences only: +1 for a word that a row now has, -1 for one that it
-lost. A word's frequency is the sum of its differences, kept apart so that counting
-reads no postings, and so is the number of rows. ``fold`` adds differences up.
+A load holds differences only: blocks of ids that now have a word (``n`` is their
+number), and blocks of those that lost it (``n`` is minus their number). Blocks are
+packed where the rows are read, so that a word is shuffled and sorted once a block,
+not once a row. A word's frequency is the sum of its differences, kept apart so that
+counting reads no postings, and so is the number of rows. ``fold`` adds differences up.
 
 The words of a row are its terms by ``terms``: words for ranked search, groups of
 three letters for the search of literal strings.
@@ -15,6 +17,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +27,82 @@ from tessera.functions import text
 from tessera.sources.generations import Generations
 
 BUCKETS = 64
-SCHEMA = "word string, id long, n long"
+SCHEMA = "word string, ids array<long>, n long"
+#: Postings that a task packs into blocks at once, and those of a word above which ``fold`` shares it among tasks.
+AT_ONCE, HOT = 1 << 21, 1 << 20
+
+
+def _blocks(words: pa.Array, ids: pa.Array, n: int) -> pa.RecordBatch:
+    """One row a word with its ids; ``n`` is 1 or -1."""
+    coded = words.dictionary_encode()
+    order = np.argsort(codes := np.asarray(coded.indices), kind="stable")
+    cut = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    held = pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)).astype(np.int32)), ids.take(pa.array(order)))
+    sizes = np.diff(np.append(cut, len(order)))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[order][cut])), held, pa.array(n * sizes)], ["word", "ids", "n"])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Blocks (word, ids, n) of rows (id, now, was): words that each row gets, and those that it loses."""
+
+    def run(batches):
+        for batch in batches:
+            for at, n in ((1, 1), (2, -1)):
+                column = batch.column(at)
+                ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64))
+                begin = 0
+                while begin < batch.num_rows:
+                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, side="right")))
+                    some = column.slice(begin, end - begin)
+                    words = some.flatten()
+                    if len(words):
+                        yield _blocks(words, batch.column(0).slice(begin, end - begin).take(pc.list_parent_indices(some)), n)
+                    begin = end
+
+    return rows.select("id", "now", "was").mapInArrow(run, SCHEMA)
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Blocks of what is left of blocks that are dealt and sorted by word: ids whose differences add up to one."""
+
+    def add_up(table):
+        words = table.column("word").combine_chunks()
+        coded = (words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
+        held = table.column("ids").combine_chunks()
+        sizes = np.asarray(pc.list_value_length(held), np.int64)
+        code, sign = np.repeat(np.asarray(coded.indices), sizes), np.repeat(np.sign(np.asarray(table.column("n"))), sizes)
+        flat = held.flatten()
+        # a null id comes first
+        known = np.asarray(pc.fill_null(flat, 0))
+        null = np.asarray(pc.is_null(flat), bool)
+        order = np.lexsort((known, ~null, code))
+        code, known, null, sign = code[order], known[order], null[order], sign[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (known[1:] != known[:-1]) | (null[1:] != null[:-1])))
+        left = first[np.add.reduceat(sign, first) > 0] if len(first) else first
+        if len(left):
+            yield _blocks(coded.dictionary.take(pa.array(code[left])), pa.array(known[left], mask=null[left]), 1)
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            rows += int(np.abs(np.asarray(batch.column(2))).sum())
+            if rows < AT_ONCE:
+                continue
+            # the last word may go on in the next batch
+            table = pa.concat_tables(held).combine_chunks()
+            going_on = np.asarray(pc.equal(table.column("word"), table.column("word")[-1]), bool)
+            at = int(np.flatnonzero(going_on)[0])
+            if at:
+                yield from add_up(table.slice(0, at))
+            held = [table.slice(at)]
+            rows = int(np.abs(np.asarray(held[0].column("n"))).sum())
+        if held:
+            yield from add_up(pa.concat_tables(held).combine_chunks())
+
+    return rows.select("word", "ids", "n").mapInArrow(run, SCHEMA)
 
 
 def distinct_words(content: Column) -> Column:
@@ -49,37 +129,62 @@ class Postings:
     def _bucket(self, word: str) -> int:
         return zlib.crc32(word.encode()) % self.buckets
 
+    def _bucket_of(self) -> Column:
+        return F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(self.buckets)).cast("int")
+
     def differences(self, old: DataFrame | None, new: DataFrame | None) -> DataFrame:
-        """word, id, n: what changes where rows ``old`` (id, content) become ``new``.
+        """Blocks (word, ids, n): what changes where rows ``old`` (id, content) become ``new``.
 
         Ids only in ``old`` are removed, those only in ``new`` added; one row an id
         on each side. A null text has no words.
         """
-        held = lambda df: df.select("id", F.coalesce(self.terms(F.col("content")), F.array().cast("array<string>")).alias("words"))
-        if old is None or new is None:
-            only = held(new if old is None else old)
-            return only.select(F.explode("words").alias("word"), "id", F.lit(1 if old is None else -1).cast("long").alias("n"))
         none = F.array().cast("array<string>")
-        both = held(old).withColumnRenamed("words", "was").join(held(new).withColumnRenamed("words", "now"), "id", "full")
-        both = both.select("id", F.coalesce("was", none).alias("was"), F.coalesce("now", none).alias("now"))
-        signed = lambda words, n: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(n).cast("long").alias("n")))
-        changes = F.concat(signed(F.array_except("now", "was"), 1), signed(F.array_except("was", "now"), -1))
-        return both.select("id", F.explode(changes).alias("c")).select("c.word", "id", "c.n")
-
-    def update(self, old: DataFrame | None, new: DataFrame | None) -> int:
-        """A load: rows that changed, as they were and as they are now. All or nothing of it is seen by searches."""
-        bucket = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(self.buckets)).cast("int")
-        rows = self.table.stage(self.differences(old, new).withColumn("part", bucket), "word", "id")
-        counts = self.table.staged(rows).groupBy("word").agg(F.sum("n").alias("n")).where("n <> 0")
-        counts = counts.select("word", F.lit(None).cast("long").alias("id"), "n", (bucket + self.buckets).alias("part"))
-        grown = (new.count() if new is not None else 0) - (old.count() if old is not None else 0)
+        held = lambda df, name: df.select("id", F.array_compact(F.coalesce(self.terms(F.col("content")), none)).alias(name))
+        if new is None:
+            return packed(held(old, "was").withColumn("now", none))
+        if old is None:
+            return packed(held(new, "now").withColumn("was", none))
+        both = held(old, "was").join(held(new, "now"), "id", "full").select("id", F.coalesce("was", none).alias("was"), F.coalesce("now", none).alias("now"))
+        return packed(both.select("id", F.array_except("now", "was").alias("now"), F.array_except("was", "now").alias("was")))
+
+    def _counts(self, blocks: DataFrame) -> DataFrame:
+        counts = blocks.groupBy("word").agg(F.sum("n").alias("n")).where("n <> 0")
+        return counts.select("word", F.lit(None).cast("array<long>").alias("ids"), "n", (self._bucket_of() + self.buckets).alias("part"))
+
+    def update(self, old: DataFrame | None, new: DataFrame | None, grown: int | None = None) -> int:
+        """A load: rows that changed, as they were and as they are now. All or nothing of it is seen by searches.
+
+        ``grown`` is by how much the number of rows grows, where the caller knows it.
+        """
+        rows = self.table.stage(self.differences(old, new).withColumn("part", self._bucket_of()), "word")
+        if grown is None:
+            grown = (new.count() if new is not None else 0) - (old.count() if old is not None else 0)
         total = self.table.spark.createDataFrame([("", None, grown, 2 * self.buckets)], f"{SCHEMA}, part int")
-        return self.table.commit([rows, self.table.stage(counts.unionByName(total), "word")])
+        return self.table.commit([rows, self.table.stage(self._counts(self.table.staged(rows)).unionByName(total), "word")])
 
     def fold(self) -> int:
-        """One load with all differences added up in place of those that were there."""
-        sums = self.table.read().groupBy("part", "word", "id").agg(F.sum("n").alias("n")).where("n <> 0")
-        return self.table.commit([self.table.stage(sums.select("word", "id", "n", "part"), "word", "id")], range(2 * self.buckets + 1))
+        """One load with all differences added up in place of those that were there.
+
+        Tasks add up whole words; the ids of a word with more than ``HOT`` postings
+        are shared among them.
+        """
+        blocks = self.table.read(range(self.buckets))
+        hot = [r["word"] for r in blocks.groupBy("word").agg(F.sum(F.abs("n")).alias("n")).where(F.col("n") > HOT).select("word").collect()]
+        few = blocks.where(~F.col("word").isin(hot)) if hot else blocks
+        sums = summed(few.repartition("part", "word").sortWithinPartitions("word"))
+        if hot:
+            one = self._exploded(blocks.where(F.col("word").isin(hot)))
+            sums = sums.unionByName(packed(one.select("id", F.array("word").alias("now"), F.array().cast("array<string>").alias("was"))))
+        rows = self.table.stage(sums.withColumn("part", self._bucket_of()), "word")
+        counts = self._counts(self.table.staged(rows))
+        total = self.table.spark.createDataFrame([("", None, self.total(), 2 * self.buckets)], f"{SCHEMA}, part int")
+        return self.table.commit([rows, self.table.stage(counts.unionByName(total), "word")], range(2 * self.buckets + 1))
+
+    @staticmethod
+    def _exploded(blocks: DataFrame) -> DataFrame:
+        """word and id of what is left of blocks."""
+        rows = blocks.select("word", F.explode("ids").alias("id"), F.signum("n").cast("long").alias("n"))
+        return rows.groupBy("word", "id").agg(F.sum("n").alias("n")).where("n > 0").select("word", "id")
 
     def total(self) -> int:
         """Number of rows."""
@@ -95,13 +200,12 @@ class Postings:
 
     def postings(self, words: list[str]) -> DataFrame:
         """word and id of the rows that hold each of ``words``."""
-        rows = self.table.read({self._bucket(w) for w in words}).where(F.col("word").isin(words))
-        return rows.groupBy("word", "id").agg(F.sum("n").alias("n")).where("n > 0").select("word", "id")
+        return self._exploded(self.table.read({self._bucket(w) for w in words}).where(F.col("word").isin(words)))
 
-    def all_postings(self) -> DataFrame:
-        """word and id of all rows; a join on the word that follows reaches the stored rows before they are added up."""
-        rows = self.table.read(range(self.buckets)).groupBy("word", "id").agg(F.sum("n").alias("n"))
-        return rows.where("n > 0").select("word", "id")
+    def all_postings(self, words: DataFrame | None = None) -> DataFrame:
+        """word and id of all rows, or of ``words`` (word): those select blocks before any is opened up."""
+        blocks = self.table.read(range(self.buckets))
+        return self._exploded(blocks if words is None else blocks.join(words.select("word"), "word", "left_semi"))
 
     def scores(self, query: str, divisor: int, pool: DataFrame, fallback: bool = False) -> DataFrame:
         """id and score of the rows of ``pool`` with a rare word of the query: the summed rarity of all its words in them.

@@ -26,19 +26,21 @@ def lexical_branch(chunks: DataFrame, frequencies: DataFrame, total: int, query:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def lexical_batch(chunks: DataFrame | None, frequencies: DataFrame, total: int, questions: DataFrame, k: int, divisor: int = DIVISOR, held: DataFrame | None = None) -> DataFrame:
+def lexical_batch(chunks: DataFrame | None, frequencies: DataFrame, total: int, questions: DataFrame, k: int, divisor: int = DIVISOR, held: Postings | None = None) -> DataFrame:
     """The k best chunks (id, score, rank) of each of many questions (question, text) by summed rarity of shared rare words.
 
     One equality join on the word: a rare word is in total // divisor chunks at
     most, and only words of some question are kept before the join. ``held`` are
-    stored postings (word, id), else the chunks' words are read.
+    stored postings, else the chunks' words are read.
     """
     weights = frequencies.where(F.col("n_chunks") <= total // divisor).select("word", F.log(F.lit(float(total)) / F.col("n_chunks")).alias("weight"))
     asked = questions.select("question", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word")).join(weights, "word")
+    wanted = asked.select("word").distinct()
     if held is None:
-        held = chunks.select("id", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word"))
-    held = held.join(asked.select("word").distinct(), "word", "left_semi")
-    scored = asked.join(held, "word").groupBy("question", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+        rows = chunks.select("id", F.explode(F.array_distinct(text.words(F.col("content")))).alias("word")).join(wanted, "word", "left_semi")
+    else:
+        rows = held.all_postings(wanted)
+    scored = asked.join(rows, "word").groupBy("question", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -423,7 +423,7 @@ def _ranked(spark, d, divisor=20, n_words=None):
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("question"), "text")
     asked = q if n_words is None else q.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, n_words), " "))
     index = postings(spark, d)
-    rows = retrieval.lexical_batch(None, index.frequencies(), index.total(), asked, 30, divisor, index.all_postings())
+    rows = retrieval.lexical_batch(None, index.frequencies(), index.total(), asked, 30, divisor, index)
     rows = rows.join(c.select("id", "document", "page", "content"), "id").join(q, "question")
     return rows.withColumn("good", F.contains(F.lower("content"), F.lower(F.substring("text", 1, 40)))).drop("content", "text")
 

@@ -235,6 +235,22 @@ def test_replaced_vectors(spark, tmp_path):
     assert set(index.table.loads()) & set(before)  # cells without a changed row are still those of the first load
 
 
+def test_blocks_hold_a_word_once_and_fold_shares_hot_words(spark, tmp_path, monkeypatch):
+    index = Postings(spark, str(tmp_path), buckets=4)
+    first = spark.createDataFrame([(i, f"the w{i}") for i in range(500)] + [(None, "the null")], CHUNKS).coalesce(1)
+    index.update(None, first)
+    blocks = index.table.read(range(4))
+    assert blocks.where("word = 'the'").count() == 1 and blocks.agg(F.sum("n")).first()[0] == 1002
+    index.update(first.where("id < 400"), None)
+    want = {("the", i) for i in range(400, 500)} | {(f"w{i}", i) for i in range(400, 500)} | {("the", None), ("null", None)}
+    assert set(map(tuple, index.all_postings().collect())) == want
+    assert set(map(tuple, index.all_postings(spark.createDataFrame([("w450",), ("w3",)], "word string")).collect())) == {("w450", 450)}
+    monkeypatch.setattr("tessera.operators.postings.HOT", 300)
+    index.fold()
+    assert set(map(tuple, index.all_postings().collect())) == want and index.total() == 101
+    assert index.table.read(range(4)).where("n < 0").isEmpty() and index.frequencies(["the"]).first()["n_chunks"] == 101
+
+
 def test_blocks_of_queries_and_vectors(spark, tmp_path, monkeypatch):
     """No task holds a cell's pairs: many small blocks give the ranks of the scan, copies by the smallest ids."""
     monkeypatch.setattr("tessera.operators.vector_index.QUERIES_AT_ONCE", 3)
