@@ -81,5 +81,6 @@ def audit_chain(spark, d):
 def stemmed_frequencies(spark, d):
     """In how many passages each Italian stem occurs, from postings of stems."""
     index = Postings(spark, f"{work_dir(spark)}/stems-{uuid.uuid4().hex}", lambda words: words)
-    index.update(None, stems.stemmed(chunks(spark, d)))
+    c = chunks(spark, d)
+    index.update(None, stems.stemmed(c), c.count())
     return index.frequencies()
