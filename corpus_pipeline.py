@@ -21,8 +21,8 @@ from tessera.llm.token_files import token_digests
 from tessera.llm.toxicity import keep_clean
 
 
-#: Whether near copies are searched among all pairs that share a key, not the nearest only: exact there, at a cost that grows with the square of a group just below the similarity.
-EXHAUSTIVE = False
+#: Whether near copies are searched among all pairs that share a key: exact there, at a cost that grows with the square of a group just below the similarity; else among the nearest only.
+EXHAUSTIVE = True
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,6 +299,8 @@ CHAIN = 3
 #: Candidates of a text that are verified: of the ends of its keys, and of the nearest in other groups.
 ENDS, NEAREST = 3, 4
 _PAIRS = "a long, b long, d long"
+#: Pairs that a task of the exact search holds before it gives them on.
+PAIRS_HELD = 1 << 18
 
 
 def _few(pairs: DataFrame, most: int) -> DataFrame:
@@ -415,7 +417,7 @@ def other_pairs(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def emit(rows, fps):
         _, c1, c2, ids, root, n, mine = rows
         group = np.cumsum(np.append(0, (rows[:3, 1:] != rows[:3, :-1]).any(0)))
-        longest, found, first = int(np.bincount(group).max()), [], np.arange(len(group))
+        longest, found, size, first = int(np.bincount(group).max()), [], 0, np.arange(len(group))
         for step in range(1, longest):
             # runs shorter than the step fall out
             first = first[first + step < len(group)]
@@ -426,8 +428,12 @@ def other_pairs(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
             a, b = a[ok], b[ok]
             near = may_be_alike(n[a], n[b], fps[a], fps[b])
             found.append(np.stack([np.minimum(ids[a[near]], ids[b[near]]), np.maximum(ids[a[near]], ids[b[near]])]))
-        if found and (pairs := np.unique(np.concatenate(found, axis=1), axis=1)).shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            size += int(near.sum())
+            # few pairs are held, however many a group of texts just below the similarity has
+            if size and (size >= PAIRS_HELD or step == longest - 1):
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                found, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "a long, b long").distinct()
 
@@ -455,15 +461,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "dedup-links")
 
 
-def similar_links(distinct: DataFrame, texts: DataFrame, exhaustive: bool = False) -> DataFrame:
+def similar_links(distinct: DataFrame, texts: DataFrame, exhaustive: bool = True) -> DataFrame:
     """Links that join the distinct texts (id, fp, n, keys) at ``SIMILARITY`` that share a key; links inside a joined group may be left out.
 
     Each text first meets others of its keys' ends, so that large groups are
-    joined by few links, then the nearest ones of other groups. Every link is
-    verified. Two groups stay apart if all their links are between texts that
-    each have ``NEAREST`` nearer candidates which fail; ``exhaustive`` verifies
-    all pairs that are left, whose number grows with the square of a group of
-    texts just below ``SIMILARITY``.
+    joined by few links, then the nearest ones of other groups, so that few pairs
+    are left; then ``exhaustive`` verifies all that are. Their number grows with
+    the square of a group of texts just below ``SIMILARITY``. Without it two groups
+    stay apart if all their links are between texts that each have ``NEAREST``
+    nearer candidates which fail.
     """
 
     def rooted(links):
@@ -478,7 +484,7 @@ def similar_links(distinct: DataFrame, texts: DataFrame, exhaustive: bool = Fals
     return links
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, exhaustive: bool = False) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, exhaustive: bool = True) -> DataFrame:
     """Pipeline stage: one row of each group of near copies, that with the smallest doc_id.
 
     Near copies have a similarity of 0.8 or more over sets of five-word shingles;

@@ -147,3 +147,12 @@ def test_chains_prune_and_lose_nothing():
     assert (sh.wide_within(a, b, tau) == near).all()
     others = np.bitwise_count(a[:-1] ^ a[1:])
     assert sh.chained(others, tau[:-1], sh.CHAIN).mean() < 0.05
+
+
+def test_the_pipeline_searches_all_pairs_that_share_a_key():
+    import inspect
+
+    import corpus_pipeline
+
+    assert corpus_pipeline.EXHAUSTIVE
+    assert all(inspect.signature(f).parameters["exhaustive"].default for f in (sh.drop_near_duplicates, sh.similar_links))
