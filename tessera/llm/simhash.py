@@ -25,6 +25,8 @@ an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -299,8 +301,8 @@ CHAIN = 3
 #: Candidates of a text that are verified: of the ends of its keys, and of the nearest in other groups.
 ENDS, NEAREST = 3, 4
 _PAIRS = "a long, b long, d long"
-#: Pairs that a task of the exact search holds before it gives them on.
-PAIRS_HELD = 1 << 18
+#: Bytes of sets, about, in each of the two chunks of a key that a task of the exact search holds.
+CHUNK_BYTES = 4 << 20
 
 
 def _few(pairs: DataFrame, most: int) -> DataFrame:
@@ -388,59 +390,123 @@ def nearest_pairs(distinct: DataFrame, tried: DataFrame, chunk: int = CHUNK) ->
     return _few(met, NEAREST)
 
 
-def other_pairs(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """All pairs of ids (id, fp, n, keys, root) that share a key, are not of one root yet and may be at ``SIMILARITY``."""
+def _runs(batches, parts: int, together: bool = False):
+    """Whole runs of rows that agree in their first ``parts`` columns, from sorted batches, as Arrow tables; ``together``: those of a batch in one."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        keys = np.stack([rows.column(i).to_numpy() for i in range(parts)])
+        cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+        # the last run may go on in the next batch
+        held, ends = rows.slice(cut[-1]), [0, cut[-1]] if together and cut[-1] else cut
+        for begin, end in itertools.pairwise(ends):
+            yield rows.slice(begin, end - begin)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _paired(keyed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``keyed`` (key, id) under each pair c1 <= c2 of chunks of its key (key, chunks) that has its own chunk, ``mine``."""
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    dealt = keyed.join(chunks, "key").select("key", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    return dealt.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "id", "mine")
+
+
+class _Rows:
+    """Rows of pairs of chunks of keys (key, c1, c2): who may be alike with whom.
+
+    Two texts that share several keys are compared under the first of them only.
+    """
+
+    def __init__(self, rows: pa.Table):
+        col = lambda c: rows.column(c).to_numpy()
+        self.run = np.stack([col("key"), col("c1"), col("c2")])
+        self.ids, self.root, self.n, self.mine = col("id"), col("root").copy(), col("n"), col("mine")
+        self.fps = _segments(rows.column("fp"))
+        self.keys = np.concatenate([x.flatten().to_numpy() for x in rows.column("keys").chunks]).reshape(-1, KEYS)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which rows ``a`` and ``b`` of one run are of different roots, compared here, and may be alike."""
+        # pairs of one chunk are compared where that chunk stands alone
+        ok = (self.root[a] != self.root[b]) & ((self.run[1, a] == self.run[2, a]) | (self.mine[a] != self.mine[b]))
+        x, y = a[ok], b[ok]
+        first = (self.keys[x] == self.keys[y]).argmax(1)
+        here = self.keys[x, first] == self.run[0, x]
+        here[here] = may_be_alike(self.n[x[here]], self.n[y[here]], self.fps[x[here]], self.fps[y[here]])
+        ok[ok] = here
+        return ok
+
+
+def in_question(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """key and id of those ids (id, fp, n, keys, root) that may be at ``SIMILARITY`` with one of another root under that key: no pairs are made."""
     keyed = distinct.select("id", "root", F.explode("keys").alias("key"))
     # keys with one text, or with texts that are joined already, have nothing to add
     open_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     open_keys = written(open_keys.select("key", F.ceil(F.col("m") / chunk).cast("long").alias("chunks")), "dedup-keys")
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    dealt = keyed.join(open_keys, "key").select("id", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("id", "key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "mine")
-    dealt = dealt.join(distinct.select("id", "fp", "n", "root"), "id").select("key", "c1", "c2", "id", "root", "n", "mine", "fp")
+    dealt = _paired(keyed.select("key", "id"), open_keys).join(distinct, "id").select("key", "c1", "c2", "id", "mine", "root", "n", "fp", "keys")
 
     def run(batches):
-        held = None
-        for batch in batches:
-            rows = np.stack([np.asarray(batch.column(i)) for i in range(7)])
-            fps = _segments(batch.column(7))
-            if held is not None:
-                rows, fps = np.concatenate([held[0], rows], axis=1), np.concatenate([held[1], fps])
-            new = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
-            at = new[-1] if len(new) else 0
-            held = rows[:, at:], fps[at:]
-            if at:
-                yield from emit(rows[:, :at], fps[:at])
-        if held is not None and held[0].shape[1]:
-            yield from emit(*held)
-
-    def emit(rows, fps):
-        _, c1, c2, ids, root, n, mine = rows
-        group = np.cumsum(np.append(0, (rows[:3, 1:] != rows[:3, :-1]).any(0)))
-        longest, found, size, first = int(np.bincount(group).max()), [], 0, np.arange(len(group))
-        for step in range(1, longest):
-            # runs shorter than the step fall out
-            first = first[first + step < len(group)]
-            first = first[group[first] == group[first + step]]
-            a, b = first, first + step
-            # pairs of one chunk are compared where that chunk stands alone
-            ok = (root[a] != root[b]) & ((c1[a] == c2[a]) | (mine[a] != mine[b]))
-            a, b = a[ok], b[ok]
-            near = may_be_alike(n[a], n[b], fps[a], fps[b])
-            found.append(np.stack([np.minimum(ids[a[near]], ids[b[near]]), np.maximum(ids[a[near]], ids[b[near]])]))
-            size += int(near.sum())
-            # few pairs are held, however many a group of texts just below the similarity has
-            if size and (size >= PAIRS_HELD or step == longest - 1):
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                found, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "a long, b long").distinct()
-
+        for rows in _runs(batches, 3, together=True):
+            own, asked = _Rows(rows), np.zeros(rows.num_rows, bool)
+            group = np.cumsum(np.append(0, (own.run[:, 1:] != own.run[:, :-1]).any(0)))
+            first = np.arange(len(group))
+            for step in range(1, int(np.bincount(group).max())):
+                # runs shorter than the step fall out
+                first = first[first + step < len(group)]
+                first = first[group[first] == group[first + step]]
+                # of two that are known to be in question the pair is not asked for
+                a = first[~(asked[first] & asked[first + step])]
+                a = a[own.may_link(a, a + step)]
+                asked[a] = asked[a + step] = True
+            if asked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own.run[0, asked]), pa.array(own.ids[asked])], ["key", "id"])
+
+    return dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "key long, id long").distinct()
+
+
+def links_between(asked: DataFrame, distinct: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Links that join all pairs of ``asked`` (key, id) of different roots at ``SIMILARITY`` under a key, by whole sets of shingles.
+
+    A task compares two chunks of a key, whose sets it holds, and gives on only the
+    links that join what it has not joined yet: fewer than it has rows, however
+    many pairs it compares.
+    """
+    whole = _sets(asked.select("id").distinct(), texts)
+    weight = F.sum(8 * F.col("n") + chunk_bytes // CHUNK)
+    chunks = written(asked.join(distinct.select("id", "n"), "id").groupBy("key").agg(F.ceil(weight / chunk_bytes).cast("long").alias("chunks")), "dedup-chunks")
+    dealt = _paired(asked, chunks).join(distinct, "id").join(whole, "id").select("key", "c1", "c2", "id", "mine", "root", "n", "fp", "keys", "h")
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (id, text) are at ``SIMILARITY``, by their whole sets of shingles."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def run(batches):
+        for rows in _runs((part for batch in batches for part in small_batches([batch], 9)), 3):
+            own, at = _Rows(rows), np.append(0, np.cumsum(rows.column("n").to_numpy()))
+            # shingles of the run are numbered, so that one text meets all others by a look-up
+            number = np.unique(np.frombuffer(b"".join(rows.column("h").to_pylist()), np.uint64), return_inverse=True)[1].astype(np.int32)
+            marked, left, right = np.zeros(int(number.max(initial=-1)) + 1, bool), [], []
+            for i in range(rows.num_rows - 1):
+                near = np.arange(i + 1, rows.num_rows)
+                near = near[own.may_link(np.full(len(near), i), near)]
+                if not len(near):
+                    continue
+                mine = number[at[i] : at[i + 1]]
+                marked[mine] = True
+                both = np.array([np.count_nonzero(marked[number[at[j] : at[j + 1]]]) for j in near.tolist()])
+                marked[mine] = False
+                near = near[100 * both >= round(100 * SIMILARITY) * (own.n[i] + own.n[near] - both)]
+                # one link for each root is enough
+                for j in near.tolist():
+                    if own.root[j] != own.root[i]:
+                        left.append(own.ids[i])
+                        right.append(own.ids[j])
+                        own.root[own.root == own.root[j]] = own.root[i]
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+
+    return written(dealt.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "id").mapInArrow(run, "a long, b long"), "dedup-links")
+
+
+def _sets(needed: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and h, the whole set of shingles, of those of ``texts`` (id, text) that are ``needed`` (id)."""
 
     def sets(batches):
         for batch in batches:
@@ -448,6 +514,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 h = [shingle_set(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.binary())], ["id", "h"])
 
+    whole = texts.join(needed, "id", "left_semi").select("id", text_bytes().alias("t")).mapInArrow(sets, "id long, h binary")
+    return written(whole, "dedup-sets")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts (id, text) are at ``SIMILARITY``, by their whole sets of shingles."""
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
     def check(batches):
         for batch in batches:
             for part in small_batches([batch], 2):
@@ -455,8 +529,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok = pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
 
-    whole = texts.join(needed, "id", "left_semi").select("id", text_bytes().alias("t")).mapInArrow(sets, "id long, h binary")
-    whole = written(whole, "dedup-sets")
+    whole = _sets(needed, texts)
     left, right = (whole.select(F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"), "dedup-links")
 
@@ -466,10 +539,11 @@ def similar_links(distinct: DataFrame, texts: DataFrame, exhaustive: bool = True
 
     Each text first meets others of its keys' ends, so that large groups are
     joined by few links, then the nearest ones of other groups, so that few pairs
-    are left; then ``exhaustive`` verifies all that are. Their number grows with
-    the square of a group of texts just below ``SIMILARITY``. Without it two groups
-    stay apart if all their links are between texts that each have ``NEAREST``
-    nearer candidates which fail.
+    are left; then ``exhaustive`` compares all that are, inside its tasks. That work
+    grows with the square of a group of texts just below ``SIMILARITY``, rows with
+    the group and its number of chunks. Without it two groups stay apart if all
+    their links are between texts that each have ``NEAREST`` nearer candidates which
+    fail.
     """
 
     def rooted(links):
@@ -480,7 +554,8 @@ def similar_links(distinct: DataFrame, texts: DataFrame, exhaustive: bool = True
     links = verified(tried, texts)
     links = links.unionByName(verified(written(nearest_pairs(rooted(links), tried), "dedup-pairs"), texts))
     if exhaustive:
-        links = links.unionByName(verified(written(other_pairs(rooted(links)), "dedup-pairs"), texts))
+        left = rooted(links)
+        links = links.unionByName(links_between(written(in_question(left), "dedup-asked"), left, texts))
     return links
 
 

@@ -156,3 +156,33 @@ def test_the_pipeline_searches_all_pairs_that_share_a_key():
 
     assert corpus_pipeline.EXHAUSTIVE
     assert all(inspect.signature(f).parameters["exhaustive"].default for f in (sh.drop_near_duplicates, sh.similar_links))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_a_group_just_below_the_similarity_makes_no_rows_for_its_pairs(spark, tmp_path, monkeypatch, small):
+    """All 11,175 pairs of 150 texts are at 0.77 to 0.79, under shared keys; two more texts of the group are at 0.8 or more with one of them."""
+    rng = np.random.default_rng(17)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    common = word(350)
+    docs = [common + word(49) for _ in range(150)]
+    docs += [docs[40][:390] + word(9), docs[90][:380] + word(19)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in docs]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(0.77 < share(i, j) < 0.79 for i in range(150) for j in range(i)) and share(150, 40) >= 0.8 <= share(151, 90)
+    made = {}
+
+    def spy(df, label, *rest, real=sh.written):
+        out = real(df, label, *rest)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(sh, "written", spy)
+    if small:  # many chunks of a key
+        monkeypatch.setattr(sh.in_question, "__defaults__", (40,))
+        monkeypatch.setattr(sh.links_between, "__defaults__", (100_000,))
+    df = spark.createDataFrame([(i, " ".join(t), "en", None, 0, "z") for i, t in enumerate(docs)], DOCS).repartition(4)
+    kept = [r["doc_id"] for r in sh.drop_near_duplicates(spark, df, str(tmp_path)).collect()]
+    assert sorted(kept) == list(range(150))
+    assert max(made.values()) <= sh.KEYS * len(docs), made
+    assert made["dedup-asked"] > 150
+    assert max(n for label, n in made.items() if label in ("dedup-pairs", "dedup-links")) <= sh.NEAREST * len(docs)
