@@ -123,3 +123,43 @@ def test_a_later_load_reads_and_writes_what_it_meets(spark, tmp_path, monkeypatc
         index.save(path, all_loads=not k)
         index = repeats.RepeatIndex.load(spark, path)
     assert 0 < sizes[9] <= 4 * max(sizes[:2]), sizes
+
+
+def brute_passages(texts, words):
+    data = [(t or "").encode().split() for t in texts]
+    holders = {}
+    for i, d in enumerate(data):
+        for k in range(len(d) - words + 1):
+            holders.setdefault(tuple(d[k : k + words]), set()).add(i)
+    return [len({j for k in range(len(d) - words + 1) if len(holders[tuple(d[k : k + words])]) > 1 for j in range(k, k + words)}) for d in data]
+
+
+def test_passages_too_short_in_bytes_are_counted(spark):
+    """51 words of 300 bytes lose nothing by the 400-byte rule, 50 words are no passage, and white space does not matter."""
+    word = lambda k, i: f"{k}w{i:02d}"
+    run = lambda k, n: " ".join(word(k, i) for i in range(n))
+    texts = [run("p", 51), f"x {run('p', 51)} y", run("q", 50), f"{run('q', 50)} z", run("r", 60), run("r", 60).replace(" ", "\n \t"), f"{run('s', 51)} {run('s', 51)}", None, ""]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: (r["n_removed"], r["n_passage_words"]) for r in repeats.without_repeats(df, passages=repeats.PASSAGE).collect()}
+    assert got == dict(enumerate([(0, 51), (0, 51), (0, 0), (0, 0), (0, 60), (0, 60), (0, 0), (0, 0), (0, 0)]))
+
+
+@pytest.mark.parametrize("piece", [4 << 20, 90])
+def test_passages_against_brute_force(spark, piece, monkeypatch):
+    monkeypatch.setattr(repeats, "_PIECE", piece)
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join(rng.choice(list("abcdefghé"), n))
+    texts = corpus(rng) + [" ".join("ab" * 60), "a " * 70, "\u2003".join("abcdefghijklmnopq")]
+    shared = [some(int(n)) for n in (9, 10, 11, 30)]
+    texts += [" ".join(x for _ in range(3) for x in (some(int(rng.integers(1, 20))), shared[int(rng.integers(0, 4))])) for _ in range(40)]
+    long = some(150).split()
+    for _ in range(20):  # near copies: one word changed
+        i = int(rng.integers(0, 150))
+        texts.append(" ".join([*long[:i], "XYZ", *long[i + 1 :]]))
+    loads, index = [range(0, len(texts), 2), range(1, len(texts), 2)], None
+    for k, load in enumerate(loads):
+        df = spark.createDataFrame([(i, texts[i], "z") for i in load], DOCS).repartition(3)
+        done, index = repeats.add_load(df, index, length=40, seed=13, passages=10)
+        so_far = [i for part in loads[: k + 1] for i in part]
+        want = dict(zip(so_far, brute_passages([texts[i] for i in so_far], 10), strict=True))
+        assert {r["doc_id"]: r["n_passage_words"] for r in done.collect()} == {i: want[i] for i in load}
