@@ -25,7 +25,8 @@ Passages of ``PASSAGE`` words and more that stand in another row too can be
 shorter than ``LENGTH`` bytes or differ in white space: they are not removed, but
 ``passages`` counts a row's words in them. Anchors are chosen among words in the
 same way; spans with a seed that other rows hold are equal or are compared
-window by window, by 128-bit hashes.
+window by window, by 128-bit hashes, where their seed is dealt to; those of hot
+seeds by a row for each window.
 
 Rows are told by numbers of their own, equal spans by two hashes of 64 bits each
 (of the seed and of the whole span); all other matches are found by comparing bytes.
@@ -248,6 +249,43 @@ def passage_windows(spans: DataFrame, words: int) -> DataFrame:
     return spans.select("key", "span", "n", "first", "last", "bytes").mapInArrow(run, "key long, span long, offset int, first long, last long, words binary")
 
 
+def passage_offsets(spans: DataFrame, words: int) -> DataFrame:
+    """key, span and the windows that another row holds too, of all spans of one row with each seed; a seed's spans are held in one task."""
+
+    def run(batches):
+        def compared(held):
+            windows = []
+            for _, n, _, _, data in held:
+                w = data.split()
+                windows.append([xxhash.xxh3_128_digest(b" ".join(w[k : k + words])) for k in range(n)])
+            rows, several = {}, {}
+            for (_, _, first, last, _), digests in zip(held, windows, strict=True):
+                for d in digests:
+                    several[d] = several.get(d, False) or first != last or rows.setdefault(d, first) != first
+            for (span, _, first, last, _), digests in zip(held, windows, strict=True):
+                if first == last and (found := [k for k, d in enumerate(digests) if several[d]]):
+                    yield span, found
+
+        def out(rows):
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], ["key", "span", "offsets"])
+
+        key, held, done = None, [], []
+        for batch in few_rows(batches):
+            for k, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    done += [(key, *x) for x in compared(held)]
+                    key, held = k, []
+                held.append(rest)
+            if len(done) > 4096:
+                yield out(done)
+                done = []
+        yield out(done + [(key, *x) for x in compared(held)])
+
+    dealt = spans.select("key", "span", "n", "first", "last", "bytes").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, span long, offsets array<int>")
+
+
 class Level:
     """Spans with their two suffix arrays: right of the anchors, and reversed left of them."""
 
@@ -526,8 +564,8 @@ def add_load(docs: DataFrame, index: RepeatIndex | None = None, length: int = LE
         met = written(every.groupBy("key").agg(*several).where("first < last").select("key"), "repeat-passage-keys")
         runs = written(every.join(met, "key", "left_semi"), "repeat-passage-rows")
         alike = written(runs.groupBy("key", "span").agg(*several, F.min(F.struct("row", "at", "size", "n")).alias("place")), "repeat-passage-spans")
-        seeds = written(alike.groupBy("key").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1").select("key"), "repeat-passage-seeds")
-        alike_open = alike.join(seeds, "key", "left_semi").select("place.row", "key", "span", F.col("place.at").alias("lo"), "place.size", "place.n", "first", "last")
+        held_by = written(alike.groupBy("key").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1"), "repeat-passage-seeds")
+        unlike = alike.join(held_by, "key").select("place.row", "key", "span", F.col("place.at").alias("lo"), "place.size", "place.n", "spans", "first", "last")
 
     # bytes of the spans that share a seed with others, from one of the texts that hold each
     wanted = spans.where("spans > 1")
@@ -539,7 +577,7 @@ def add_load(docs: DataFrame, index: RepeatIndex | None = None, length: int = LE
     none = lambda *names: {c: F.lit(None).cast("int" if c == "left" else "long") for c in names}
     wanted = wanted.withColumns({"size": F.col("n") - 1 + length} | none("first", "last")).select("row", *fields)
     if passages:
-        wanted = wanted.unionByName(alike_open.withColumns(none("left", "c", "spans")).select("row", *fields))
+        wanted = wanted.unionByName(unlike.withColumns(none("left", "c")).select("row", *fields))
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
 
     def slices(batches):
@@ -564,9 +602,12 @@ def add_load(docs: DataFrame, index: RepeatIndex | None = None, length: int = LE
 
     with_marks = texts.join(marks, "row", "left")
     if passages:
-        windows = written(passage_windows(sliced.where("first is not null"), passages), "repeat-passage-windows")
-        shared = written(windows.groupBy("words").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("words"), "repeat-passage-shared")
-        offsets = windows.where("first = last").join(shared, "words", "left_semi").groupBy("key", "span").agg(F.collect_set("offset").alias("offsets"))
+        by_words = sliced.where("first is not null")
+        offsets = passage_offsets(by_words.where(F.col("spans") <= hot), passages)
+        if (held_by.agg(F.max("spans")).first()[0] or 0) > hot:
+            windows = written(passage_windows(by_words.where(F.col("spans") > hot), passages), "repeat-passage-windows")
+            shared = written(windows.groupBy("words").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("words"), "repeat-passage-shared")
+            offsets = offsets.unionByName(windows.where("first = last").join(shared, "words", "left_semi").groupBy("key", "span").agg(F.collect_set("offset").alias("offsets")))
         # spans of several rows are shared as a whole
         offsets = offsets.unionByName(alike.where("first < last").select("key", "span", F.lit(None).cast("array<int>").alias("offsets")))
         covered = runs.where(F.col("row") >= base).join(offsets, ["key", "span"]).groupBy("row").agg(F.collect_set(F.struct("lo", "n", "offsets")).alias("passages"))

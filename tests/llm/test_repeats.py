@@ -144,8 +144,8 @@ def test_passages_too_short_in_bytes_are_counted(spark):
     assert got == dict(enumerate([(0, 51), (0, 51), (0, 0), (0, 0), (0, 60), (0, 60), (0, 0), (0, 0), (0, 0)]))
 
 
-@pytest.mark.parametrize("piece", [4 << 20, 90])
-def test_passages_against_brute_force(spark, piece, monkeypatch):
+@pytest.mark.parametrize("piece, hot", [(4 << 20, 2000), (90, 3)])
+def test_passages_against_brute_force(spark, piece, hot, monkeypatch):
     monkeypatch.setattr(repeats, "_PIECE", piece)
     rng = np.random.default_rng(8)
     some = lambda n: " ".join(rng.choice(list("abcdefghé"), n))
@@ -159,7 +159,7 @@ def test_passages_against_brute_force(spark, piece, monkeypatch):
     loads, index = [range(0, len(texts), 2), range(1, len(texts), 2)], None
     for k, load in enumerate(loads):
         df = spark.createDataFrame([(i, texts[i], "z") for i in load], DOCS).repartition(3)
-        done, index = repeats.add_load(df, index, length=40, seed=13, passages=10)
+        done, index = repeats.add_load(df, index, length=40, seed=13, hot=hot, passages=10)
         so_far = [i for part in loads[: k + 1] for i in part]
         want = dict(zip(so_far, brute_passages([texts[i] for i in so_far], 10), strict=True))
         assert {r["doc_id"]: r["n_passage_words"] for r in done.collect()} == {i: want[i] for i in load}
