@@ -190,10 +190,10 @@ class Postings:
         """Number of rows."""
         return self.table.read([2 * self.buckets]).agg(F.sum("n")).first()[0] or 0
 
-    def frequencies(self, words: list[str] | None = None) -> DataFrame:
-        """word and n_chunks, of all words or of ``words``: postings are not read."""
+    def frequencies(self, words: list[str] | None = None, version: int | None = None) -> DataFrame:
+        """word and n_chunks, of all words or of ``words``, now or as of a load: postings are not read."""
         parts = range(self.buckets, 2 * self.buckets) if words is None else {self._bucket(w) + self.buckets for w in words}
-        rows = self.table.read(parts)
+        rows = self.table.read(parts, version)
         if words is not None:
             rows = rows.where(F.col("word").isin(words))
         return rows.groupBy("word").agg(F.sum("n").alias("n_chunks")).where("n_chunks > 0")

@@ -251,6 +251,30 @@ def test_blocks_hold_a_word_once_and_fold_shares_hot_words(spark, tmp_path, monk
     assert index.table.read(range(4)).where("n < 0").isEmpty() and index.frequencies(["the"]).first()["n_chunks"] == 101
 
 
+def test_rounds_of_the_queries_make_five_loads(spark, tmp_path, monkeypatch):
+    from tessera.plans import indexes
+
+    texts = {i: f"the clown w{i} w{i % 7}" for i in range(60)} | {60: None, None: "the nameless"}
+    docs = [(i, t, "en", "src0" if i and i % 5 == 1 else None if i == 3 else "src2") for i, t in texts.items()]
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    held = {(w, i) for i, t, _, s in docs if s != "src0" for w in text.analyse(t or "")}
+    want = {}
+    for w, _ in held:
+        want[w] = want.get(w, 0) + 1
+    index = indexes._rounds(spark, folder)
+    assert index.table.version() == 5 and index.total() == sum(s != "src0" for *_, s in docs)
+    blocks = index.table.read(range(index.buckets))
+    assert blocks.where("n < 0").isEmpty() and blocks.agg(F.sum("n")).first()[0] == len(held)
+    before = index.table.read(range(index.buckets, 2 * index.buckets), version=4)
+    assert not before.where("n < 0").isEmpty() and before.where("word = 'draft'").agg(F.count("n"), F.sum("n")).first() == (2, 0)
+    assert dict(rows_of(index.frequencies(version=4))) == want == dict(rows_of(index.frequencies()))
+    monkeypatch.setattr(indexes, "_rounds", lambda *_: index)
+    assert rows_of(indexes.postings_rounds(spark, folder)) == sorted(want.items())
+    found = indexes.postings_folded(spark, folder).collect()
+    assert {(r["word"], r["id"]) for r in found} == {(w, i) for w, i in held if w in ("clown", "the")} and {r["total"] for r in found} == {index.total()}
+
+
 def test_blocks_of_queries_and_vectors(spark, tmp_path, monkeypatch):
     """No task holds a cell's pairs: many small blocks give the ranks of the scan, copies by the smallest ids."""
     monkeypatch.setattr("tessera.operators.vector_index.QUERIES_AT_ONCE", 3)
