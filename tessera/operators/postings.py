@@ -5,8 +5,9 @@ so that a search opens the partitions of its words and skips the rest of each fi
 A load holds differences only: blocks of ids that now have a word (``n`` is their
 number), and blocks of those that lost it (``n`` is minus their number). Blocks are
 packed where the rows are read, so that a word is shuffled and sorted once a block,
-not once a row. A word's frequency is the sum of its differences, kept apart so that
-counting reads no postings, and so is the number of rows. ``fold`` adds differences up.
+not once a row; tasks that write a part join the blocks of a word and sum them up. A
+word's frequency is the sum of its differences, kept apart so that counting reads no
+postings, and so is the number of rows. ``fold`` adds differences up.
 
 The words of a row are its terms by ``terms``: words for ranked search, groups of
 three letters for the search of literal strings.
@@ -30,6 +31,8 @@ BUCKETS = 64
 SCHEMA = "word string, ids array<long>, n long"
 #: Postings that a task packs into blocks at once, and those of a word above which ``fold`` shares it among tasks.
 AT_ONCE, HOT = 1 << 21, 1 << 20
+#: Ids from which a block is not joined to the next.
+BLOCK = 1 << 16
 
 
 def _blocks(words: pa.Array, ids: pa.Array, n: int) -> pa.RecordBatch:
@@ -62,6 +65,29 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.select("id", "now", "was").mapInArrow(run, SCHEMA)
 
 
+def joined(rows: DataFrame, buckets: int) -> DataFrame:
+    """Sorted blocks (word, ids, n, part) with those of a word that lie together as one, losses and gains apart, and a word's sums, ``buckets`` parts on."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, held, n, part = batch.columns
+            sizes, n, part = np.asarray(pc.list_value_length(held), np.int64), np.asarray(n), np.asarray(part)
+            begins = np.cumsum(sizes) - sizes
+            new_word = np.diff(np.asarray(words.dictionary_encode().indices), prepend=-1) != 0
+            cut = np.flatnonzero(new_word | (np.diff(np.sign(n), prepend=0) != 0) | (np.diff(begins // BLOCK, prepend=0) != 0))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(begins[cut], sizes.sum()).astype(np.int32)), held.flatten())
+            names = ["word", "ids", "n", "part"]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(cut)), ids, pa.array(np.add.reduceat(n, cut)), pa.array(part[cut])], names)
+            cut = np.flatnonzero(new_word)
+            sums = np.add.reduceat(n, cut)
+            cut, sums = cut[sums != 0], sums[sums != 0]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(cut)), pa.nulls(len(cut), held.type), pa.array(sums), pa.array(part[cut] + np.int32(buckets))], names)
+
+    return rows.select("word", "ids", "n", "part").mapInArrow(run, f"{SCHEMA}, part int")
+
+
 def summed(rows: DataFrame) -> DataFrame:
     """Blocks of what is left of blocks that are dealt and sorted by word: ids whose differences add up to one."""
 
@@ -139,28 +165,32 @@ class Postings:
         on each side. A null text has no words.
         """
         none = F.array().cast("array<string>")
-        held = lambda df, name: df.select("id", F.array_compact(F.coalesce(self.terms(F.col("content")), none)).alias(name))
+        held = lambda name: F.array_compact(F.coalesce(self.terms(F.col(name)), none)).alias(name)
+        text_of = lambda df, name: df.select("id", F.col("content").alias(name))
         if new is None:
-            return packed(held(old, "was").withColumn("now", none))
+            return packed(text_of(old, "was").select("id", held("was"), none.alias("now")))
         if old is None:
-            return packed(held(new, "now").withColumn("was", none))
-        both = held(old, "was").join(held(new, "now"), "id", "full").select("id", F.coalesce("was", none).alias("was"), F.coalesce("now", none).alias("now"))
+            return packed(text_of(new, "now").select("id", held("now"), none.alias("was")))
+        # texts meet, which are smaller than their words
+        both = text_of(old, "was").join(text_of(new, "now"), "id", "full").select("id", held("was"), held("now"))
         return packed(both.select("id", F.array_except("now", "was").alias("now"), F.array_except("was", "now").alias("was")))
 
-    def _counts(self, blocks: DataFrame) -> DataFrame:
-        counts = blocks.groupBy("word").agg(F.sum("n").alias("n")).where("n <> 0")
-        return counts.select("word", F.lit(None).cast("array<long>").alias("ids"), "n", (self._bucket_of() + self.buckets).alias("part"))
+    def _stage(self, blocks: DataFrame) -> str:
+        """Blocks and the sums of their words, which the same tasks write."""
+        return self.table.stage(blocks.withColumn("part", self._bucket_of()), "word", "n", then=lambda rows: joined(rows, self.buckets))
+
+    def _stage_total(self, n: int) -> str:
+        return self.table.stage(self.table.spark.createDataFrame([("", None, n, 2 * self.buckets)], f"{SCHEMA}, part int"), "word")
 
     def update(self, old: DataFrame | None, new: DataFrame | None, grown: int | None = None) -> int:
         """A load: rows that changed, as they were and as they are now. All or nothing of it is seen by searches.
 
         ``grown`` is by how much the number of rows grows, where the caller knows it.
         """
-        rows = self.table.stage(self.differences(old, new).withColumn("part", self._bucket_of()), "word")
+        rows = self._stage(self.differences(old, new))
         if grown is None:
             grown = (new.count() if new is not None else 0) - (old.count() if old is not None else 0)
-        total = self.table.spark.createDataFrame([("", None, grown, 2 * self.buckets)], f"{SCHEMA}, part int")
-        return self.table.commit([rows, self.table.stage(self._counts(self.table.staged(rows)).unionByName(total), "word")])
+        return self.table.commit([rows, self._stage_total(grown)])
 
     def fold(self) -> int:
         """One load with all differences added up in place of those that were there.
@@ -175,10 +205,7 @@ class Postings:
         if hot:
             one = self._exploded(blocks.where(F.col("word").isin(hot)))
             sums = sums.unionByName(packed(one.select("id", F.array("word").alias("now"), F.array().cast("array<string>").alias("was"))))
-        rows = self.table.stage(sums.withColumn("part", self._bucket_of()), "word")
-        counts = self._counts(self.table.staged(rows))
-        total = self.table.spark.createDataFrame([("", None, self.total(), 2 * self.buckets)], f"{SCHEMA}, part int")
-        return self.table.commit([rows, self.table.stage(counts.unionByName(total), "word")], range(2 * self.buckets + 1))
+        return self.table.commit([self._stage(sums), self._stage_total(self.total())], range(2 * self.buckets + 1))
 
     @staticmethod
     def _exploded(blocks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -80,13 +80,17 @@ class Generations:
             kept |= F.col("load").isin([load for load, h in loads.items() if h == held]) & F.col("part").isin(sorted(held))
         return rows.where(kept).drop("load")
 
-    def stage(self, rows: DataFrame, *order: str) -> str:
+    def stage(self, rows: DataFrame, *order: str, then: Callable[[DataFrame], DataFrame] | None = None) -> str:
         """Write rows (with ``part``) where no reader looks yet; returns the load's name.
 
         Large partitions are written by several tasks, small ones together.
+        ``then`` makes fewer rows of those that a task has sorted.
         """
         load = uuid.uuid4().hex
-        rows.hint("rebalance", "part").sortWithinPartitions("part", *order).write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/rows/load={load}")
+        rows = rows.hint("rebalance", "part").sortWithinPartitions("part", *order)
+        if then is not None:
+            rows = then(rows).sortWithinPartitions("part", *order)
+        rows.write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/rows/load={load}")
         return load
 
     def staged(self, load: str) -> DataFrame:

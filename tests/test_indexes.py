@@ -251,6 +251,22 @@ def test_blocks_hold_a_word_once_and_fold_shares_hot_words(spark, tmp_path, monk
     assert index.table.read(range(4)).where("n < 0").isEmpty() and index.frequencies(["the"]).first()["n_chunks"] == 101
 
 
+def test_tasks_that_write_a_part_join_blocks_and_sum_them(spark, tmp_path, monkeypatch):
+    trees = lambda k: spark.createDataFrame([(i, f"the {('oak', 'pine')[(i + k) % 2]}") for i in range(90)], CHUNKS).repartition(5)
+    index = Postings(spark, str(tmp_path / "a"), buckets=2)
+    index.update(None, trees(0))
+    index.update(trees(0), trees(1))
+    blocks = index.table.read(range(2))
+    assert rows_of(blocks.groupBy("word").agg(F.count("n"), F.sum("n"))) == [("oak", 3, 45), ("pine", 3, 45), ("the", 1, 90)]
+    assert rows_of(index.table.read([2, 3]).select("word", "n")) == [("oak", 45), ("pine", 45), ("the", 90)]  # gains and losses are even
+    assert rows_of(index.all_postings()) == sorted([("the", i) for i in range(90)] + [(("oak", "pine")[(i + 1) % 2], i) for i in range(90)])
+    monkeypatch.setattr("tessera.operators.postings.BLOCK", 30)
+    index = Postings(spark, str(tmp_path / "b"), buckets=2)
+    index.update(None, trees(0))
+    sizes = [r["n"] for r in index.table.read(range(2)).where("word = 'the'").collect()]
+    assert sum(sizes) == 90 and len(sizes) > 1 and rows_of(index.frequencies()) == [("oak", 45), ("pine", 45), ("the", 90)]
+
+
 def test_rounds_of_the_queries_make_five_loads(spark, tmp_path, monkeypatch):
     from tessera.plans import indexes
 
